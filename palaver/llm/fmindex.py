@@ -217,10 +217,8 @@ FOUND = "n_words long, spans array<struct<start: long, stop: long>>, items array
 
 
 def _search(docs: DataFrame, carry: list[str], phrases: Phrases) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(phrases)
-
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shared.value
+        known = phrases  # at most BLOCK_BYTES of items
         get = known.symbol.get
         for batch in batches:
             texts = batch.column(batch.num_columns - 1).cast(pa.large_binary())
