@@ -1,10 +1,5 @@
 """All queries of the conversation engine and their SQL, by name."""
 
-from __future__ import annotations
+from palaver.plans.queries import ORACLES, QUERIES
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+__all__ = ["ORACLES", "QUERIES"]

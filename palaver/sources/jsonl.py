@@ -1,0 +1,120 @@
+"""Session files: listing, lines, and the blocks inside entries.
+
+``root/<project>/<session>.jsonl``.  Listing reads no contents; lines keep their
+physical number; malformed lines are kept as lines and give no entries.
+"""
+
+from __future__ import annotations
+
+from pathlib import Path
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from palaver.functions import text as T
+
+# Entry types without conversation, and prefixes of echoes of commands.
+META_TYPES = ["file-history-snapshot", "queue-operation", "summary", "custom-title", "agent-name", "ai-title", "permission-mode", "last-prompt", "attachment", "progress", "system"]
+ECHOES = ["<command-name>", "<command-message>", "<command-args>", "<local-command-stdout>", "<local-command-stderr>", "<local-command-caveat>", "<bash-input>", "<bash-stdout>"]
+INTERRUPTED = "[Request interrupted by user]"
+NOTICE = "<task-notification>"
+SPECIAL = ["subagents", "tool-results"]
+
+
+def list_sessions(spark: SparkSession, root: str) -> DataFrame:
+    """(session_path, project, mtime, size) of the session files, without reading them."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.jsonl").load(f"{root}/*/")
+    parts = F.split("path", "/")
+    found = files.select(
+        F.col("path").alias("session_path"), F.element_at(parts, -2).alias("project"), F.element_at(parts, -1).alias("name"),
+        F.unix_timestamp("modificationTime").alias("mtime"), F.col("length").alias("size"),
+    )
+    return found.filter(~F.col("name").startswith("agent-") & ~F.col("project").isin(SPECIAL)).drop("name")
+
+
+def count_subagents(spark: SparkSession, root: str, stubs: DataFrame) -> DataFrame:
+    """``stubs`` with the number of agent files beside each."""
+    if not any(Path(root.removeprefix("file://")).glob("*/subagents")):
+        return stubs.withColumn("subagents", F.lit(0).cast("long"))
+    agents = spark.read.format("binaryFile").option("pathGlobFilter", "agent-*.jsonl").load(f"{root}/*/subagents/")
+    counts = agents.select(F.element_at(F.split("path", "/"), -3).alias("project")).groupBy("project").agg(F.count("*").alias("subagents"))
+    return stubs.join(counts, "project", "left").withColumn("subagents", F.coalesce("subagents", F.lit(0)))
+
+
+def read_lines(spark: SparkSession, root: str) -> DataFrame:
+    """(session_path, project, line_no, line) of all physical lines; files that are not UTF-8 are skipped."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.jsonl").load(f"{root}/*/")
+    parts = F.split("path", "/")
+    own = files.filter(~F.element_at(parts, -1).startswith("agent-") & ~F.element_at(parts, -2).isin(SPECIAL))
+    text = own.select(F.col("path").alias("session_path"), F.element_at(parts, -2).alias("project"), F.col("content").cast("string").alias("text"))
+    lines = text.filter(F.is_valid_utf8("text")).select("session_path", "project", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
+    return lines.withColumn("line_no", F.col("line_no").cast("long"))
+
+
+def _get(path: str, kind: str = "string") -> Column:
+    return F.try_variant_get("v", path, kind)
+
+
+def entries(lines: DataFrame) -> DataFrame:
+    """Lines that are JSON objects, with their scalar fields and ``v``."""
+    parsed = lines.filter(T.squeeze(F.col("line")) != "").withColumn("v", F.try_parse_json("line")).filter("v is not null")
+    kind = F.coalesce(_get("$.type"), F.lit(""))
+    return parsed.select(
+        "session_path", "project", "line_no", "line", "v", kind.alias("type"), F.coalesce(_get("$.uuid"), F.lit("")).alias("uuid"),
+        _get("$.requestId").alias("request_id"), _get("$.timestamp").alias("timestamp"), T.ts_millis(_get("$.timestamp")).alias("ts_ms"),
+        _get("$.cwd").alias("cwd"), _get("$.gitBranch").alias("git_branch"), _get("$.version").alias("version"),
+        _get("$.permissionMode").alias("permission_mode"), _get("$.customTitle").alias("custom_title"),
+        F.when(kind == "assistant", _get("$.message.model")).alias("model"),
+        F.coalesce(F.schema_of_variant(F.try_variant_get("v", "$.message.content", "variant")), F.lit("")).alias("content_kind"),
+    )
+
+
+def echo(text: Column) -> Column:
+    return text.rlike("^(?:" + "|".join(ECHOES) + ")")
+
+
+def content_blocks(found: DataFrame) -> DataFrame:
+    """The blocks of array contents, one to one: content_no, kind and fields."""
+    spark = found.sparkSession
+    found.filter("content_kind like 'ARRAY%'").createOrReplaceTempView("_palaver_entries")
+    raw = spark.sql(
+        "select e.session_path, e.project, e.line_no, e.type, e.uuid, e.ts_ms, cast(b.pos as long) content_no, b.value b "
+        "from _palaver_entries e, lateral variant_explode(try_variant_get(e.v, '$.message.content', 'variant')) b"
+    )
+    get = lambda path: F.try_variant_get("b", path, "string")
+    kind = F.coalesce(get("$.type"), F.lit(""))
+    known = kind.isin("text", "thinking", "tool_use", "tool_result")
+    shape = F.coalesce(F.schema_of_variant(F.try_variant_get("b", "$.content", "variant")), F.lit(""))
+    parts = F.from_json(F.to_json(F.try_variant_get("b", "$.content", "variant")), "array<struct<type: string, text: string>>")
+    joined = F.array_join(F.transform(F.filter(parts, lambda p: p["type"] == "text"), lambda p: F.coalesce(p["text"], F.lit(""))), "\n")
+    return raw.select(
+        "session_path", "project", "line_no", "type", "uuid", "ts_ms", "content_no", F.when(known, kind).otherwise("unknown").alias("kind"), kind.alias("raw_type"),
+        F.when(kind == "text", get("$.text")).when(kind == "thinking", get("$.thinking")).when(kind == "tool_result", F.when(shape == "STRING", get("$.content")).otherwise(F.coalesce(joined, F.lit("")))).alias("text"),
+        F.when(kind == "tool_use", F.coalesce(get("$.name"), F.lit("unknown"))).alias("tool_name"),
+        F.when(kind == "tool_use", get("$.id")).when(kind == "tool_result", get("$.tool_use_id")).alias("tool_id"),
+        F.coalesce(F.try_variant_get("b", "$.is_error", "boolean"), F.lit(False)).alias("is_error"),
+    )
+
+
+def search_blocks(lines: DataFrame) -> DataFrame:
+    """The searchable text blocks: a user's string, and the text parts of user and assistant arrays."""
+    found = entries(lines).filter(~F.col("type").isin(META_TYPES) & F.col("type").isin("user", "assistant"))
+    said = F.try_variant_get("v", "$.message.content", "string")
+    strings = found.filter((F.col("type") == "user") & (F.col("content_kind") == "STRING")).withColumn("text", said)
+    strings = strings.filter(~F.trim("text").startswith(NOTICE) & ~echo(F.col("text")))
+    text = F.when(F.col("text").contains(INTERRUPTED), F.lit(INTERRUPTED)).otherwise(F.col("text"))
+    one = strings.select("session_path", "project", "line_no", F.lit(0).cast("long").alias("block_no"), "ts_ms", "uuid", F.col("type").alias("source"), text.alias("text"))
+    blocks = content_blocks(found)
+    heads = blocks.filter((F.col("content_no") == 0) & (F.col("kind") == "text") & (F.col("type") == "user") & echo(F.col("text"))).select("session_path", "line_no")
+    texts = blocks.filter("kind = 'text'").join(heads, ["session_path", "line_no"], "left_anti")
+    from pyspark.sql import Window
+
+    number = F.row_number().over(Window.partitionBy("session_path", "line_no").orderBy("content_no")) - 1
+    many = texts.withColumn("block_no", number.cast("long")).select("session_path", "project", "line_no", "block_no", "ts_ms", "uuid", F.col("type").alias("source"), "text")
+    return one.unionByName(many).filter(T.squeeze(F.coalesce("text", F.lit(""))) != "")
+
+
+def first_cwd(lines: DataFrame) -> DataFrame:
+    """(session_path, cwd): the first non-empty ``"cwd":"…"`` in the raw text."""
+    raw = F.regexp_extract("line", '"cwd":"([^"]*)"', 1)
+    return lines.groupBy("session_path").agg(F.min_by(F.when(raw != "", raw), F.when(raw != "", F.col("line_no"))).alias("cwd"))

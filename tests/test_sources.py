@@ -1,0 +1,115 @@
+"""Session files: listing, extraction, index refresh, and record edits."""
+
+from __future__ import annotations
+
+import json
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from palaver.functions import text as T
+from palaver.operators import edit, index, search, sequence, stats
+from palaver.sources import jsonl
+
+
+def line(kind, content, **more):
+    return json.dumps({"type": kind, "message": {"role": kind, "content": content}, **more}, ensure_ascii=False)
+
+
+@pytest.fixture
+def corpus(tmp_path):
+    root = tmp_path / "projects"
+    own = root / "-home-user-app"
+    (own / "subagents").mkdir(parents=True)
+    (root / "subagents").mkdir()
+    rows = [
+        line("summary", "meta"),
+        line("user", "<command-name>echo"),
+        line("user", "please fix the parser", uuid="u1", timestamp="2026-07-02T10:00:00.000Z", cwd="/home/user/app"),
+        line("assistant", [{"type": "thinking", "thinking": "hm"}, {"type": "text", "text": "the parsr is done"}, {"type": "tool_use", "id": "t1", "name": "Read", "input": {}}], uuid="a1"),
+        line("user", [{"type": "tool_result", "tool_use_id": "t1", "content": [{"type": "text", "text": "ok"}, {"type": "text", "text": "two"}]}]),
+        "not json {",
+        "   ",
+    ]
+    (own / "sess-1.jsonl").write_text("\n".join(rows) + "\n")
+    for name in ("agent-abc.jsonl", "notes.txt", "subagents/agent-x.jsonl", "subagents/agent-y.jsonl"):
+        (own / name).write_text(rows[2] + "\n")
+    (root / "subagents" / "sess-2.jsonl").write_text(rows[2])
+    return root
+
+
+def test_listing_and_extraction(spark, corpus):
+    stubs = jsonl.list_sessions(spark, str(corpus))
+    assert [r["session_path"].rsplit("/", 1)[1] for r in stubs.collect()] == ["sess-1.jsonl"]
+    assert "content" not in stubs._jdf.queryExecution().optimizedPlan().toString().split("Relation")[0]
+    assert jsonl.count_subagents(spark, str(corpus), stubs).first()["subagents"] == 2
+    lines = jsonl.read_lines(spark, str(corpus))
+    found = sorted((r["line_no"], r["block_no"], r["source"], r["text"], r["ts_ms"]) for r in jsonl.search_blocks(lines).collect())
+    assert found == [(2, 0, "user", "please fix the parser", 1782986400000), (3, 0, "assistant", "the parsr is done", None)]
+    kinds = [(r["line_no"], r["content_no"], r["kind"], r["text"], r["tool_id"]) for r in jsonl.content_blocks(jsonl.entries(lines)).orderBy("line_no", "content_no").collect()]
+    assert kinds == [(3, 0, "thinking", "hm", None), (3, 1, "text", "the parsr is done", None), (3, 2, "tool_use", None, "t1"), (4, 0, "tool_result", "ok\ntwo", "t1")]
+    assert jsonl.first_cwd(lines).filter("cwd is not null").first() is None  # spaced keys are no raw match
+    assert stats.info(jsonl.entries(lines)).first()["cwd"] == "/home/user/app"
+
+
+def test_search_ranks_exact_before_typo(spark, corpus):
+    blocks = jsonl.search_blocks(jsonl.read_lines(spark, str(corpus)))
+    hits = search.search(blocks, "parser").collect()
+    assert [h["line_no"] for h in hits] == [2, 3] and hits[0]["score"] > hits[1]["score"]
+    assert [(r["start"], r["end"]) for r in hits[0]["match_ranges"]] == [(15, 21)]
+    assert search.search(blocks, "praser").count() == 2 - 1  # a swap is one edit, a swap and a loss are not
+    assert search.search(blocks, "  ?! ").count() == 0
+
+
+def test_refresh(spark, corpus, tmp_path):
+    root = str(tmp_path / "index")
+    assert index.refresh(spark, str(corpus), root) == {"new": 1}
+    assert index.load(spark, root, "blocks").count() == 2
+    assert index.refresh(spark, str(corpus), root) == {"unchanged": 1}
+    path = corpus / "-home-user-app" / "sess-1.jsonl"
+    path.write_text(path.read_text() + line("user", "more") + "\n")
+    (corpus / "-home-user-app" / "sess-3.jsonl").write_text(line("user", "third") + "\n")
+    assert index.refresh(spark, str(corpus), root) == {"changed": 1, "new": 1}
+    assert index.load(spark, root, "blocks").count() == 4
+    path.unlink()
+    assert index.refresh(spark, str(corpus), root) == {"deleted": 1, "unchanged": 1}
+    assert index.load(spark, root, "blocks").count() == 1
+    assert index.load(spark, root, "postings").count() == 1
+
+
+def test_lossless_edits():
+    raw = '{"n": 9223372036854775807, "f":1e5, "message":{"content":[{"type":"text","text":"a"},{"type":"thinking","thinking":"x"},{"type":"text", "text":"b"}]} , "1":2}'
+    assert edit.edit_text(raw, 1, "né") == raw.replace('"text":"b"', '"text":"né"')
+    assert edit.edit_text(raw, 2, "z") == raw and edit.edit_text("no json", 0, "z") == "no json" and edit.edit_text(raw, 0, "a") == raw
+    assert json.loads(edit.drop_blocks(raw, {1}))["message"]["content"] == [{"type": "text", "text": "a"}, {"type": "text", "text": "b"}]
+    assert edit.drop_blocks(raw, set()) == raw and edit.drop_blocks(raw, {0, 1, 2}) is None
+    once = edit.rename("x", "t", "s")
+    assert once.startswith("x\n") and len(edit.rename(once, "u", "s").splitlines()) == 5
+
+
+def test_turns_match_a_fold(spark):
+    rng = random.Random(3)
+    rows, want = [], {}
+    for s in range(60):
+        turn, open_request, opened = 0, None, False
+        for n in range(rng.randint(1, 12)):
+            source, request = rng.choice(["user", "assistant", "assistant", "system"]), rng.choice(["", "r1", "r2"])
+            rows.append((f"s{s}", n, source, request, "x", n))
+            if source == "user":
+                turn, opened = turn + 1, False
+            elif source == "assistant":
+                if not opened or request and open_request and request != open_request:
+                    turn += 1
+                    open_request = None if not opened else open_request
+                opened, open_request = True, request or open_request
+            if source != "system":
+                want[(f"s{s}", turn)] = want.get((f"s{s}", turn), 0) + 1
+    df = spark.createDataFrame(rows, "session_path string, line_no long, source string, request_id string, text string, ts_ms long")
+    assert {(r["session_path"], r["turn_id"]): r["n_rows"] for r in sequence.turns(df).collect()} == want
+
+
+def test_one_edit(spark):
+    pairs = [("abc", "acb", True), ("abc", "abc", True), ("abc", "ab", True), ("abc", "cba", False), ("é", "e", True), ("ab", "ba", True), ("a", "abc", False)]
+    df = spark.createDataFrame(pairs, "a string, b string, want boolean")
+    assert df.filter(T.one_edit(F.col("a"), F.col("b")) != F.col("want")).count() == 0
