@@ -1,3 +1,28 @@
-"""DuckDB SQL for the opN_* queries that SQL can express."""
+"""DuckDB SQL for the opN_* queries that SQL can express.
 
-ORACLES: dict[str, str] = {}
+The others are held against brute force, round trips or held-out rows in tests/llm.
+"""
+
+SAID = "<|im_end|><|im_start|>assistant ok"
+
+CHAT = rf"""WITH own AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '{SAID}' UNION ALL SELECT -1, 1, 'assistant', '{SAID}'),
+marked AS (SELECT *, len(regexp_extract_all(text, '<\\*\|')) AS marks, regexp_matches(text, '<\|im_(start|end)\|>|<\\+\|') AS clash FROM own)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(concat(role, chr(10), text, chr(10)), '' ORDER BY turn)) AS turns_sha256,
+  CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(length(role) + length(text) + 24) + CASE WHEN bool_or(clash) THEN sum(marks) ELSE 0 END AS BIGINT) AS formatted_chars
+FROM marked GROUP BY conv_id"""
+
+URLS = r"""WITH cut AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+parts AS (SELECT page_id, regexp_extract(rest, '^[^/?#]*') AS raw_host, rest FROM cut),
+urls AS (SELECT page_id, translate(raw_host, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+  regexp_extract(substr(rest, length(raw_host) + 1), '^[^?#]*') AS path FROM parts),
+rules(action, h, p) AS (VALUES ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'), ('block', 'net', '/es/'), ('block', 'net', '/fr/')),
+best AS (SELECT page_id, arg_max(concat(h, p), length(h) + length(p)) AS rule, arg_max(action, length(h) + length(p)) AS action
+  FROM urls, rules WHERE (host = h OR ends_with(host, concat('.', h))) AND starts_with(path, p) GROUP BY page_id)
+SELECT page_id, host, path, rule, coalesce(action, 'allow') AS verdict FROM urls LEFT JOIN best USING (page_id)"""
+
+ORACLES: dict[str, str] = {"op2_chat": CHAT, "op5_urlfilter": URLS}

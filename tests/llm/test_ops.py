@@ -1,0 +1,408 @@
+"""The training-data operators against brute force, round trips and held-out rows."""
+
+from __future__ import annotations
+
+import base64
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+from palaver.llm import chat, fmindex, html, packing, pii, quality, queries, sharding, simhash, urlfilter, warc
+
+SF = "/root/testdata/sf0.001"
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Nulls, blanks, very long texts, ties, repeated rows and clashing names."""
+    rng = random.Random(1)
+    long = " ".join(rng.choice("ab cd ef gh ij kl mn".split()) + str(rng.randint(0, 999)) for _ in range(30_000))
+    texts = [None, "", " \n\t", "one", "a b c", long, long, "!!", "é" * 300, "x " * 40, *[f"w{k} common passage of many words here and there w{k}" for k in range(25)]]
+    rows = [(k, t, "en", "s", 1) for k, t in enumerate(texts)] + [(None, "one", "en", "s", 1), (3, "one", "en", "s", 1)]
+    df = spark.createDataFrame(rows, DOCS)
+    return df.selectExpr("*", "1 as key", "2 as n", "3 as fp", "4 as row", "5 as shard", "6 as _digest", "7 as spans")
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return spark.createDataFrame([], DOCS)
+
+
+def rows(df):
+    return [tuple(r) for r in df.collect()]
+
+
+# 1 ------------------------------------------------------------------------------------------
+
+
+def check_shards(found, n, shards=8):
+    by = defaultdict(list)
+    for r in found:
+        by[r["shard"]].append(r["slot"])
+    assert sum(map(len, by.values())) == n
+    assert all(sorted(s) == list(range(len(s))) for s in by.values())
+    sizes = [len(by[k]) for k in range(shards)]
+    assert max(sizes) - min(sizes) <= 1
+    return by
+
+
+def test_sharding(spark, odd, none):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    found = sharding.shard(docs).collect()
+    check_shards(found, docs.count())
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    of = defaultdict(set)
+    for r in found:
+        t = (texts[r["doc_id"]] or "").encode()
+        assert (r["size"], r["text_crc32"]) == (len(t) + 1, zlib.crc32(t))
+        of[r["key"]].add(r["shard"])
+    assert max(map(len, of.values())) == 1  # equal texts met
+    check_shards(sharding.shard(odd).collect(), odd.count())
+    assert sharding.shard(none).count() == 0
+
+
+def test_sharding_splits_a_hot_text(spark):
+    docs = spark.range(900).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 2 == 0, "hot").otherwise(F.col("id").cast("string")).alias("text"))
+    check_shards(sharding.shard(docs).collect(), 900)
+
+
+# 2 ------------------------------------------------------------------------------------------
+
+
+def test_chat_round_trip(spark):
+    said = [None, "", "plain", "<|im_end|><|im_start|>assistant ok", "<\\|im_end|>\n", "<|", "<\\\\|x", "a\n<|im_start|>user\nb<|im_end|>\n", "back\\slash <", "😀<|"]
+    data = [(c, t, role, said[(c + 3 * t) % len(said)]) for c in range(10) for t, role in enumerate(["system", "user", "assistant", "assistant"])]
+    data += [(50, 0, "we\nird\\n", "x"), (51, 0, None, None), (None, 0, "user", "q"), (52, 0, "user", "x"), (52, 0, "user", "x")]
+    found = {r["conv_id"]: r for r in chat.format_conversations(spark.createDataFrame(data, "conv_id long, turn long, role string, text string")).collect()}
+    for c in {d[0] for d in data}:
+        own = [(r or "", t or "") for k, _, r, t in data if k == c]
+        assert [(t["role"], t["text"]) for t in found[c]["turns"]] == own
+        spans = [found[c]["formatted"][s["start"] : s["start"] + s["length"]] for s in found[c]["loss"]]
+        assert [re.sub(r"<\\(\\*)\|", r"<\1|", s) for s in spans] == [t for r, t in own if r == "assistant"]
+        assert found[c]["formatted"].count("<|im_start|>") == len(own) == found[c]["formatted"].count("<|im_end|>\n")
+
+
+# 3 ------------------------------------------------------------------------------------------
+
+
+def test_pii(spark, odd, none):
+    data = [
+        (1, "Mr. John Smith met Mrs. Smith; mail A.B@X.org or a.b@x.org, +1 (456) 555-2186 or 456-555-2186."),
+        (2, "card 4111-1111-1111-1111 ssn 123-45-6789 ip 10.0.0.1 password=abcDEF123456 г-жа Иванова, IBAN DE89370400440532013000"),
+        (3, "nothing 12 here: a=b"), (1, "Mr. John Smith met Mrs. Smith; mail A.B@X.org or a.b@x.org, +1 (456) 555-2186 or 456-555-2186."),
+        *[(100 + k, f"call +1 (212) 555-{k:04d} from 10.9.{k % 250}.{k // 250}") for k in range(400)],
+    ]
+    found = rows(pii.replace(spark.createDataFrame(data, "doc_id long, text string")).select("doc_id", "text", "_pii_n"))
+    by = {d: t for d, t, _ in found}
+    assert len(found) == len(data) and by[3] == data[2][1]
+    one = re.fullmatch(r"Mr\. (\w+) (\w+) met Mrs\. (\w+); mail (\S+@\S+\.org) or (\S+@\S+\.org), \+1 \((\d{3})\) (\d{3})-(\d{4}) or (\d{3}-\d{3}-\d{4})\.", by[1])
+    assert one and one[2] == one[3] and one[4] == one[5] and one[9] == "-".join(one.groups()[5:8]) and "John" not in by[1]
+    card = re.search(r"card ((?:\d{4}-){3}\d{4})", by[2])[1].replace("-", "")
+    assert card[0] == "4" and sum(sum(divmod(int(c) * (2 - k % 2), 10)) for k, c in enumerate(card)) % 10 == 0
+    iban = re.search(r"IBAN (DE\d{20})", by[2])[1]
+    assert int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97 == 1
+    assert re.search(r"г-жа [А-Я][а-я]+ко, ", by[2]) and "abcDEF" not in by[2]
+    calls = [t for d, t, _ in found if d >= 100]
+    assert len(set(calls)) == 400 and not set(calls) & {t for _, t in data}
+    again = rows(pii.scrub(odd).select("doc_id", "text", "key"))
+    assert sorted(map(repr, again)) == sorted(map(repr, rows(odd.select("doc_id", "text", "key"))))
+    assert pii.scrub(none).count() == 0
+
+
+# 4 ------------------------------------------------------------------------------------------
+
+
+def test_warc(spark, tmp_path):
+    same = "<p>" + "same " * 50
+    noise = base64.b64encode(random.Random(2).randbytes(30_000)).decode() + "\x1f"
+    data = [(5, "http://a/é x%20\r\n", same), (2, None, same), (9, "u", None), (3, "v", ""), (7, "w", noise), (2, None, same), (None, "n", same)]
+    data += [(100 + k, "x", noise[k:]) for k in range(40)]
+    folder = f"file://{tmp_path}/w"
+    files = warc.write(spark.createDataFrame(data, "page_id long, url string, html string"), folder)
+    for split in (1 << 20, 997):  # ranges far smaller than records
+        found = warc.read(spark, folder, None if split == 997 else files, split).collect()
+        got = Counter((r["page_id"], r["url"], r["record_type"], r["refers_to"], r["payload_bytes"], r["payload_digest"]) for r in found)
+        first = {}
+        for p, _, h in data:
+            first[h or ""] = min(x for x, _, g in data if (g or "") == (h or "") and x is not None)
+        want = Counter()
+        for p, u, h in data:
+            body = (h or "").encode()
+            to = first[h or ""]
+            want[(p, u, "response" if p == to else "revisit", None if p == to else to, len(body), base64.b32encode(hashlib.sha1(body).digest()).decode())] += 1
+        assert got == want
+        assert {r["page_id"]: r["html"] for r in found if r["record_type"] == "response"}[7] == noise
+    warc.remove(folder)
+    empty = spark.createDataFrame([], "page_id long, url string, html string")
+    assert warc.write(empty, folder) == [] and warc.read(spark, folder).count() == 0
+
+
+# 5 ------------------------------------------------------------------------------------------
+
+
+def test_urls(spark):
+    hosts = ["com", "a.com", "example.com", "WWW.example.com", "x.www.example.com", "notexample.com", "net", "b.net", "org", ""]
+    tails = ["", "/", "/en/", "/en", "/es/1", "/fr/?q=/en/", "?/en/", "#/es/"]
+    urls = [f"http://{h}{t}" for h in hosts for t in tails] + [None, "", "no-scheme.com/en/", "://example.com/en/x"]
+    data = list(enumerate(urls)) * 2
+    for r in urlfilter.judge(spark.createDataFrame(data, "page_id long, url string")).collect():
+        host, path = urlfilter.split_url(urls[r["page_id"]])
+        fits = [(len(h + p), len(h), h + p, a) for a, h, p in urlfilter.RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        best = max(fits, default=None)
+        assert (r["host"], r["path"], r["rule"], r["verdict"]) == (host, path, best and best[2], best[3] if best else "allow")
+
+
+# 6 ------------------------------------------------------------------------------------------
+
+
+def check_packing(found, docs, tokens=1024, segments=packing.MAX_SEGMENTS):
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(queries.tokenizer_files()[0])
+    ids = Counter()
+    for _, t in docs:
+        ids[tuple([*whole.encode(t or "", add_special_tokens=False).ids, 0])] += 1
+    places, pieces = defaultdict(list), Counter()
+    for r in found:
+        places[r["sequence_id"]].append((r["offset"], r["length"]))
+        pieces[(r["doc_id"], r["start"], r["length"], r["ids_crc32"], r["doc_tokens"])] += 1
+    want = Counter()
+    for own in places.values():
+        own.sort()
+        total = 0
+        for offset, n in own:
+            assert offset == total and n > 0
+            total += n
+        assert total <= tokens and len(own) <= segments
+        want["padding"] += 0 if total & (total - 1) == 0 else tokens - total
+    assert want["padding"] == 0
+    by = {d: [*whole.encode(t or "", add_special_tokens=False).ids, 0] for d, t in docs}
+    covered = Counter()
+    for (d, start, n, crc, total), times in pieces.items():
+        own = np.array(by[d][start : start + n], "<u4")
+        assert len(own) == n and crc == zlib.crc32(own.tobytes()) and total == len(by[d])
+        for k in range(start, start + n):
+            covered[(d, k)] += times
+    copies = Counter(d for d, _ in docs)
+    assert all(covered[(d, k)] == copies[d] for d in by for k in range(len(by[d]))) and sum(covered.values()) == sum(copies[d] * len(by[d]) for d in by)
+
+
+def test_packing(spark, odd, none):
+    files = queries.tokenizer_files()
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(60)
+    own = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    check_packing(packing.pack(spark.createDataFrame(own, "doc_id long, text string"), *files).collect(), own)
+    tricky = [(0, None), (1, ""), (2, "a <|endoftext|> b  c\n\n d"), (3, "it's 12 é 日本　x    y"), *[(10 + k, "hi") for k in range(700)]]
+    check_packing(packing.pack(spark.createDataFrame(tricky, "doc_id long, text string"), *files).collect(), tricky)
+    assert packing.pack(odd, *files).filter("doc_id = 5").count() >= 1 and packing.pack(none, *files).count() == 0
+
+
+def test_packer_limits():
+    rng = random.Random(4)
+    for tokens, segments, loss in ((64, 3, 40), (128, 5, 128), (32, 2, 9)):
+        packer = packing.Packer(tokens, segments, loss)
+        examples = [(k, n := rng.randint(1, 150), rng.randint(0, n)) for k in range(80)]
+        packer.pack(examples)
+        seen = Counter()
+        for own in packer.sequences:
+            assert sum(n for _, _, n in own) <= tokens and len(own) <= segments
+            bearing = sum(max(0, min(examples[k][2], start + n) - start) for k, start, n in own)
+            assert bearing <= loss
+            for k, start, n in own:
+                seen.update((k, x) for x in range(start, start + n))
+        assert seen == Counter((k, x) for k, n, _ in examples for x in range(n))
+
+
+# 7 ------------------------------------------------------------------------------------------
+
+
+def test_html(spark):
+    weights = html.trained()
+    page = (
+        "<html><head><title>T</title><style>p{}</style></head><body><header>Site</header><nav><a href=/>Home</a></nav><div class='cookie-notice'>We use cookies a lot here</div>"
+        "<article><h1>Big &amp; small</h1><p>First  para<b>graph</b><br>goes&nbsp;on.<p>Second &lt;one&gt;<script>var t='</p>';</script><div class=\"ad\">Buy now buy now buy now buy now</div>"
+        "<form><input>Mail</form><p>Third</article><section id=comments><p>Nice post this is a long comment by a reader</section><aside>side</aside><footer>&copy; x"
+    )
+    assert html.extract(page, weights) == "Big & small\nFirst paragraph goes on.\nSecond <one>\nThird"
+    for odd_page in ("", "<", "<!-- x", "<script>", "<p", "<div class='ad'>x", "a" * 100_000, "<b>" * 5000, "</p>" * 5000, "<a \"" * 2000):
+        html.extract(odd_page, weights)
+    assert html.extract(None, weights) == ""
+    score = [len(set(html.extract(p, weights).split("\n")) & set(g)) / len(set(g)) for p, g in html.labelled_pages()]
+    assert sum(score) / len(score) > 0.95
+    pages = spark.read.parquet(f"{SF}/pages.parquet")
+    for r in html.extract_pages(pages).join(pages.select("page_id", "html"), "page_id").collect():
+        article = re.search(r"<article>(.*?)</article>", r["html"], re.S)[1]
+        blocks = [" ".join(re.sub(r"<[^>]*>", "", b).split()) for b in re.split(r"</?(?:p|h1|div)\b[^>]*>", re.sub(r"<br>", " ", article))]
+        from html import unescape
+
+        assert r["text"] == "\n".join(" ".join(unescape(b).split()) for b in blocks if b)
+
+
+# 8 ------------------------------------------------------------------------------------------
+
+
+def brute_hits(docs, items, window=10):
+    words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    own = {}
+    for i, t in items:
+        w = words(t)
+        for k in range(max(1, len(w) - window + 1) if w else 0):
+            own.setdefault(tuple(w[k : k + window]), set()).add(str(i))
+    sizes = {len(k) for k in own}
+    out = []
+    for d, t in docs:
+        w, hit, found = words(t), set(), set()
+        for n in sizes:
+            for k in range(len(w) - n + 1):
+                if (g := tuple(w[k : k + n])) in own:
+                    hit.update(range(k, k + n))
+                    found |= own[g]
+        out.append((d, len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit)))
+    return sorted(map(repr, out))
+
+
+def test_decontamination(spark, odd, none):
+    docs, bench = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/benchmark.parquet")
+    want = brute_hits([(r["doc_id"], r["text"]) for r in docs.collect()], [(r["item_id"], r["text"]) for r in bench.collect()])
+    assert sorted(map(repr, rows(fmindex.report(fmindex.find(docs, bench))))) == want
+    assert sorted(map(repr, rows(fmindex.report(fmindex.find(docs, bench, block_bytes=1500))))) == want
+    small = spark.createDataFrame([(1, "one"), (2, "common passage of many words"), (3, ""), (4, None), (5, "B c"), (6, "one"), (7, "x x x")], "item_id long, text string")
+    got = sorted(map(repr, rows(fmindex.report(fmindex.find(odd, small)))))
+    assert got == brute_hits([(r["doc_id"], r["text"]) for r in odd.collect()], [(r["item_id"], r["text"]) for r in small.collect()])
+    assert fmindex.find(none, bench).count() == 0 and fmindex.report(fmindex.find(odd, bench.limit(0))).filter("contaminated").count() == 0
+
+
+def test_decontamination_cuts(spark):
+    passage = " ".join(f"p{k}" for k in range(14))
+    filler = " ".join(f"f{k}" for k in range(30))
+    data = [(1, f"{filler}. {passage}; {filler}", "en", "s", 1), (2, passage, "en", "s", 1), (3, filler, "en", "s", 7), (4, None, "en", "s", 0)]
+    bench = spark.createDataFrame([(1, passage)], "item_id long, text string")
+    out = {r["doc_id"]: r for r in fmindex.clean(spark.createDataFrame(data, DOCS), bench).collect()}
+    assert set(out) == {1, 3, 4} and "p3" not in out[1]["text"] and out[1]["text"].count("f29") == 2
+    assert out[1]["n_chars"] == len(out[1]["text"]) and out[3]["text"] == filler
+
+
+# 9 ------------------------------------------------------------------------------------------
+
+
+def brute_counts(t):
+    w = re.findall(r"[^\x20\x09-\x0D]+", t or "")
+    grams = Counter(tuple(w[k : k + 5]) for k in range(len(w) - 4))
+    hit = {x for k in range(len(w) - 4) if grams[tuple(w[k : k + 5])] > 1 for x in range(k, k + 5)}
+    seen, dup = set(), 0
+    for line in (t or "").split("\n"):
+        if re.search(r"[^\x20\x09-\x0D]", line):
+            dup += line in seen
+            seen.add(line)
+    return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t or "")), dup, len(hit)
+
+
+def test_quality(spark, odd, none):
+    docs, labels = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    held = labels.filter("doc_id % 2 = 1")
+    found = {r["doc_id"]: r for r in quality.judge(docs, labels.filter("doc_id % 2 = 0")).collect()}
+    for d, r in found.items():
+        assert tuple(r[c] for c in quality.COUNTS) == brute_counts(texts[d])
+        assert r["base_failed"] == (r["n_words"] < 10 or 100 * r["n_repeat_words"] > 20 * r["n_words"]) and not (r["base_failed"] and r["kept"])
+    good = [found[r["doc_id"]] for r in held.collect() if r["quality"] == 1]
+    bad = [found[r["doc_id"]] for r in held.collect() if r["quality"] == 0]
+    assert np.mean([r["kept"] for r in good if not r["base_failed"]]) > 0.98 and np.mean([r["kept"] for r in bad]) < 0.05
+    for r in quality.judge(odd, labels.limit(0), ("doc_id", "text")).collect():
+        assert tuple(r[c] for c in quality.COUNTS) == brute_counts(r["text"])
+    assert quality.judge(none, labels).count() == 0
+
+
+def test_window_codes_are_exact():
+    rng = np.random.default_rng(5)
+    ids = rng.integers(0, 3, 400) * 4_000_000
+    codes = quality.window_codes(ids, 8_000_001, 5)
+    grams = [tuple(ids[k : k + 5]) for k in range(396)]
+    assert len(set(zip(codes.tolist(), grams, strict=True))) == len(set(grams)) == len(set(codes.tolist()))
+
+
+# 10 -----------------------------------------------------------------------------------------
+
+
+def brute_print(t):
+    w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    grams = [" ".join(w[k : k + 3]) for k in range(max(1, len(w) - 2))] if w else []
+    h = [xxhash.xxh64_intdigest(g.encode(), 42) for g in grams]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h)) if h else 0
+
+
+def brute_components(prints):
+    root = {d: d for d in prints}
+
+    def find(d):
+        while root[d] != d:
+            d = root[d]
+        return d
+
+    names = sorted(prints)
+    for k, a in enumerate(names):
+        for b in names[k + 1 :]:
+            if (prints[a] ^ prints[b]).bit_count() <= 3:
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    return {d: find(d) for d in names}
+
+
+def test_simhash(spark, odd, none):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    prints = {r["doc_id"]: brute_print(r["text"]) for r in docs.collect()}
+    found = {r["doc_id"]: r for r in queries.op10_simhash(spark, SF).collect()}
+    assert {d: int(r["fingerprint"], 16) for d, r in found.items()} == prints
+    assert {d: r["component_id"] for d, r in found.items()} == brute_components(prints)
+    own = simhash.near_duplicates(odd).collect()
+    assert len(own) == odd.count()
+    want = brute_components({r["doc_id"]: r["fp"] % 2**64 for r in own if r["doc_id"] is not None})
+    assert all(r["component_id"] == want[r["doc_id"]] for r in own if r["doc_id"] is not None)
+    assert simhash.near_duplicates(none).count() == 0 and simhash.keep_first(odd).columns == odd.columns
+
+
+def test_links_of_crowded_keys(spark):
+    """Tiles lose no link: fingerprints around a few centres, in units far smaller than the crowds."""
+    rng = random.Random(6)
+    fps = set()
+    for _ in range(3):
+        centre = rng.getrandbits(64)
+        for _ in range(150):
+            fps.add(centre ^ sum(1 << b for b in rng.sample(range(64), rng.randint(0, 4))))
+    signed = [(x - 2**64 if x >= 2**63 else x,) for x in sorted(fps)]
+    from palaver.llm.graph import components
+
+    nodes = spark.createDataFrame(signed, "fp long").withColumn("rep", F.col("fp"))
+    found = {r["node"]: r["component"] for r in components(simhash.links(nodes, tile=20)).collect()}
+    want = brute_components({x[0]: x[0] % 2**64 for x in signed})
+    groups = defaultdict(set)
+    for d, c in want.items():
+        groups[c].add(found.get(d, d))
+    assert all(len(g) == 1 for g in groups.values()) and len({next(iter(g)) for g in groups.values()}) == len(groups)
+
+
+# pipeline -----------------------------------------------------------------------------------
+
+
+def test_pipeline(spark):
+    import corpus_pipeline
+
+    docs = queries.table(spark, SF, "documents")
+    kept = docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = spark.createDataFrame(stage(spark, kept, SF).collect(), docs.schema)
+        assert out.columns == docs.columns and out.count() <= kept.count(), name
+        kept = out
+    assert kept.count() > 0.5 * docs.count()
+    bench = queries.table(spark, SF, "benchmark")
+    assert fmindex.report(fmindex.find(kept, bench)).filter("contaminated").count() == 0
+    assert simhash.near_duplicates(corpus_pipeline.near_duplicates(spark, docs, SF)).groupBy("component_id").count().filter("count > 1").count() == 0
+    assert corpus_pipeline.run(spark, SF).agg(F.count_distinct("doc_id")).first()[0] == kept.count()
