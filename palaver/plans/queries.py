@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palaver.functions import text as T
+from palaver.functions import tools
 from palaver.operators import browse, edit, index, search, sequence, stats
 from palaver.plans.corpus import LINES_SQL, blocks, lines
+from palaver.sources import jsonl
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -342,3 +344,43 @@ def sweep_classify(spark, sf):
     listing = lines(spark, sf).groupBy("session_path").agg(F.expr("min(ts_ms) div 1000").alias("mtime"), F.count("*").alias("size"), F.min("project").alias("project"))
     known = listing.filter("project <> 'p2'").withColumn("size", F.when(F.col("project") == "p1", F.col("size") + 1).otherwise(F.col("size")))
     return index.classify(listing.filter("project <> 'p3'"), known)
+
+
+def _entries(spark: SparkSession, sf: str) -> DataFrame:
+    """Conversations as lines of a session file: a text, a tool call and a result a row."""
+    call = F.to_json(F.struct(F.concat(F.lit("f"), "line_no").alias("file_path")))
+    content = F.concat(
+        F.lit('[{"type":"thinking","thinking":"hm"},{"type":"text","text":'), F.regexp_replace(F.to_json(F.struct("text")), r'^\{"text":|\}$', ""),
+        F.lit('},{"type":"tool_use","id":"t1","name":"Read","input":'), call, F.lit('},{"type":"tool_result","tool_use_id":"t1","content":[{"type":"text","text":"a"},{"type":"text","text":"b"}]},{"type":"image"},7]'),
+    )
+    line = F.concat(F.lit('{"type":"'), "source", F.lit('","uuid":"'), "uuid", F.lit('","timestamp":"2026-07-02T10:00:00.000Z","message":{"content":'), content, F.lit("}}"))
+    return jsonl.entries(lines(spark, sf).select("session_path", "project", "line_no", line.alias("line")))
+
+
+@register(f"""WITH {LINES_SQL}, k(content_no, kind, raw_type, tool_name, tool_id) AS (VALUES (0, 'thinking', 'thinking', '', ''), (1, 'text', 'text', '', ''), (2, 'tool_use', 'tool_use', 'Read', 't1'), (3, 'tool_result', 'tool_result', '', 't1'), (4, 'unknown', 'image', '', ''), (5, 'unknown', '', '', ''))
+SELECT session_path, line_no, CAST(content_no AS BIGINT) AS content_no, kind, raw_type, tool_name, tool_id, uuid, CASE content_no WHEN 0 THEN 'hm' WHEN 1 THEN text WHEN 3 THEN concat('a', chr(10), 'b') ELSE '' END AS text, CAST(1782986400000 AS BIGINT) AS ts_ms FROM lines, k""")
+def view_blocks(spark, sf):
+    found = jsonl.content_blocks(_entries(spark, sf))
+    return found.select("session_path", "line_no", "content_no", "kind", "raw_type", "tool_name", "tool_id", "uuid", "text", "ts_ms").fillna("")
+
+
+@register(f"WITH {LINES_SQL} SELECT session_path, CAST(count(*) AS BIGINT) AS n_lines, concat(count(*), ' thought', CASE WHEN count(*) > 1 THEN 's' ELSE '' END, ', ', count(*), ' tool call', CASE WHEN count(*) > 1 THEN 's' ELSE '' END, ', ', count(*), ' result', CASE WHEN count(*) > 1 THEN 's' ELSE '' END, ', ', 2 * count(*), ' other blocks') AS summary FROM lines GROUP BY session_path")
+def toolgroup_summary(spark, sf):
+    found = jsonl.content_blocks(_entries(spark, sf)).groupBy("session_path").agg(F.count_distinct("line_no").alias("n_lines"), F.collect_list("kind").alias("kinds"))
+    return found.select("session_path", "n_lines", tools.group_summary(F.col("kinds")).alias("summary"))
+
+
+@register(f"""WITH {LINES_SQL} SELECT session_path, line_no, CASE line_no % 4 WHEN 0 THEN concat('Read: f', line_no) WHEN 1 THEN 'TodoWrite: 2 items' WHEN 2 THEN 'Other: yes it is' ELSE 'Bash' END AS intent FROM lines""")
+def tool_intent(spark, sf):
+    n = F.col("line_no") % 4
+    name = F.when(n == 0, "Read").when(n == 1, "TodoWrite").when(n == 2, "Other").otherwise("Bash")
+    given = F.when(n == 0, F.concat(F.lit('{"a":"x","file_path":"f'), "line_no", F.lit('"}'))).when(n == 1, '{"todos":[{"a":1},{"b":2}]}').when(n == 2, '{"k":[1],"b":" ","a":" yes \\n it  is"}').otherwise("{}")
+    return lines(spark, sf).select("session_path", "line_no", tools.tool_intent(name, given).alias("intent"))
+
+
+@register(f"WITH {LINES_SQL} SELECT session_path, line_no, concat('t', line_no) AS task_id, 'done' AS status, text AS summary FROM blocks WHERE NOT contains(text, '<') AND trim(text) = text")
+def task_notification(spark, sf):
+    own = blocks(spark, sf).filter(~F.col("text").contains("<") & (F.trim("text") == F.col("text")))
+    said = F.concat(F.lit("<task-notification>\n<task-id>t"), "line_no", F.lit("</task-id>\n<status> done </status><summary>"), "text", F.lit("</summary></task-notification>"))
+    found = own.select("session_path", "line_no", T.task_notification(said).alias("m"))
+    return found.select("session_path", "line_no", F.col("m.task_id").alias("task_id"), F.col("m.status").alias("status"), F.col("m.summary").alias("summary"))
