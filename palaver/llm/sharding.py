@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import cut, hot_left_join
 
 ROUNDS = 3
-BLOCK = 20_000
+BLOCK = 2_000
 
 
 def _quotas(total: int, shards: int) -> list[int]:
@@ -69,7 +69,7 @@ def ranked(rows: DataFrame, pool: str, total: int) -> DataFrame:
     sizes = sizes.withColumn("before", F.coalesce(F.sum("size").over(before), F.lit(0))).drop("size")
     within = F.row_number().over(Window.partitionBy(pool, "block").orderBy("row")) - 1
     numbered = placed.withColumn("within", within)
-    # a row for every 20,000: small enough to send while a block is a long, a pool an int
+    # a few rows for every BLOCK: sent to all tasks only while that is provably little
     joined = numbered.join(F.broadcast(sizes) if blocks * 16 < 100_000 else sizes, [pool, "block"])
     return joined.withColumn("rank", F.col("before") + F.col("within")).drop("block", "before", "within")
 
