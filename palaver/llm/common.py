@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -54,3 +55,10 @@ def hot_left_join(left: DataFrame, right: DataFrame, key: str, count: str) -> Da
     there = marked.filter(stays).drop("_hot").join(F.broadcast(hot.drop(count)), key, "left")
     rest = marked.filter(~stays).drop("_hot").join(cold, key, "left")
     return there.unionByName(rest)
+
+
+def guarded(docs: DataFrame, needed: set[str], apply: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``apply`` to ``docs`` with all columns but ``needed`` under names that clash with none of its own."""
+    safe = [(c, c if c in needed else f"_own_{k}") for k, c in enumerate(docs.columns)]
+    out = apply(docs.select(*[F.col(f"`{c}`").alias(own) for c, own in safe]))
+    return out.select(*[F.col(own).alias(c) for c, own in safe])

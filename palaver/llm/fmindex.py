@@ -10,9 +10,9 @@ Its alphabet is the benchmark's vocabulary.  A word outside it can be in no
 window, so it only breaks the text; runs of vocabulary words shorter than the
 shortest window can hold none and are left out of the index.  Both are exact.
 
-The phrases are sent to the tasks in blocks of at most BLOCK_BYTES of item
-text, whatever the size of the benchmark; a document's spans from several blocks
-are merged.
+The phrases are sent to the tasks in blocks of about BLOCK_BYTES of item text,
+one block after the other, whatever the size of the benchmark; a document's spans
+from several blocks are merged.
 
 Defined results: null and empty texts have no words and are clean; items without
 words have no windows.  Items with a null item_id hit words but are not named.
@@ -30,9 +30,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import cut, guarded, hot_left_join
+
 WINDOW = 10
 SHARD_WORDS = 1 << 20
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 2 << 20
 SAMPLE = 8
 #: Bytes to lower case; what is no word byte becomes a space.
 FOLD = bytes(
@@ -218,7 +220,7 @@ FOUND = "n_words long, spans array<struct<start: long, stop: long>>, items array
 
 def _search(docs: DataFrame, carry: list[str], phrases: Phrases) -> DataFrame:
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = phrases  # at most BLOCK_BYTES of items
+        known = phrases  # about BLOCK_BYTES of items
         get = known.symbol.get
         for batch in batches:
             texts = batch.column(batch.num_columns - 1).cast(pa.large_binary())
@@ -258,11 +260,12 @@ def find(docs: DataFrame, benchmark: DataFrame, carry: list[str] | None = None,
         return _search(docs, carry, _phrases(items, window))
     # rows need a name under which the blocks' findings meet again
     rows = docs.withColumn("_row", F.sha2(F.coalesce("text", F.lit("")), 256))
-    texts = rows.groupBy("_row").agg(F.first(F.coalesce("text", F.lit(""))).alias("text"))
+    # equal texts are searched once
+    texts = cut(rows.groupBy("_row").agg(F.first(F.coalesce("text", F.lit(""))).alias("text"), F.count("*").alias("_rows")))
     parts = None
     for k in range(blocks):
         own = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
-        part = _search(texts, ["_row"], _phrases(own, window))
+        part = cut(_search(texts, ["_row"], _phrases(own, window)))  # before the next block is fetched
         parts = part if parts is None else parts.unionByName(part)
     merged = parts.groupBy("_row").agg(
         F.max("n_words").alias("n_words"),
@@ -276,7 +279,9 @@ def find(docs: DataFrame, benchmark: DataFrame, carry: list[str] | None = None,
         "else concat(a, array(s)) end)"
     )
     merged = merged.withColumn("spans", joined)
-    return rows.join(merged, "_row").select(*carry, "n_words", "spans", "items")
+    merged = cut(merged.join(texts.select("_row", "_rows"), "_row").select("_row", *[F.col(c).alias(f"_{c}") for c in ("n_words", "spans", "items")], "_rows"))
+    found = hot_left_join(rows.select(*{f"`{c}`": 0 for c in [*carry, "_row"]}), merged, "_row", "_rows")
+    return found.select(*[f"`{c}`" for c in carry], F.col("_n_words").alias("n_words"), F.col("_spans").alias("spans"), F.col("_items").alias("items"))
 
 
 def _phrases(items: DataFrame, window: int) -> Phrases:
@@ -311,13 +316,17 @@ def strip_spans(text: bytes, spans: list[tuple[int, int]]) -> str:
     return b"\n".join(p for p in out if p).decode()
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, least_words: int = WINDOW) -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, least_words: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``docs`` with the hit spans cut out; documents of which fewer than ``least_words`` words stay go.
 
-    Clean documents are unchanged.  A text column n_chars follows the new text.
+    Clean documents are unchanged.  A column n_chars follows the new text.
     """
+    return guarded(docs, {"doc_id", "text", "n_chars"}, lambda d: _cut_out(d, benchmark, least_words, block_bytes))
+
+
+def _cut_out(docs: DataFrame, benchmark: DataFrame, least_words: int, block_bytes: int) -> DataFrame:
     names = docs.columns
-    found = find(docs, benchmark, names)
+    found = find(docs, benchmark, names, block_bytes=block_bytes)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

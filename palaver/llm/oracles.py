@@ -25,4 +25,26 @@ best AS (SELECT page_id, arg_max(concat(h, p), length(h) + length(p)) AS rule, a
   FROM urls, rules WHERE (host = h OR ends_with(host, concat('.', h))) AND starts_with(path, p) GROUP BY page_id)
 SELECT page_id, host, path, rule, coalesce(action, 'allow') AS verdict FROM urls LEFT JOIN best USING (page_id)"""
 
-ORACLES: dict[str, str] = {"op2_chat": CHAT, "op5_urlfilter": URLS}
+# 40 hex digits in groups of five are 20 bits each, four base-32 digits
+WARC = r"""WITH bodies AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
+named AS (SELECT *, strlen(body) AS payload_bytes, sha1(body) AS h, min(page_id) OVER (PARTITION BY body) AS first FROM bodies)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes,
+  list_aggregate(list_transform(range(32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    (CAST(concat('0x', substr(h, CAST(5 * (k // 4) + 1 AS BIGINT), 5)) AS BIGINT) // CAST(pow(32, 3 - k % 4) AS BIGINT)) % 32 + 1, 1)), 'string_agg', '') AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> first THEN first END AS refers_to
+FROM named"""
+
+HITS = r"""WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+phrases AS (SELECT DISTINCT item, least(10, len(w)) AS n, unnest(list_transform(range(greatest(1, len(w) - 9)), lambda k: array_to_string(list_slice(w, k + 1, k + 10), ' '))) AS phrase FROM b WHERE len(w) > 0),
+sizes AS (SELECT DISTINCT n FROM phrases),
+grams AS (SELECT doc_id, n, unnest(list_transform(range(len(w) - n + 1), lambda k: {'at': k, 'phrase': array_to_string(list_slice(w, k + 1, k + n), ' ')}), recursive := true) FROM d, sizes WHERE len(w) >= n),
+found AS (SELECT doc_id, g."at" AS start, g.n, p.item FROM grams g JOIN phrases p ON g.phrase = p.phrase AND g.n = p.n),
+words AS (SELECT doc_id, count(DISTINCT k) AS n_hit FROM (SELECT doc_id, unnest(range(start, start + n)) AS k FROM found) GROUP BY doc_id),
+items AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names FROM (SELECT DISTINCT doc_id, item FROM found) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(names, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)"""
+
+ORACLES: dict[str, str] = {"op2_chat": CHAT, "op4_warc": WARC, "op5_urlfilter": URLS, "op8_decontamination": HITS}

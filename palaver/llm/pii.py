@@ -28,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, hot_left_join
+from .common import cut, guarded, hot_left_join
 
 KEY = "palaver"
 MOST_ROUNDS = 40
@@ -251,8 +251,12 @@ def replace(docs: DataFrame, key: str = KEY) -> DataFrame:
 
 def scrub(docs: DataFrame, key: str = KEY) -> DataFrame:
     """``docs`` with surrogates; a column n_chars follows the new text."""
-    out = replace(docs, key)
-    if "n_chars" in docs.columns:
-        kind = dict(docs.dtypes)["n_chars"]
-        out = out.withColumn("n_chars", F.when(F.col("_pii_n") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(kind))
-    return out.select(*docs.columns)
+
+    def apply(own: DataFrame) -> DataFrame:
+        out = replace(own, key)
+        if "n_chars" in own.columns:
+            kind = dict(own.dtypes)["n_chars"]
+            out = out.withColumn("n_chars", F.when(F.col("_pii_n") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(kind))
+        return out
+
+    return guarded(docs, {"doc_id", "text", "n_chars"}, apply)

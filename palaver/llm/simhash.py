@@ -37,8 +37,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import cut, hot_left_join
+from .common import cut, guarded, hot_left_join
 from .graph import components
 
 SHINGLE = 3
@@ -178,20 +179,58 @@ def links(nodes: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame
     return units.mapInArrow(apply, "u long, v long").distinct()
 
 
-def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """(doc_id, fp, component_id) for every row of ``docs``."""
+def _classes(docs: DataFrame, radius: int) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, fp), and of each fingerprint: rep (its smallest doc_id), n, component and component_id."""
     rows = cut(fingerprints(docs).withColumn("doc_id", F.col("doc_id").cast("long")))
     nodes = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")))
     # nodes are named by fingerprint, as all rows of one may have null ids
     joined = components(links(nodes.select("fp", F.col("fp").alias("rep")), radius))
     named = nodes.join(joined, nodes["fp"] == joined["node"], "left").withColumn("component", F.coalesce("component", "fp"))
     least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
-    of = cut(named.join(least, "component").select("fp", "component_id", "n"))
-    return hot_left_join(rows, of, "fp", "n")
+    return rows, cut(named.join(least, "component").select("fp", "rep", "n", "component", "component_id"))
+
+
+def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """(doc_id, fp, component_id) for every row of ``docs``."""
+    rows, of = _classes(docs, radius)
+    return hot_left_join(rows, of.select("fp", "component_id", "n"), "fp", "n")
+
+
+def _with_fingerprint(docs: DataFrame) -> DataFrame:
+    """``docs`` and their fingerprint as ``_simhash``."""
+    names = docs.columns
+    at = names.index("text")
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fps = np.array([fingerprint(t) for t in b.column(at).cast(pa.large_binary()).to_pylist()], np.uint64)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(fps.view(np.int64))], names=[*names, "_simhash"])
+
+    return docs.mapInArrow(apply, StructType([*docs.schema.fields, StructField("_simhash", LongType())]))
 
 
 def keep_first(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """One document of each component: that with the smallest doc_id (rows of equal ids stay together)."""
-    found = near_duplicates(docs, radius)
-    first = found.filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    return docs.join(first, "doc_id", "left_semi").select(*docs.columns)
+    """One row of each component: that with the smallest doc_id (null ids last), then the smallest fingerprint.
+
+    Where that id stands on one row only, the row is found by it.  Rows of a
+    repeated or null id are told apart by their fingerprints, and of equal ones
+    any is taken.
+    """
+    return guarded(docs, {"doc_id", "text"}, lambda d: _first_rows(d, radius))
+
+
+def _first_rows(docs: DataFrame, radius: int) -> DataFrame:
+    names = [f"`{c}`" for c in docs.columns]
+    rows, of = _classes(docs, radius)
+    first = of.groupBy("component").agg(F.min(F.struct(F.col("rep").isNull().alias("last"), "rep", "fp")).alias("w"))
+    first = cut(first.select(F.col("w.rep").alias("doc_id"), F.col("w.fp").alias("_fp")))
+    counts = rows.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("_n"))
+    wanted = cut(counts.join(first.select("doc_id").distinct(), "doc_id", "left_semi").withColumn("_once", F.col("_n") == 1))
+    kept = hot_left_join(docs, wanted, "doc_id", "_n").filter("_once").select(*names)
+    if wanted.filter("not _once").isEmpty() and first.filter("doc_id is null").isEmpty():
+        return kept
+    repeated = hot_left_join(docs.filter("doc_id is not null"), wanted, "doc_id", "_n").filter("not _once").select(*names)
+    unclear = _with_fingerprint(repeated.unionByName(docs.filter("doc_id is null")))
+    one = unclear.groupBy("doc_id", "_simhash").agg(F.first(F.struct(*names)).alias("_row"))
+    same = (one["_simhash"] == first["_fp"]) & one["doc_id"].eqNullSafe(first["doc_id"])
+    return kept.unionByName(one.join(first, same, "left_semi").select("_row.*"))

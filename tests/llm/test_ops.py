@@ -28,7 +28,7 @@ def odd(spark):
     texts = [None, "", " \n\t", "one", "a b c", long, long, "!!", "é" * 300, "x " * 40, *[f"w{k} common passage of many words here and there w{k}" for k in range(25)]]
     rows = [(k, t, "en", "s", 1) for k, t in enumerate(texts)] + [(None, "one", "en", "s", 1), (3, "one", "en", "s", 1)]
     df = spark.createDataFrame(rows, DOCS)
-    return df.selectExpr("*", "1 as key", "2 as n", "3 as fp", "4 as row", "5 as shard", "6 as _digest", "7 as spans")
+    return df.selectExpr("*", "1 as key", "2 as n", "3 as fp", "4 as row", "5 as shard", "6 as _digest", "7 as spans", "8 as n_words", "9 as items", "10 as kept", "11 as _n", "12 as _once", "13 as `a b`")
 
 
 @pytest.fixture(scope="module")
@@ -40,6 +40,22 @@ def rows(df):
     return [tuple(r) for r in df.collect()]
 
 
+@pytest.mark.parametrize("sf", ["sf0.001"])
+def test_sql(spark, sf):
+    import duckdb
+
+    from palaver.llm.oracles import ORACLES
+
+    con = duckdb.connect()
+    for name in ("documents", "pages", "benchmark", "conversations"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '/root/testdata/{sf}/{name}.parquet'")
+    for name, sql in ORACLES.items():
+        cur = con.execute(sql)
+        have = [d[0] for d in cur.description]
+        want = sorted(map(repr, cur.fetchall()))
+        assert sorted(map(repr, rows(queries.QUERIES[name](spark, f"/root/testdata/{sf}").select(*have)))) == want, name
+
+
 # 1 ------------------------------------------------------------------------------------------
 
 
@@ -369,6 +385,24 @@ def test_simhash(spark, odd, none):
     assert simhash.near_duplicates(none).count() == 0 and simhash.keep_first(odd).columns == odd.columns
 
 
+def test_one_row_of_each_component_stays(spark, odd):
+    words = [f"w{k}" for k in range(60)]
+    a, b = " ".join(words), " ".join(words[::-1])
+    data = [(1, a), (1, a), (1, b), (2, a), (None, a), (None, "null ids only " + b[:40]), (None, "null ids only " + b[:40]), (7, "lonely " + a[:50]), (9, None), (8, "")]
+    out = rows(simhash.keep_first(spark.createDataFrame(data, "doc_id long, text string")))
+    assert sorted(map(repr, out)) == sorted(map(repr, [(1, a), (1, b), (None, "null ids only " + b[:40]), (7, "lonely " + a[:50]), (8, "")]))
+    found = simhash.near_duplicates(odd)
+    assert simhash.keep_first(odd).count() == found.select("component_id").distinct().count()
+
+
+def test_stages_keep_clashing_columns(spark, odd):
+    labels, bench = spark.read.parquet(f"{SF}/labels.parquet"), spark.read.parquet(f"{SF}/benchmark.parquet")
+    want = {(r["doc_id"], r["text"], r["n_words"], r["a b"]) for r in odd.collect()}
+    for out in (quality.keep(odd, labels.limit(0)), simhash.keep_first(odd), fmindex.clean(odd, bench), fmindex.clean(odd, bench, block_bytes=1500), pii.scrub(odd)):
+        assert out.columns == odd.columns and out.count() > 0
+        assert {(r["doc_id"], r["text"], r["n_words"], r["a b"]) for r in out.collect()} <= want
+
+
 def test_links_of_crowded_keys(spark):
     """Tiles lose no link: fingerprints around a few centres, in units far smaller than the crowds."""
     rng = random.Random(6)
