@@ -102,6 +102,73 @@ def match_ranges(text: Column, words: list[str]) -> Column:
     return F.array_sort(F.concat(*parts)) if parts else F.expr("cast(array() as array<struct<start: int, end: int>>)")
 
 
+def fuzzy_ranges(text: Column, words: list[str]) -> Column:
+    """(start, end) of words one insertion, deletion or substitution away from a query word of three
+    letters or more; what is shown where nothing matches literally."""
+    word = r"[\p{L}\p{N}]+"
+    found, gaps = F.regexp_extract_all(text, F.lit(word), F.lit(0)), F.split(text, word, -1)
+    long = [w for w in dict.fromkeys(words) if len(w) >= 3]
+    empty = F.expr("cast(array() as array<struct<start: int, end: int>>)")
+    if not long:
+        return empty
+
+    def place(w: Column, i: Column) -> Column:
+        start = F.length(F.array_join(F.slice(gaps, 1, i + 1), "")) + F.length(F.array_join(F.slice(found, 1, i), ""))
+        near = F.lit(False)
+        for q in long:
+            near |= F.levenshtein(F.lower(w), F.lit(q), 1) >= 0
+        return F.when(near, F.struct(start.alias("start"), (start + F.length(w)).alias("end")))
+
+    return F.coalesce(F.filter(F.transform(found, place), lambda r: r.isNotNull()), empty)
+
+
+def cold_snippet(text: Column, words: list[str], before: int = 60, after: int = 180) -> Column:
+    """What surrounds the earliest match, ASCII case aside, with dots where text is left out."""
+    low = ascii_lower(text)
+    found = [F.when(F.instr(low, F.lit(w)) > 0, F.instr(low, F.lit(w)) - 1) for w in words]
+    first = F.coalesce(F.least(*found, F.lit(None).cast("int")), F.lit(0)) if found else F.lit(0)
+    start, stop = F.greatest(first - before, F.lit(0)), F.least(first + after, F.length(text))
+    dots = lambda c: F.when(c, F.lit("…")).otherwise("")
+    return F.concat(dots(start > 0), F.substring(text, start + 1, stop - start), dots(stop < F.length(text)))
+
+
+def highlight(text: Column, ranges: Column) -> Column:
+    """``text`` as segments (text, hl) by sorted ranges; where ranges overlap the earlier one counts."""
+    ends = lambda i: F.coalesce(F.array_max(F.transform(F.slice(ranges, 1, i), lambda r: r["end"])), F.lit(0))
+    part = lambda a, b, hit: F.struct(F.substring(text, a + 1, b - a).alias("text"), F.lit(hit).alias("hl"))
+    pieces = F.flatten(F.transform(ranges, lambda r, i: F.array(part(ends(i), r["start"], False), part(F.greatest(r["start"], ends(i)), r["end"], True))))
+    whole = F.concat(pieces, F.array(part(ends(F.size(ranges)), F.length(text), False)))
+    return F.filter(whole, lambda p: F.length(p["text"]) > 0)
+
+
+def hit_key(path: Column, line: Column, block: Column) -> Column:
+    return F.concat_ws(":", path, line, block)
+
+
+def source_badge(source: Column, names: dict[str, str] | None = None) -> Column:
+    """Who speaks, in words; unknown sources as they are."""
+    # Labels of the two sources.
+    names = names or {"user": "You", "assistant": "Claude"}
+    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in names.items() for x in pair]), source), source)
+
+
+def human_size(n: Column) -> Column:
+    """Bytes, or units of 1,024 with one digit after the point; halves round up."""
+    kilo, mega = F.lit(1024), F.lit(1024 * 1024)
+    return (
+        F.when(n < kilo, F.concat(n.cast("string"), F.lit(" B"))).when(n < mega, F.format_string("%.1f KB", n / kilo))
+        .otherwise(F.format_string("%.1f MB", n / mega))
+    )
+
+
+def card_line(turns: Column, subagents: Column, size: Column, dates: Column, model: Column) -> Column:
+    """A session in one line; what is empty is left out."""
+    some = lambda c: F.nullif(c, F.lit(""))
+    agents = F.when(subagents > 0, F.concat(subagents.cast("string"), F.lit(" subagents")))
+    spoken = F.concat(turns.cast("string"), F.when(turns == 1, " turn").otherwise(" turns"))
+    return F.concat_ws(" · ", spoken, agents, human_size(size), some(dates), some(model))
+
+
 def ts_millis(raw: Column) -> Column:
     """Epoch milliseconds of an RFC 3339 time; null for anything looser."""
     strict = raw.rlike(r"^\d{4}-\d{2}-\d{2}[Tt ]\d{2}:\d{2}:\d{2}(\.\d+)?([Zz]|[+-]\d{2}:\d{2})$")

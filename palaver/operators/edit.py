@@ -33,6 +33,16 @@ def apply_deletions(blocks: DataFrame, deleted: DataFrame) -> DataFrame:
     return counts.withColumn("fate", fate)
 
 
+def changes(blocks: DataFrame, deleted: DataFrame, edited: DataFrame) -> DataFrame:
+    """Of each session: edited rows and deleted blocks, whether anything changed, whether nothing is left."""
+    gone = deleted.select(*BLOCK).distinct().withColumn("_gone", F.lit(True))
+    rows = edited.select("session_path", "line_no").distinct().groupBy("session_path").agg(F.count("*").alias("n_edited"))
+    own = blocks.join(gone, BLOCK, "left").groupBy("session_path").agg(F.count("_gone").alias("n_deleted"), F.bool_and(F.col("_gone").isNotNull()).alias("all_deleted"))
+    both = own.join(rows, "session_path", "left").withColumn("n_edited", F.coalesce("n_edited", F.lit(0)))
+    total = F.col("n_edited") + F.col("n_deleted")
+    return both.select("session_path", total.alias("n_changes"), (total > 0).alias("dirty"), "all_deleted")
+
+
 def fork(lines: DataFrame, upto: int, new_id: str) -> DataFrame:
     """Lines 0 to ``upto`` with the first sessionId value of each replaced."""
     swapped = F.regexp_replace("line", r'^(.*?"sessionId":")[^"]*', "$1" + re.sub(r"([\\$])", r"\\\1", new_id))

@@ -384,3 +384,78 @@ def task_notification(spark, sf):
     said = F.concat(F.lit("<task-notification>\n<task-id>t"), "line_no", F.lit("</task-id>\n<status> done </status><summary>"), "text", F.lit("</summary></task-notification>"))
     found = own.select("session_path", "line_no", T.task_notification(said).alias("m"))
     return found.select("session_path", "line_no", F.col("m.task_id").alias("task_id"), F.col("m.status").alias("status"), F.col("m.summary").alias("summary"))
+
+
+TURNS_SQL = """k AS (SELECT *, sum(CASE WHEN source = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY session_path ORDER BY line_no) AS seg FROM lines WHERE source IN ('user', 'assistant') AND line_no % 5 <> 3),
+l AS (SELECT *, lag(source) OVER (PARTITION BY session_path ORDER BY line_no) AS prev,
+  last_value(CASE WHEN source = 'assistant' THEN request_id END IGNORE NULLS) OVER (PARTITION BY session_path, seg ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM k),
+t AS (SELECT *, sum(CASE WHEN source = 'user' OR coalesce(prev, 'user') = 'user' OR (before IS NOT NULL AND before <> request_id) THEN 1 ELSE 0 END) OVER (PARTITION BY session_path ORDER BY line_no) AS turn_id FROM l)"""
+
+
+@register(f"""WITH {LINES_SQL}, {TURNS_SQL}, m AS (SELECT session_path, line_no FROM lines WHERE line_no % 5 = 3),
+f AS (SELECT m.session_path, m.line_no, arg_max(t.turn_id, t.line_no) AS turn_id, arg_max(t.source, t.line_no) AS source FROM m JOIN t ON t.session_path = m.session_path AND t.line_no < m.line_no GROUP BY ALL)
+SELECT DISTINCT session_path, CAST(CASE WHEN source = 'assistant' AND turn_id > 1 THEN turn_id - 1 ELSE turn_id END AS BIGINT) AS turn_id FROM f""")
+def interrupted_turns(spark, sf):
+    return sequence.interrupted_turns(lines(spark, sf), F.col("line_no") % 5 == 3)
+
+
+@register(f"""WITH {LINES_SQL}, r AS (SELECT *, line_no % 3 = 0 AS t FROM lines),
+g AS (SELECT *, sum(CASE WHEN t THEN 1 ELSE 0 END) OVER w AS g, CAST(sum(CASE WHEN source = 'user' THEN 1 ELSE 0 END) OVER w AS BIGINT) AS span FROM r WINDOW w AS (PARTITION BY session_path ORDER BY line_no)),
+i AS (SELECT *, min(line_no) OVER (PARTITION BY session_path, g, t) AS item FROM g)
+SELECT session_path, span, string_agg(DISTINCT item, ',' ORDER BY item) AS units FROM i GROUP BY session_path, span""")
+def turn_units(spark, sf):
+    found = sequence.turn_units(lines(spark, sf), F.col("source") == "user", F.col("line_no") % 3 == 0)
+    return found.withColumn("units", F.array_join(F.col("units").cast("array<string>"), ","))
+
+
+@register(f"""WITH {LINES_SQL}, r AS (SELECT *, line_no % 3 = 0 AS t FROM lines),
+g AS (SELECT *, sum(CASE WHEN t THEN 1 ELSE 0 END) OVER (PARTITION BY session_path ORDER BY line_no) AS g FROM r),
+i AS (SELECT *, dense_rank() OVER (PARTITION BY session_path ORDER BY g, t DESC) - 1 AS item FROM g)
+SELECT session_path, uuid, line_no, item, CASE WHEN item >= 2 THEN item + 50 ELSE 2 END AS shown FROM i WHERE line_no % 4 = 1""")
+def jump_to_row(spark, sf):
+    own = lines(spark, sf)
+    return sequence.jump(own, F.col("line_no") % 3 == 0, own.filter("line_no % 4 = 1"), shown=2)
+
+
+@register(f"""WITH {LINES_SQL}, k(content_no, kind, text_no) AS (VALUES (0, 'thinking', -1), (1, 'text', 0), (2, 'tool_use', -1), (3, 'tool_result', -1), (4, 'unknown', -1), (5, 'unknown', -1))
+SELECT session_path, line_no, CAST(content_no AS BIGINT) AS content_no, kind, CAST(text_no AS BIGINT) AS text_no FROM lines, k""")
+def text_ordinals(spark, sf):
+    return sequence.text_ordinals(jsonl.content_blocks(_entries(spark, sf))).select("session_path", "line_no", "content_no", "kind", "text_no")
+
+
+@register(f"""WITH {LINES_SQL}, {TOOLS_SQL}, d AS (SELECT session_path, count(*) FILTER ((line_no % 3 = 0 AND content_no = 0) OR line_no % 6 = 0) AS n, count(*) AS n_all FROM tools GROUP BY session_path),
+e AS (SELECT session_path, count(*) AS n_edited FROM lines WHERE line_no % 7 = 2 GROUP BY session_path)
+SELECT session_path, n + coalesce(n_edited, 0) AS n_changes, n + coalesce(n_edited, 0) > 0 AS dirty, n = n_all AS all_deleted FROM d LEFT JOIN e USING (session_path)""")
+def edit_changes(spark, sf):
+    tools = _tools(spark, sf)
+    return edit.changes(tools, tools.filter("(line_no % 3 = 0 and content_no = 0) or line_no % 6 = 0"), lines(spark, sf).filter("line_no % 7 = 2"))
+
+
+@register(f"""WITH {LINES_SQL}, w AS (SELECT *, least(nullif(instr(low, 'the'), 0), nullif(instr(low, 'of'), 0)) - 1 AS hit FROM (SELECT *, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low FROM blocks)),
+c AS (SELECT *, greatest(coalesce(hit, 0) - 60, 0) AS a, least(coalesce(hit, 0) + 180, length(text)) AS b FROM w)
+SELECT concat(session_path, ':', line_no, ':', block_no) AS hit_key, CASE source WHEN 'user' THEN 'You' ELSE 'Claude' END AS badge,
+  concat(CASE WHEN a > 0 THEN '…' ELSE '' END, substr(text, a + 1, b - a), CASE WHEN b < length(text) THEN '…' ELSE '' END) AS snippet FROM c""")
+def cold_snippets(spark, sf):
+    key = T.hit_key(F.col("session_path"), F.col("line_no"), F.col("block_no"))
+    return blocks(spark, sf).select(key.alias("hit_key"), T.source_badge(F.col("source")).alias("badge"), T.cold_snippet(F.col("text"), ["the", "of"]).alias("snippet"))
+
+
+@register(f"""WITH {LINES_SQL}, s AS (SELECT session_path, line_no, substr(text, 1, 240) AS t FROM blocks),
+w AS (SELECT *, regexp_extract_all(t, '[\\p{{L}}\\p{{N}}]+') AS w FROM s)
+SELECT session_path, line_no, t AS joined, CAST(len(list_filter(w, lambda x: levenshtein(lower(x), 'the') <= 1)) AS BIGINT) AS n_marked,
+  array_to_string(list_filter(w, lambda x: levenshtein(lower(x), 'the') <= 1), '|') AS marked FROM w""")
+def fuzzy_highlights(spark, sf):
+    short = blocks(spark, sf).select("session_path", "line_no", F.substring("text", 1, 240).alias("t"))
+    parts = short.withColumn("p", T.highlight(F.col("t"), T.fuzzy_ranges(F.col("t"), ["the", "of"])))
+    said = lambda c: F.transform(c, lambda x: x["text"])
+    hits = F.filter("p", lambda x: x["hl"])
+    return parts.select("session_path", "line_no", F.array_join(said(F.col("p")), "").alias("joined"), F.size(hits).cast("long").alias("n_marked"), F.array_join(said(hits), "|").alias("marked"))
+
+
+@register(f"""WITH {LINES_SQL}, s AS (SELECT session_path, count(*) FILTER (source = 'user') AS n, sum(length(text)) AS size, arg_min(model, line_no) AS model FROM lines GROUP BY session_path)
+SELECT session_path, concat_ws(' · ', concat(n, CASE WHEN n = 1 THEN ' turn' ELSE ' turns' END), CASE WHEN n % 3 > 0 THEN concat(n % 3, ' subagents') END,
+  CASE WHEN size < 1024 THEN concat(size, ' B') WHEN size < 1048576 THEN printf('%.1f KB', floor(size * 10 / 1024 + 0.5) / 10) ELSE printf('%.1f MB', floor(size * 10 / 1048576 + 0.5) / 10) END, nullif(model, 'm0')) AS card FROM s""")
+def session_cards(spark, sf):
+    own = lines(spark, sf).groupBy("session_path").agg(F.count_if(F.col("source") == "user").alias("n"), F.sum(F.length("text")).alias("size"), F.min_by("model", "line_no").alias("model"))
+    model = F.when(F.col("model") != "m0", F.col("model")).otherwise("")
+    return own.select("session_path", T.card_line(F.col("n"), F.col("n") % 3, F.col("size"), F.lit(""), model).alias("card"))
