@@ -7,7 +7,7 @@ escaped rendering did not read back would fail the query.
 
 Escape: between ``<`` and ``|`` of a text one more backslash is put, so
 ``<|`` becomes ``<\\|`` and ``<\\|`` becomes ``<\\\\|``; the parser takes one away.
-In roles, backslash and line feed are written ``\\\\`` and ``\\n`` as well.
+In roles, backslash and line feed are written ``\\b`` and ``\\n`` as well.
 
 A conversation is one result row, so it is gathered in one task; rows meet by
 conversation, never by a larger group.
@@ -35,13 +35,12 @@ def _unescape_text(text: Column) -> Column:
 
 
 def _escape_role(role: Column) -> Column:
-    return _escape_text(F.replace(F.replace(role, F.lit("\\"), F.lit("\\\\")), F.lit("\n"), F.lit("\\n")))
+    return _escape_text(F.replace(F.replace(role, F.lit("\\"), F.lit("\\b")), F.lit("\n"), F.lit("\\n")))
 
 
 def _unescape_role(role: Column) -> Column:
-    plain = _unescape_text(role)
-    # an escaped backslash must not meet the n after it
-    return F.replace(F.replace(F.replace(plain, F.lit("\\\\"), F.lit("\x00")), F.lit("\\n"), F.lit("\n")), F.lit("\x00"), F.lit("\\"))
+    # after every backslash of an escaped role stands b or n, so the order is free of conflicts
+    return F.replace(F.replace(_unescape_text(role), F.lit("\\n"), F.lit("\n")), F.lit("\\b"), F.lit("\\"))
 
 
 def render(turns: Column, escaped: bool) -> Column:
