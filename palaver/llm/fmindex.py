@@ -5,7 +5,8 @@ FM-index of each shard of training text: backward search through wavelet ranks
 narrows a suffix interval word by word, occurrences are located by walking to
 sampled suffix positions, and the hit spans are merged per document.
 
-A shard is what one task gathers of its documents, at most SHARD_WORDS words.
+A shard is what one task gathers of its documents, about SHARD_WORDS words.  What
+a longer document adds is indexed in parts that overlap by a window less a word.
 Its alphabet is the benchmark's vocabulary.  A word outside it can be in no
 window, so it only breaks the text; runs of vocabulary words shorter than the
 shortest window can hold none and are left out of the index.  Both are exact.
@@ -22,7 +23,7 @@ item_id, text are not read, except those named to be carried.
 
 from __future__ import annotations
 
-import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,6 +41,7 @@ SAMPLE = 8
 FOLD = bytes(
     b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256)
 )
+WORD = re.compile(rb"[^ ]+")  # of folded text
 BREAK = 1  # symbol between runs; 0 ends the text
 
 
@@ -48,6 +50,17 @@ def words_of(text: bytes | None) -> list[bytes]:
     return (text or b"").translate(FOLD).split()
 
 
+def symbols_of(text: bytes | None, symbol: dict[bytes, int], step: int = 1 << 22) -> np.ndarray:
+    """Symbols of the words (0: unknown); words of about ``step`` bytes are held at a time."""
+    folded, at, out = (text or b"").translate(FOLD), 0, [np.zeros(0, np.int64)]
+    while at < len(folded):
+        end = folded.find(b" ", at + step)
+        words = folded[at : end if end >= 0 else len(folded)].split()
+        out.append(np.fromiter((symbol.get(w, 0) for w in words), np.int64, len(words)))
+        at = end if end >= 0 else len(folded)
+    return np.concatenate(out)
+
+
 class Wavelet:
     """Ranks of symbols in a sequence: one bit plane a level, most significant first."""
 
@@ -177,41 +190,50 @@ def _runs(ids: np.ndarray, shortest: int) -> tuple[np.ndarray, np.ndarray]:
     return starts[enough], ends[enough]
 
 
-def search_shard(docs: list[np.ndarray], phrases: Phrases) -> list[tuple[list[tuple[int, int]], list[int]]]:
-    """Per document, given as symbols (0: not in the vocabulary): merged hit spans and items."""
-    out: list[tuple[list[tuple[int, int]], list[int]]] = [([], []) for _ in docs]
-    pieces, owner, origin, start = [], [], [], []
-    size = 0
+def _parts(docs: list[np.ndarray], phrases: Phrases, most: int) -> Iterator[list[tuple[int, int, int]]]:
+    """Runs as (document, start, end), in groups of about ``most`` words; of longer runs, overlapping parts."""
+    group, size = [], 0
+    longest = phrases.groups[-1][0]
     for d, ids in enumerate(docs):
-        for a, b in zip(*_runs(ids, phrases.shortest), strict=True) if phrases.groups else ():
-            pieces += [ids[a:b], np.array([BREAK])]
-            owner.append(d)
-            origin.append(a)
-            start.append(size)
-            size += b - a + 1
-    if not pieces:
-        return out
-    index = FMIndex(np.concatenate([*pieces, [0]]).astype(np.int64), phrases.top)
-    start_of = np.array(start)
-    marks: list[list[tuple[int, int]]] = [[] for _ in docs]
+        for a, b in zip(*_runs(ids, phrases.shortest), strict=True):
+            for at in range(a, max(a + 1, b - longest + 1), most):
+                end = min(b, at + most + longest - 1)
+                if group and size + end - at > most + longest:
+                    yield group
+                    group, size = [], 0
+                group.append((d, at, end))
+                size += end - at
+    if group:
+        yield group
+
+
+def search_shard(docs: list[np.ndarray], phrases: Phrases, most: int = SHARD_WORDS) -> list[tuple[list[tuple[int, int]], list[int]]]:
+    """Per document, given as symbols (0: not in the vocabulary): merged hit spans and items."""
+    marks: list[set[tuple[int, int]]] = [set() for _ in docs]
     items: list[set[int]] = [set() for _ in docs]
-    for length, rows, owners in phrases.groups:
-        low, high = index.search(rows)
-        for p in np.flatnonzero(high > low):
-            places = index.locate(np.arange(low[p], high[p]))
-            piece = np.searchsorted(start_of, places, side="right") - 1
-            for place, k in zip(places.tolist(), piece.tolist(), strict=True):
-                at = origin[k] + place - start[k]
-                marks[owner[k]].append((at, at + length))
-                items[owner[k]].update(owners[p])
-    for d, spans in enumerate(marks):
+    for group in _parts(docs, phrases, most) if phrases.groups else ():
+        text = [x for d, a, b in group for x in (docs[d][a:b], [BREAK])]
+        index = FMIndex(np.concatenate([*text, [0]]).astype(np.int64), phrases.top)
+        start = np.cumsum([0] + [b - a + 1 for _, a, b in group[:-1]])
+        for length, rows, owners in phrases.groups:
+            low, high = index.search(rows)
+            for p in np.flatnonzero(high > low):
+                places = index.locate(np.arange(low[p], high[p]))
+                piece = np.searchsorted(start, places, side="right") - 1
+                for place, k in zip(places.tolist(), piece.tolist(), strict=True):
+                    d, origin, _ = group[k]
+                    at = int(origin) + place - int(start[k])
+                    marks[d].add((at, at + length))
+                    items[d].update(owners[p])
+    out = []
+    for spans, own in zip(marks, items, strict=True):
         merged: list[list[int]] = []
         for a, b in sorted(spans):
             if merged and a <= merged[-1][1]:
                 merged[-1][1] = max(b, merged[-1][1])
             else:
                 merged.append([a, b])
-        out[d] = ([tuple(s) for s in merged], sorted(items[d]))
+        out.append(([tuple(s) for s in merged], sorted(own)))
     return out
 
 
@@ -221,7 +243,6 @@ FOUND = "n_words long, spans array<struct<start: long, stop: long>>, items array
 def _search(docs: DataFrame, carry: list[str], phrases: Phrases) -> DataFrame:
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = phrases  # about BLOCK_BYTES of items
-        get = known.symbol.get
         for batch in batches:
             texts = batch.column(batch.num_columns - 1).cast(pa.large_binary())
             first, size, ids, counts = 0, 0, [], []
@@ -234,10 +255,9 @@ def _search(docs: DataFrame, carry: list[str], phrases: Phrases) -> DataFrame:
                 return pa.RecordBatch.from_arrays([*own, pa.array(counts, pa.int64()), spans, items], names=[*carry, "n_words", "spans", "items"])
 
             for k in range(batch.num_rows):
-                words = words_of(texts[k].as_py())
-                counts.append(len(words))
-                ids.append(np.fromiter((get(w, 0) for w in words), np.int64, len(words)))
-                size += len(words)
+                ids.append(symbols_of(texts[k].as_py(), known.symbol))
+                counts.append(len(ids[-1]))
+                size += counts[-1]
                 if size >= SHARD_WORDS:
                     yield flush(first, ids, counts)
                     first, size, ids, counts = k + 1, 0, [], []
@@ -301,17 +321,17 @@ def report(found: DataFrame) -> DataFrame:
 
 def strip_spans(text: bytes, spans: list[tuple[int, int]]) -> str:
     """The text without the words of the spans; a line break stands for each."""
-    folded, places, at = text.translate(FOLD), [], 0
-    for word in folded.split():
-        at = folded.index(word, at)
-        places.append((at, at + len(word)))
-        at += len(word)
-    out, last = [], 0
-    for a, b in spans:
-        out.append(text[last : places[a][0]].rstrip())
-        last = places[b - 1][1]
-        while last < len(text) and folded[last : last + 1] == b" " and text[last : last + 1] not in b" \n":
-            last += 1  # punctuation that closed the passage
+    folded, out, last, start, k = text.translate(FOLD), [], 0, 0, 0
+    for number, word in enumerate(WORD.finditer(folded)):
+        if k == len(spans):
+            break
+        if number == spans[k][0]:
+            start = word.start()
+        if number == spans[k][1] - 1:
+            out.append(text[last:start].rstrip())
+            last, k = word.end(), k + 1
+            while last < len(text) and folded[last : last + 1] == b" " and text[last : last + 1] not in b" \n":
+                last += 1  # punctuation that closed the passage
     out.append(text[last:].lstrip())
     return b"\n".join(p for p in out if p).decode()
 
