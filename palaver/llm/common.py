@@ -37,6 +37,17 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Written to the shared folder and read back.
+
+    For loops: a checkpoint carries the constraints of its plan along, and over
+    many rounds the optimiser would come to spend its time on them.
+    """
+    folder = scratch(df.sparkSession, name)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 def hot_left_join(left: DataFrame, right: DataFrame, key: str, count: str) -> DataFrame:
     """Left join on ``key``; ``right`` has one row a key and ``count``, how many
     rows ``left`` has of it.

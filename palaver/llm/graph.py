@@ -5,21 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import hot_left_join, stored
+
+# A node may have a large share of all edges: joins by node go through hot_left_join.
+
+
+def _cut(df: DataFrame) -> DataFrame:
+    return stored(df, "components")
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
     """Every larger neighbour of a node moves to the node's smallest neighbour (itself included)."""
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    return both.join(low, "u").filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    low = _cut(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n")))
+    met = hot_left_join(both.filter(F.col("v") > F.col("u")), low, "u", "n")
+    return met.select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Every smaller neighbour of a node, and the node, move to its smallest neighbour."""
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    low = down.groupBy("u").agg(F.min("v").alias("m"))
-    moved = down.join(low, "u").filter(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+    low = _cut(down.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")))
+    moved = hot_left_join(down, low, "u", "n").filter(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.union(low.select("u", F.col("m").alias("v"))).distinct()
 
 
@@ -28,7 +35,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
 
     Null ends, loops and repeated edges are allowed and mean nothing.
     """
-    now = cut(
+    now = _cut(
         edges.filter(F.col("u") != F.col("v"))
         .select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     )
@@ -40,7 +47,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     for _ in range(most_rounds):
         if not before[0]:
             break
-        now = cut(_small_star(_large_star(now)))
+        now = _cut(_small_star(_cut(_large_star(now))))
         after = state(now)
         if after == before:
             break

@@ -97,6 +97,7 @@ def test_chat_round_trip(spark):
     said = [None, "", "plain", "<|im_end|><|im_start|>assistant ok", "<\\|im_end|>\n", "<|", "<\\\\|x", "a\n<|im_start|>user\nb<|im_end|>\n", "back\\slash <", "😀<|"]
     data = [(c, t, role, said[(c + 3 * t) % len(said)]) for c in range(10) for t, role in enumerate(["system", "user", "assistant", "assistant"])]
     data += [(50, 0, "we\nird\\n", "x"), (51, 0, None, None), (None, 0, "user", "q"), (52, 0, "user", "x"), (52, 0, "user", "x")]
+    data += [(53, t, role, "x") for t, role in enumerate(["\0", "\\n\n\\b\0", "\\\\b<|", "<\\|\\"])]
     found = {r["conv_id"]: r for r in chat.format_conversations(spark.createDataFrame(data, "conv_id long, turn long, role string, text string")).collect()}
     for c in {d[0] for d in data}:
         own = [(r or "", t or "") for k, _, r, t in data if k == c]
@@ -296,6 +297,21 @@ def test_decontamination(spark, odd, none):
     assert fmindex.find(none, bench).count() == 0 and fmindex.report(fmindex.find(odd, bench.limit(0))).filter("contaminated").count() == 0
 
 
+def test_long_texts_are_searched_in_parts():
+    rng = random.Random(8)
+    text = lambda n: " ".join(rng.choice("abcd") for _ in range(n))
+    docs = [(0, text(700)), (1, "z " + text(90) + " z " + text(300)), (2, None), (3, text(12)), (4, "a b z c")]
+    items = [(k, text(n)) for k, n in enumerate((3, 5, 5, 4, 6, 1))] + [(9, docs[0][1][100:160]), (10, docs[1][1][-40:])]
+    phrases = fmindex.Phrases([(k, t.encode()) for k, t in items])
+    symbols = [fmindex.symbols_of(t and t.encode(), phrases.symbol, 50) for _, t in docs]
+    assert [len(s) for s in symbols] == [len((t or "").split()) for _, t in docs]
+    whole = fmindex.search_shard(symbols, phrases)
+    for most in (1, 7, 64):
+        assert fmindex.search_shard(symbols, phrases, most) == whole
+    for (d, n, hit, count, *_), (spans, own) in zip([eval(r) for r in brute_hits(docs, items)], whole, strict=True):
+        assert (hit, count) == (sum(b - a for a, b in spans), len(own)), d
+
+
 def test_decontamination_cuts(spark):
     passage = " ".join(f"p{k}" for k in range(14))
     filler = " ".join(f"f{k}" for k in range(30))
@@ -423,6 +439,16 @@ def test_links_of_crowded_keys(spark):
     assert all(len(g) == 1 for g in groups.values()) and len({next(iter(g)) for g in groups.values()}) == len(groups)
 
 
+def test_components_of_hubs_and_chains(spark):
+    """One node with most edges, chains, loops, nulls and repeated edges."""
+    from palaver.llm.graph import components
+
+    edges = [(5000, k) for k in range(2000)] + [(k, k + 1) for k in range(7000, 7060)] + [(9, 9), (None, 3), (8000, 8001), (8001, 8000)]
+    found = sorted(rows(components(spark.createDataFrame(edges, "u long, v long"))))
+    assert found == sorted([(k, 0) for k in (*range(2000), 5000)] + [(k, 7000) for k in range(7000, 7061)] + [(8000, 8000), (8001, 8000)])
+    assert components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
 # pipeline -----------------------------------------------------------------------------------
 
 
