@@ -3,17 +3,23 @@
 Linked documents (equal texts) should share a shard, while all shards hold the
 same number of rows, one more at most.
 
-1. Every row starts in the shard of its hashed id.
-2. Rounds: the rows of a text, counted by shard, name as their goal the shard
-   that holds most of them.  Goals that would take a shard over its quota admit a
-   share of the movers only, drawn by hash, so no round overfills a shard and a
-   text of more rows than a quota stays spread over several shards.
-3. Rows without links and what exceeds a quota fill the shards to their exact
-   quotas.  Ranks are taken in blocks of about BLOCK rows and shifted by the sizes
-   of the blocks before, so no task sees a whole shard.
-
-Texts are read once; the rounds see a narrow table of the linked rows.  What the
-driver holds are counts by pair of shards.
+1. Every row starts in the shard of its hashed id: the votes of its text.
+2. A text of a quota's rows or more takes whole shards, as many as it fills; what
+   it has beyond them waits.  Other hot texts (over 1/HOT_SHARE of the linked rows,
+   so few) are placed whole, the largest first, where they fit most tightly.
+3. Rounds: every other text names as its goal the shard that holds most of its
+   rows, of those that have room for all of it.  A goal admits whole texts, in order
+   of a hashed bucket, up to its room, so no round overfills a shard.  Texts left out
+   aim anew at the room left.  The last FEW texts are placed on the driver, the
+   largest first, where they fit most tightly.
+4. What waits goes to one shard if it fits; a text is split only where no shard has
+   room for all of it, over the shards with most room.
+5. Rows without links fill the shards to their exact quotas.  Ranks are taken in
+   blocks of about BLOCK rows and shifted by the sizes of the blocks before, so no
+   task sees a whole shard.
+
+Texts are read once; the rounds see a narrow table of the linked texts.  What the
+driver holds are counts by shard and bucket, the hot texts and the last FEW.
 
 Defined results: a null text counts as empty, with size 1 and checksum 0, and is
 linked to other empty texts.  Repeated rows and rows with null ids are placed
@@ -25,39 +31,120 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, hot_left_join
+from .common import HOT_SHARE, cut, hot_left_join
 
-ROUNDS = 3
 BLOCK = 2_000
+BUCKETS = 2_048
+#: Texts that the driver places after the rounds, at most.
+FEW = 10_000
+CUTS = "array<struct<upto: bigint, shard: int>>"
 
 
 def _quotas(total: int, shards: int) -> list[int]:
     return [total // shards + (k < total % shards) for k in range(shards)]
 
 
-def propagate(linked: DataFrame, quotas: list[int], rounds: int = ROUNDS) -> DataFrame:
-    """``linked`` (…, key, shard) with shards moved towards those of rows of the same key."""
-    shards = len(quotas)
-    for turn in range(rounds):
-        counts = linked.groupBy("key", "shard").agg(F.count("*").alias("n"))
-        goals = counts.groupBy("key").agg(F.max(F.struct("n", (-F.col("shard")).alias("goal"))).alias("g"), F.sum("n").alias("n"))
-        goals = cut(goals.select("key", (-F.col("g.goal")).alias("goal"), "n"))
-        aimed = cut(hot_left_join(linked, goals, "key", "n"))
-        flow = [[0] * shards for _ in range(shards)]
-        for r in aimed.groupBy("shard", "goal").count().collect():  # shards x shards numbers
-            flow[r["shard"]][r["goal"]] = r["count"]
-        held = [sum(row) for row in flow]
-        share = []
-        for t in range(shards):
-            wanted = sum(flow[s][t] for s in range(shards) if s != t)
-            room = max(0, quotas[t] - held[t])
-            share.append(1.0 if wanted <= room else room / wanted)
-        if not any(flow[s][t] for s in range(shards) for t in range(shards) if s != t):
-            return aimed.drop("goal")
-        draw = F.pmod(F.xxhash64("row", F.lit(turn)), F.lit(1 << 20)) / F.lit(float(1 << 20))
-        allowed = F.element_at(F.array(*[F.lit(x) for x in share]), F.col("goal") + 1)
-        linked = cut(aimed.withColumn("shard", F.when(draw < allowed, F.col("goal")).otherwise(F.col("shard"))).drop("goal"))
-    return linked
+class Rooms:
+    """What the shards can still take, and the texts placed on the driver: (key, cuts);
+    rows of a text go, by rank, to the shard of the first cut above it."""
+
+    def __init__(self, quotas: list[int]) -> None:
+        self.quotas, self.room = quotas, list(quotas)
+        self.placed: list[tuple[bytes, list[tuple[int, int]]]] = []
+        self.waiting: list[tuple[bytes, int, list[int], list[tuple[int, int]]]] = []
+
+    def _take(self, cuts: list[tuple[int, int]], shard: int, n: int) -> None:
+        self.room[shard] -= n
+        cuts.append(((cuts[-1][0] if cuts else 0) + n, shard))
+
+    def fill(self, key: bytes, n: int, votes: list[int]) -> None:
+        """Whole shards for a text of a quota or more; its remainder waits."""
+        cuts: list[tuple[int, int]] = []
+        for t in sorted(range(len(votes)), key=lambda t: (-votes[t], t)):
+            if self.room[t] == self.quotas[t] and 0 < self.room[t] <= n:
+                n -= self.room[t]
+                self._take(cuts, t, self.room[t])
+        if n:
+            self.waiting.append((key, n, votes, cuts))
+        else:
+            self.placed.append((key, cuts))
+
+    def whole(self, key: bytes, n: int, votes: list[int], cuts: list[tuple[int, int]] | None = None) -> bool:
+        """The shard that a text fits most tightly, if there is one."""
+        cuts = [] if cuts is None else cuts
+        fits = [t for t, room in enumerate(self.room) if room >= n]
+        if fits:
+            self._take(cuts, min(fits, key=lambda t: (self.room[t], -votes[t], t)), n)
+            self.placed.append((key, cuts))
+        return bool(fits)
+
+    def place(self, texts: list[tuple[bytes, int, list[int]]]) -> None:
+        """Texts (key, rows, votes) whole, the largest first; those that fit nowhere wait."""
+        for key, n, votes in sorted(texts, key=lambda x: (-x[1], x[0])):
+            if not self.whole(key, n, votes):
+                self.waiting.append((key, n, votes, []))
+
+    def close(self) -> None:
+        """What waits: whole if it fits, else over the shards with most room."""
+        for key, n, votes, cuts in self.waiting:
+            if not self.whole(key, n, votes, cuts):
+                while n:
+                    t = max(range(len(votes)), key=lambda t: (self.room[t], -t))
+                    size = min(n, self.room[t])
+                    self._take(cuts, t, size)
+                    n -= size
+                self.placed.append((key, cuts))
+        self.waiting = []
+
+    def admit(self, wanted: dict[int, dict[int, int]]) -> list[int]:
+        """For rows wanted by goal and bucket, the bucket from which each goal admits none."""
+        limits = []
+        for t in range(len(self.room)):
+            limit = BUCKETS
+            for bucket, n in sorted(wanted.get(t, {}).items()):
+                if n > self.room[t]:
+                    limit = bucket
+                    break
+                self.room[t] -= n
+            limits.append(limit)
+        return limits
+
+
+def propagate(texts: DataFrame, quotas: list[int]) -> DataFrame:
+    """(key, n, cuts) of linked ``texts`` (key, n, votes: rows by starting shard)."""
+    shards, rooms = range(len(quotas)), Rooms(quotas)
+    linked = texts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
+    is_hot = F.col("n") * HOT_SHARE > F.lit(linked)
+    hot = sorted(((bytes(r["key"]), r["n"], r["votes"]) for r in texts.filter(is_hot).collect()), key=lambda x: (-x[1], x[0]))
+    full = [x for x in hot if x[1] >= min(quotas)]
+    for x in full:
+        rooms.fill(*x)
+    rooms.place(hot[len(full) :])
+    left, done, turn = texts.filter(~is_hot), [], 0
+    while True:
+        # the shard with most votes, of those with room for the whole text
+        votes = [F.when(F.col("n") <= F.lit(rooms.room[t]), F.struct(F.col("votes")[t].alias("v"), F.lit(-t).alias("t"))) for t in shards]
+        bucket = F.pmod(F.xxhash64("key", F.lit(turn)), F.lit(BUCKETS)).cast("int")
+        aimed = cut(left.select("key", "n", "votes", (-F.array_max(F.array(*votes))["t"]).alias("goal"), bucket.alias("bucket")))
+        wanted: dict[int, dict[int, int]] = {}
+        many: dict[tuple, int] = {}
+        for r in aimed.groupBy("goal", "bucket").agg(F.sum("n").alias("n"), F.count("*").alias("texts")).collect():  # shards x BUCKETS numbers
+            many[r["goal"], r["bucket"]] = r["texts"]
+            if r["goal"] is not None:
+                wanted.setdefault(r["goal"], {})[r["bucket"]] = r["n"]
+        limits = rooms.admit(wanted)
+        admitted = F.coalesce(F.col("bucket") < F.element_at(F.array(*[F.lit(x) for x in limits]), F.col("goal") + 1), F.lit(False))
+        done.append(aimed.filter(admitted).select("key", "n", F.array(F.struct(F.col("n").alias("upto"), F.col("goal").alias("shard"))).cast(CUTS).alias("cuts")))
+        left, turn = aimed.filter(~admitted).select("key", "n", "votes"), turn + 1
+        if sum(n for (t, b), n in many.items() if t is None or b >= limits[t]) <= FEW:
+            break
+    rooms.place([(bytes(r["key"]), r["n"], r["votes"]) for r in left.collect()])
+    rooms.close()
+    rows = [(bytearray(key), cuts[-1][0], cuts) for key, cuts in rooms.placed]
+    out = texts.sparkSession.createDataFrame(rows, f"key binary, n long, cuts {CUTS}")
+    for d in done:
+        out = out.unionByName(d)
+    return cut(out)
 
 
 def ranked(rows: DataFrame, pool: str, total: int) -> DataFrame:
@@ -74,7 +161,7 @@ def ranked(rows: DataFrame, pool: str, total: int) -> DataFrame:
     return joined.withColumn("rank", F.col("before") + F.col("within")).drop("block", "before", "within")
 
 
-def shard(docs: DataFrame, shards: int = 8, rounds: int = ROUNDS) -> DataFrame:
+def shard(docs: DataFrame, shards: int = 8) -> DataFrame:
     """(doc_id, size, text_crc32, key, linked, shard, slot) of every row of ``docs``."""
     text = F.coalesce(F.col("text"), F.lit(""))
     base = cut(
@@ -83,12 +170,19 @@ def shard(docs: DataFrame, shards: int = 8, rounds: int = ROUNDS) -> DataFrame:
             F.unhex(F.substring(F.sha2(text, 256), 1, 32)).alias("key"),
         ).withColumn("row", F.struct("doc_id", "key"))
     )
-    groups = cut(base.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").withColumn("linked", F.lit(True)))
     total = base.count()
     quotas = _quotas(total, shards)
-    marked = cut(hot_left_join(base, groups, "key", "n"))
-    start = F.pmod(F.xxhash64("doc_id", "key"), F.lit(shards)).cast("int")
-    linked = propagate(cut(marked.filter("linked").withColumn("shard", start)), quotas, rounds)
+    start = F.pmod(F.xxhash64("doc_id", "key"), F.lit(shards))
+    votes = F.array(*[F.count_if(start == k) for k in range(shards)])
+    texts = cut(base.groupBy("key").agg(F.count("*").alias("n"), votes.alias("votes")).filter("n > 1"))
+    goals = propagate(texts, quotas).withColumn("linked", F.lit(True))
+    marked = cut(hot_left_join(base, goals, "key", "n"))
+    split = F.coalesce(F.size("cuts") > 1, F.lit(False))
+    within = ranked(marked.filter(split), "key", total)
+    target = F.filter("cuts", lambda c: c["upto"] > F.col("rank"))[0]["shard"]
+    linked = marked.filter(~split & F.col("linked").isNotNull()).withColumn("shard", F.col("cuts")[0]["shard"]).drop("cuts")
+    linked = linked.unionByName(within.withColumn("shard", target).drop("cuts", "rank"))
+    marked = marked.drop("cuts")
     # pools: the shards of the linked rows, and one of all others
     free = shards
     pools = linked.withColumn("pool", F.col("shard")).unionByName(marked.filter(F.col("linked").isNull()).withColumn("shard", F.lit(None).cast("int")).withColumn("pool", F.lit(free)))

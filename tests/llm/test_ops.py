@@ -90,6 +90,33 @@ def test_sharding_splits_a_hot_text(spark):
     check_shards(sharding.shard(docs).collect(), 900)
 
 
+def test_sharding_keeps_small_groups_whole_beside_a_hot_text(spark):
+    """A third of the rows is one text, a fifth is in groups of 2 to 50."""
+    rng, total, texts = random.Random(7), 6000, ["hot"] * 2000
+    while len(texts) < 3200:
+        texts += [f"group {len(texts)}"] * rng.randint(2, 50)
+    texts += [f"single {k}" for k in range(total - len(texts))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = sharding.shard(docs).collect()
+    check_shards(found, total)
+    of = defaultdict(set)
+    for r in found:
+        of[texts[r["doc_id"]]].add(r["shard"])
+    assert {t for t, s in of.items() if len(s) > 1} == {"hot"} and len(of["hot"]) == 3
+
+
+@pytest.mark.parametrize("sizes, splits", [([30] * 26 + [20], 3), ([90] * 7 + [150], 1), ([401, 399], 2), ([100] * 8, 0), ([2] * 400, 0), ([60] * 13 + [20], 5)])
+def test_sharding_fills_crowded_shards(spark, sizes, splits):
+    """All rows are linked; a text is split only if it fits no shard."""
+    texts = [f"t{k}" for k, n in enumerate(sizes) for _ in range(n)]
+    found = sharding.shard(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    check_shards(found, len(texts))
+    of = defaultdict(set)
+    for r in found:
+        of[texts[r["doc_id"]]].add(r["shard"])
+    assert sum(len(s) > 1 for s in of.values()) == splits
+
+
 # 2 ------------------------------------------------------------------------------------------
 
 
