@@ -36,10 +36,12 @@ MOST_ROUNDS = 40
 # The patterns of the entities.
 FEMALE = "Mrs|Ms|Miss|Frau|Señora|Sra|Madame|Mme|Mlle|госпожа|г-жа"
 MALE = "Mr|Herr|Señor|Sr|Monsieur|господин|г-н"
-NAME = r"\p{Lu}[\p{L}'\-]{1,40}"
+NAME = r"\p{Lu}[\p{L}\p{M}'’\-]++"
+#: The whole value, of any length, but for points that end a sentence; what has no letter or digit has no surrogate.
+VALUE = r"(?=[_\-/+.=~]*+[A-Za-z0-9])[A-Za-z0-9_\-/+.=~]{7,}[A-Za-z0-9_\-/+=~]"
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]{1,64}+@[A-Za-z0-9\-]{1,63}(?:\.[A-Za-z0-9\-]{1,63}){0,8}\.[A-Za-z]{2,24}",
-    "secret": r"(?=[PpSsTtAa])(?<![A-Za-z])(?:[Pp]assword|PASSWORD|[Pp]asswd|[Ss]ecret|SECRET|[Tt]oken|TOKEN|[Aa]pi[_-]?[Kk]ey|API_KEY) ?[=:] ?[\"']?[A-Za-z0-9_\-/+]{8,200}",
+    "secret": r"(?=[PpSsTtAa])(?<![A-Za-z])(?:[Pp]assword|PASSWORD|[Pp]asswd|[Ss]ecret|SECRET|[Tt]oken|TOKEN|[Aa]pi[_-]?[Kk]ey|API_KEY) ?[=:] ?[\"']?" + VALUE,
     "ip": r"(?=\d)(?<![\d.])(?:25[0-5]|2[0-4]\d|1?\d?\d)(?:\.(?:25[0-5]|2[0-4]\d|1?\d?\d)){3}(?!\d|\.\d)",
     "card": r"(?=\d)(?<!\d)(?:\d{4}[ \-]?){3}\d{4}(?!\d)",
     "ssn": r"(?=\d)(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])",

@@ -161,6 +161,18 @@ def test_pii(spark, odd, none):
     assert pii.scrub(none).count() == 0
 
 
+def test_pii_takes_whole_values(spark):
+    rng = random.Random(5)
+    draw = lambda n: "".join(rng.choice("abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ23456789") for _ in range(n))
+    long, jwt = draw(300), f"eyJ{draw(80)}.eyJ{draw(250)}.{draw(40)}-_{draw(40)}"
+    texts = [f"token={long} end", f"token={jwt}.", f"secret: a~b.c={draw(20)}== x", "Mr. A" + "b" * 60 + " said", "token: ======== password=--------", "token=" + ".".join(draw(2) for _ in range(20_000))]
+    out = {r["doc_id"]: r["text"] for r in pii.replace(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [len(out[k]) for k in (0, 1, 2, 5)] == [len(texts[k]) for k in (0, 1, 2, 5)] and out[0].endswith(" end") and out[1].endswith(".")
+    kept = lambda k, n: [w for w in (texts[k][i : i + n] for i in range(8, len(texts[k]) - n)) if w in out[k]]
+    assert not any(kept(k, 8) for k in (0, 1)) and not kept(2, 10) and [len(x) for x in out[1].split(".")] == [len(x) for x in texts[1].split(".")]
+    assert "bbb" not in out[3] and out[3].endswith(" said") and out[4] == texts[4] and out[5] != texts[5]
+
+
 # 4 ------------------------------------------------------------------------------------------
 
 
