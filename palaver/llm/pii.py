@@ -1,17 +1,21 @@
 """Surrogates for personal data (3), in DataFrame operations only.
 
 Entities: e-mail and IPv4 addresses, phone, card and social security numbers,
-IBANs, credentials after ``password=`` and the like, and names after a title.
+IBANs, credentials after ``password=`` and the like, names after a title, and the
+other mentions of such names in the same document.  Names that no title
+introduces in their document are not found.
 Each is replaced by a keyed surrogate of its type:
 
 * format: digits stay digits, letters letters, separators, case and length of
   the occurrence are kept; cards keep a valid Luhn digit, IBANs valid check
   digits and their country, addresses their top-level domain;
 * gender and script: a name after a title for women gets a name formed as
-  women's names are, Cyrillic names get Cyrillic ones;
+  women's names are, all others the other form, Cyrillic names get Cyrillic ones;
 * coreference: the surrogate depends on the key, the type and the normalised
-  entity alone, so all spellings of one number and all mentions of one name
-  agree over the whole corpus; e-mail domains agree as well;
+  entity alone, so all spellings of one number and all mentions found of one
+  name agree over the whole corpus (first names by title's gender; untitled
+  mentions are found in documents that have a titled one); e-mail domains agree
+  as well; initials get another letter;
 * distinctness: all surrogates of the corpus are checked against each other and
   against the real entities; the later entity of a collision draws again.
 
@@ -34,9 +38,17 @@ KEY = "palaver"
 MOST_ROUNDS = 40
 
 # The patterns of the entities.
-FEMALE = "Mrs|Ms|Miss|Frau|Señora|Sra|Madame|Mme|Mlle|госпожа|г-жа"
-MALE = "Mr|Herr|Señor|Sr|Monsieur|господин|г-н"
+FEMALE = "Mrs|Ms|Miss|Madam|Lady|Dame|Frau|Fräulein|Señora|Señorita|Sra|Srta|Doña|Dña|Madame|Mademoiselle|Mme|Mlle|[Гг]оспожа|[Гг]-жа"
+#: Titles of men, and those that do not tell.
+OTHER = "Mr|Mister|Sir|Lord|Dr|Doctor|Prof|Professor|Herr|Doktor|Señor|Sr|Don|Doctora|Dra|Profesora|Profesor|Monsieur|MM?(?=\\.)|Docteur|Professeur|[Гг]осподин|[Гг]-н|[Дд]октор|[Пп]рофессор"
 NAME = r"\p{Lu}[\p{L}\p{M}'’\-]++"
+INITIAL = r"\p{Lu}\."
+#: Small words inside a name.
+LINK = "(?:de|del|la|las|los|le|du|des|da|do|dos|di|y|van|von|der|den|zu|zur|bin|ibn|al)"
+#: What may stand beside a name's word elsewhere in its document.
+ALONE = (r"(?<![\p{L}\p{M}\p{N}_])(?:", r")(?![\p{L}\p{M}\p{N}_])")
+#: Begins what is found as a later mention, before its kind and the word; no pattern takes it in.
+LATER = "\x01"
 #: The whole value, of any length, but for points that end a sentence; what has no letter or digit has no surrogate.
 VALUE = r"(?=[_\-/+.=~]*+[A-Za-z0-9])[A-Za-z0-9_\-/+.=~]{7,}[A-Za-z0-9_\-/+=~]"
 PATTERNS = {
@@ -47,7 +59,7 @@ PATTERNS = {
     "ssn": r"(?=\d)(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])",
     "phone": r"(?=[\d+(])(?<![\d+(])(?:\+?\d{1,3}[ .\-]?)?(?:\(\d{3}\)[ .\-]?|\d{3}[.\-])\d{3}[ .\-]\d{4}(?!\d)|(?=\+)(?<![\d+])\+\d{1,3}(?:[ .\-]\d{2,4}){2,4}(?!\d)|(?=\+)(?<![\d+])\+\d{10,14}(?!\d)",
     "iban": r"(?=[A-Z])(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
-    "name": rf"(?=[MFSHгГ])(?<![\p{{L}}\-])(?:{FEMALE}|{MALE})\.? {NAME}(?: {NAME})?",
+    "name": rf"(?=[MLDFSHPГгДдПп])(?<![\p{{L}}\-])(?:{FEMALE}|{OTHER})\.? (?:{INITIAL} )*+{NAME}(?: (?:(?:{LINK} )*+{NAME}|{INITIAL}))*+",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: Every entity but a name has one of these; the cheap test spares most texts the long one.
@@ -59,7 +71,8 @@ DIGITS, LETTERS = "0123456789", "abcdefghijklmnopqrstuvwxyz"
 
 def _kind(raw: Column) -> Column:
     """Type of a matched string."""
-    out = F.when(raw.rlike(rf"^(?:{FEMALE})\.? \p{{Lu}}"), "name_f").when(raw.rlike(rf"^(?:{MALE})\.? \p{{Lu}}"), "name_m")
+    out = F.when(raw.startswith(LATER), F.substring_index(F.substring(raw, 2, 20), LATER, 1))
+    out = out.when(raw.rlike(rf"^(?:{FEMALE})\.? \p{{Lu}}"), "name_f").when(raw.rlike(rf"^(?:{OTHER})\.? \p{{Lu}}"), "name_m")
     out = out.when(raw.rlike("^" + PATTERNS["secret"] + "$"), "secret").when(raw.contains("@"), "email")
     for kind in ("ip", "ssn", "card", "iban"):
         out = out.when(raw.rlike("^(?:" + PATTERNS[kind] + ")$"), kind)
@@ -75,20 +88,54 @@ def _digits(s: Column) -> Column:
     return F.regexp_replace(s, "[^0-9]", "")
 
 
+def _words(raw: Column) -> Column:
+    """The words of a name without its title, initials and small words among them."""
+    return F.split(F.regexp_replace(raw, r"^\S+ ", ""), " ")
+
+
+def _is_name(word: Column) -> Column:
+    return word.rlike(r"^\p{Lu}[^.]")
+
+
+def _stem(word: Column) -> Column:
+    """A name's word without a genitive s or signs at its end."""
+    return F.regexp_replace(word, r"(?:['’][sS])?['’\-]*$", "")
+
+
+def _name_parts(raw: Column) -> Column:
+    """(kind, word) of the names after a title: first and last names, or one last name."""
+    own = F.transform(F.filter(_words(raw), _is_name), _stem)
+    first = F.concat(F.lit("first"), F.substring(_kind(raw), 5, 2))
+    return F.transform(own, lambda w, i: F.struct(F.when((i == 0) & (F.size(own) > 1), first).otherwise("surname").alias("kind"), w.alias("word")))
+
+
 def _parts(raw: Column) -> Column:
-    """The normalised entities of a match: (kind, norm), two for a first and a last name."""
+    """The normalised entities of a match: (kind, norm), one for each first or last name."""
     kind = _kind(raw)
     number = _digits(raw)
     phone = F.when((F.length(number) == 11) & number.startswith("1"), F.substring(number, 2, 10)).otherwise(number)
-    words = F.split(F.lower(F.regexp_replace(raw, r"^\S+ ", "")), " ")
     norm = (
-        F.when(kind == "email", F.lower(raw)).when(kind == "secret", _tail(raw))
+        F.when(raw.startswith(LATER), F.lower(F.substring_index(raw, LATER, -1)))
+        .when(kind == "email", F.lower(raw)).when(kind == "secret", _tail(raw))
         .when(kind == "phone", phone).when(kind == "iban", F.replace(raw, F.lit(" "), F.lit("")))
         .when(kind == "ip", raw).otherwise(number)
     )
-    last = F.struct(F.lit("surname").alias("kind"), F.element_at(words, -1).alias("norm"))
-    first = F.struct(F.concat(F.lit("first"), F.substring(kind, 5, 2)).alias("kind"), F.element_at(words, 1).alias("norm"))
-    return F.when(~kind.startswith("name"), F.array(F.struct(kind.alias("kind"), norm.alias("norm")))).when(F.size(words) > 1, F.array(first, last)).otherwise(F.array(last))
+    names = F.transform(_name_parts(raw), lambda p: F.struct(p["kind"].alias("kind"), F.lower(p["word"]).alias("norm")))
+    return F.when(kind.startswith("name"), names).otherwise(F.array(F.struct(kind.alias("kind"), norm.alias("norm"))))
+
+
+def _mentions(text: Column) -> Column:
+    """(word, kind) of the names after titles in a text, as they and in capitals may stand elsewhere in it."""
+    found = F.flatten(F.transform(F.regexp_extract_all(text, F.lit(PATTERNS["name"]), F.lit(0)), _name_parts))
+    found = F.array_distinct(F.filter(found, lambda p: F.length(p["word"]) > 1))
+    forms = F.transform(found, lambda p: F.array(*[F.struct(w.alias("word"), p["kind"].alias("kind")) for w in (p["word"], F.upper(p["word"]), F.initcap(p["word"]))]))
+    return F.array_distinct(F.flatten(forms))
+
+
+def _pattern(mentions: Column) -> Column:
+    """ANY, and the words of ``mentions`` wherever they stand alone."""
+    words = F.array_join(F.array_distinct(F.transform(mentions, lambda m: m["word"])), "|")
+    return F.when(F.size(mentions) > 0, F.concat(F.lit(ANY + "|" + ALONE[0]), words, F.lit(ALONE[1]))).otherwise(ANY)
 
 
 def _stream(h: Column) -> Column:
@@ -193,7 +240,7 @@ def surrogates(entities: DataFrame, key: str = KEY) -> DataFrame:
     raise RuntimeError("surrogates still collide")
 
 
-def _format(raw: Column, cores: Column) -> Column:
+def _format(raw: Column, cores: Column, key: str) -> Column:
     """The surrogates in the form of the occurrence."""
     kind = _kind(raw)
     core = F.element_at(cores, 1)
@@ -208,11 +255,37 @@ def _format(raw: Column, cores: Column) -> Column:
     spread = F.array_join(F.transform(F.split(raw, ""), one), "")
     title = F.regexp_extract(raw, r"^\S+ ", 0)
     shout = (raw == F.upper(raw)) & (raw != F.lower(raw))
+    words, word = _words(raw), F.substring_index(raw, LATER, -1)
+
+    def called(w: Column, core: Column) -> Column:
+        stem = _stem(w)
+        styled = F.when((stem == F.upper(stem)) & (F.length(stem) > 1), F.upper(core)).otherwise(F.initcap(core))
+        return F.concat(styled, F.substring(w, F.length(stem) + 1, F.length(w)))
+
+    def initial(w: Column) -> Column:
+        """Another letter of the script, the same for the same one."""
+        letters = F.when(w.rlike(r"\p{IsCyrillic}"), "АБВГДЕЖЗИКЛМНОПРСТУФХЦЧШЭЮЯ").otherwise(LETTERS.upper())
+        turn = F.pmod(F.xxhash64(F.lit(key), w), F.length(letters) - 1) + 1
+        return F.concat(F.substring(letters, (F.pmod(F.instr(letters, F.substring(w, 1, 1)) - 1 + turn, F.length(letters)) + 1).cast("int"), F.lit(1)), F.lit("."))
+
+    def named(own: Column) -> Column:
+        """Words in order; ``at`` are the places of those that have a surrogate."""
+
+        def one_word(w: Column, i: Column) -> Column:
+            place = F.array_position(own["at"], i)
+            return F.when(place > 0, called(w, F.get(own["cores"], (place - 1).cast("int")))).when(w.rlike(f"^{INITIAL}$"), initial(w)).otherwise(w)
+
+        return F.array_join(F.transform(own["words"], one_word), " ")
+
+    at = F.filter(F.transform(words, lambda w, i: F.when(_is_name(w), i)), lambda i: i.isNotNull())
+    # an array of one, so that its parts are made once a name and not once a word
+    name = F.transform(F.array(F.struct(words.alias("words"), at.alias("at"), cores.alias("cores"))), named)[0]
     return (
-        F.when(kind == "email", F.when(shout, F.upper(core)).otherwise(core))
+        F.when(raw.startswith(LATER), called(word, core))
+        .when(kind == "email", F.when(shout, F.upper(core)).otherwise(core))
         .when(kind == "ip", core)
         .when(kind == "secret", F.concat(F.substring(raw, F.lit(1), F.length(raw) - F.length(core)), core))
-        .when(kind.startswith("name"), F.concat(title, F.array_join(F.transform(cores, F.initcap), " ")))
+        .when(kind.startswith("name"), F.concat(title, name))
         .otherwise(spread)
     )
 
@@ -223,9 +296,16 @@ def replace(docs: DataFrame, key: str = KEY) -> DataFrame:
     text = F.col("text")
     has = F.coalesce((text.rlike(SIGNS) & text.rlike(ANY)) | text.rlike(PATTERNS["name"]), F.lit(False))
     clean = docs.filter(~has).withColumn("_pii_n", F.lit(0).cast("long"))
+
+    def marked(raw: Column) -> Column:
+        kind = F.get(F.filter("_pii_names", lambda m: m["word"] == raw), 0)["kind"]
+        return F.when(kind.isNotNull(), F.concat(F.lit(LATER), kind, F.lit(LATER), raw)).otherwise(raw)
+
     dirty = cut(
-        docs.filter(has)
-        .withColumn("_pii_raw", F.regexp_extract_all("text", F.lit(ANY), F.lit(0)))
+        docs.filter(has).withColumn("_pii_names", F.when(text.rlike(PATTERNS["name"]), _mentions(text)).otherwise(F.array().cast("array<struct<word: string, kind: string>>")))
+        .withColumn("_pii_pattern", _pattern(F.col("_pii_names")))
+        .withColumn("_pii_raw", F.transform(F.regexp_extract_all("text", F.col("_pii_pattern"), F.lit(0)), marked))
+        .withColumn("_pii_pattern", F.when(F.size("_pii_names") > 0, F.col("_pii_pattern"))).drop("_pii_names")
         .withColumn("_pii_key", F.sha2("text", 256))
     )
     texts = cut(dirty.groupBy("_pii_key").agg(F.first("_pii_raw").alias("raws"), F.count("*").alias("n")))
@@ -237,12 +317,12 @@ def replace(docs: DataFrame, key: str = KEY) -> DataFrame:
         raws.select("raw", "n", F.posexplode("parts").alias("at", "p"))
         .select("raw", "n", "at", "p.kind", "p.norm").join(cores, ["kind", "norm"])
         .groupBy("raw", "n").agg(F.array_sort(F.collect_list(F.struct("at", "core"))).alias("c"))
-        .select("raw", "n", _format(F.col("raw"), F.col("c.core")).alias("new"))
+        .select("raw", "n", _format(F.col("raw"), F.col("c.core"), key).alias("new"))
     )
     placed = hot_left_join(spots, cut(new), "raw", "n")
     by_text = placed.groupBy("_pii_key").agg(F.array_sort(F.collect_list(F.struct("pos", "new"))).alias("_pii_new"))
     by_text = cut(by_text.join(texts.select("_pii_key", "n"), "_pii_key"))
-    gaps = F.split("text", ANY, -1)
+    gaps = F.split("text", F.coalesce("_pii_pattern", F.lit(ANY)), -1)
     woven = F.concat(
         F.array_join(F.transform(F.col("_pii_new"), lambda e, i: F.concat(F.element_at(F.col("_pii_gaps"), i + 1), e["new"])), ""),
         F.element_at("_pii_gaps", -1),
