@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -102,6 +103,11 @@ def match_ranges(text: Column, words: list[str]) -> Column:
     return F.array_sort(F.concat(*parts)) if parts else F.expr("cast(array() as array<struct<start: int, end: int>>)")
 
 
+def _once(build: Callable[[Column], Column], **parts: Column) -> Column:
+    """``build`` over a struct of ``parts``, each made once a row: in a lambda they would be made for each element."""
+    return F.transform(F.array(F.struct(*[c.alias(k) for k, c in parts.items()])), build)[0]
+
+
 def fuzzy_ranges(text: Column, words: list[str]) -> Column:
     """(start, end) of words one insertion, deletion or substitution away from a query word of three
     letters or more; what is shown where nothing matches literally."""
@@ -112,14 +118,17 @@ def fuzzy_ranges(text: Column, words: list[str]) -> Column:
     if not long:
         return empty
 
-    def place(w: Column, i: Column) -> Column:
-        start = F.length(F.array_join(F.slice(gaps, 1, i + 1), "")) + F.length(F.array_join(F.slice(found, 1, i), ""))
-        near = F.lit(False)
-        for q in long:
-            near |= F.levenshtein(F.lower(w), F.lit(q), 1) >= 0
-        return F.when(near, F.struct(start.alias("start"), (start + F.length(w)).alias("end")))
+    def places(own: Column) -> Column:
+        def place(w: Column, i: Column) -> Column:
+            start = F.length(F.array_join(F.slice(own["gaps"], 1, i + 1), "")) + F.length(F.array_join(F.slice(own["found"], 1, i), ""))
+            near = F.lit(False)
+            for q in long:
+                near |= F.levenshtein(F.lower(w), F.lit(q), 1) >= 0
+            return F.when(near, F.struct(start.alias("start"), (start + F.length(w)).alias("end")))
+
+        return F.filter(F.transform(own["found"], place), lambda r: r.isNotNull())
 
-    return F.coalesce(F.filter(F.transform(found, place), lambda r: r.isNotNull()), empty)
+    return F.coalesce(_once(places, found=found, gaps=gaps), empty)
 
 
 def cold_snippet(text: Column, words: list[str], before: int = 60, after: int = 180) -> Column:
@@ -134,11 +143,16 @@ def cold_snippet(text: Column, words: list[str], before: int = 60, after: int =
 
 def highlight(text: Column, ranges: Column) -> Column:
     """``text`` as segments (text, hl) by sorted ranges; where ranges overlap the earlier one counts."""
-    ends = lambda i: F.coalesce(F.array_max(F.transform(F.slice(ranges, 1, i), lambda r: r["end"])), F.lit(0))
-    part = lambda a, b, hit: F.struct(F.substring(text, a + 1, b - a).alias("text"), F.lit(hit).alias("hl"))
-    pieces = F.flatten(F.transform(ranges, lambda r, i: F.array(part(ends(i), r["start"], False), part(F.greatest(r["start"], ends(i)), r["end"], True))))
-    whole = F.concat(pieces, F.array(part(ends(F.size(ranges)), F.length(text), False)))
-    return F.filter(whole, lambda p: F.length(p["text"]) > 0)
+
+    def segments(own: Column) -> Column:
+        text, ranges = own["text"], own["ranges"]
+        ends = lambda i: F.coalesce(F.array_max(F.transform(F.slice(ranges, 1, i), lambda r: r["end"])), F.lit(0))
+        part = lambda a, b, hit: F.struct(F.substring(text, a + 1, b - a).alias("text"), F.lit(hit).alias("hl"))
+        pieces = F.flatten(F.transform(ranges, lambda r, i: F.array(part(ends(i), r["start"], False), part(F.greatest(r["start"], ends(i)), r["end"], True))))
+        whole = F.concat(pieces, F.array(part(ends(F.size(ranges)), F.length(text), False)))
+        return F.filter(whole, lambda p: F.length(p["text"]) > 0)
+
+    return _once(segments, text=text, ranges=ranges)
 
 
 def hit_key(path: Column, line: Column, block: Column) -> Column:

@@ -100,11 +100,14 @@ def matches(blocks: DataFrame, query: str, filters: Filters | None = None) -> Da
 
 
 def search(blocks: DataFrame, query: str, filters: Filters | None = None, limit: int = DEFAULT_LIMIT) -> DataFrame:
-    """The best ``limit`` blocks with snippets; ranges are of literal matches within the snippet."""
+    """The best ``limit`` blocks with snippets; ranges are of literal matches within the snippet, or of words
+    one edit away where it has none."""
     words = query_tokens(query)
     best = matches(blocks, query, filters).orderBy(F.desc("score"), *DOC).limit(limit)
     cut = best.withColumn("snippet", T.snippet(F.col("text"), words))
-    return cut.select("session_path", "project", F.when(F.col("ts_ms") != 0, F.col("ts_ms")).alias("ts_ms"), "line_no", "block_no", "uuid", "source", "snippet", T.match_ranges(F.col("snippet"), words).alias("match_ranges"), "score")
+    literal = T.match_ranges(F.col("snippet"), words)
+    ranges = F.when(F.size(literal) > 0, literal).otherwise(T.fuzzy_ranges(F.col("snippet"), words))
+    return cut.select("session_path", "project", F.when(F.col("ts_ms") != 0, F.col("ts_ms")).alias("ts_ms"), "line_no", "block_no", "uuid", "source", "snippet", ranges.alias("match_ranges"), "score")
 
 
 def summary(blocks: DataFrame, query: str, filters: Filters | None = None, limit: int = DEFAULT_LIMIT) -> DataFrame:

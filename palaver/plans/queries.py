@@ -440,16 +440,26 @@ def cold_snippets(spark, sf):
     return blocks(spark, sf).select(key.alias("hit_key"), T.source_badge(F.col("source")).alias("badge"), T.cold_snippet(F.col("text"), ["the", "of"]).alias("snippet"))
 
 
+def _highlights(short: DataFrame) -> DataFrame:
+    parts = short.withColumn("p", T.highlight(F.col("t"), T.fuzzy_ranges(F.col("t"), ["the", "of"])))
+    said = lambda c: F.transform(c, lambda x: x["text"])
+    hits = F.filter("p", lambda x: x["hl"])
+    return parts.select("session_path", "line_no", F.array_join(said(F.col("p")), "").alias("joined"), F.size(hits).cast("long").alias("n_marked"), F.array_join(said(hits), "|").alias("marked"))
+
+
 @register(f"""WITH {LINES_SQL}, s AS (SELECT session_path, line_no, substr(text, 1, 240) AS t FROM blocks),
 w AS (SELECT *, regexp_extract_all(t, '[\\p{{L}}\\p{{N}}]+') AS w FROM s)
 SELECT session_path, line_no, t AS joined, CAST(len(list_filter(w, lambda x: levenshtein(lower(x), 'the') <= 1)) AS BIGINT) AS n_marked,
   array_to_string(list_filter(w, lambda x: levenshtein(lower(x), 'the') <= 1), '|') AS marked FROM w""")
 def fuzzy_highlights(spark, sf):
-    short = blocks(spark, sf).select("session_path", "line_no", F.substring("text", 1, 240).alias("t"))
-    parts = short.withColumn("p", T.highlight(F.col("t"), T.fuzzy_ranges(F.col("t"), ["the", "of"])))
-    said = lambda c: F.transform(c, lambda x: x["text"])
-    hits = F.filter("p", lambda x: x["hl"])
-    return parts.select("session_path", "line_no", F.array_join(said(F.col("p")), "").alias("joined"), F.size(hits).cast("long").alias("n_marked"), F.array_join(said(hits), "|").alias("marked"))
+    return _highlights(blocks(spark, sf).select("session_path", "line_no", F.substring("text", 1, 240).alias("t")))
+
+
+@register(f"""WITH {LINES_SQL}, w AS (SELECT *, list_filter(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}]+'), lambda x: levenshtein(lower(x), 'the') <= 1) AS w FROM blocks)
+SELECT session_path, line_no, text AS joined, CAST(len(w) AS BIGINT) AS n_marked, array_to_string(w, '|') AS marked FROM w""")
+def fuzzy_highlights_whole(spark, sf):
+    """Over whole texts; fuzzy_highlights sees the first 240 characters."""
+    return _highlights(blocks(spark, sf).select("session_path", "line_no", F.col("text").alias("t")))
 
 
 @register(f"""WITH {LINES_SQL}, s AS (SELECT session_path, count(*) FILTER (source = 'user') AS n, sum(length(text)) AS size, arg_min(model, line_no) AS model FROM lines GROUP BY session_path)

@@ -34,3 +34,19 @@ def test_oracle(spark, db, name):
     mine = sorted(repr([plain(r[c]) for c in names]) for r in found.collect())
     theirs = sorted(repr([plain(r[have.index(c)]) for c in names]) for r in cur.fetchall())
     assert mine == theirs
+
+
+def test_ranges_of_typo_hits(spark):
+    from palaver.operators import search
+
+    rows = [("s", 0, 0, "p", 1, "u", "user", "a panda 12 pandas"), ("s", 1, 0, "p", 1, "u", "user", "a pamda")]
+    docs = spark.createDataFrame(rows, "session_path string, line_no long, block_no long, project string, ts_ms long, uuid string, source string, text string")
+    found = {r["line_no"]: [tuple(x) for x in r["match_ranges"]] for r in search.search(docs, "panda").collect()}
+    assert found == {0: [(2, 7), (11, 16)], 1: [(2, 7)]}
+
+
+def test_highlights_beyond_a_prefix(spark, tmp_path):
+    text = "x " * 200 + "the teh thee end"
+    spark.createDataFrame([(1, 0, "user", text)], "conv_id long, turn long, role string, text string").coalesce(1).write.parquet(f"file://{tmp_path}/conversations.parquet")
+    row = QUERIES["fuzzy_highlights_whole"](spark, f"file://{tmp_path}").first()
+    assert (row["joined"], row["marked"]) == (text, "the|thee")
