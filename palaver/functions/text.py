@@ -191,7 +191,7 @@ def ts_millis(raw: Column) -> Column:
 
 def task_notification(text: Column) -> Column:
     """Fields of a task notification as a map; dashes in names become underscores."""
-    get = lambda tag: F.trim(F.regexp_extract(text, rf"(?s)<{tag}>(.*?)</{tag}>", 1))
+    get = lambda tag: squeeze(F.regexp_extract(text, rf"(?s)<{tag}>(.*?)</{tag}>", 1))
     # Tags of the format.
     plain = ["task-id", "tool-use-id", "output-file", "status", "summary", "result", "usage"]
     pairs = [x for tag in plain for x in (F.lit(tag.replace("-", "_")), get(tag))]

@@ -124,10 +124,13 @@ def cold(blocks: DataFrame, query: str) -> DataFrame:
     return blocks.withColumn("score", score.cast("double")).filter("score > 0")
 
 
-def two_tier(blocks: DataFrame, indexed: DataFrame, query: str, limit: int = DEFAULT_LIMIT) -> DataFrame:
-    """Ranked hits of indexed sessions, then substring hits of the others while there is room; ``tier`` 0 and 1."""
+def two_tier(blocks: DataFrame, indexed: DataFrame, query: str, limit: int | None = DEFAULT_LIMIT) -> DataFrame:
+    """Ranked hits of indexed sessions, then substring hits of the others while there is room; ``tier`` 0 and 1.
+    No limit: all of both, in no order."""
     warm_blocks = blocks.join(indexed.select("session_path").distinct(), "session_path", "left_semi")
     cold_blocks = blocks.join(indexed.select("session_path").distinct(), "session_path", "left_anti")
-    warm = matches(warm_blocks, query).orderBy(F.desc("score"), *DOC).limit(limit).withColumn("tier", F.lit(0))
-    both = warm.unionByName(cold(cold_blocks, query).withColumn("tier", F.lit(1)))
+    warm, late = matches(warm_blocks, query).withColumn("tier", F.lit(0)), cold(cold_blocks, query).withColumn("tier", F.lit(1))
+    if limit is None:
+        return warm.unionByName(late).dropDuplicates(DOC)
+    both = warm.orderBy(F.desc("score"), *DOC).limit(limit).unionByName(late)
     return both.dropDuplicates(DOC).orderBy("tier", F.desc("score"), *DOC).limit(limit)

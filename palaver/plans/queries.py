@@ -158,7 +158,7 @@ cold AS ({cold_sql(QUERY, "(SELECT * FROM blocks WHERE project = 'p0')")}),
 top AS (SELECT session_path, line_no, block_no, score FROM hits {TOP} LIMIT 100000)
 SELECT session_path, line_no, block_no, score, 0 AS tier FROM top UNION ALL SELECT session_path, line_no, block_no, score, 1 FROM cold""")
 def warm_cold_union(spark, sf):
-    return search.two_tier(blocks(spark, sf), _indexed(spark, sf), QUERY, 100000).select(*search.DOC, "score", "tier")
+    return search.two_tier(blocks(spark, sf), _indexed(spark, sf), QUERY, None).select(*search.DOC, "score", "tier")
 
 
 @register(f"WITH {LINES_SQL} SELECT DISTINCT session_path FROM lines WHERE project = 'p0' OR session_path NOT IN (SELECT session_path FROM lines WHERE line_no = 0)")
@@ -378,14 +378,23 @@ def tool_intent(spark, sf):
     return lines(spark, sf).select("session_path", "line_no", tools.tool_intent(name, given).alias("intent"))
 
 
-@register(f"WITH {LINES_SQL} SELECT session_path, line_no, concat('t', line_no) AS task_id, 'done' AS status, text AS summary FROM blocks WHERE NOT contains(text, '<') AND trim(text) = text")
-def task_notification(spark, sf):
-    own = blocks(spark, sf).filter(~F.col("text").contains("<") & (F.trim("text") == F.col("text")))
+def _notifications(own: DataFrame) -> DataFrame:
     said = F.concat(F.lit("<task-notification>\n<task-id>t"), "line_no", F.lit("</task-id>\n<status> done </status><summary>"), "text", F.lit("</summary></task-notification>"))
     found = own.select("session_path", "line_no", T.task_notification(said).alias("m"))
     return found.select("session_path", "line_no", F.col("m.task_id").alias("task_id"), F.col("m.status").alias("status"), F.col("m.summary").alias("summary"))
 
 
+@register(f"WITH {LINES_SQL} SELECT session_path, line_no, concat('t', line_no) AS task_id, 'done' AS status, text AS summary FROM blocks WHERE NOT contains(text, '<') AND trim(text) = text")
+def task_notification(spark, sf):
+    return _notifications(blocks(spark, sf).filter(~F.col("text").contains("<") & (F.trim("text") == F.col("text"))))
+
+
+@register(None)
+def task_notification_all(spark, sf):
+    """Every block as a notification; one that holds the closing tag ends there."""
+    return _notifications(blocks(spark, sf))
+
+
 TURNS_SQL = """k AS (SELECT *, sum(CASE WHEN source = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY session_path ORDER BY line_no) AS seg FROM lines WHERE source IN ('user', 'assistant') AND line_no % 5 <> 3),
 l AS (SELECT *, lag(source) OVER (PARTITION BY session_path ORDER BY line_no) AS prev,
   last_value(CASE WHEN source = 'assistant' THEN request_id END IGNORE NULLS) OVER (PARTITION BY session_path, seg ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM k),
@@ -417,6 +426,16 @@ def jump_to_row(spark, sf):
     return sequence.jump(own, F.col("line_no") % 3 == 0, own.filter("line_no % 4 = 1"), shown=2)
 
 
+@register(f"""WITH {LINES_SQL}, r AS (SELECT *, line_no % 3 = 0 AS t FROM lines),
+g AS (SELECT *, sum(CASE WHEN t THEN 1 ELSE 0 END) OVER (PARTITION BY session_path ORDER BY line_no) AS g FROM r),
+i AS (SELECT *, dense_rank() OVER (PARTITION BY session_path ORDER BY g, t DESC) - 1 AS item FROM g)
+SELECT session_path, uuid, line_no, item, CASE WHEN item >= 2 THEN item + 50 ELSE 2 END AS shown FROM i""")
+def jump_to_every_row(spark, sf):
+    """All rows as targets; jump_to_row takes one row of four."""
+    own = lines(spark, sf)
+    return sequence.jump(own, F.col("line_no") % 3 == 0, own, shown=2)
+
+
 @register(f"""WITH {LINES_SQL}, k(content_no, kind, text_no) AS (VALUES (0, 'thinking', -1), (1, 'text', 0), (2, 'tool_use', -1), (3, 'tool_result', -1), (4, 'unknown', -1), (5, 'unknown', -1))
 SELECT session_path, line_no, CAST(content_no AS BIGINT) AS content_no, kind, CAST(text_no AS BIGINT) AS text_no FROM lines, k""")
 def text_ordinals(spark, sf):
