@@ -3,10 +3,11 @@
 Every text gives the counts of the usual heuristics (words, symbols, repeated
 lines, repeated five-word windows, capitals, exclamation).  Their ratios feed an
 isolation forest: rows that random splits isolate after few steps are anomalous.
-The threshold on the anomaly score comes from labelled rows.
+The threshold on the anomaly score comes from all labelled rows.
 
-The forest is fitted on at most ``max_fit`` labelled rows, those with the
-smallest hashed ids, so what the driver holds is bounded.  All rows are scored.
+The forest is grown on at most ``max_fit`` labelled rows, those with the
+smallest hashed ids; the threshold is chosen from counts of all labelled rows by
+bins of their score, so what the driver holds is bounded.  All rows are scored.
 
 Defined results: a null or empty text has no words, all counts are 0 and it
 fails the base rules.  Repeated rows give repeated results.  Without labelled
@@ -33,8 +34,10 @@ SPACES = b" \t\n\x0b\x0c\r"
 WINDOW = 5
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
-#: Rows the forest and its threshold are fitted on, at most.
+#: Rows the forest is grown on, at most.
 MAX_FIT = 6000
+#: Bins of the score, which lies between 0 and 1, that the threshold is chosen from.
+BINS = 1 << 16
 #: Statistics and the shares up to which ordinary prose goes.  The forest sees what
 #: lies above, so that ordinary texts share one point and junk stands apart.
 FEATURES = {"symbols": 0.02, "dup_lines": 0.3, "repeats": 0.2, "capitals": 0.15, "shouts": 0.02, "runs": 0.04}
@@ -168,14 +171,20 @@ def grow(x: np.ndarray, trees: int = 100, sample: int = 256, seed: int = 9) -> F
 
 
 def calibrate(scores: np.ndarray, good: np.ndarray, cost: float = 10.0) -> float:
+    """The threshold of ``calibrate_counts`` for single rows."""
+    own, at = np.unique(scores, return_inverse=True)
+    return calibrate_counts(own, own, np.bincount(at[good], minlength=len(own)), np.bincount(at[~good], minlength=len(own)), cost)
+
+
+def calibrate_counts(low: np.ndarray, high: np.ndarray, good: np.ndarray, bad: np.ndarray, cost: float = 10.0) -> float:
     """The score above which rows are rejected: least missed junk plus ``cost``
-    times lost good rows, in shares; within the best range, its middle."""
-    if not good.any() or good.all():
+    times lost good rows, in shares; within the best range, its middle.  Given are
+    the lowest and highest score and the good and bad rows of ascending bins."""
+    if not good.sum() or not bad.sum():
         return 2.0
-    cuts = np.unique(scores)
-    cuts = np.concatenate([cuts[:1] - 1e-6, (cuts[1:] + cuts[:-1]) / 2, cuts[-1:] + 1e-6])
-    lost = 1 - np.searchsorted(np.sort(scores[good]), cuts) / good.sum()
-    missed = np.searchsorted(np.sort(scores[~good]), cuts) / (~good).sum()
+    cuts = np.concatenate([low[:1] - 1e-6, (low[1:] + high[:-1]) / 2, high[-1:] + 1e-6])
+    lost = 1 - np.concatenate([[0], np.cumsum(good)]) / good.sum()
+    missed = np.concatenate([[0], np.cumsum(bad)]) / bad.sum()
     loss = missed + cost * lost
     best = np.flatnonzero(loss <= loss.min() + 1e-12)
     return float((cuts[best[0]] + cuts[best[-1]]) / 2)
@@ -186,12 +195,9 @@ def _texts(batch: pa.RecordBatch, name: str = "text") -> list[bytes | None]:
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_fit: int = MAX_FIT) -> Forest | None:
-    """Forest and threshold from the labelled rows with the smallest hashed ids."""
-    chosen = (
-        labels.filter(F.col("doc_id").isNotNull() & F.col("quality").isNotNull())
-        .groupBy("doc_id").agg(F.min("quality").alias("quality"))
-        .orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_fit)
-    )
+    """Forest from the labelled rows with the smallest hashed ids, threshold from all labelled rows."""
+    labelled = labels.filter(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    chosen = labelled.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_fit)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -210,13 +216,36 @@ def fit(docs: DataFrame, labels: DataFrame, max_fit: int = MAX_FIT) -> Forest |
     rows = [r["r"] for r in rows if not base_failed(r["r"]["counts"][0], r["r"]["counts"][4])]
     if not rows:
         return None
-    x = np.array([r["ratios"] for r in rows])
-    good = np.array([r["quality"] > 0 for r in rows])
-    forest = grow(x)
-    forest.threshold = calibrate(forest.scores(x), good)
+    forest = grow(np.array([r["ratios"] for r in rows]))
+    forest.threshold = _threshold(docs, labelled, forest)
     return forest
 
 
+def _threshold(docs: DataFrame, labelled: DataFrame, forest: Forest) -> float:
+    """From the counts of good and bad rows by bins of the score, BINS at most."""
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                found = [statistics(t) for t in _texts(b)]
+                counts, score = [c for c, _ in found], forest.scores(np.array([f for _, f in found]))
+                failed = [bool(base_failed(c[0], c[4])) for c in counts]
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(counts, pa.list_(pa.int64())), pa.array(score), pa.array(failed)], names=["doc_id", "counts", "score", "failed"])
+
+    kind = dict(docs.dtypes)["doc_id"]
+    scored = (
+        docs.filter(F.col("doc_id").isNotNull()).select("doc_id", "text").mapInArrow(measure, f"doc_id {kind}, counts array<long>, score double, failed boolean")
+        .groupBy("doc_id").agg(F.min(F.struct("counts", "score", "failed")).alias("r"))
+        .join(labelled, "doc_id").filter(~F.col("r.failed")).select("r.score", (F.col("quality") > 0).alias("good"))
+    )
+    bins = (
+        scored.groupBy(F.floor(F.col("score") * BINS).alias("bin"))
+        .agg(F.min("score").alias("low"), F.max("score").alias("high"), F.count_if("good").alias("good"), F.count_if(~F.col("good")).alias("bad"))
+        .orderBy("bin").collect()
+    )
+    return calibrate_counts(*[np.array([r[c] for r in bins]) for c in ("low", "high", "good", "bad")])
+
+
 def judge(docs: DataFrame, labels: DataFrame, carry: tuple[str, ...] = ("doc_id",), max_fit: int = MAX_FIT) -> DataFrame:
     """``carry`` columns, the counts, ``score``, ``base_failed`` and ``kept`` of every row."""
     forest = fit(docs, labels, max_fit)

@@ -416,6 +416,25 @@ def test_window_codes_are_exact():
     assert len(set(zip(codes.tolist(), grams, strict=True))) == len(set(grams)) == len(set(codes.tolist()))
 
 
+def test_threshold_sees_all_labelled_rows(spark):
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    forest = quality.fit(docs, labels, 20)
+    text = {r["doc_id"]: r["text"] for r in docs.collect()}
+    found = [(quality.statistics(text[r["doc_id"]] and text[r["doc_id"]].encode()), r["quality"] > 0) for r in labels.collect() if r["doc_id"] in text]
+    own = [(f, good) for (c, f), good in found if not quality.base_failed(c[0], c[4])]
+    assert len(own) > 40
+    scores, good = forest.scores(np.array([f for f, _ in own])), np.array([g for _, g in own])
+    assert abs(forest.threshold - quality.calibrate(scores, good)) < 1e-4
+    for seed in range(20):  # calibrated as by counting above each cut
+        rng = np.random.default_rng(seed)
+        s, g = rng.integers(0, 9, 40) / 9, rng.random(40) < 0.6
+        cuts = np.unique(s)
+        cuts = np.concatenate([cuts[:1] - 1e-6, (cuts[1:] + cuts[:-1]) / 2, cuts[-1:] + 1e-6])
+        loss = np.array([(s[~g] <= c).mean() + 10 * (s[g] > c).mean() for c in cuts])
+        best = np.flatnonzero(loss <= loss.min() + 1e-9)
+        assert abs(quality.calibrate(s, g) - (cuts[best[0]] + cuts[best[-1]]) / 2) < 1e-9
+
+
 # 10 -----------------------------------------------------------------------------------------
 
 
