@@ -5,26 +5,35 @@ Links: fingerprints at most ``radius`` (3) bits apart.
 
 1. Texts become fingerprints; rows of one fingerprint are one node from here on,
    so thousands of exact copies cost one row.
-2. Every distinct fingerprint gets its pivot table row: Hamming distances to
-   PIVOTS reference fingerprints, a byte each, computed once.
-3. Two fingerprints within 3 bits agree in at least 2 of 5 bit fields, so a
-   pair meets under one of ten keys of two fields.  Keys with one member go.  A
-   crowded key is dealt into tiles of at most about TILE members, and each pair
-   of tiles is one bounded unit of work: no link is lost and no task holds an
-   unbounded group.
-4. Within a unit, pairs whose pivot rows differ by more than 3 in any coordinate
-   are discarded (triangle inequality); survivors are verified on the
-   fingerprints.  A unit returns a spanning forest of its links, not all pairs.
-5. Star contraction joins the forests into components.
-
-Random pivots discard about half of random pairs each, so pivot coordinates
-alone would make poor partition keys; the bit fields deal the pairs out, the
-pivot table does the discarding.
+2. Every distinct fingerprint gets its row of the pivot table, computed once:
+   Hamming distances to one base reference, to NEAR references that are the base
+   with one pair of bits turned, and to FAR random references.
+3. Cells.  The distance to the base less that to a near reference is -2, 0 or 2:
+   a coordinate that one differing bit moves by a step, and no bit moves two
+   coordinates.  Fingerprints ``radius`` bits apart thus differ in ``radius``
+   coordinates at most, and of GROUPS groups of coordinates all but ``radius``
+   agree throughout.  A fingerprint goes to the cells named by the coordinates of
+   every choice of that many groups (20 cells of about 24 bits for three bits), so
+   each link meets in a cell, whatever the data.
+4. Cells with one member go.  A crowded cell is dealt into tiles of at most about
+   TILE members, and each pair of tiles is one bounded unit of work: no link is
+   lost and no task holds an unbounded group.  Rows of very crowded cells meet a
+   broadcast of their counts and are not shuffled to one task.
+5. Within a unit, pairs are discarded whose rows of the table differ by more than
+   ``radius`` in any coordinate (triangle inequality), coordinate by coordinate;
+   survivors are verified on the fingerprints.  A unit returns a spanning forest
+   of its links, not all pairs.
+6. Star contraction joins the forests into components.
+
+Single random references pass half of all random pairs, so cells come from the
+near references, whose coordinates are independent of each other, and discarding
+from the far ones, which see all bits.
 
 Defined results: null, empty and blank texts have fingerprint zero and are
 linked like others.  Repeated rows are repeated in the result.  A null doc_id
 keeps its row and is never a component's name; a component of null ids only has
-a null name.  Columns other than doc_id and text are not read.
+a null name.  An empty table has an empty result.  Texts of any length are read
+whole.  Columns other than doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -45,9 +54,10 @@ from .graph import components
 SHINGLE = 3
 SEED = 42
 RADIUS = 3
-PIVOTS = 16
+NEAR = 32
+FAR = 16
+GROUPS = 6
 TILE = 1500
-FIELDS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
 
@@ -82,99 +92,125 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(apply, f"doc_id {kind}, fp long")
 
 
-def references(n: int = PIVOTS) -> list[int]:
-    """The reference fingerprints, as signed longs: hashes of their numbers."""
-    return [int(np.uint64(xxhash.xxh64_intdigest(f"pivot {k}".encode(), SEED)).view(np.int64)) for k in range(n)]
+def references() -> tuple[int, list[int], list[int]]:
+    """The base reference, the near ones and the far ones, as signed longs."""
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    base = xxhash.xxh64_intdigest(b"base reference", SEED)
+    near = [base ^ (3 << (64 // NEAR * k)) for k in range(NEAR)]
+    far = [xxhash.xxh64_intdigest(f"far reference {k}".encode(), SEED) for k in range(FAR)]
+    return signed(base), [signed(x) for x in near], [signed(x) for x in far]
 
 
-def pivot_rows() -> list[Column]:
-    """Distances to eight references packed into each long."""
+def distance(reference: int) -> Column:
+    return F.bit_count(F.col("fp").bitwiseXOR(F.lit(reference)))
+
+
+def table_columns(groups: int = GROUPS) -> list[Column]:
+    """The pivot table's row: the near distances as a code for each group of coordinates, ``g0`` and
+    so on, and the far ones, eight to a long, ``p0`` and ``p1``."""
+    base, near, far = references()
+    codes = []
+    for k in range(groups):
+        code = F.lit(0)
+        for reference in near[k::groups]:
+            code = code * 3 + 1 + ((distance(base) - distance(reference)) / 2).cast("int")
+        codes.append(code.cast("long").alias(f"g{k}"))
     packed = []
-    refs = references()
-    for at in range(0, PIVOTS, 8):
+    for at in range(0, FAR, 8):
         value = F.lit(0).cast("long")
-        for k, ref in enumerate(refs[at : at + 8]):
-            distance = F.bit_count(F.col("fp").bitwiseXOR(F.lit(ref))).cast("long")
-            value = value.bitwiseOR(F.shiftleft(distance, 8 * k))
+        for k, reference in enumerate(far[at : at + 8]):
+            value = value.bitwiseOR(F.shiftleft(distance(reference).cast("long"), 8 * k))
         packed.append(value.alias(f"p{at // 8}"))
-    return packed
+    return codes + packed
 
 
-def field_keys() -> Column:
-    """The ten keys of a fingerprint: number of the pair of fields in the top bits, then the fields."""
-    fp = F.col("fp")
-    keys = []
-    for number, ((a, n), (b, m)) in enumerate(combinations(FIELDS, 2)):
-        low = F.shiftrightunsigned(fp, a).bitwiseAND(F.lit((1 << n) - 1))
-        high = F.shiftrightunsigned(fp, b).bitwiseAND(F.lit((1 << m) - 1))
-        keys.append(F.lit(number << 32).cast("long").bitwiseOR(F.shiftleft(high, 16)).bitwiseOR(low))
-    return F.explode(F.array(*keys))
+def cells(radius: int = RADIUS, groups: int = GROUPS) -> Column:
+    """The cells of a table row: the choice of groups and their codes."""
+    names = []
+    for number, chosen in enumerate(combinations(range(groups), groups - radius)):
+        name = F.lit(number).cast("long")
+        for k in chosen:
+            name = name * 3 ** len(range(k, NEAR, groups)) + F.col(f"g{k}")
+        names.append(name)
+    return F.explode(F.array(*names))
 
 
-def links_within(fps: np.ndarray, table: np.ndarray, radius: int, split: int | None = None) -> list[tuple[int, int]]:
-    """A spanning forest, as index pairs, of the links among ``fps``.
+def forest(fps: np.ndarray, table: np.ndarray, unit: np.ndarray, side: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """(k, m): every row k of a component of links within its unit, but the component's first row m.
 
-    With ``split``, only pairs across it: rows before it against rows from it on.
+    Rows of a unit stand together.  Where a unit has rows of two sides, only pairs across count.
     """
     n = len(fps)
-    root = list(range(n))
-
-    def find(k: int) -> int:
-        while root[k] != k:
-            root[k] = root[root[k]]
-            k = root[k]
-        return k
-
-    found = []
-    for i in range(n - 1 if split is None else split):
-        start = i + 1 if split is None else split
-        near = np.arange(start, n)
+    end = np.searchsorted(unit, unit, side="right")
+    two = side != side[np.searchsorted(unit, unit)]
+    mixed = np.zeros(n, bool)
+    mixed[:] = np.isin(unit, unit[two]) if two.any() else False
+    firsts, seconds = [], []
+    rows = np.arange(n)
+    for gap in range(1, int(np.bincount(unit - unit[0]).max()) if n else 1):
+        rows = rows[rows + gap < end[rows]]
+        i, j = rows, rows + gap
+        keep = ~mixed[i] | (side[i] != side[j])
+        i, j = i[keep], j[keep]
         for c in range(table.shape[1]):  # the pivot table discards, coordinate by coordinate
-            near = near[np.abs(table[near, c] - table[i, c]) <= radius]
-            if not len(near):
+            near = np.abs(table[i, c] - table[j, c]) <= radius
+            i, j = i[near], j[near]
+            if not len(i):
                 break
-        if not len(near):
-            continue
-        for j in near[np.bitwise_count(fps[near] ^ fps[i]) <= radius].tolist():
-            a, b = find(i), find(j)
-            if a != b:
-                root[max(a, b)] = min(a, b)
-                found.append((i, j))
-    return found
-
-
-def links(nodes: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
-    """(u, v): for ``nodes`` (rep, fp), all distinct in fp, links whose components are those of all links."""
-    keyed = nodes.select("fp", "rep", *pivot_rows()).withColumn("key", field_keys())
-    shared = keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-    met = keyed.join(shared, "key")
-    tiles = F.ceil(F.col("n") / F.lit(tile)).cast("int")
+        true = np.bitwise_count(fps[i] ^ fps[j]) <= radius
+        firsts.append(i[true])
+        seconds.append(j[true])
+    i, j = (np.concatenate([*x, np.zeros(0, np.int64)]).astype(np.int64) for x in (firsts, seconds))
+    low = np.arange(n)
+    while len(i):
+        least = np.minimum(low[i], low[j])
+        now = low.copy()
+        for at in (i, j, low[i], low[j]):
+            np.minimum.at(now, at, least)
+        now = now[now]
+        if (now == low).all():
+            break
+        low = now
+    moved = np.flatnonzero(low != np.arange(n))
+    return moved, low[moved]
+
+
+def links(nodes: DataFrame, radius: int = RADIUS, tile: int = TILE, groups: int = GROUPS) -> DataFrame:
+    """(u, v): for ``nodes`` (fp, all distinct), links whose components are those of all links."""
+    if not 0 <= radius < groups:
+        raise ValueError("more groups than bits are needed")
+    rows = cut(nodes.select("fp", *table_columns(groups)))
+    keyed = rows.select("fp", "p0", "p1", cells(radius, groups).alias("cell"))
+    shared = cut(keyed.groupBy("cell").agg(F.count("*").alias("n")).filter("n > 1").withColumn("rows", F.col("n")))
+    met = hot_left_join(keyed, shared, "cell", "n").filter("rows is not null")
     own = F.pmod(F.xxhash64("fp"), F.col("k")).cast("int")
     units = (
-        met.withColumn("k", tiles).withColumn("own", own)
+        met.withColumn("k", F.ceil(F.col("rows") / F.lit(tile)).cast("int")).withColumn("own", own)
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-        .groupBy("key", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"))
-        .agg(F.collect_list(F.struct("own", "fp", "rep", "p0", "p1")).alias("m"))
+        .groupBy("cell", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"))
+        .agg(F.collect_list(F.struct("own", "fp", "p0", "p1")).alias("m"))
         .filter(F.size("m") > 1)
-        .select("a", "b", F.col("m.own").alias("own"), F.col("m.fp").alias("fp"), F.col("m.rep").alias("rep"), F.col("m.p0").alias("p0"), F.col("m.p1").alias("p1"))
+        .select(F.col("m.own").alias("own"), F.col("m.fp").alias("fp"), F.col("m.p0").alias("p0"), F.col("m.p1").alias("p1"))
     )
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            us, vs = [], []
-            a, b = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            at = np.asarray(batch.column(2).offsets)
-            own, fp, rep, p0, p1 = (batch.column(k).values.to_numpy(zero_copy_only=False) for k in range(2, 7))
-            for r in range(batch.num_rows):
-                part = slice(at[r], at[r + 1])
-                order = np.lexsort((fp[part], own[part]))
-                fps, reps = fp[part][order].view(np.uint64), rep[part][order]
-                table = np.concatenate([np.ascontiguousarray(p[part][order]).view(np.uint8).reshape(-1, 8) for p in (p0, p1)], axis=1).astype(np.int16)
-                split = None if a[r] == b[r] else int(np.searchsorted(own[part][order], b[r]))
-                for i, j in links_within(fps, table, radius, split):
-                    us.append(reps[i])
-                    vs.append(reps[j])
-            yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
+            sizes = np.diff(np.asarray(batch.column(0).offsets))
+            order = np.argsort(sizes, kind="stable")  # units of like size together
+            at, ends = np.asarray(batch.column(0).offsets), np.cumsum(sizes[order])
+            own, fp, p0, p1 = (batch.column(k).values.to_numpy(zero_copy_only=False) for k in range(4))
+            us, vs, first = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
+            while first < len(order):  # about 4 tiles of rows at a time
+                last = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + 4 * TILE)))
+                part = order[first:last]
+                rows = np.concatenate([np.arange(at[r], at[r + 1]) for r in part])
+                unit = np.repeat(np.arange(len(part)), sizes[part])
+                table = np.concatenate([np.ascontiguousarray(p[rows]).view(np.uint8).reshape(-1, 8) for p in (p0, p1)], axis=1).astype(np.int16)
+                a, b = forest(fp[rows].view(np.uint64), table, unit, own[rows], radius)
+                us.append(fp[rows][a])
+                vs.append(fp[rows][b])
+                first = last
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(us)), pa.array(np.concatenate(vs))], names=["u", "v"])
 
     return units.mapInArrow(apply, "u long, v long").distinct()
 
@@ -184,7 +220,7 @@ def _classes(docs: DataFrame, radius: int) -> tuple[DataFrame, DataFrame]:
     rows = cut(fingerprints(docs).withColumn("doc_id", F.col("doc_id").cast("long")))
     nodes = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")))
     # nodes are named by fingerprint, as all rows of one may have null ids
-    joined = components(links(nodes.select("fp", F.col("fp").alias("rep")), radius))
+    joined = components(links(nodes.select("fp"), radius))
     named = nodes.join(joined, nodes["fp"] == joined["node"], "left").withColumn("component", F.coalesce("component", "fp"))
     least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
     return rows, cut(named.join(least, "component").select("fp", "rep", "n", "component", "component_id"))

@@ -504,7 +504,7 @@ def test_links_of_crowded_keys(spark):
     signed = [(x - 2**64 if x >= 2**63 else x,) for x in sorted(fps)]
     from palaver.llm.graph import components
 
-    nodes = spark.createDataFrame(signed, "fp long").withColumn("rep", F.col("fp"))
+    nodes = spark.createDataFrame(signed, "fp long")
     found = {r["node"]: r["component"] for r in components(simhash.links(nodes, tile=20)).collect()}
     want = brute_components({x[0]: x[0] % 2**64 for x in signed})
     groups = defaultdict(set)
@@ -513,6 +513,33 @@ def test_links_of_crowded_keys(spark):
     assert all(len(g) == 1 for g in groups.values()) and len({next(iter(g)) for g in groups.values()}) == len(groups)
 
 
+def test_links_come_from_cells_of_the_pivot_table(spark):
+    """Every pair within the radius shares a cell, and cells alone leave few of the other pairs."""
+    rng = random.Random(9)
+    base = [rng.getrandbits(64) for _ in range(300)]
+    near = [x ^ sum(1 << b for b in rng.sample(range(64), 3)) for x in base]
+    signed = [(x - 2**64 if x >> 63 else x,) for x in base + near]
+    for radius, groups in ((3, 6), (3, 5), (1, 4)):
+        rows = spark.createDataFrame(signed, "fp long").select("fp", *simhash.table_columns(groups)).select("fp", simhash.cells(radius, groups).alias("cell"))
+        of = defaultdict(set)
+        for r in rows.collect():
+            of[r["fp"]].add(r["cell"])
+        if radius == 3:
+            assert all(of[signed[k][0]] & of[signed[300 + k][0]] for k in range(300))
+            assert sum(bool(of[signed[0][0]] & of[x[0]]) for x in signed[1:300]) <= 2
+        else:
+            flip = [x ^ (1 << k % 64) for k, x in enumerate(base)]
+            other = spark.createDataFrame([(x - 2**64 if x >> 63 else x,) for x in flip], "fp long").select("fp", *simhash.table_columns(groups)).select("fp", simhash.cells(radius, groups).alias("cell"))
+            there = defaultdict(set)
+            for r in other.collect():
+                there[r["fp"]].add(r["cell"])
+            assert all(of[signed[k][0]] & there[x - 2**64 if x >> 63 else x] for k, x in enumerate(flip))
+    # far references never discard a link, and discard nearly all of what shares no link
+    table = np.array([[(x ^ (r % 2**64)).bit_count() for r in simhash.references()[2]] for x in base + near])
+    apart = np.abs(table[:300] - table[300:]).max(1)
+    assert apart.max() <= 3 and np.mean(np.abs(table[:299] - table[1:300]).max(1) <= 3) < 0.01
+
+
 def test_components_of_hubs_and_chains(spark):
     """One node with most edges, chains, loops, nulls and repeated edges."""
     from palaver.llm.graph import components
