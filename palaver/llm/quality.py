@@ -1,9 +1,15 @@
 """Quality rules (9): an isolation forest over rule statistics.
 
-Every text gives the counts of the usual heuristics (words, symbols, repeated
-lines, repeated five-word windows, capitals, exclamation).  Their ratios feed an
-isolation forest: rows that random splits isolate after few steps are anomalous.
-The threshold on the anomaly score comes from all labelled rows.
+Every text gives the counts of the usual heuristics (words, symbols, words with
+symbols, repeated lines, repeated five-word windows, words said twice in a row,
+capitals, exclamation, word length).  Their ratios, as they are but for the
+arcsine of the root that evens out the spread of shares, feed an isolation
+forest: rows that random splits isolate after few steps are anomalous.
+
+What the labels decide: a tree splits a statistic the more often the better it
+tells good labelled rows from bad ones by rank; each tree's sample has at most a
+twentieth of bad rows, as anomalies must be few in it; and the threshold on the
+anomaly score is chosen from all labelled rows.  No cutoff is set by hand.
 
 The forest is grown on at most ``max_fit`` labelled rows, those with the
 smallest hashed ids; the threshold is chosen from counts of all labelled rows by
@@ -11,14 +17,17 @@ bins of their score, so what the driver holds is bounded.  All rows are scored.
 
 Defined results: a null or empty text has no words, all counts are 0 and it
 fails the base rules.  Repeated rows give repeated results.  Without labelled
-rows the verdict is the base rules' alone.  Labels with null ids or null quality
-are ignored.  Other columns of the inputs are not read.
+rows of both kinds the verdict is the base rules' alone.  Labels with null ids or
+null quality are ignored.  An empty table has an empty result; texts of any
+length are read whole.  Other columns of the inputs are not read.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from math import asin, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -38,10 +47,11 @@ MAX_REPEAT_PERCENT = 20
 MAX_FIT = 6000
 #: Bins of the score, which lies between 0 and 1, that the threshold is chosen from.
 BINS = 1 << 16
-#: Statistics and the shares up to which ordinary prose goes.  The forest sees what
-#: lies above, so that ordinary texts share one point and junk stands apart.
-FEATURES = {"symbols": 0.02, "dup_lines": 0.3, "repeats": 0.2, "capitals": 0.15, "shouts": 0.02, "runs": 0.04}
+#: Share of bad rows in a tree's sample, at most.
+FEW = 0.05
+FEATURES = ("symbols", "symbol_words", "dup_lines", "repeats", "capitals", "shouts", "runs", "word_length")
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+MARKED = re.compile(rb"[^ \t-\r]*[#*$%&|<>][^ \t-\r]*")
 
 
 def window_codes(ids: np.ndarray, distinct: int, width: int) -> np.ndarray:
@@ -76,13 +86,14 @@ def repeated_words(words: list[bytes]) -> tuple[int, int]:
 
 
 def statistics(text: bytes | None) -> tuple[list[int], list[float]]:
-    """The counts of COUNTS and the ratios of FEATURES of one text."""
+    """The counts of COUNTS and the values of FEATURES of one text."""
     text = text or b""
     words = text.split()
     n = len(words)
     points = int(np.count_nonzero((np.frombuffer(text, np.uint8) & 0xC0) != 0x80))
     chars = points - (len(text) - len(text.translate(None, SPACES)))
     symbols = len(text) - len(text.translate(None, SYMBOLS))
+    marked = sum(1 for _ in MARKED.finditer(text)) if symbols else 0
     lines, with_word, dup = set(), 0, 0
     for line in text.split(b"\n"):
         if line.strip():
@@ -95,10 +106,10 @@ def statistics(text: bytes | None) -> tuple[list[int], list[float]]:
     shouts = len(text) - len(text.translate(None, SHOUTS))
     # a prior of some clean words keeps short texts from looking extreme
     shares = (
-        symbols / (chars + 20), dup / (with_word + 3), repeat / (n + 10),
+        symbols / (chars + 20), marked / (n + 10), dup / (with_word + 3), repeat / (n + 10),
         capitals / (chars + 20), shouts / (chars + 20), runs / (n + 10),
     )
-    return [n, chars, symbols, dup, repeat], [max(0.0, x - y) for x, y in zip(shares, FEATURES.values(), strict=True)]
+    return [n, chars, symbols, dup, repeat], [*(asin(sqrt(min(1.0, x))) for x in shares), chars / max(1, n)]
 
 
 def base_failed(n_words: int, n_repeat: int) -> bool:
@@ -142,25 +153,41 @@ class Forest:
         return 2.0 ** (-total / trees / self.norm)
 
 
-def grow(x: np.ndarray, trees: int = 100, sample: int = 256, seed: int = 9) -> Forest:
-    """Isolation trees, each over ``sample`` rows drawn without replacement."""
+def separation(x: np.ndarray, good: np.ndarray) -> np.ndarray:
+    """How well each column tells good rows from others: 0 by chance, 1 wholly (twice the area under the curve, less 1)."""
+    out = np.zeros(x.shape[1])
+    n, m = int(good.sum()), int((~good).sum())
+    for k in range(x.shape[1]) if n and m else ():
+        _, at, counts = np.unique(x[:, k], return_inverse=True, return_counts=True)
+        rank = (np.cumsum(counts) - (counts - 1) / 2)[at]  # ties share their mean rank
+        out[k] = abs(2 * (rank[good].sum() - n * (n + 1) / 2) / (n * m) - 1)
+    return out
+
+
+def grow(x: np.ndarray, good: np.ndarray | None = None, trees: int = 100, sample: int = 128, seed: int = 9) -> Forest:
+    """Isolation trees, each over ``sample`` rows drawn without replacement, by what ``good`` tells of the statistics."""
     rng = np.random.default_rng(seed)
     sample = min(sample, len(x))
+    good = np.ones(len(x), bool) if good is None else good
+    weight = separation(x, good)
+    weight = weight if weight.any() else np.ones(x.shape[1])
+    fine, poor = np.flatnonzero(good), np.flatnonzero(~good)
+    few = min(len(poor), int(np.ceil(FEW * sample))) if len(fine) else min(len(poor), sample)
     limit = max(1, int(np.ceil(np.log2(max(2, sample))))) + 4
     size = 2 * sample + 2
     feature, split = np.full((trees, size), -1), np.zeros((trees, size))
     child, depth = np.zeros((trees, size), np.int64), np.zeros((trees, size))
     for t in range(trees):
-        rows = rng.choice(len(x), sample, replace=False)
+        rows = np.concatenate([rng.choice(fine, min(len(fine), sample - few), replace=False), rng.choice(poor, few, replace=False)])
         todo, used = [(0, rows, 0)], 1
         while todo:
             node, own, level = todo.pop()
             low, high = x[own].min(0), x[own].max(0)
-            wide = np.flatnonzero(high > low)
+            wide = np.flatnonzero((high > low) & (weight > 0))
             if level >= limit or len(own) < 2 or not len(wide):
                 depth[t, node] = level + mean_path(len(own))
                 continue
-            f = int(rng.choice(wide))
+            f = int(rng.choice(wide, p=weight[wide] / weight[wide].sum()))
             at = rng.uniform(low[f], high[f])
             at = at if at > low[f] else np.nextafter(low[f], high[f])
             feature[t, node], split[t, node], child[t, node] = f, at, used
@@ -196,7 +223,7 @@ def _texts(batch: pa.RecordBatch, name: str = "text") -> list[bytes | None]:
 
 def fit(docs: DataFrame, labels: DataFrame, max_fit: int = MAX_FIT) -> Forest | None:
     """Forest from the labelled rows with the smallest hashed ids, threshold from all labelled rows."""
-    labelled = labels.filter(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    labelled = labels.filter(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy("doc_id").agg(F.min("quality").cast("long").alias("quality"))
     chosen = labelled.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_fit)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -209,14 +236,14 @@ def fit(docs: DataFrame, labels: DataFrame, max_fit: int = MAX_FIT) -> Forest |
 
     rows = (
         docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-        .mapInArrow(measure, "doc_id long, counts array<long>, ratios array<double>, quality int")
+        .mapInArrow(measure, f"doc_id {dict(docs.dtypes)['doc_id']}, counts array<long>, ratios array<double>, quality long")
         .groupBy("doc_id").agg(F.min(F.struct("counts", "ratios", "quality")).alias("r"))
         .orderBy("doc_id").limit(max_fit).collect()
     )
     rows = [r["r"] for r in rows if not base_failed(r["r"]["counts"][0], r["r"]["counts"][4])]
     if not rows:
         return None
-    forest = grow(np.array([r["ratios"] for r in rows]))
+    forest = grow(np.array([r["ratios"] for r in rows]), np.array([r["quality"] > 0 for r in rows]))
     forest.threshold = _threshold(docs, labelled, forest)
     return forest
 

@@ -408,6 +408,35 @@ def test_quality(spark, odd, none):
     assert quality.judge(none, labels).count() == 0
 
 
+def test_the_forest_decides(spark):
+    """Held-out rows: without the forest junk stays, and no cutoff on one statistic that spares the good rows does as well."""
+    docs, labels = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    text = {r["doc_id"]: r["text"] for r in docs.collect()}
+    rows_ = [(r["doc_id"], *quality.statistics((text[r["doc_id"]] or "").encode()), r["quality"] > 0) for r in labels.collect() if r["doc_id"] in text]
+    rows_ = [r for r in rows_ if not quality.base_failed(r[1][0], r[1][4])]
+    x, good, odd_id = np.array([r[2] for r in rows_]), np.array([r[3] for r in rows_]), np.array([r[0] % 2 == 1 for r in rows_])
+    forest = quality.grow(x[~odd_id], good[~odd_id])
+    cut_off = quality.calibrate(forest.scores(x[~odd_id]), good[~odd_id])
+    kept = forest.scores(x[odd_id]) <= cut_off
+    lost, missed = (~kept[good[odd_id]]).mean(), kept[~good[odd_id]].mean()
+    assert lost <= 0.01 and missed <= 0.05
+    # the forest sees ordinary rows apart from each other, not as one point
+    assert len(np.unique(forest.scores(x[good]))) > good.sum() / 4
+    # grown without labels, or on ordinary rows alone, it does not reach that
+    blind = quality.grow(x[~odd_id])
+    limit = quality.calibrate(blind.scores(x[~odd_id]), good[~odd_id])
+    seen = blind.scores(x[odd_id]) <= limit
+    assert 10 * (~seen[good[odd_id]]).mean() + seen[~good[odd_id]].mean() > 10 * lost + missed
+    weights = quality.separation(x, good)
+    assert weights.argmax() in (0, 1) and (weights <= 1).all()
+
+
+def test_quality_takes_ids_of_any_type(spark):
+    docs = spark.createDataFrame([(f"d{k}", "plain words " * (k + 2) if k % 2 else "## $$ %% && " * 9) for k in range(12)], "doc_id string, text string")
+    labels = spark.createDataFrame([(f"d{k}", k % 2) for k in range(12)], "doc_id string, quality int")
+    assert quality.judge(docs, labels).count() == 12
+
+
 def test_window_codes_are_exact():
     rng = np.random.default_rng(5)
     ids = rng.integers(0, 3, 400) * 4_000_000
