@@ -1,39 +1,49 @@
 """Vector bin packing of tokenised examples (6).
 
 Every example has a demand on three resources of a sequence: tokens, segments
-and loss-bearing tokens.  Full sequences are cut off long examples first.  What
-remains is packed by the dot-product heuristic: of the remainders that fit, the
-open sequence takes the one whose demand has the largest dot product with what
-is left of the three limits (each as a share of its limit).  When none fits
-whole, one is cut to fill the sequence to its end, or, when the segment or loss
-limit closes it early, to the next power of two below, where no padding is
-needed.  What is left of a pool is laid into sequences of powers of two.
-
-Packing goes by pools of at most POOL remainders inside each task, so memory is
-bounded and nothing is shuffled; a task run again gives the same sequences.
+and loss-bearing tokens.  Which tokens bear loss is said by spans of the text
+(those of chat formatting, say); without spans all ids but the closing one do.
+Full sequences are cut off long examples first.  What remains is packed by the
+dot-product heuristic: of all remainders that fit, the open sequence takes the one
+whose demand has the largest dot product with what is left of the three limits
+(each as a share of its limit).  When none fits whole, one is cut to fill the
+sequence to its end, or, when the segment or loss limit closes it early, to the
+next power of two below, where no padding is needed.  What is left of a pool is
+laid into sequences of powers of two.
+
+For plain documents nearly every token bears loss, so with equal limits the loss
+limit coincides with the token limit; it binds where prompts are masked.
+
+Packing goes by pools of at most POOL examples and about POOL_IDS ids inside each
+task, so memory is bounded and nothing is shuffled; a task run again gives the
+same sequences.
 
 Defined results: a null or empty text is its closing id alone.  Repeated rows
-are packed each.  A null doc_id is kept.  Other columns are not read.
+are packed each.  A null doc_id is kept, and ids keep their type.  An empty table
+gives no pieces.  Texts of any length are encoded whole.  Null spans bear no loss.
+Other columns are not read.
 """
 
 from __future__ import annotations
 
 import base64
 import zlib
-from bisect import bisect_left, insort
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 MAX_TOKENS = 1024
 MAX_SEGMENTS = 64
 MAX_LOSS = 1024
 POOL = 2048
+POOL_IDS = 1 << 22
 CLOSING = 0
-PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+PIECES = ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "loss_tokens")
 
 
 def below(n: int) -> int:
@@ -41,28 +51,55 @@ def below(n: int) -> int:
     return 1 << (n.bit_length() - 1)
 
 
-def encoder(tokenizer: str, ranks: str | None = None) -> Callable[[str], np.ndarray]:
+class Encoder:
     """Ids of a text by the ``tokenizers`` file; by its twin of BPE ranks, which is
     several times faster, where both are sure to agree.
 
     They agree on texts without special tokens and without two white-space
     characters in a row, where the split pattern needs no look-ahead.
     """
-    import re
-
-    import tiktoken
-    from tokenizers import Tokenizer
 
-    whole = Tokenizer.from_file(tokenizer)
-    exact = lambda text: np.array(whole.encode(text, add_special_tokens=False).ids, np.uint32)
-    if not ranks:
-        return exact
-    with open(ranks, "rb") as f:
-        table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    pattern = r"'(?:[stmd]|re|ve|ll)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+"
-    quick = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=table, special_tokens={}).encode_ordinary
-    odd = re.compile(r"\s{2}|<\||[\x1c-\x1f\x85﻿]").search
-    return lambda text: exact(text) if odd(text) else np.array(quick(text), np.uint32)
+    def __init__(self, tokenizer: str, ranks: str | None = None) -> None:
+        import re
+
+        import tiktoken
+        from tokenizers import Tokenizer
+
+        self.whole = Tokenizer.from_file(tokenizer)
+        self.quick, self.sizes = None, np.zeros(0, np.int64)
+        if ranks:
+            with open(ranks, "rb") as f:
+                table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+            pattern = r"'(?:[stmd]|re|ve|ll)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+"
+            self.quick = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=table, special_tokens={}).encode_ordinary
+            self.sizes = np.zeros(max(table.values()) + 1, np.int64)
+            for token, number in table.items():
+                self.sizes[number] = len(token)
+        self.odd = re.compile(r"\s{2}|<\||[\x1c-\x1f\x85\ufeff]").search
+
+    def ids(self, text: str) -> np.ndarray:
+        if self.quick and not self.odd(text):
+            return np.array(self.quick(text), np.uint32)
+        return np.array(self.whole.encode(text, add_special_tokens=False).ids, np.uint32)
+
+    def starts(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """Ids, and of each the code point it begins in."""
+        if self.quick and not self.odd(text):
+            ids = np.array(self.quick(text), np.uint32)
+            at = np.cumsum(np.append(0, self.sizes[ids]))[:-1]
+            first = (np.frombuffer(text.encode(), np.uint8) & 0xC0) != 0x80
+            return ids, np.cumsum(first)[at] - 1 if len(ids) else at
+        found = self.whole.encode(text, add_special_tokens=False)
+        return np.array(found.ids, np.uint32), np.array([a for a, _ in found.offsets], np.int64)
+
+
+def bearing(starts: np.ndarray, spans: list[tuple[int, int]]) -> np.ndarray:
+    """Which ids begin within spans (start, length)."""
+    edge = np.zeros(int(max([starts.max(initial=0), *(a + n for a, n in spans)])) + 2, np.int64)
+    for a, n in spans:
+        edge[a] += 1
+        edge[a + n] -= 1
+    return np.cumsum(edge)[starts] > 0
 
 
 class Packer:
@@ -72,56 +109,72 @@ class Packer:
         self.limits = (tokens, segments, loss)
         self.sequences: list[list[tuple[int, int, int]]] = []
 
-    def pack(self, examples: list[tuple[int, int, int]]) -> None:
-        """Examples (number, tokens, loss-bearing tokens: all but the last ones)."""
+    def pack(self, examples: list[np.ndarray]) -> None:
+        """Examples as masks: which of their tokens bear loss."""
+        most, _, most_loss = self.limits
+        self.upto = [np.concatenate([[0], np.cumsum(x, dtype=np.int64)]) for x in examples]
+        number, start = [], []
+        for k, upto in enumerate(self.upto):
+            at, n = 0, len(upto) - 1
+            while n - at >= most and upto[at + most] - upto[at] <= most_loss:
+                self.sequences.append([(k, at, most)])
+                at += most
+            if at < n:
+                number.append(k)
+                start.append(at)
+        self.number, self.start = np.array(number, np.int64), np.array(start, np.int64)
+        self.tokens = np.array([len(self.upto[k]) - 1 for k in number], np.int64) - self.start
+        self.loss = np.array([self.upto[k][-1] - self.upto[k][at] for k, at in zip(number, start, strict=True)], np.int64)
+        while len(self.number):
+            self._fill()
+            live = self.tokens > 0
+            if 2 * live.sum() < len(live) or not live.any():
+                self.number, self.start, self.tokens, self.loss = (x[live] for x in (self.number, self.start, self.tokens, self.loss))
+
+    def choose(self, left: int, spare: int) -> int:
+        """Of all remainders that fit, that of the largest dot product; -1 if there is none."""
+        most, _, most_loss = self.limits
+        score = self.tokens * (left / most**2) + self.loss * (spare / most_loss**2)
+        score[(self.tokens > left) | (self.loss > spare) | (self.tokens == 0)] = -1
+        best = int(score.argmax())
+        return best if score[best] >= 0 else -1
+
+    def _fill(self) -> None:
         most, segments, most_loss = self.limits
-        pool: list[tuple[int, int, int, int]] = []  # tokens, loss, number, start
-        for number, n, loss in examples:
-            start = 0
-            step = min(most, most_loss)
-            while n - start >= most:
-                self.sequences.append([(number, start, step)])
-                start += step
-            if n > start:
-                pool.append((n - start, max(0, min(loss, n) - start), number, start))
-        pool.sort()
-        while pool:
-            self._fill(pool, most, segments, most_loss)
-
-    def _fill(self, pool: list, most: int, segments: int, most_loss: int) -> None:
         used, loss, own = 0, 0, []
-        while pool and used < most and len(own) < segments:
-            left, spare = most - used, (segments - len(own), most_loss - loss)
-            # demand grows with tokens and loss, so the best that fits is near the largest that fits
-            at = bisect_left(pool, (left + 1,)) - 1
-            best, score = -1, -1.0
-            for k in range(at, max(-1, at - 16), -1):
-                n, bearing, _, _ = pool[k]
-                if bearing <= spare[1]:
-                    dot = n * left / most**2 + spare[0] / segments**2 + bearing * spare[1] / most_loss**2
-                    if dot > score:
-                        best, score = k, dot
-            if best >= 0 and pool[best][0] == left or best >= 0 and len(own) + 1 < segments:
-                n, bearing, number, start = pool.pop(best)
-            else:  # cut the largest to what is left
-                size = min(left, spare[1]) if spare[1] else 0
-                n, bearing, number, start = pool[-1]
-                size = min(size, n)
-                if len(own) + 1 >= segments and used + size < most:
+        while used < most and len(own) < segments and self.tokens.any():
+            left, spare, last = most - used, most_loss - loss, len(own) + 1 == segments
+            best = self.choose(left, spare)
+            if best < 0 or last and self.tokens[best] < left:
+                best, size = self._cut(left, spare)
+                if last and used + size < most:
                     size = min(size, below(used + size) - used)
                 if size <= 0:
                     break
-                pool.pop()
-                if n > size:
-                    insort(pool, (n - size, max(0, bearing - size), number, start + size))
-                n, bearing = size, min(bearing, size)
-            own.append((number, start, n))
-            used, loss = used + n, loss + bearing
+            else:
+                size = int(self.tokens[best])
+            k, at = int(self.number[best]), int(self.start[best])
+            bearing = int(self.upto[k][at + size] - self.upto[k][at])
+            own.append((k, at, size))
+            used, loss = used + size, loss + bearing
+            self.start[best] += size
+            self.tokens[best] -= size
+            self.loss[best] -= bearing
         if used and used & (used - 1) and used < most:
             self._split(own)
-        else:
+        elif own:
             self.sequences.append(own)
 
+    def _cut(self, left: int, spare: int) -> tuple[int, int]:
+        """The remainder of which most can go into what is left, and how much."""
+        best, size = -1, 0
+        for row in np.argsort(-self.tokens, kind="stable")[:1] if spare >= left else np.flatnonzero(self.tokens):
+            upto, at = self.upto[self.number[row]], self.start[row]
+            n = min(left, int(self.tokens[row]), int(np.searchsorted(upto, upto[at] + spare, side="right")) - 1 - int(at))
+            if n > size:
+                best, size = int(row), n
+        return best, size
+
     def _split(self, own: list[tuple[int, int, int]]) -> None:
         """Lay pieces into sequences of powers of two, the largest first."""
         while total := sum(n for _, _, n in own):
@@ -136,28 +189,62 @@ class Packer:
             self.sequences.append(taken)
 
 
-def pack(docs: DataFrame, tokenizer: str, ranks: str | None = None, tokens: int = MAX_TOKENS, segments: int = MAX_SEGMENTS, loss: int = MAX_LOSS) -> DataFrame:
-    """A row per piece of the rows of ``docs`` (doc_id, text); loss is borne by all ids but the closing one."""
+def pack(docs: DataFrame, tokenizer: str, ranks: str | None = None, tokens: int = MAX_TOKENS, segments: int = MAX_SEGMENTS, loss: int = MAX_LOSS, spans: str | None = None) -> DataFrame:
+    """A row per piece of the rows of ``docs`` (doc_id, text).
+
+    ``spans`` names a column of arrays of (start, length) in code points: the parts of the text that
+    bear loss.  Without it all ids but the closing one do.
+    """
+    kind = docs.schema["doc_id"].dataType
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer, ranks)
+        encode = Encoder(tokenizer, ranks)
         sequence = TaskContext.get().partitionId() << 40
+        names: list = []
+        ids: list[np.ndarray] = []
+        masks: list[np.ndarray] = []
+
+        def flush() -> pa.RecordBatch:
+            nonlocal sequence
+            packer = Packer(tokens, segments, loss)
+            packer.pack(masks)
+            owners, rows = [], [[] for _ in PIECES]
+            for own in packer.sequences:
+                offset = 0
+                for k, start, n in own:
+                    part = ids[k][start : start + n]
+                    owners.append(k)
+                    piece = (start, n, zlib.crc32(part.tobytes()), len(ids[k]), sequence, offset, int(packer.upto[k][start + n] - packer.upto[k][start]))
+                    for column, value in zip(rows, piece, strict=True):
+                        column.append(value)
+                    offset += n
+                sequence += 1
+            first = pa.concat_arrays(names).take(pa.array(owners, pa.int64()))
+            out = pa.RecordBatch.from_arrays([first, *(pa.array(c, pa.int64()) for c in rows)], names=["doc_id", *PIECES])
+            names.clear(), ids.clear(), masks.clear()
+            return out
+
+        size = 0
         for batch in batches:
-            for first in range(0, batch.num_rows, POOL):
-                part = batch.slice(first, POOL)
-                names = part.column(0).cast(pa.int64()).to_pylist()
-                ids = [np.append(encode(t or ""), np.uint32(CLOSING)).astype("<u4") for t in part.column(1).to_pylist()]
-                packer = Packer(tokens, segments, loss)
-                packer.pack([(k, len(x), len(x) - 1) for k, x in enumerate(ids)])
-                rows: list[list] = [[] for _ in range(7)]
-                for own in packer.sequences:
-                    offset = 0
-                    for k, start, n in own:
-                        piece = (names[k], start, n, zlib.crc32(ids[k][start : start + n].tobytes()), len(ids[k]), sequence, offset)
-                        for column, value in zip(rows, piece, strict=True):
-                            column.append(value)
-                        offset += n
-                    sequence += 1
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in rows], names=[c.split()[0] for c in PIECES.split(", ")])
-
-    return docs.select("doc_id", "text").mapInArrow(apply, PIECES)
+            texts, said = batch.column(1).to_pylist(), batch.column(2).to_pylist() if spans else None
+            for k, text in enumerate(texts):
+                if spans:
+                    own, starts = encode.starts(text or "")
+                    mask = bearing(starts, [(s["start"], s["length"]) for s in said[k] or ()])
+                else:
+                    own = encode.ids(text or "")
+                    mask = np.ones(len(own), bool)
+                names.append(batch.column(0).slice(k, 1))
+                ids.append(np.append(own, np.uint32(CLOSING)).astype("<u4"))
+                masks.append(np.append(mask, False))
+                size += len(own) + 1
+                if len(ids) == POOL or size >= POOL_IDS:
+                    yield flush()
+                    size = 0
+        if ids:
+            yield flush()
+
+    columns = [F.col("doc_id"), F.col("text")]
+    if spans:
+        columns.append(F.transform(spans, lambda s: F.struct(s["start"].cast("int").alias("start"), s["length"].cast("int").alias("length"))).alias("spans"))
+    return docs.select(*columns).mapInArrow(apply, StructType([StructField("doc_id", kind), *(StructField(c, LongType()) for c in PIECES)]))

@@ -281,16 +281,71 @@ def test_packer_limits():
     rng = random.Random(4)
     for tokens, segments, loss in ((64, 3, 40), (128, 5, 128), (32, 2, 9)):
         packer = packing.Packer(tokens, segments, loss)
-        examples = [(k, n := rng.randint(1, 150), rng.randint(0, n)) for k in range(80)]
-        packer.pack(examples)
+        masks = [np.array([rng.random() < share for _ in range(rng.randint(1, 150))]) for share in (rng.random() for _ in range(80))]
+        packer.pack(masks)
         seen = Counter()
         for own in packer.sequences:
-            assert sum(n for _, _, n in own) <= tokens and len(own) <= segments
-            bearing = sum(max(0, min(examples[k][2], start + n) - start) for k, start, n in own)
-            assert bearing <= loss
+            total = sum(n for _, _, n in own)
+            assert total == tokens or total & (total - 1) == 0
+            assert total <= tokens and len(own) <= segments and sum(int(masks[k][a : a + n].sum()) for k, a, n in own) <= loss
             for k, start, n in own:
                 seen.update((k, x) for x in range(start, start + n))
-        assert seen == Counter((k, x) for k, n, _ in examples for x in range(n))
+        assert seen == Counter((k, x) for k, m in enumerate(masks) for x in range(len(m)))
+
+
+def test_the_dot_product_matters():
+    """Instruction data: prompts of many tokens without loss, answers of few.  Best fit by tokens alone closes
+    sequences on the loss limit and needs more of them; on masks without choice both agree."""
+    rng = random.Random(12)
+
+    class BestFit(packing.Packer):
+        def choose(self, left, spare):
+            fits = np.flatnonzero((self.tokens > 0) & (self.tokens <= left) & (self.loss <= spare))
+            return int(fits[self.tokens[fits].argmax()]) if len(fits) else -1
+
+    def made(kind, masks, loss):
+        packer = kind(1024, 64, loss)
+        packer.pack(masks)
+        return packer.sequences
+
+    fewer = 0
+    for _ in range(5):
+        masks = []
+        for _ in range(300):
+            prompt, answer = (rng.randint(150, 500), rng.randint(1, 30)) if rng.random() < 0.6 else (rng.randint(1, 30), rng.randint(80, 400))
+            masks.append(np.arange(prompt + answer) >= prompt)
+        dot, best = made(packing.Packer, masks, 420), made(BestFit, masks, 420)
+        pieces = lambda sequences: sum(map(len, sequences))
+        assert dot != best
+        fewer += (len(dot), pieces(dot)) < (len(best), pieces(best))
+        plain = [np.ones(len(m), bool) for m in masks]
+        assert [sorted(n for _, _, n in s) for s in made(packing.Packer, plain, 1024)] == [sorted(n for _, _, n in s) for s in made(BestFit, plain, 1024)]
+    assert fewer >= 4
+
+
+def test_packing_of_conversations_under_a_loss_limit(spark):
+    """Loss spans of chat formatting; the limit binds, and each assistant token is counted once."""
+    files = queries.tokenizer_files()
+    talks = chat.format_conversations(spark.read.parquet(f"{SF}/conversations.parquet"))
+    docs = talks.select(F.concat(F.lit("c"), "conv_id").alias("doc_id"), F.col("formatted").alias("text"), "loss")
+    found = packing.pack(docs.coalesce(1), *files, loss=300, spans="loss").collect()
+    sums, tokens = Counter(), Counter()
+    for r in found:
+        sums[r["sequence_id"]] += r["loss_tokens"]
+        tokens[r["sequence_id"]] += r["length"]
+    assert 280 < max(sums.values()) <= 300 and max(tokens.values()) <= 1024
+    whole = packing.Encoder(files[0])
+    for r in docs.collect():
+        ids, starts = whole.starts(r["text"])
+        want = sum(any(s["start"] <= a < s["start"] + s["length"] for s in r["loss"]) for a in starts.tolist())
+        assert sum(p["loss_tokens"] for p in found if p["doc_id"] == r["doc_id"]) == want
+
+
+def test_starts_of_ids(spark):
+    quick, whole = packing.Encoder(*queries.tokenizer_files()), packing.Encoder(queries.tokenizer_files()[0])
+    for text in ("", "a plain text, with 12 words", "d\u00e9j\u00e0 vu \u4e2d\u6587 \U0001f600 end"):
+        (a, x), (b, y) = quick.starts(text), whole.starts(text)
+        assert a.tolist() == b.tolist() == quick.ids(text).tolist() and x.tolist() == y.tolist()
 
 
 # 7 ------------------------------------------------------------------------------------------
