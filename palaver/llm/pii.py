@@ -59,8 +59,17 @@ INITIAL = r"\p{Lu}\."
 LINK = "(?:de|del|la|las|los|le|du|des|da|do|dos|di|y|van|von|der|den|zu|zur|bin|ibn|al)"
 #: A part of a name that gets a surrogate: a run of letters from a capital on.
 RUN = r"(?<![\p{L}\p{M}])\p{Lu}[\p{L}\p{M}]+"
-TITLED = rf"(?:{FEMALE}|{MALE}|{NEUTRAL})\.? (?:{INITIAL} )*+{NAME}(?: (?:(?:{LINK} )*+{NAME}|{INITIAL}))*+"
-CALLED = rf"(?:{WOMEN}|{MEN})(?:-{NAME})? (?:{INITIAL} )*+(?:{LINK} )*+{NAME}(?: (?:(?:{LINK} )*+{NAME}|{INITIAL}))*+"
+def _by_first(names: str) -> str:
+    """The same alternatives, tried by their first letter."""
+    of: dict[str, list[str]] = {}
+    for name in names.split("|"):
+        first = name[: name.index("]") + 1] if name.startswith("[") else name[0]
+        of.setdefault(first, []).append(name[len(first) :])
+    return "|".join(f"{first}(?:{'|'.join(rest)})" for first, rest in of.items())
+
+
+TITLED = rf"(?:{_by_first(f'{FEMALE}|{MALE}|{NEUTRAL}')})\.? (?:{INITIAL} )*+{NAME}(?: (?:(?:{LINK} )*+{NAME}|{INITIAL}))*+"
+CALLED = rf"(?:{_by_first(f'{WOMEN}|{MEN}')})(?:-{NAME})? (?:{INITIAL} )*+(?:{LINK} )*+{NAME}(?: (?:(?:{LINK} )*+{NAME}|{INITIAL}))*+"
 #: What may stand beside a name's word elsewhere in its document.
 ALONE = (r"(?<![\p{L}\p{M}\p{N}_])(?:", r")(?![\p{L}\p{M}\p{N}_])")
 #: Begins what is found as a later mention, before its kind and the word; no pattern takes it in.
@@ -77,7 +86,7 @@ PATTERNS = {
     "secret": r"(?=[PpSsTtAa])(?<![A-Za-z])(?:[Pp]assword|PASSWORD|[Pp]asswd|[Ss]ecret|SECRET|[Tt]oken|TOKEN|[Aa]pi[_-]?[Kk]ey|API_KEY) ?[=:] ?[\"']?" + VALUE,
     "key": rf"(?=[AgsSx])(?<![\p{{L}}\p{{N}}_\-]){KEYS}[A-Za-z0-9_\-]{{16,}}+",
     "passport": rf"(?=[PpRП])(?<!\p{{L}})(?:[Pp]ass(?:port|eport|aporte)|[Pp]asaporte|Reisepass|[Пп]аспорт)(?: ?(?:[Nn]o\.?|[Nn]umber|[Nn][úu]mero|[Nn]um[ée]ro|[Nn]r\.?|[Nn]ummer|№))?:? ?#?{PASSPORT}(?![\p{{L}}\p{{N}}])",
-    "ipv6": rf"(?=[0-9A-Fa-f:])(?<![\p{{L}}\p{{N}}:.])(?=[0-9A-Fa-f:]*+(?<=[0-9A-Fa-f:]))(?=[A-Fa-f:]*\d)(?:(?:{H16}:){{7}}{H16}|(?:{H16}(?::{H16}){{0,6}})?::(?:{H16}(?::{H16}){{0,6}})?)(?![\p{{L}}\p{{N}}:])",
+    "ipv6": rf"(?=[0-9A-Fa-f:])(?<![\p{{L}}\p{{N}}:.])(?=[A-Fa-f:]*\d)(?:(?:{H16}:){{7}}{H16}|(?:{H16}(?::{H16}){{0,6}})?::(?:{H16}(?::{H16}){{0,6}})?)(?![\p{{L}}\p{{N}}:])",
     "ip": r"(?=\d)(?<![\d.])(?:25[0-5]|2[0-4]\d|1?\d?\d)(?:\.(?:25[0-5]|2[0-4]\d|1?\d?\d)){3}(?!\d|\.\d)",
     "card": r"(?=\d)(?<!\d)(?:\d{4}[ \-]?){3}\d{4}(?!\d)",
     "ssn": r"(?=\d)(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])",
@@ -86,11 +95,14 @@ PATTERNS = {
     r"|(?=\+)(?<![\d+])\+\d{1,3}(?:[ .\-]\d{2,4}){2,4}(?!\d)|(?=\+)(?<![\d+])\+\d{10,14}(?!\d)"
     r"|(?=[2-9])(?<![\p{L}\p{N}_.,\-])[2-9]\d{2}[2-9]\d{6}(?![\p{L}\p{N}_\-]|[.,]\d)",
     "iban": r"(?=[A-Z])(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
-    "name": rf"(?=\p{{L}})(?<![\p{{L}}\p{{M}}\p{{N}}_\-])(?:{TITLED}|{CALLED})",
+    "name": rf"(?=[A-ZА-ЯΑ-Ωгдп])(?<![\p{{L}}\p{{M}}\p{{N}}_\-])(?:{TITLED}|{CALLED})",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
+OTHERS = "|".join(f"(?:{p})" for kind, p in PATTERNS.items() if kind != "name")
 #: Every entity but a name has one of these; the cheap test spares most texts the long one.
-SIGNS = "[0-9@=:]|" + KEYS
+SIGNS = "[0-9@=:]"
+#: What a known prefix of a key holds.
+PREFIXES = ("AKIA", "ASIA", "AIza", "gh", "glpat-", "sk-", "xox")
 LATIN = ["ba", "ce", "di", "fo", "gu", "ha", "ke", "li", "mo", "nu", "pa", "re", "si", "to", "vu", "ze"]
 CYRILLIC = ["ба", "ве", "ги", "до", "жу", "за", "ке", "ли", "мо", "ну", "па", "ре", "си", "то", "фу", "це"]
 GREEK = ["βα", "γε", "δι", "ζο", "θα", "κε", "λι", "μο", "νε", "πα", "ρε", "σι", "το", "φα", "χε", "ψι"]
@@ -107,13 +119,18 @@ def _rest(raw: Column) -> Column:
     return F.regexp_replace(raw, rf"^(?:{FEMALE}|{MALE}|{NEUTRAL})\.? (?=\p{{L}})", "")
 
 
+def _gender(raw: Column) -> Column:
+    """``_f`` or ``_m``, of a name: by its title, else by its first name."""
+    woman = raw.rlike(rf"^(?:{FEMALE})\.? \p{{Lu}}") | ~raw.rlike(rf"^(?:{MALE})\.? \p{{Lu}}") & _rest(raw).rlike(rf"^(?:{WOMEN})(?![\p{{L}}\p{{M}}])")
+    return F.when(woman, "_f").otherwise("_m")
+
+
 def _kind(raw: Column) -> Column:
     """Type of a matched string."""
     out = F.when(raw.startswith(LATER), F.substring_index(F.substring(raw, 2, 20), LATER, 1))
     for kind in ("secret", "key", "passport"):
         out = out.when(raw.rlike("^(?:" + PATTERNS[kind] + ")$"), kind)
-    woman = raw.rlike(rf"^(?:{FEMALE})\.? \p{{Lu}}") | ~raw.rlike(rf"^(?:{MALE})\.? \p{{Lu}}") & _rest(raw).rlike(rf"^(?:{WOMEN})(?![\p{{L}}\p{{M}}])")
-    out = out.when(raw.contains("@"), "email").when(raw.rlike(r"^\p{L}\D*$") & ~raw.contains(":"), F.when(woman, "name_f").otherwise("name_m"))
+    out = out.when(raw.contains("@"), "email").when(raw.rlike(r"^\p{L}\D*$") & ~raw.contains(":"), F.concat(F.lit("name"), _gender(raw)))
     for kind in ("ipv6", "ip", "ssn", "card", "iban"):
         out = out.when(raw.rlike("^(?:" + PATTERNS[kind] + ")$"), kind)
     return out.when(raw.rlike(r"^\+(?!1\D|1\d{10}$)"), "abroad").otherwise("phone")
@@ -137,7 +154,7 @@ def _name_parts(raw: Column) -> Column:
     rest = _rest(raw)
     words = F.filter(F.split(rest, " "), lambda w: w.rlike(r"^\p{Lu}[^.]"))
     first = F.when(F.size(words) > 1, F.size(_runs(words[0]))).otherwise(0)
-    gender = F.concat(F.lit("first"), F.substring(_kind(raw), 5, 2))
+    gender = F.concat(F.lit("first"), _gender(raw))
     return F.transform(_runs(rest), lambda w, i: F.struct(F.when(i < first, gender).otherwise("surname").alias("kind"), w.alias("word")))
 
 
@@ -148,9 +165,8 @@ def _norm(kind: Column, word: Column) -> Column:
     return F.when((kind == "surname") & low.rlike(r"\p{IsCyrillic}"), man).otherwise(low)
 
 
-def _parts(raw: Column) -> Column:
+def _parts(raw: Column, kind: Column) -> Column:
     """The normalised entities of a match: (kind, norm), one for each part of a name."""
-    kind = _kind(raw)
     number = _digits(raw)
     phone = F.when((F.length(number) == 11) & number.startswith("1"), F.substring(number, 2, 10)).otherwise(number)
     norm = (
@@ -293,9 +309,8 @@ def _called(word: Column, core: Column) -> Column:
     return F.when((word == F.upper(word)) & (F.length(word) > 1), F.upper(own)).otherwise(F.initcap(own))
 
 
-def _format(raw: Column, cores: Column, key: str) -> Column:
+def _format(raw: Column, kind: Column, cores: Column, key: str) -> Column:
     """The surrogates in the form of the occurrence."""
-    kind = _kind(raw)
     core = F.element_at(cores, 1)
     sign = "[^A-Za-z0-9]"
     # the trunk zero is no sign of the number
@@ -343,7 +358,10 @@ def replace(docs: DataFrame, key: str | None = None) -> DataFrame:
     key = key or secret_key(docs.sparkSession)
     names = docs.columns
     text = F.col("text")
-    has = F.coalesce((text.rlike(SIGNS) & text.rlike(ANY)) | text.rlike(PATTERNS["name"]), F.lit(False))
+    signs = text.rlike(SIGNS)
+    for prefix in PREFIXES:
+        signs |= text.contains(prefix) & text.rlike(PATTERNS["key"])
+    has = F.coalesce((signs & text.rlike(OTHERS)) | text.rlike(PATTERNS["name"]), F.lit(False))
     clean = docs.filter(~has).withColumn("_pii_n", F.lit(0).cast("long"))
 
     def marked(raw: Column) -> Column:
@@ -359,15 +377,17 @@ def replace(docs: DataFrame, key: str | None = None) -> DataFrame:
     )
     texts = cut(dirty.groupBy("_pii_key").agg(F.first("_pii_raw").alias("raws"), F.count("*").alias("n")))
     spots = texts.select("_pii_key", F.posexplode("raws").alias("pos", "raw"))
-    raws = cut(spots.groupBy("raw").agg(F.count("*").alias("n")).withColumn("parts", _parts(F.col("raw"))))
+    # kinds are materialised, as every branch of what follows asks for them
+    kinds = cut(spots.groupBy("raw").agg(F.count("*").alias("n")).withColumn("kind", _kind(F.col("raw"))))
+    raws = cut(kinds.withColumn("parts", _parts(F.col("raw"), F.col("kind"))))
     entities = cut(raws.select(F.explode("parts").alias("p")).select("p.kind", "p.norm").distinct())
     cores = surrogates(entities, key).drop("attempt")
     new = (
-        raws.select("raw", "n", F.posexplode("parts").alias("at", "p"))
-        .select("raw", "n", "at", "p.kind", "p.norm").join(cores, ["kind", "norm"])
-        .groupBy("raw", "n").agg(F.array_sort(F.collect_list(F.struct("at", "core"))).alias("c"))
-        .select("raw", "n", _format(F.col("raw"), F.col("c.core"), key).alias("new"))
+        raws.select("raw", "n", F.col("kind").alias("whole"), F.posexplode("parts").alias("at", "p"))
+        .select("raw", "n", "whole", "at", "p.kind", "p.norm").join(cores, ["kind", "norm"])
+        .groupBy("raw", "n", "whole").agg(F.array_sort(F.collect_list(F.struct("at", "core"))).alias("c"))
     )
+    new = cut(new).select("raw", "n", _format(F.col("raw"), F.col("whole"), F.col("c.core"), key).alias("new"))
     placed = hot_left_join(spots, cut(new), "raw", "n")
     by_text = placed.groupBy("_pii_key").agg(F.array_sort(F.collect_list(F.struct("pos", "new"))).alias("_pii_new"))
     by_text = cut(by_text.join(texts.select("_pii_key", "n"), "_pii_key"))
