@@ -40,8 +40,8 @@ def clean_title(c: Column) -> Column:
     """One line without control characters, list marks and quotes around it."""
     out = F.regexp_replace(c, rf"{BLANK}+", " ")
     out = F.regexp_replace(out, r"[\x00-\x1f\x7f]", "")
-    out = F.regexp_replace(out, "^[#>*\\-`\"' ]+", "")
-    return squeeze(F.regexp_replace(out, "[`\"']+$", ""))
+    out = F.regexp_replace(out, rf"^(?:{BLANK}|[#>*\-`'\"‘’“”])+", "")
+    return squeeze(F.regexp_replace(out, "['\"‘’“”]+$", ""))
 
 
 def truncate(c: Column, most: int = 80) -> Column:
@@ -73,36 +73,58 @@ def session_id(path: Column) -> Column:
     return F.regexp_replace(F.element_at(F.split(path, "/"), -1), r"\.jsonl$", "")
 
 
-def resume_command(cwd: Column, sid: Column, program: str = "claude --resume") -> Column:
+#: Fixed value: the program that reopens a session.
+RESUME = "claude --resume"
+
+
+def resume_command(cwd: Column, sid: Column, program: str = RESUME) -> Column:
     """Shell line that reopens a session, entering its folder first if it is known."""
     run = F.concat(F.lit(program + " "), shell_quote(sid))
     return F.when(squeeze(F.coalesce(cwd, F.lit(""))) == "", run).otherwise(F.concat(F.lit("cd "), shell_quote(cwd), F.lit(" && "), run))
 
 
+def fold(c: Column) -> Column:
+    """Lower case of the same length: a letter that would become two stays as it is."""
+    one = lambda x: F.when(F.length(F.lower(x)) == 1, F.lower(x)).otherwise(x)
+    return F.when(F.length(F.lower(c)) == F.length(c), F.lower(c)).otherwise(F.array_join(F.transform(F.split(c, ""), one), ""))
+
+
+def ascii_lower_text(s: str) -> str:
+    return "".join(chr(ord(x) + 32) if "A" <= x <= "Z" else x for x in s)
+
+
 def ascii_lower(c: Column) -> Column:
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
 def snippet(text: Column, words: list[str], most: int = 240, before: int = 60) -> Column:
     """Up to ``most`` characters from a little before the first literal match; else the beginning."""
-    low = F.lower(text)
+    low = fold(text)
     found = [F.when(F.instr(low, F.lit(w)) > 0, F.instr(low, F.lit(w))) for w in words]
     first = F.coalesce(F.least(*found, F.lit(None).cast("int")) if found else F.lit(None).cast("int"), F.lit(1))
     return F.when(F.length(text) <= most, text).otherwise(F.substring(text, F.greatest(first - before, F.lit(1)), F.lit(most)))
 
 
-def match_ranges(text: Column, words: list[str]) -> Column:
-    """(start, end) of the literal matches of the words, from 0, in code points, sorted."""
-
+def _ranges(low: Column, words: list[str]) -> Column:
     def of(w: str) -> Column:
-        between = F.split(F.lower(text), re.escape(w), -1)
+        between = F.split(low, re.escape(w), -1)
         at = lambda i: F.length(F.array_join(F.slice(between, 1, i + 1), w))
         return F.transform(F.slice(between, 1, F.size(between) - 1), lambda _, i: F.struct(at(i).alias("start"), (at(i) + len(w)).alias("end")))
 
-    parts = [of(w) for w in dict.fromkeys(words)]
+    parts = [of(w) for w in words]
     return F.array_sort(F.concat(*parts)) if parts else F.expr("cast(array() as array<struct<start: int, end: int>>)")
 
 
+def match_ranges(text: Column, words: list[str]) -> Column:
+    """(start, end) of the literal matches of the words, also within longer ones, from 0, in code points, sorted."""
+    return _ranges(fold(text), list(dict.fromkeys(words)))
+
+
+def cold_ranges(snippet: Column, words: list[str]) -> Column:
+    """The ranges in a snippet of a file not indexed yet: ASCII case aside, a repeated word again; the dots of an omission count."""
+    return _ranges(ascii_lower(snippet), words)
+
+
 def _once(build: Callable[[Column], Column], **parts: Column) -> Column:
     """``build`` over a struct of ``parts``, each made once a row: in a lambda they would be made for each element."""
     return F.transform(F.array(F.struct(*[c.alias(k) for k, c in parts.items()])), build)[0]
@@ -175,12 +197,31 @@ def human_size(n: Column) -> Column:
     )
 
 
+def date_range(first: Column, last: Column, fallback: Column | None = None) -> Column:
+    """``MMM d`` of a day, or of two with a dash; without a first time the fallback's ``MMM d, yyyy``.  Days are UTC."""
+    day = lambda c: F.date_format(F.timestamp_millis(c), "MMM d")
+    same = F.to_date(F.timestamp_millis(first)) == F.to_date(F.timestamp_millis(last))
+    full = F.coalesce(F.date_format(F.timestamp_millis(fallback), "MMM d, yyyy"), F.lit("")) if fallback is not None else F.lit("")
+    return F.when(first.isNull(), full).when(last.isNull() | same, day(first)).otherwise(F.concat_ws(" – ", day(first), day(last)))
+
+
+def model_name(model: Column) -> Column:
+    """A model without what stands in brackets after it."""
+    return F.trim(F.regexp_replace(F.coalesce(model, F.lit("")), r"(?s)\[.*", ""))
+
+
 def card_line(turns: Column, subagents: Column, size: Column, dates: Column, model: Column) -> Column:
     """A session in one line; what is empty is left out."""
     some = lambda c: F.nullif(c, F.lit(""))
     agents = F.when(subagents > 0, F.concat(subagents.cast("string"), F.lit(" subagents")))
     spoken = F.concat(turns.cast("string"), F.when(turns == 1, " turn").otherwise(" turns"))
-    return F.concat_ws(" · ", spoken, agents, human_size(size), some(dates), some(model))
+    return F.concat_ws(" · ", spoken, agents, human_size(size), some(dates), some(model_name(model)))
+
+
+def stub_line(size: Column, mtime: Column) -> Column:
+    """A session of which only the file is known: its size and day; ``mtime`` in seconds."""
+    day = F.when(F.coalesce(mtime, F.lit(0)) != 0, F.date_format(F.timestamp_seconds(mtime), "MMM d, yyyy"))
+    return F.concat_ws(" · ", human_size(size), day)
 
 
 def ts_millis(raw: Column) -> Column:
@@ -190,12 +231,15 @@ def ts_millis(raw: Column) -> Column:
 
 
 def task_notification(text: Column) -> Column:
-    """Fields of a task notification as a map; dashes in names become underscores."""
-    get = lambda tag: squeeze(F.regexp_extract(text, rf"(?s)<{tag}>(.*?)</{tag}>", 1))
+    """Fields of a task notification as a map; dashes in names become underscores, counters become ``usage``."""
     # Tags of the format.
-    plain = ["task-id", "tool-use-id", "output-file", "status", "summary", "result", "usage"]
-    pairs = [x for tag in plain for x in (F.lit(tag.replace("-", "_")), get(tag))]
-    return F.map_filter(F.create_map(*pairs), lambda _, v: v != "")
+    plain = ["task-id", "tool-use-id", "output-file", "status", "summary", "note", "result"]
+    counters = ["subagent_tokens", "tool_uses", "duration_ms"]
+    get = lambda tag, inner: F.regexp_extract(text, rf"(?s)<{tag}>({inner})</{tag}>", 1)
+    has = lambda tag, inner: text.rlike(rf"(?s)<{tag}>{inner}</{tag}>")
+    pairs = [x for tag in plain for x in (F.lit(tag.replace("-", "_")), F.when(has(tag, ".*?"), squeeze(get(tag, ".*?"))))]
+    used = F.concat_ws(" | ", *[F.when(has(tag, "[0-9]+"), F.concat(F.lit(f"{tag}: "), get(tag, "[0-9]+"))) for tag in counters])
+    return F.map_filter(F.create_map(*pairs, F.lit("usage"), F.nullif(used, F.lit(""))), lambda _, v: v.isNotNull())
 
 
 def tool_result_brief(text: Column, error: Column) -> Column:

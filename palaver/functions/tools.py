@@ -11,9 +11,19 @@ from palaver.functions.text import BLANK, squeeze
 
 # The field of a tool's input that says what it is for.
 INTENT = {
-    "Bash": "command", "Read": "file_path", "Write": "file_path", "Edit": "file_path", "NotebookEdit": "notebook_path", "Glob": "pattern",
-    "Grep": "pattern", "WebFetch": "url", "WebSearch": "query", "Task": "description", "TodoWrite": "todos", "Skill": "skill",
-}
+    "Bash": "command",
+    "BashOutput": "bash_id",
+    "Read": "file_path",
+    "Edit": "file_path",
+    "Write": "file_path",
+    "NotebookEdit": "notebook_path",
+    "Grep": "pattern",
+    "Glob": "pattern",
+    "Task": "description",
+    "WebFetch": "url",
+    "WebSearch": "query",
+    "TodoWrite": "todos",
+}
 MOST = 140
 
 
@@ -34,15 +44,14 @@ def tool_intent(name: Column, given: Column) -> Column:
     return F.when(F.coalesce(short, F.lit("")) == "", name).otherwise(F.concat_ws(": ", name, short))
 
 
-def group_summary(kinds: Column) -> Column:
-    """Counts of the kinds of blocks in a group, in words."""
-    words = {"thinking": "thought", "tool_use": "tool call", "tool_result": "result", "unknown": "other block"}
+def group_summary(kinds: Column, n_items: Column) -> Column:
+    """Counts of the kinds of blocks in a group, in words; of a group with none of them, its number of rows."""
     parts = []
-    for kind, word in words.items():
+    for kind, one, many in (("tool_use", " tool call", " tool calls"), ("tool_result", " result", " results"), ("thinking", " thinking", " thinking")):
         n = F.size(F.filter(kinds, _is(kind)))
-        parts.append(F.when(n > 0, F.concat(n.cast("string"), F.lit(f" {word}"), F.when(n > 1, "s").otherwise(""))))
-    return F.concat_ws(", ", *parts)
-
+        parts.append(F.when(n > 0, F.concat(n.cast("string"), F.when(n == 1, one).otherwise(many))))
+    said = F.concat_ws(" · ", *parts)
+    return F.when(said != "", said).otherwise(F.concat(n_items.cast("string"), F.when(n_items == 1, " item").otherwise(" items")))
 
 
 def _is(kind: str) -> Callable[[Column], Column]:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from palaver.functions import text as T
+
 PATH = "session_path"
 
 
@@ -23,10 +25,26 @@ def browse_page(sessions: DataFrame, n: int = 100, projects: list[str] | None =
 
 def browse_groups(page: DataFrame) -> DataFrame:
     """Projects in the order of their most recent session, with their sessions."""
-    groups = page.groupBy("project").agg(F.max("mtime").alias("latest"), F.count("*").alias("n_sessions"), F.sort_array(F.collect_list(F.struct(-F.col("mtime"), PATH))).alias("s"))
+    groups = page.groupBy("project").agg(F.max("mtime").alias("latest"), F.count("*").alias("n_sessions"), F.array_sort(F.collect_list(F.struct(F.col("mtime").isNull().alias("late"), (-F.col("mtime")).alias("at"), PATH))).alias("s"))
     return groups.select("project", "latest", "n_sessions", F.array_join(F.transform("s", lambda x: x[PATH]), ",").alias("sessions"))
 
 
+def browse_cards(stubs: DataFrame, enriched: DataFrame) -> DataFrame:
+    """Stubs as session rows with empty defaults until they are enriched, and their line of facts."""
+    rows = stubs.join(enriched.withColumn("_known", F.lit(True)), PATH, "left").filter(~F.coalesce(F.col("cleaned"), F.lit(False)))
+    known = F.coalesce(F.col("_known"), F.lit(False))
+    dates = T.date_range(F.col("first_ms"), F.col("last_ms"))
+    full = T.card_line(F.coalesce("user_count", F.lit(0)), F.coalesce("subagents", F.lit(0)), F.col("size"), dates, F.col("model"))
+    return rows.select(PATH, "project", known.alias("enriched"), F.when(known, full).otherwise(T.stub_line(F.col("size"), F.col("mtime"))).alias("card"))
+
+
+def project_hits(hits: DataFrame) -> DataFrame:
+    """Projects of a page of ranked hits, in order of their best, each with its sessions in order of theirs.  Hits are (rank, project, session_path)."""
+    sessions = hits.groupBy("project", PATH).agg(F.min("rank").alias("rank"), F.count("*").alias("n"))
+    groups = sessions.groupBy("project").agg(F.min("rank").alias("rank"), F.sum("n").alias("n_hits"), F.array_sort(F.collect_list(F.struct("rank", PATH))).alias("s"))
+    return groups.select("project", "rank", "n_hits", F.array_join(F.transform("s", lambda x: x[PATH]), ",").alias("sessions"))
+
+
 def grouped_hits(hits: DataFrame) -> DataFrame:
     """Sessions of hits, best first: rank of a session is that of its best hit.  ``hits`` is a page."""
     best = hits.groupBy("project", PATH).agg(F.max("score").alias("best"), F.count("*").alias("n_hits"))

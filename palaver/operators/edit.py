@@ -4,10 +4,18 @@ from __future__ import annotations
 
 import json
 import re
+import time
+import uuid
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from palaver.functions import text as T
+from palaver.operators import export, index, sequence
+from palaver.sources.store import Store
+
 BLOCK = ["session_path", "line_no", "content_no"]
 
 
@@ -43,10 +51,162 @@ def changes(blocks: DataFrame, deleted: DataFrame, edited: DataFrame) -> DataFra
     return both.select("session_path", total.alias("n_changes"), (total > 0).alias("dirty"), "all_deleted")
 
 
-def fork(lines: DataFrame, upto: int, new_id: str) -> DataFrame:
-    """Lines 0 to ``upto`` with the first sessionId value of each replaced."""
-    swapped = F.regexp_replace("line", r'^(.*?"sessionId":")[^"]*', "$1" + re.sub(r"([\\$])", r"\\\1", new_id))
-    return lines.filter(F.col("line_no") <= upto).withColumn("line", swapped)
+def draft_lines(lines: DataFrame) -> DataFrame:
+    """The rows of a draft: physical lines but the empty one after the last line feed, blank ones aside."""
+    return lines.filter(T.squeeze(F.col("line")) != "")
+
+
+def build_draft(lines: DataFrame) -> DataFrame:
+    """Rows (session_path, line_no, line, row_key, uuid, type) of sessions, their lines untouched."""
+    own = draft_lines(lines).select("session_path", "line_no", "line")
+    known = own.withColumn("v", F.try_parse_json("line"))
+    text = lambda path: F.when(F.schema_of_variant(F.try_variant_get("v", path, "variant")) == "STRING", F.try_variant_get("v", path, "string"))
+    rows = known.select("session_path", "line_no", "line", text("$.uuid").alias("uuid"), F.coalesce(text("$.type"), F.lit("")).alias("type"))
+    return sequence.row_keys(rows).select("session_path", "line_no", "line", "row_key", "uuid", "type")
+
+
+def unit_blocks(units: DataFrame, blocks: DataFrame) -> DataFrame:
+    """All blocks of the rows of chosen units (session_path, line_no), those of unknown kinds too."""
+    return blocks.select(*BLOCK).join(units.select("session_path", "line_no").distinct(), ["session_path", "line_no"], "left_semi")
+
+
+def set_deleted(deleted: DataFrame, chosen: DataFrame, gone: bool = True) -> DataFrame:
+    """The deleted blocks with ``chosen`` added, or taken out."""
+    if gone:
+        return deleted.select(*BLOCK).union(chosen.select(*BLOCK)).distinct()
+    return deleted.select(*BLOCK).join(chosen.select(*BLOCK), BLOCK, "left_anti")
+
+
+def delete_blocks(deleted: DataFrame, chosen: DataFrame) -> DataFrame:
+    """Delete texts or thinking, which have no partners."""
+    return set_deleted(deleted, chosen)
+
+
+def delete_units(deleted: DataFrame, chosen: DataFrame, blocks: DataFrame) -> DataFrame:
+    """Delete blocks of tool groups, turns or selections, and the other halves of their tool calls."""
+    return set_deleted(deleted, cascade(chosen, blocks))
+
+
+def undelete(deleted: DataFrame, chosen: DataFrame, blocks: DataFrame) -> DataFrame:
+    """Restore blocks and the other halves of their tool calls."""
+    return set_deleted(deleted, cascade(chosen, blocks), False)
+
+
+def all_deleted(units: DataFrame, blocks: DataFrame, deleted: DataFrame) -> DataFrame:
+    """(session_path, unit, all_deleted) of units (session_path, unit, line_no): whether each has blocks and none is left."""
+    gone = deleted.select(*BLOCK).distinct().withColumn("_gone", F.lit(True))
+    own = units.select("session_path", "unit", "line_no").distinct().join(blocks.select(*BLOCK), ["session_path", "line_no"], "left").join(gone, BLOCK, "left")
+    full = F.count("content_no") == F.count("_gone")
+    return own.groupBy("session_path", "unit").agg(((F.count("content_no") > 0) & full).alias("all_deleted"))
+
+
+def _rewrite(rows: DataFrame, change: Callable[[str, list], str | None], extra: str) -> DataFrame:
+    """``rows`` (session_path, line_no, line, extra) with changed lines; those of which nothing is left go."""
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name != extra)
+    names = [c for c in rows.columns if c != extra]
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            line = b.column(b.schema.get_field_index("line")).to_pylist()
+            own = b.column(b.schema.get_field_index(extra)).to_pylist()
+            new = [change(x, e) if e else x for x, e in zip(line, own, strict=True)]
+            kept = pa.array([x is not None for x in new])
+            columns = [pa.array(new, pa.string()) if c == "line" else b.column(b.schema.get_field_index(c)) for c in names]
+            yield pa.RecordBatch.from_arrays(columns, names=names).filter(kept)
+
+    return rows.mapInArrow(apply, kinds)
+
+
+def edit_texts(rows: DataFrame, edits: DataFrame) -> DataFrame:
+    """``rows`` with the texts of ``edits`` (session_path, line_no, text_no, text) put in; all other bytes stay.
+    What does not fit a line leaves it as it is."""
+    each = edits.groupBy("session_path", "line_no").agg(F.array_sort(F.collect_list(F.struct("text_no", "text"))).alias("_edits"))
+
+    def change(line: str, own: list) -> str:
+        for e in own:
+            line = edit_text(line, e["text_no"], e["text"])
+        return line
+
+    return _rewrite(rows.join(each, ["session_path", "line_no"], "left"), change, "_edits")
+
+
+def serialize(rows: DataFrame, deleted: DataFrame) -> DataFrame:
+    """``rows`` as they are saved: without deleted blocks; rows of which all blocks are deleted go, others stay byte for byte."""
+    each = deleted.groupBy("session_path", "line_no").agg(F.array_sort(F.collect_set("content_no")).alias("_gone"))
+    return _rewrite(rows.join(each, ["session_path", "line_no"], "left"), lambda line, own: drop_blocks(line, set(own)), "_gone")
+
+
+def dirty_sessions(rows: DataFrame, original: DataFrame, deleted: DataFrame) -> DataFrame:
+    """(session_path, n_changes, dirty): rows whose line differs from the original's, and deleted blocks."""
+    was = original.select("session_path", "line_no", F.col("line").alias("_was"))
+    edited = rows.join(was, ["session_path", "line_no"]).groupBy("session_path").agg(F.count_if(F.col("line") != F.col("_was")).alias("e"))
+    gone = deleted.select(*BLOCK).distinct().groupBy("session_path").agg(F.count("*").alias("d"))
+    total = F.coalesce("e", F.lit(0)) + F.coalesce("d", F.lit(0))
+    return edited.join(gone, "session_path", "left").select("session_path", total.alias("n_changes"), (total > 0).alias("dirty"))
+
+
+def session_text(rows: DataFrame) -> DataFrame:
+    """(session_path, text): the rows of each session joined, with a line feed after each.  A session is one file, so one row."""
+    ordered = rows.groupBy("session_path").agg(F.array_sort(F.collect_list(F.struct("line_no", "line"))).alias("l"))
+    return ordered.select("session_path", F.concat(F.array_join(F.transform("l", lambda x: x["line"]), "\n"), F.lit("\n")).alias("text"))
+
+
+def write_session(spark: SparkSession, corpus: str, root: str | None, path: str, text: str, home: str = "/") -> None:
+    """Overwrite a session in one step and, with an index, refresh it at once."""
+    folder, _, name = path.rpartition("/")
+    Store(spark, folder).write(name, text)
+    if root:
+        index.index_file(spark, corpus, root, path, home)
+
+
+def save(spark: SparkSession, corpus: str, backups: str, root: str | None, path: str, rows: DataFrame, deleted: DataFrame, home: str = "/") -> str:
+    """Back the session up, write the draft's ``rows`` without ``deleted``, refresh the index; the backup's path."""
+    own = session_text(serialize(rows, deleted)).filter(F.col("session_path") == path).first()
+    kept = export.backup(spark, corpus, backups, path)
+    write_session(spark, corpus, root, path, own["text"] if own else "\n", home)
+    return kept
+
+
+def save_copy(spark: SparkSession, corpus: str, root: str | None, path: str, rows: DataFrame, deleted: DataFrame, home: str = "/") -> str:
+    """The draft as a new session beside the old one; its path."""
+    own = session_text(serialize(rows, deleted)).filter(F.col("session_path") == path).first()
+    new = f"{path.removesuffix('.jsonl')}-edited-{int(time.time())}.jsonl"
+    write_session(spark, corpus, root, new, own["text"] if own else "\n", home)
+    return new
+
+
+def discard(original: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """A fresh draft's rows, and no deletions."""
+    rows = build_draft(original)
+    return rows, rows.sparkSession.createDataFrame([], "session_path string, line_no long, content_no long")
+
+
+def fork(lines: DataFrame, upto: int, new_id: str | None = None) -> DataFrame:
+    """Lines 0 to ``upto`` with the first sessionId value of each replaced, by a new one for each session if none is given.
+
+    A session of no such line fails the query.
+    """
+    last = Window.partitionBy("session_path").orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    own = lines.withColumn("_last", F.max("line_no").over(last)).withColumn("_tail", F.last("line").over(last))
+    own = own.withColumn("_last", F.when(F.col("_tail") == "", F.col("_last") - 1).otherwise(F.col("_last")))
+    short = F.when(F.col("_last") < upto, F.raise_error(F.lit("line index out of range")).cast("long")).otherwise(F.col("line_no"))
+    kept = own.withColumn("line_no", short).filter(F.col("line_no") <= upto)
+    given = F.lit(new_id) if new_id else F.concat_ws("-", *[F.substring(F.md5(F.concat_ws("|", F.col("session_path"), F.lit(uuid.uuid4().hex))), a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))])
+    at = F.locate('"sessionId":"', F.col("line"))
+    head = at + len('"sessionId":"') - 1
+    rest = F.substring(F.col("line"), head + 1, F.length("line"))
+    swapped = F.concat(F.substring(F.col("line"), F.lit(1), head), given, F.substring(rest, F.locate('"', rest), F.length("line")))
+    new = F.when((at > 0) & (F.locate('"', rest) > 0), swapped).otherwise(F.col("line"))
+    return kept.withColumn("line", new).drop("_last", "_tail")
+
+
+def rename_lines(lines: DataFrame, names: DataFrame) -> DataFrame:
+    """``lines`` of sessions with two more, (session_path, title, session_id) of ``names``; what was there stays."""
+    last = lines.filter("line <> ''").groupBy("session_path").agg(F.max("line_no").alias("at"))
+    own = last.join(names, "session_path")
+    tail = lambda kind, field, k: own.select("session_path", (F.col("at") + k).alias("line_no"), F.to_json(F.struct(F.lit(kind).alias("type"), F.col("title").alias(field), F.col("session_id").alias("sessionId"))).alias("line"))
+    kept = lines.filter("line <> ''").select("session_path", "line_no", "line")
+    return kept.unionByName(tail("custom-title", "customTitle", 1)).unionByName(tail("agent-name", "agentName", 2))
 
 
 def rename(text: str, title: str, session: str) -> str:
@@ -56,6 +216,20 @@ def rename(text: str, title: str, session: str) -> str:
     return body + "".join(json.dumps(x, ensure_ascii=False, separators=(",", ":")) + "\n" for x in tail)
 
 
+def _object(raw: str) -> bool:
+    """Whether the line is a JSON object that repeats no key."""
+
+    def once(pairs: list[tuple[str, object]]) -> dict:
+        if len({k for k, _ in pairs}) < len(pairs):
+            raise ValueError("repeated key")
+        return dict(pairs)
+
+    try:
+        return isinstance(json.loads(raw, object_pairs_hook=once), dict)
+    except (ValueError, RecursionError):
+        return False
+
+
 def _span(raw: str, at: int) -> int:
     """End of the JSON value that begins at ``at``."""
     if raw[at] == '"':
@@ -109,9 +283,7 @@ def edit_text(raw: str, ordinal: int, new: str) -> str:
 
     Anything that does not fit (no JSON, no such block, same text) leaves the line.
     """
-    try:
-        json.loads(raw)
-    except ValueError:
+    if not _object(raw):
         return raw
     place = _find(raw, "message", "content")
     if not place:
@@ -136,6 +308,8 @@ def edit_text(raw: str, ordinal: int, new: str) -> str:
 
 def drop_blocks(raw: str, numbers: set[int]) -> str | None:
     """The line without the numbered content blocks, other bytes unchanged; None if none is left."""
+    if not _object(raw):
+        return raw
     place = _find(raw, "message", "content")
     if not place or not numbers:
         return raw
@@ -144,5 +318,8 @@ def drop_blocks(raw: str, numbers: set[int]) -> str | None:
         return None if 0 in numbers else raw
     if raw[at] != "[":
         return raw
-    kept = [raw[a:b] for k, (_, a, b) in enumerate(_members(raw, at)) if k not in numbers]
+    members = _members(raw, at)
+    kept = [raw[a:b] for k, (_, a, b) in enumerate(members) if k not in numbers]
+    if len(kept) == len(members):
+        return raw
     return raw[:at] + "[" + ",".join(kept) + "]" + raw[end:] if kept else None

@@ -1,36 +1,66 @@
-"""The search index as Parquet: full build, incremental sweep, version wipe.
+"""The search index as Parquet: full build, incremental sweep, single files, version wipe.
 
-A snapshot is a folder of blocks, postings and session_files; ``_meta.json`` names
-the current one, and is replaced in one step, so readers see whole snapshots.
-Blocks and postings are partitioned by a hash bucket of the session.
+An index is a manifest, ``_meta.json``, and what it names: segments and a table of
+files.  A refresh reads only files that are new or changed and writes them as one
+more segment: blocks, by a hash bucket of the session; postings, by a hash bucket of
+the term and sorted by it; and the segment's vocabulary.  The table of files has
+each session's fingerprint, label, counts, and the segment that holds its present
+text; what older segments hold of it is dead and skipped.  More than SEGMENTS of them
+are merged.  The manifest is replaced in one step, so readers see whole states; what
+it no longer names is removed one refresh later, when no reader starts with it.
+
+Only writers remove anything, and only under the lock file; a reader that finds
+another version's index finds none.
 """
 
 from __future__ import annotations
 
+import contextlib
 import hashlib
 import json
-import os
-import shutil
 import time
 import uuid
-from pathlib import Path
+import zlib
+from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palaver.operators import search
+from palaver.functions import text as T
 from palaver.sources import jsonl
+from palaver.sources.store import Store
 
-ENGINE = "1"
+ENGINE = "2"
 BUCKETS = 16
+SEGMENTS = 8
+#: Stale files named to the reader one by one, at most; beyond, their folder is scanned and joined.
+NAMED = 10_000
+#: Seconds after which a lock is taken for that of a dead writer.
+LOCK_S = 6 * 3600
+DOC = ["session_path", "line_no", "block_no"]
+BLOCKS = "session_path string, project string, line_no long, block_no long, ts_ms long, uuid string, source string, text string, bucket int, segment string"
+POSTINGS = "term string, session_path string, line_no long, block_no long, ts_ms long, tf long, dl int, term_bucket int, segment string"
+VOCABULARY = "term string, n int"
+FILES = "session_path string, project string, project_display string, mtime long, size long, indexed_at long, segment string, n_blocks long, n_tokens long"
 
 
 def version() -> str:
     """Engine version and a hash of the tables' columns."""
-    shape = json.dumps([search.DOC, "project", "ts_ms", "uuid", "source", "text", "term", "tf", "dl", BUCKETS])
+    shape = json.dumps([BLOCKS, POSTINGS, VOCABULARY, FILES, BUCKETS])
     return f"{ENGINE}-{hashlib.sha256(shape.encode()).hexdigest()[:16]}"
 
 
+def bucket(c: str) -> Column:
+    return (F.crc32(F.col(c).cast("binary")) % BUCKETS).cast("int")
+
+
+def bucket_of(text: str) -> int:
+    """The same on the driver, for the few names that a search looks up."""
+    return zlib.crc32(text.encode()) % BUCKETS
+
+
 def classify(listing: DataFrame, known: DataFrame) -> DataFrame:
     """(session_path, status): new, changed, unchanged or deleted, by mtime and size."""
     a = listing.select("session_path", F.col("mtime").alias("m"), F.col("size").alias("s"), F.lit(True).alias("here"))
@@ -43,53 +73,200 @@ def classify(listing: DataFrame, known: DataFrame) -> DataFrame:
     return both.select("session_path", status.alias("status"))
 
 
-def current(root: str) -> dict:
-    path = Path(root, "_meta.json")
-    meta = json.loads(path.read_text()) if path.exists() else {}
-    if meta and meta.get("version") != version():  # another engine's files
-        shutil.rmtree(root)
-        return {}
-    return meta
-
-
-def load(spark: SparkSession, root: str, name: str) -> DataFrame | None:
-    meta = current(root)
-    return spark.read.parquet(f"{root}/{meta['snapshot']}/{name}") if meta else None
-
-
-def _publish(root: str, snapshot: str) -> None:
-    own = Path(root, f"_meta-{uuid.uuid4().hex}")
-    own.write_text(json.dumps({"version": version(), "snapshot": snapshot}))
-    os.replace(own, Path(root, "_meta.json"))
-
-
-def _write(blocks: DataFrame, files: DataFrame, root: str) -> str:
-    snapshot = f"s{time.time_ns()}"
-    bucket = F.pmod(F.xxhash64("session_path"), F.lit(BUCKETS)).cast("int")
-    blocks.withColumn("bucket", bucket).write.partitionBy("bucket").parquet(f"{root}/{snapshot}/blocks")
-    kept = blocks.sparkSession.read.parquet(f"{root}/{snapshot}/blocks")
-    posts = search.postings(kept).withColumn("bucket", bucket)
-    posts.sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{root}/{snapshot}/postings")
-    files.withColumn("indexed_at", F.lit(int(time.time()))).write.parquet(f"{root}/{snapshot}/session_files")
-    return snapshot
-
-
-def refresh(spark: SparkSession, corpus: str, root: str) -> dict[str, int]:
-    """Bring the index up to date; counts by status.  Nothing is written if nothing changed."""
-    Path(root).mkdir(parents=True, exist_ok=True)
-    listing = jsonl.list_sessions(spark, corpus)
-    known = load(spark, root, "session_files")
-    if known is None:
-        known = listing.limit(0)
-    status = classify(listing, known)
-    counts = {r["status"]: r["count"] for r in status.groupBy("status").count().collect()}
-    if set(counts) <= {"unchanged"} and current(root):
-        return counts
-    stale = status.filter("status in ('new', 'changed')").select("session_path")
-    fresh = jsonl.search_blocks(jsonl.read_lines(spark, corpus).join(stale, "session_path", "left_semi"))
-    old = load(spark, root, "blocks")
-    if old is not None:
-        kept = old.drop("bucket").join(status.filter("status = 'unchanged'").select("session_path"), "session_path", "left_semi")
-        fresh = fresh.unionByName(kept)
-    _publish(root, _write(fresh, listing, root))
+def postings(blocks: DataFrame) -> DataFrame:
+    """(doc, ts_ms, term, tf, dl): one row per block and term."""
+    words = blocks.select(*DOC, "ts_ms", T.tokens(F.col("text")).alias("w"))
+    return words.select(*DOC, "ts_ms", F.size("w").alias("dl"), F.explode("w").alias("term")).groupBy(*DOC, "ts_ms", "term", "dl").agg(F.count("*").alias("tf"))
+
+
+@dataclass
+class Index:
+    """A state of an index, as its manifest had it when it was opened."""
+
+    spark: SparkSession
+    root: str
+    meta: dict
+
+    @property
+    def empty(self) -> bool:
+        return not self.meta
+
+    def _tables(self, name: str, schema: str) -> DataFrame:
+        stored = schema.rsplit(", ", 1)[0]  # given, so that no file is opened to find it
+        parts = [self.spark.read.schema(stored).parquet(f"{self.root}/{s}/{name}").withColumn("segment", F.lit(s)) for s in self.meta.get("segments", [])]
+        return reduce(DataFrame.unionByName, parts) if parts else self.spark.createDataFrame([], schema)
+
+    def files(self) -> DataFrame:
+        """The fingerprint, label, segment and counts of each session."""
+        return self.spark.read.schema(FILES).parquet(f"{self.root}/{self.meta['files']}") if self.meta else self.spark.createDataFrame([], FILES)
+
+    def _live(self, df: DataFrame) -> DataFrame:
+        return df.join(self.files().select("session_path", "project", "segment"), ["session_path", "segment"])
+
+    def blocks(self, among: Column | None = None) -> DataFrame:
+        """The blocks of all present texts; ``among`` is applied to the stored columns first."""
+        found = self._tables("blocks", BLOCKS).drop("project")
+        return self._live(found if among is None else found.filter(among))
+
+    def postings(self, among: Column | None = None) -> DataFrame:
+        found = self._tables("postings", POSTINGS)
+        return self._live(found if among is None else found.filter(among))
+
+    def vocabulary(self) -> DataFrame:
+        """(term, n): all terms and their lengths; those of dead texts may linger until segments are merged."""
+        found = self._tables("vocabulary", VOCABULARY + ", segment string").select("term", "n")
+        return found.distinct() if len(self.meta.get("segments", [])) > 1 else found
+
+    def totals(self) -> tuple[int, int]:
+        """Number of blocks and of their words."""
+        if "n_blocks" in self.meta:
+            return self.meta["n_blocks"], self.meta["n_tokens"]
+        row = self.files().agg(F.coalesce(F.sum("n_blocks"), F.lit(0)), F.coalesce(F.sum("n_tokens"), F.lit(0))).first()
+        return int(row[0]), int(row[1])
+
+
+def open_index(spark: SparkSession, root: str) -> Index:
+    """The present state; an empty one if there is none or it is another version's."""
+    text = Store(spark, root).read("_meta.json")
+    meta = json.loads(text) if text else {}
+    return Index(spark, root.rstrip("/"), meta if meta.get("version") == version() else {})
+
+
+def fingerprints(spark: SparkSession, root: str) -> DataFrame:
+    return open_index(spark, root).files().select("session_path", "mtime", "size")
+
+
+def status(spark: SparkSession, corpus: str, root: str) -> dict:
+    """Sessions indexed and on disk, blocks, and whether a writer is at work."""
+    own = open_index(spark, root)
+    on_disk = jsonl.list_sessions(spark, corpus)
+    indexed = own.files().join(on_disk, "session_path", "left_semi").count()
+    return {"indexed_sessions": indexed, "total_sessions": on_disk.count(), "blocks": own.totals()[0], "building": Store(spark, root).exists("_lock")}
+
+
+@contextlib.contextmanager
+def locked(store: Store, wait_s: float = 60) -> Iterator[None]:
+    """The writers' lock; one older than LOCK_S is a dead writer's."""
+    name, until = uuid.uuid4().hex, time.time() + wait_s
+    while not store.create("_lock", f"{name} {int(time.time())}"):
+        held = (store.read("_lock") or "").split()
+        if len(held) == 2 and int(held[1]) + LOCK_S < time.time():
+            store.delete("_lock")
+        elif time.time() > until:
+            raise TimeoutError(f"another writer holds {store.root}/_lock")
+        else:
+            time.sleep(0.2)
+    try:
+        yield
+    finally:
+        if (store.read("_lock") or "").startswith(name):
+            store.delete("_lock")
+
+
+def _write_segment(blocks: DataFrame, root: str, name: str) -> DataFrame:
+    """Write one segment; (session_path, n_blocks, n_tokens) of what it holds."""
+    spark, folder = blocks.sparkSession, f"{root}/{name}"
+    own = blocks.select(*[c.split()[0] for c in BLOCKS.split(", ")[:-2]]).withColumn("bucket", bucket("session_path"))
+    own.repartition("bucket").sortWithinPartitions("bucket", *DOC).write.partitionBy("bucket").parquet(f"{folder}/blocks")
+    kept = spark.read.schema(BLOCKS.rsplit(", ", 1)[0]).parquet(f"{folder}/blocks")
+    posts = postings(kept).withColumn("term_bucket", bucket("term"))
+    posts.repartition("term_bucket").sortWithinPartitions("term_bucket", "term", *DOC).write.partitionBy("term_bucket").parquet(f"{folder}/postings")
+    stored = spark.read.schema(POSTINGS.rsplit(", ", 1)[0]).parquet(f"{folder}/postings")
+    stored.select("term").distinct().select("term", F.length("term").alias("n")).write.parquet(f"{folder}/vocabulary")
+    return kept.groupBy("session_path").agg(F.count("*").alias("n_blocks"), F.sum(F.size(T.tokens(F.col("text"))).cast("long")).alias("n_tokens"))
+
+
+def _fresh(spark: SparkSession, corpus: str, stale: DataFrame, n: int, home: str, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Blocks and labels of the stale files; no others are read, and these once, into ``folder``."""
+    if n <= NAMED:
+        lines = jsonl.read_lines(spark, corpus, [r["session_path"] for r in stale.select("session_path").collect()])
+    else:
+        lines = jsonl.read_lines(spark, corpus).join(stale.select("session_path"), "session_path", "left_semi")
+    lines.write.parquet(folder)
+    held = spark.read.schema(jsonl.LINES).parquet(folder)
+    return jsonl.search_blocks(held), jsonl.project_labels(held, home)
+
+
+def refresh(spark: SparkSession, corpus: str, root: str, paths: list[str] | None = None, home: str = "/", wait_s: float = 60) -> dict[str, int]:
+    """Bring the index up to date, for ``paths`` only if given; counts by status.  Nothing is written if nothing changed.
+
+    A changed file that cannot be read keeps its old text and fingerprint; a new one stays unknown.
+    """
+    store = Store(spark, root)
+    with locked(store, wait_s):
+        text = store.read("_meta.json")
+        meta = json.loads(text) if text else {}
+        for name, _ in store.names():  # of a writer that died
+            if name.startswith("lines-"):
+                store.delete(name)
+        if meta and meta.get("version") != version():  # another engine's files
+            for name, _ in store.names():
+                if name != "_lock":
+                    store.delete(name)
+            meta = {}
+        own = Index(spark, root.rstrip("/"), meta)
+        listing, known, others = jsonl.list_sessions(spark, corpus), own.files(), None
+        if paths is not None:
+            chosen = F.col("session_path").isin(paths)
+            listing, known, others = listing.filter(chosen), known.filter(chosen), known.filter(~chosen)
+        found = classify(listing, known)
+        counts = {r["status"]: r["count"] for r in found.groupBy("status").count().collect()}
+        if set(counts) <= {"unchanged"} and (meta or not counts):
+            return counts
+        number = meta.get("number", 0) + 1
+        segment, files = f"segment-{number}-{uuid.uuid4().hex[:8]}", f"files-{number}-{uuid.uuid4().hex[:8]}"
+        segments = list(meta.get("segments", []))
+        stale = found.filter("status in ('new', 'changed')")
+        keep = known.join(found.filter("status = 'unchanged'"), "session_path", "left_semi")
+        n = counts.get("new", 0) + counts.get("changed", 0)
+        if n:
+            blocks, labels = _fresh(spark, corpus, stale, n, home, f"{own.root}/lines-{number}")
+            held = _write_segment(blocks, own.root, segment)
+            segments.append(segment)
+            read = (
+                listing.select("session_path", "mtime", "size").join(labels, "session_path").join(held, "session_path", "left")
+                .select(
+                    "session_path", "project", "project_display", "mtime", "size", F.lit(int(time.time())).alias("indexed_at"), F.lit(segment).alias("segment"),
+                    F.coalesce("n_blocks", F.lit(0)).alias("n_blocks"), F.coalesce("n_tokens", F.lit(0)).alias("n_tokens"),
+                )
+            )
+            unread = known.join(stale, "session_path", "left_semi").join(labels, "session_path", "left_anti")
+            keep = keep.unionByName(unread).unionByName(read)
+        if others is not None:
+            keep = keep.unionByName(others)
+        keep.write.parquet(f"{own.root}/{files}")
+        store.delete(f"lines-{number}")
+        after = Index(spark, own.root, {"segments": segments, "files": files})
+        used = {r["segment"] for r in after.files().select("segment").distinct().collect()}
+        if len(used) > SEGMENTS:
+            files, used = _merge(after, number), {f"segment-{number}-merged"}
+        names = [s for s in [*segments, f"segment-{number}-merged"] if s in used]
+        before = {*meta.get("segments", []), *([meta["files"]] if meta else [])}
+        retired = sorted((before | {segment, after.meta["files"]}) - {*names, files})
+        n_blocks, n_tokens = after.totals()
+        counted = {"n_blocks": n_blocks, "n_tokens": n_tokens}
+        store.write("_meta.json", json.dumps({"version": version(), "number": number, "segments": names, "files": files, "retired": retired, **counted}))
+        for name in meta.get("retired", []):
+            store.delete(name)
     return counts
+
+
+def _merge(own: Index, number: int) -> str:
+    """All present texts as one segment; the new table of files."""
+    name, files = f"segment-{number}-merged", f"files-{number}-merged"
+    _write_segment(own.blocks(), own.root, name)
+    own.files().withColumn("segment", F.lit(name)).write.parquet(f"{own.root}/{files}")
+    return files
+
+
+def build(spark: SparkSession, corpus: str, root: str, home: str = "/") -> dict[str, int]:
+    """A full build if nothing is indexed yet, else a sweep: sessions and blocks before and after, and the counts by status."""
+    before = open_index(spark, root).files().count()
+    counts = refresh(spark, corpus, root, home=home)
+    after = open_index(spark, root)
+    return {"before": before, "sessions": after.files().count(), "blocks": after.totals()[0], **counts}
+
+
+def index_file(spark: SparkSession, corpus: str, root: str, path: str, home: str = "/") -> dict[str, int]:
+    """Refresh one file at once, as after a save."""
+    return refresh(spark, corpus, root, [path], home)

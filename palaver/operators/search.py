@@ -1,25 +1,33 @@
-"""Ranked, typo-tolerant search over text blocks.
-
-A query is tokenised like the text.  Each query token scores the blocks that hold
-it by three times BM25, and, from three letters on, blocks with any word one
-edit away by one.  Statistics describe the whole corpus, filters come after.
-Ties end by session and place.
+"""Ranked, typo-tolerant search over stored postings.
+
+A query is tokenised like the text.  Its words are sought in the index's vocabulary:
+each query token scores the blocks that hold it by three times BM25, and, from three
+letters on, blocks with any word one edit away by one.  Only the postings of the
+terms found are read: they lie by a hash of the term and in its order.  Statistics
+describe the whole corpus, filters come after.  Ties end by session and place.  The
+best are chosen on narrow rows; the text is fetched for these alone.
 """
 
 from __future__ import annotations
 
 import re
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palaver.functions import text as T
+from palaver.operators.index import DOC, Index, bucket_of, postings
+from palaver.sources import jsonl
+
+__all__ = ["Filters", "cold", "cold_hits", "corpus_stats", "matches", "matching_terms", "postings", "query_tokens", "search", "summary", "term_df", "two_tier"]
 
-DOC = ["session_path", "line_no", "block_no"]
 BOOST, K1, B = 3.0, 1.2, 0.75
 FUZZY_LEAST = 3
 DEFAULT_LIMIT = 500
+#: Hits fetched by name, at most; beyond, the blocks are joined.
+NAMED = 10_000
 
 
 @dataclass
@@ -49,16 +57,10 @@ def query_tokens(query: str) -> list[str]:
     return [w.lower() for w in re.findall(r"[^\W_]+", query) if len(w.encode()) < T.TOKEN_BYTES]
 
 
-def postings(blocks: DataFrame) -> DataFrame:
-    """(doc, term, tf, dl): one row per block and term."""
-    words = blocks.select(*DOC, T.tokens(F.col("text")).alias("w"))
-    return words.select(*DOC, F.size("w").alias("dl"), F.explode("w").alias("term")).groupBy(*DOC, "term", "dl").agg(F.count("*").alias("tf"))
-
-
-def corpus_stats(blocks: DataFrame) -> DataFrame:
+def corpus_stats(index: Index) -> DataFrame:
     """One row: number of blocks, words, and words a block."""
-    n = F.size(T.tokens(F.col("text"))).cast("long")
-    return blocks.agg(F.count("*").alias("n_docs"), F.sum(n).alias("n_tokens"), F.avg(n).alias("avg_len"))
+    files = index.files().agg(F.coalesce(F.sum("n_blocks"), F.lit(0)).alias("n_docs"), F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("n_tokens"))
+    return files.withColumn("avg_len", F.col("n_tokens") / F.nullif(F.col("n_docs"), F.lit(0)))
 
 
 def term_df(posts: DataFrame) -> DataFrame:
@@ -74,63 +76,121 @@ def matching_terms(vocabulary: DataFrame, words: list[str]) -> DataFrame:
     return pairs.filter(exact | near).select(F.col("q.tok").alias("tok"), "term", exact.alias("exact"), (F.length("q.word") >= FUZZY_LEAST).alias("fuzzy"))
 
 
-def scores(blocks: DataFrame, words: list[str], posts: DataFrame | None = None) -> DataFrame:
-    """(doc, score) of every block that matches."""
-    posts = postings(blocks) if posts is None else posts
-    frequencies = term_df(posts)
-    terms = matching_terms(frequencies.select("term"), words).join(frequencies, "term")
-    stats = F.broadcast(corpus_stats(blocks))  # one row
-    hits = posts.join(terms, "term").crossJoin(stats)
-    idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avg_len")))
-    by_token = hits.groupBy(*DOC, "tok").agg(
-        F.coalesce(F.sum(F.when(F.col("exact"), BOOST * idf * weight)), F.lit(0.0)).alias("exact"),
-        F.max(F.when(F.col("fuzzy"), 1.0).otherwise(0.0)).alias("near"),
-    )
-    return by_token.groupBy(*DOC).agg(F.round(F.sum(F.col("exact") + F.col("near")), 6).alias("score"))
-
-
-def matches(blocks: DataFrame, query: str, filters: Filters | None = None) -> DataFrame:
-    """All matching blocks with their score."""
-    words = query_tokens(query)
-    if not words:
-        return blocks.limit(0).withColumn("score", F.lit(0.0))
-    allowed = blocks.filter(filters.condition()) if filters else blocks
-    return allowed.join(scores(blocks, words), DOC)
+def _reached(index: Index, words: list[str]) -> list[tuple[int, str, bool, bool]]:
+    """(token, term, exact, fuzzy) of the stored terms that the words reach: all within one edit of a word, so few."""
+    near = [w for w in words if len(w) >= FUZZY_LEAST]
+    sizes = sorted({len(w) + k for w in near for k in (-1, 0, 1)})
+    candidates = index.vocabulary().filter(F.col("term").isin(words) | F.col("n").isin(sizes))
+    return [tuple(r) for r in matching_terms(candidates, words).select("tok", "term", "exact", "fuzzy").collect()]
 
 
-def search(blocks: DataFrame, query: str, filters: Filters | None = None, limit: int = DEFAULT_LIMIT) -> DataFrame:
-    """The best ``limit`` blocks with snippets; ranges are of literal matches within the snippet, or of words
+def matches(index: Index, query: str, filters: Filters | None = None) -> DataFrame:
+    """(doc, project, ts_ms, score) of all matching blocks."""
+    words = query_tokens(query)
+    spark = index.spark
+    reached = _reached(index, words) if words and not index.empty else []
+    if not reached:
+        return spark.createDataFrame([], "session_path string, line_no long, block_no long, project string, ts_ms long, score double")
+    terms = sorted({term for _, term, _, _ in reached})
+    homes = sorted({bucket_of(t) for t in terms})
+    posts = index.postings(F.col("term_bucket").isin(homes) & F.col("term").isin(terms))
+    df = {r["term"]: r["df"] for r in term_df(posts).collect()}  # of the terms reached
+    n_docs, n_tokens = index.totals()
+    known = [(tok, term, exact, fuzzy, df[term]) for tok, term, exact, fuzzy in reached if term in df]
+    if not known:
+        return matches(index, "")
+    asked = F.broadcast(spark.createDataFrame(known, "tok int, term string, exact boolean, fuzzy boolean, df long"))
+    idf = F.log(1 + (F.lit(n_docs) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    weight = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(n_tokens / n_docs)))
+    if filters:
+        # the statistics are taken already: what a filter drops need not be scored
+        posts = posts.filter(filters.condition())
+    near = [F.max(F.when((F.col("tok") == k) & F.col("fuzzy"), 1.0).otherwise(0.0)) for k in range(len(words))]
+    exact = F.coalesce(F.sum(F.when(F.col("exact"), BOOST * idf * weight)), F.lit(0.0))
+    hits = posts.join(asked, "term").groupBy(*DOC, "project", "ts_ms").agg(F.round(reduce(Column.__add__, near, exact), 6).alias("score"))
+    return hits.filter("score > 0")
+
+
+def top(index: Index, query: str, filters: Filters | None = None, limit: int = DEFAULT_LIMIT) -> DataFrame:
+    """(doc, project, ts_ms, score) of the best ``limit`` blocks, in order."""
+    return matches(index, query, filters).orderBy(F.desc("score"), *DOC).limit(limit)
+
+
+def _fetch(index: Index, best: DataFrame, limit: int) -> DataFrame:
+    """``best`` with the stored columns of its blocks."""
+    columns = [*DOC, "uuid", "source", "text"]
+    if limit > NAMED:
+        return best.join(index.blocks().select(*columns), DOC)
+    rows = best.collect()
+    named = index.spark.createDataFrame(rows, best.schema)
+    paths = sorted({r["session_path"] for r in rows})
+    homes = sorted({bucket_of(p) for p in paths})
+    stored = index.blocks(F.col("bucket").isin(homes) & F.col("session_path").isin(paths)).select(*columns)
+    return stored.join(F.broadcast(named), DOC)  # NAMED rows at most
+
+
+def search(index: Index, query: str, filters: Filters | None = None, limit: int = DEFAULT_LIMIT) -> DataFrame:
+    """The best ``limit`` blocks with snippets, in order; ranges are of literal matches within the snippet, or of words
     one edit away where it has none."""
     words = query_tokens(query)
-    best = matches(blocks, query, filters).orderBy(F.desc("score"), *DOC).limit(limit)
-    cut = best.withColumn("snippet", T.snippet(F.col("text"), words))
+    found = _fetch(index, top(index, query, filters, limit), limit)
+    cut = found.withColumn("snippet", T.snippet(F.col("text"), words))
     literal = T.match_ranges(F.col("snippet"), words)
     ranges = F.when(F.size(literal) > 0, literal).otherwise(T.fuzzy_ranges(F.col("snippet"), words))
-    return cut.select("session_path", "project", F.when(F.col("ts_ms") != 0, F.col("ts_ms")).alias("ts_ms"), "line_no", "block_no", "uuid", "source", "snippet", ranges.alias("match_ranges"), "score")
+    hits = cut.select("session_path", "project", F.when(F.col("ts_ms") != 0, F.col("ts_ms")).alias("ts_ms"), "line_no", "block_no", "uuid", "source", "snippet", ranges.alias("match_ranges"), "score")
+    return hits.orderBy(F.desc("score"), *DOC)
 
 
-def summary(blocks: DataFrame, query: str, filters: Filters | None = None, limit: int = DEFAULT_LIMIT) -> DataFrame:
+def summary(index: Index, query: str, filters: Filters | None = None, limit: int = DEFAULT_LIMIT) -> DataFrame:
     """One row: hits returned, blocks matched, and whether some were left out."""
-    found = matches(blocks, query, filters).agg(F.count("*").alias("scanned"))
+    found = matches(index, query, filters).agg(F.count("*").alias("scanned"))
     return found.select(F.least(F.col("scanned"), F.lit(limit).cast("long")).alias("hits"), "scanned", (F.col("scanned") > limit).alias("truncated"))
 
 
-def cold(blocks: DataFrame, query: str) -> DataFrame:
+def cold(blocks: DataFrame, query: str, filters: Filters | None = None) -> DataFrame:
     """Blocks of files not indexed yet: tokens found as substrings, ASCII case aside; score: how many."""
     low = T.ascii_lower(F.col("text"))
-    words = query_tokens(query)
+    words = [T.ascii_lower_text(w) for w in query_tokens(query)]
     score = sum((F.when(F.instr(low, F.lit(w)) > 0, 1).otherwise(0) for w in words), F.lit(0))
-    return blocks.withColumn("score", score.cast("double")).filter("score > 0")
-
-
-def two_tier(blocks: DataFrame, indexed: DataFrame, query: str, limit: int | None = DEFAULT_LIMIT) -> DataFrame:
-    """Ranked hits of indexed sessions, then substring hits of the others while there is room; ``tier`` 0 and 1.
-    No limit: all of both, in no order."""
-    warm_blocks = blocks.join(indexed.select("session_path").distinct(), "session_path", "left_semi")
-    cold_blocks = blocks.join(indexed.select("session_path").distinct(), "session_path", "left_anti")
-    warm, late = matches(warm_blocks, query).withColumn("tier", F.lit(0)), cold(cold_blocks, query).withColumn("tier", F.lit(1))
-    if limit is None:
-        return warm.unionByName(late).dropDuplicates(DOC)
-    both = warm.orderBy(F.desc("score"), *DOC).limit(limit).unionByName(late)
-    return both.dropDuplicates(DOC).orderBy("tier", F.desc("score"), *DOC).limit(limit)
+    allowed = blocks.filter(filters.condition()) if filters else blocks
+    return allowed.withColumn("score", score.cast("double")).filter("score > 0")
+
+
+def cold_hits(blocks: DataFrame, query: str, filters: Filters | None = None) -> DataFrame:
+    """Cold matches as hits: what surrounds the earliest match, and the ranges of all matches in it."""
+    words = [T.ascii_lower_text(w) for w in query_tokens(query)]
+    found = cold(blocks, query, filters).withColumn("snippet", T.cold_snippet(F.col("text"), words))
+    ranges = T.cold_ranges(F.col("snippet"), words)
+    return found.select("session_path", "project", "ts_ms", "line_no", "block_no", "uuid", "source", "snippet", ranges.alias("match_ranges"), "score")
+
+
+def unindexed(index: Index, corpus: str, home: str = "/") -> DataFrame:
+    """The blocks of session files on disk that the index does not know, whatever their age."""
+    spark = index.spark
+    late = jsonl.list_sessions(spark, corpus).join(index.files().select("session_path"), "session_path", "left_anti")
+    paths = [r["session_path"] for r in late.select("session_path").limit(NAMED + 1).collect()]
+    if len(paths) <= NAMED:
+        lines = jsonl.read_lines(spark, corpus, paths)
+    else:
+        lines = jsonl.read_lines(spark, corpus).join(late.select("session_path"), "session_path", "left_semi")
+    return jsonl.search_blocks(lines).drop("project").join(jsonl.project_labels(lines, home).select("session_path", "project"), "session_path")
+
+
+def two_tier(index: Index, corpus: str, query: str, filters: Filters | None = None, limit: int | None = DEFAULT_LIMIT, home: str = "/") -> DataFrame:
+    """Hits of indexed sessions, then of the others, as ``tier`` 0 and 1.
+
+    Files not indexed yet are looked at only if the index leaves room: neither more matches than ``limit`` nor as
+    many.  A block is a hit once.  No limit: all of both.  In order, except without a limit.
+    """
+    if not query_tokens(query):
+        return search(index, "", None, 0).withColumn("tier", F.lit(0)) if not index.empty else index.spark.createDataFrame([], HITS)
+    warm = search(index, query, filters, limit if limit is not None else 1 << 30) if not index.empty else index.spark.createDataFrame([], HITS).drop("tier")
+    warm = warm.withColumn("tier", F.lit(0))
+    if limit is not None and not index.empty and matches(index, query, filters).limit(limit).count() >= limit:
+        return warm
+    late = cold_hits(unindexed(index, corpus, home), query, filters).withColumn("tier", F.lit(1))
+    both = warm.unionByName(late)
+    return both if limit is None else both.orderBy("tier", F.desc("score"), *DOC).limit(limit)
+
+
+HITS = "session_path string, project string, ts_ms long, line_no long, block_no long, uuid string, source string, snippet string, match_ranges array<struct<start: int, end: int>>, score double, tier int"

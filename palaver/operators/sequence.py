@@ -30,12 +30,38 @@ def turns(rows: DataFrame) -> DataFrame:
     A user's text is a turn of its own.  Assistant rows join the open turn unless
     their request differs from its last one.  Rows of other sources belong to none.
     """
+    timed = F.col("ts_ms").isNotNull()
+    more = [F.min_by(F.when(named("model"), F.col("model")), F.when(named("model"), F.col(LINE))).alias("model")] if "model" in rows.columns else []
     return _placed(rows).groupBy(PATH, "turn_id").agg(
-        F.min_by("source", LINE).alias("role"), F.count("*").alias("n_rows"),
-        F.min(LINE).alias("first_line"), F.max(LINE).alias("last_line"), F.min_by("ts_ms", LINE).alias("ts_ms"),
+        F.min_by("source", LINE).alias("role"), F.count("*").alias("n_rows"), F.min(LINE).alias("first_line"), F.max(LINE).alias("last_line"),
+        F.min_by(F.when(timed, F.col("ts_ms")), F.when(timed, F.col(LINE))).alias("ts_ms"), *more,
     )
 
 
+def named(c: str) -> Column:
+    return F.coalesce(F.col(c), F.lit("")) != ""
+
+
+def build_turns(seen: DataFrame) -> DataFrame:
+    """The turns of sessions as a reader sees them (``view_entries``), with ``interrupted``.
+
+    Users' rows without text, and task notifications, form no turn and end none; an
+    interruption marks a turn instead.
+    """
+    user = F.col("type") == "user"
+    own = seen.filter((F.col("type") == "assistant") | user & F.col("has_user_text") & ~F.col("is_notice"))
+    rows = own.select(PATH, LINE, F.col("type").alias("source"), "request_id", "ts_ms", "model", "is_interruption")
+    marked = interrupted_turns(rows, F.col("is_interruption")).withColumn("interrupted", F.lit(True))
+    found = turns(rows.filter(~F.col("is_interruption")))
+    return found.join(marked, [PATH, "turn_id"], "left").withColumn("interrupted", F.coalesce("interrupted", F.lit(False)))
+
+
+def window_of_items(items: DataFrame, shown: int = 300) -> DataFrame:
+    """The first ``shown`` display items of each session, as an editor opens with."""
+    number = F.row_number().over(Window.partitionBy(PATH).orderBy("first_line"))
+    return items.withColumn("_n", number).filter(F.col("_n") <= shown).drop("_n")
+
+
 def interrupted_turns(rows: DataFrame, mark: Column) -> DataFrame:
     """(session_path, turn_id) of turns that an interruption falls on; rows where ``mark`` holds form no turn.
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from palaver.functions import text as T
 from palaver.functions import tools
 from palaver.operators import browse, edit, index, search, sequence, stats
-from palaver.plans.corpus import LINES_SQL, blocks, lines
+from palaver.plans.corpus import HOME, LINES_SQL, as_rows, blocks, lines, session_files, session_index
 from palaver.sources import jsonl
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -65,8 +65,7 @@ TOP = "ORDER BY score DESC, session_path, line_no, block_no"
 
 
 def _ranked(spark: SparkSession, sf: str, query: str, filters: search.Filters | None = None, limit: int = 100) -> DataFrame:
-    found = search.search(blocks(spark, sf), query, filters, limit)
-    return found.select("session_path", "line_no", "block_no", "score")
+    return as_rows(search.top(session_index(spark, sf), query, filters, limit)).select("session_path", "line_no", "block_no", "score")
 
 
 @register(f"WITH {scores_sql(QUERY)} SELECT {SHORT_ROW} FROM hits {TOP} LIMIT 20")
@@ -77,17 +76,17 @@ def bm25_search(spark, sf):
 @register(f"""WITH {scores_sql(QUERY)}, found AS (SELECT *, list_min(list_filter([{", ".join(f"instr(lower(text), '{w}')" for w in search.query_tokens(QUERY))}], lambda p: p > 0)) AS first FROM hits)
 SELECT session_path, project, ts_ms, line_no, block_no, uuid, source, CASE WHEN length(text) <= 240 THEN text ELSE substr(text, greatest(coalesce(first, 1) - 60, 1), 240) END AS snippet, score FROM found {TOP} LIMIT 100""")
 def search_hits(spark, sf):
-    return search.search(blocks(spark, sf), QUERY, limit=100).drop("match_ranges")
+    return as_rows(search.search(session_index(spark, sf), QUERY, limit=100).drop("match_ranges"))
 
 
 @register(None)
 def search_ranges(spark, sf):
-    return search.search(blocks(spark, sf), QUERY, limit=100).select("session_path", "line_no", "block_no", F.to_json("match_ranges").alias("ranges"))
+    return as_rows(search.search(session_index(spark, sf), QUERY, limit=100)).select("session_path", "line_no", "block_no", F.to_json("match_ranges").alias("ranges"))
 
 
 @register(f"WITH {scores_sql(QUERY)} SELECT {SHORT_ROW} FROM hits WHERE project IN ('p1', 'p3') {TOP} LIMIT 100")
 def search_project_filter(spark, sf):
-    return _ranked(spark, sf, QUERY, search.Filters(projects=["p1", "p3"]))
+    return _ranked(spark, sf, QUERY, search.Filters(projects=["~/p1", "~/p3"]))
 
 
 @register(f"WITH {scores_sql(QUERY)} SELECT {SHORT_ROW} FROM hits WHERE ts_ms BETWEEN {FROM} AND {TO} {TOP} LIMIT 100")
@@ -97,7 +96,9 @@ def search_date_range(spark, sf):
 
 @register(f"WITH {scores_sql(QUERY)} SELECT {SHORT_ROW} FROM hits WHERE session_path = 'conv/2.jsonl' {TOP} LIMIT 100")
 def search_single_session(spark, sf):
-    return _ranked(spark, sf, QUERY, search.Filters(session_path="conv/2.jsonl"))
+    own = session_index(spark, sf)
+    path = own.files().filter(F.col("session_path").endswith("/2.jsonl")).first()
+    return as_rows(search.top(own, QUERY, search.Filters(session_path=path["session_path"] if path else ""), 100)).select("session_path", "line_no", "block_no", "score")
 
 
 @register(f"WITH {scores_sql(TYPO)} SELECT {SHORT_ROW} FROM hits {TOP} LIMIT 100")
@@ -112,7 +113,7 @@ def search_short_token_exact_only(spark, sf):
 
 @register(f"WITH {scores_sql(QUERY)} SELECT least(count(*), 100) AS hits, count(*) AS scanned, count(*) > 100 AS truncated FROM hits")
 def match_count(spark, sf):
-    return search.summary(blocks(spark, sf), QUERY, limit=100)
+    return search.summary(session_index(spark, sf), QUERY, limit=100)
 
 
 @register(f"WITH {LINES_SQL} SELECT session_path, line_no, array_to_string({WORDS_SQL}, ' ') AS tokens, CAST(len({WORDS_SQL}) AS BIGINT) AS n_tokens FROM blocks")
@@ -123,19 +124,18 @@ def tokenize(spark, sf):
 
 @register(f"WITH {LINES_SQL}, w AS (SELECT len({WORDS_SQL}) AS n FROM blocks) SELECT count(*) AS n_docs, CAST(sum(n) AS BIGINT) AS n_tokens, round(avg(n), 6) AS avg_len FROM w")
 def corpus_stats(spark, sf):
-    return search.corpus_stats(blocks(spark, sf)).withColumn("avg_len", F.round("avg_len", 6))
+    return search.corpus_stats(session_index(spark, sf)).withColumn("avg_len", F.round("avg_len", 6))
 
 
 @register(f"WITH {LINES_SQL} SELECT term, count(DISTINCT uuid) AS df FROM (SELECT uuid, unnest({WORDS_SQL}) AS term FROM blocks) GROUP BY term")
 def term_df(spark, sf):
-    return search.term_df(search.postings(blocks(spark, sf)))
+    return search.term_df(session_index(spark, sf).postings())
 
 
 @register(f"""WITH {LINES_SQL}, vocab AS (SELECT DISTINCT unnest({WORDS_SQL}) AS term FROM blocks), asked(tok, word) AS (VALUES (0, 'the'), (1, 'htose'), (2, 'éque'), (3, 'of'))
 SELECT tok, term, word = term AS exact FROM vocab, asked WHERE word = term OR (length(word) >= 3 AND abs(length(word) - length(term)) <= 1 AND {one_edit_sql("word", "term")})""")
 def fuzzy_vocab(spark, sf):
-    vocabulary = search.term_df(search.postings(blocks(spark, sf)))
-    return search.matching_terms(vocabulary, ["the", "htose", "éque", "of"]).select("tok", "term", "exact")
+    return search.matching_terms(session_index(spark, sf).vocabulary(), ["the", "htose", "éque", "of"]).select("tok", "term", "exact")
 
 
 def cold_sql(query: str, source: str) -> str:
@@ -149,30 +149,26 @@ def cold_search(spark, sf):
     return search.cold(blocks(spark, sf), QUERY).select(*search.DOC, "score")
 
 
-def _indexed(spark: SparkSession, sf: str) -> DataFrame:
-    return lines(spark, sf).filter("line_no = 0 and project <> 'p0'").select("session_path")
-
-
 @register(f"""WITH {scores_sql(QUERY).replace("FROM blocks)", "FROM warm)").replace("FROM blocks b", "FROM warm b").replace("words AS", "warm AS (SELECT * FROM blocks WHERE project <> 'p0'), words AS", 1)},
 cold AS ({cold_sql(QUERY, "(SELECT * FROM blocks WHERE project = 'p0')")}),
-top AS (SELECT session_path, line_no, block_no, score FROM hits {TOP} LIMIT 100000)
+top AS (SELECT session_path, line_no, block_no, score FROM hits)
 SELECT session_path, line_no, block_no, score, 0 AS tier FROM top UNION ALL SELECT session_path, line_no, block_no, score, 1 FROM cold""")
 def warm_cold_union(spark, sf):
-    return search.two_tier(blocks(spark, sf), _indexed(spark, sf), QUERY, None).select(*search.DOC, "score", "tier")
+    return as_rows(search.two_tier(session_index(spark, sf, True), session_files(spark, sf), QUERY, limit=None, home=HOME)).select(*search.DOC, "score", "tier")
 
 
-@register(f"WITH {LINES_SQL} SELECT DISTINCT session_path FROM lines WHERE project = 'p0' OR session_path NOT IN (SELECT session_path FROM lines WHERE line_no = 0)")
+@register(f"WITH {LINES_SQL} SELECT DISTINCT session_path FROM blocks WHERE project = 'p0'")
 def cold_sessions(spark, sf):
-    return lines(spark, sf).select("session_path").distinct().join(_indexed(spark, sf), "session_path", "left_anti")
+    return as_rows(search.unindexed(session_index(spark, sf, True), session_files(spark, sf), HOME)).select("session_path").distinct()
 
 
 @register(f"""WITH {scores_sql(QUERY)}, best AS (SELECT project, session_path, max(score) AS best, count(*) AS n_hits FROM hits GROUP BY ALL)
 SELECT *, CAST(row_number() OVER (PARTITION BY project ORDER BY best DESC, session_path) AS INTEGER) AS session_rank FROM best""")
 def grouped_hits(spark, sf):
-    return browse.grouped_hits(search.matches(blocks(spark, sf), QUERY))
+    return browse.grouped_hits(as_rows(search.matches(session_index(spark, sf), QUERY)))
 
 
-CLEAN_SQL = r"""trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace({0}, '\s+', ' ', 'g'), '[\x00-\x1f\x7f]', '', 'g'), '^[#>*\-`"'' ]+', ''), '[`"'']+$', ''))"""
+CLEAN_SQL = r"""trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace({0}, '\s+', ' ', 'g'), '[\x00-\x1f\x7f]', '', 'g'), '^[\s#>*\-`''"‘’“”]+', ''), '[''"‘’“”]+$', ''))"""
 META_SQL = f"""firsts AS (SELECT session_path, arg_min(text, line_no) FILTER (source = 'user') AS t, arg_min(ts_ms, line_no) AS ts_ms, min(project) AS project FROM lines GROUP BY session_path),
 cleaned AS (SELECT *, {CLEAN_SQL.format("t")} AS c FROM firsts),
 meta AS (SELECT session_path, CASE WHEN coalesce(c, '') = '' THEN 'Untitled' WHEN length(c) > 80 THEN concat(substr(c, 1, 80), '…') ELSE c END AS title, strftime(make_timestamp(ts_ms * 1000), '%Y-%m-%d') AS day, project FROM cleaned)"""
@@ -186,12 +182,15 @@ def session_meta(spark, sf):
 @register(f"WITH {scores_sql(QUERY)}, {META_SQL} SELECT h.session_path, line_no, block_no, score, coalesce(title, string_split(h.session_path, '/')[-1]) AS title FROM hits h LEFT JOIN (SELECT * FROM meta WHERE project <> 'p2') m USING (session_path)")
 def hits_with_titles(spark, sf):
     known = stats.session_meta(lines(spark, sf)).filter("project <> 'p2'")
-    return browse.hits_with_titles(search.matches(blocks(spark, sf), QUERY).select(*search.DOC, "score"), known)
+    return browse.hits_with_titles(as_rows(search.matches(session_index(spark, sf), QUERY)).select(*search.DOC, "score"), known)
 
 
 @register(f"WITH {LINES_SQL} SELECT session_path, project, ts_ms, line_no, block_no, uuid, source, text FROM blocks")
 def extract_blocks(spark, sf):
-    return blocks(spark, sf).select("session_path", "project", "ts_ms", "line_no", "block_no", "uuid", "source", "text")
+    """From the session files, with the labels of their working folders."""
+    found = jsonl.read_lines(spark, session_files(spark, sf))
+    own = jsonl.search_blocks(found).drop("project").join(jsonl.project_labels(found, HOME).select("session_path", "project"), "session_path")
+    return as_rows(own).select("session_path", "project", "ts_ms", "line_no", "block_no", "uuid", "source", "text")
 
 
 STATS_SQL = "stats AS (SELECT session_path, count(*) AS line_count, count(*) FILTER (source = 'user') AS user_count, count(*) FILTER (source = 'assistant') AS assistant_count, arg_min(ts_ms, line_no) AS first_ts, arg_max(ts_ms, line_no) AS last_ts FROM lines GROUP BY session_path)"
@@ -207,10 +206,10 @@ def models_first_seen(spark, sf):
     return stats.models_first_seen(lines(spark, sf))
 
 
-@register(f"SELECT conv_id, turn, {CLEAN_SQL.format('text')} AS title FROM (SELECT conv_id, turn, concat('## ', text, '\"') AS text FROM conversations)")
+@register(f"SELECT conv_id, turn, {CLEAN_SQL.format('text')} AS title FROM (SELECT conv_id, turn, concat('## “', text, '\"”`') AS text FROM conversations)")
 def clean_title(spark, sf):
     raw = spark.read.parquet(f"{sf}/conversations.parquet")
-    return raw.select("conv_id", "turn", T.clean_title(F.concat(F.lit("## "), "text", F.lit('"'))).alias("title"))
+    return raw.select("conv_id", "turn", T.clean_title(F.concat(F.lit("## “"), "text", F.lit('"”`'))).alias("title"))
 
 
 @register("""WITH r AS (SELECT doc_id, concat('-home-', replace(source, 'src', 'source-'), '--', lang, CASE WHEN doc_id % 2 = 0 THEN '-project' ELSE '' END) AS raw FROM documents),
@@ -257,24 +256,27 @@ def browse_page(spark, sf):
     return browse.browse_page(_stubs(spark, sf)).fillna({"mtime": -1})
 
 
-@register(f"""WITH {LINES_SQL}, {STUBS_SQL}, page AS (SELECT * FROM stubs WHERE mtime IS NOT NULL ORDER BY mtime DESC NULLS LAST, session_path LIMIT 60)
-SELECT project, max(mtime) AS latest, count(*) AS n_sessions, string_agg(session_path, ',' ORDER BY -mtime, session_path) AS sessions FROM page GROUP BY project""")
+@register(f"""WITH {LINES_SQL}, {STUBS_SQL}, page AS (SELECT * FROM stubs ORDER BY mtime DESC NULLS LAST, session_path LIMIT 60)
+SELECT project, coalesce(max(mtime), -1) AS latest, count(*) AS n_sessions, string_agg(session_path, ',' ORDER BY mtime IS NULL, -mtime, session_path) AS sessions FROM page GROUP BY project""")
 def browse_groups(spark, sf):
-    return browse.browse_groups(browse.browse_page(_stubs(spark, sf).filter("mtime is not null"), 60))
+    return browse.browse_groups(browse.browse_page(_stubs(spark, sf), 60)).fillna({"latest": -1})
 
 
-@register(f"""WITH {LINES_SQL}, {STATS_SQL}, {STUBS_SQL} SELECT session_path FROM stats JOIN stubs USING (session_path)
-WHERE (user_count > 3) AND mtime IS NOT NULL AND greatest({NOW} - mtime, 0) >= 900""")
+@register(f"""WITH {LINES_SQL}, {STUBS_SQL}, c AS (SELECT session_path, count(*) FILTER (source = 'user' AND line_no > 1) AS u, count(*) FILTER (source = 'assistant' AND line_no > 1) AS a, CASE WHEN min(project) = 'p5' THEN 'T' ELSE '' END AS title FROM lines GROUP BY session_path)
+SELECT session_path FROM c JOIN stubs USING (session_path) WHERE u = 0 AND a = 0 AND title = '' AND mtime IS NOT NULL AND greatest({NOW} - mtime, 0) >= 900""")
 def cleanup_candidates(spark, sf):
-    counts = stats.session_stats(lines(spark, sf)).withColumn("user_count", F.when(F.col("user_count") > 3, 0).otherwise(1)).withColumn("assistant_count", F.lit(0))
-    return stats.cleanup_candidates(counts.join(_stubs(spark, sf), "session_path").withColumn("title", F.lit("")), NOW).select("session_path")
+    """By the counts of the later lines of each session, as if the first two were not there."""
+    own = lines(spark, sf)
+    later = own.groupBy("session_path").agg(*[F.count_if((F.col("source") == who) & (F.col("line_no") > 1)).alias(f"{who}_count") for who in ("user", "assistant")], F.min("project").alias("p"))
+    known = later.withColumn("title", F.when(F.col("p") == "p5", "T").otherwise("")).drop("p")
+    return stats.cleanup_candidates(known.join(_stubs(spark, sf), "session_path"), NOW).select("session_path")
 
 
 @register(f"""WITH {LINES_SQL}, k AS (SELECT *, sum(CASE WHEN source = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY session_path ORDER BY line_no) AS seg FROM lines WHERE source IN ('user', 'assistant')),
 l AS (SELECT *, lag(source) OVER (PARTITION BY session_path ORDER BY line_no) AS prev,
   last_value(CASE WHEN source = 'assistant' THEN request_id END IGNORE NULLS) OVER (PARTITION BY session_path, seg ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM k),
 t AS (SELECT *, sum(CASE WHEN source = 'user' OR coalesce(prev, 'user') = 'user' OR (before IS NOT NULL AND before <> request_id) THEN 1 ELSE 0 END) OVER (PARTITION BY session_path ORDER BY line_no) AS turn_id FROM l)
-SELECT session_path, CAST(turn_id AS BIGINT) AS turn_id, arg_min(source, line_no) AS role, count(*) AS n_rows, min(line_no) AS first_line, max(line_no) AS last_line, arg_min(ts_ms, line_no) AS ts_ms FROM t GROUP BY session_path, turn_id""")
+SELECT session_path, CAST(turn_id AS BIGINT) AS turn_id, arg_min(source, line_no) AS role, count(*) AS n_rows, min(line_no) AS first_line, max(line_no) AS last_line, arg_min(ts_ms, line_no) AS ts_ms, arg_min(model, line_no) AS model FROM t GROUP BY session_path, turn_id""")
 def turns(spark, sf):
     return sequence.turns(lines(spark, sf))
 
@@ -323,15 +325,17 @@ def apply_deletions(spark, sf):
     return edit.apply_deletions(tools, edit.cascade(chosen, tools))
 
 
-@register(f"""WITH {LINES_SQL} SELECT session_path, line_no, concat('{{"sessionId":"new-id","n":', line_no, ',"sessionId":"old"}}') AS line FROM lines WHERE line_no <= 2""")
+@register(f"""WITH {LINES_SQL} SELECT session_path, line_no, concat('{{"sessionId":"new-id","n":', line_no, ',"sessionId":"old"}}') AS line FROM lines WHERE line_no <= 2 AND session_path IN (SELECT session_path FROM lines WHERE line_no = 2)""")
 def fork_prefix(spark, sf):
     raw = F.concat(F.lit('{"sessionId":"'), "session_path", F.lit('","n":'), "line_no", F.lit(',"sessionId":"old"}'))
-    return edit.fork(lines(spark, sf).select("session_path", "line_no", raw.alias("line")), 2, "new-id")
+    own = lines(spark, sf).select("session_path", "line_no", raw.alias("line"))
+    return edit.fork(own.join(own.filter("line_no = 2").select("session_path"), "session_path", "left_semi"), 2, "new-id")
 
 
-@register(f"WITH {LINES_SQL} SELECT count(DISTINCT session_path) AS sessions, count(*) AS n_blocks FROM blocks")
+@register(f"WITH {LINES_SQL} SELECT (SELECT count(DISTINCT session_path) FROM lines) AS sessions, (SELECT count(*) FROM blocks) AS n_blocks")
 def build_index_stats(spark, sf):
-    return blocks(spark, sf).agg(F.count_distinct("session_path").alias("sessions"), F.count("*").alias("n_blocks"))
+    """Of an index built from the session files."""
+    return session_index(spark, sf).files().agg(F.count("*").alias("sessions"), F.sum("n_blocks").cast("long").alias("n_blocks"))
 
 
 LISTING_SQL = "listing AS (SELECT session_path, min(ts_ms) // 1000 AS mtime, count(*) AS size, min(project) AS project FROM lines GROUP BY session_path)"
@@ -364,35 +368,34 @@ def view_blocks(spark, sf):
     return found.select("session_path", "line_no", "content_no", "kind", "raw_type", "tool_name", "tool_id", "uuid", "text", "ts_ms").fillna("")
 
 
-@register(f"WITH {LINES_SQL} SELECT session_path, CAST(count(*) AS BIGINT) AS n_lines, concat(count(*), ' thought', CASE WHEN count(*) > 1 THEN 's' ELSE '' END, ', ', count(*), ' tool call', CASE WHEN count(*) > 1 THEN 's' ELSE '' END, ', ', count(*), ' result', CASE WHEN count(*) > 1 THEN 's' ELSE '' END, ', ', 2 * count(*), ' other blocks') AS summary FROM lines GROUP BY session_path")
+@register(f"""WITH {LINES_SQL}, n AS (SELECT session_path, project, count(*) AS n FROM lines GROUP BY ALL)
+SELECT session_path, n AS n_lines, CASE WHEN project = 'p0' THEN concat(n, CASE WHEN n = 1 THEN ' item' ELSE ' items' END)
+  ELSE concat(n, CASE WHEN n = 1 THEN ' tool call · ' ELSE ' tool calls · ' END, n, CASE WHEN n = 1 THEN ' result · ' ELSE ' results · ' END, n, ' thinking') END AS summary FROM n""")
 def toolgroup_summary(spark, sf):
-    found = jsonl.content_blocks(_entries(spark, sf)).groupBy("session_path").agg(F.count_distinct("line_no").alias("n_lines"), F.collect_list("kind").alias("kinds"))
-    return found.select("session_path", "n_lines", tools.group_summary(F.col("kinds")).alias("summary"))
+    found = jsonl.content_blocks(_entries(spark, sf)).groupBy("session_path", "project").agg(F.count_distinct("line_no").alias("n_lines"), F.collect_list("kind").alias("kinds"))
+    kinds = F.when(F.col("project") == "p0", F.filter("kinds", lambda k: k == "unknown")).otherwise(F.col("kinds"))
+    return found.select("session_path", "n_lines", tools.group_summary(kinds, F.col("n_lines")).alias("summary"))
 
 
-@register(f"""WITH {LINES_SQL} SELECT session_path, line_no, CASE line_no % 4 WHEN 0 THEN concat('Read: f', line_no) WHEN 1 THEN 'TodoWrite: 2 items' WHEN 2 THEN 'Other: yes it is' ELSE 'Bash' END AS intent FROM lines""")
+@register(f"""WITH {LINES_SQL} SELECT session_path, line_no, CASE line_no % 5 WHEN 0 THEN concat('Read: f', line_no) WHEN 1 THEN 'TodoWrite: 2 items' WHEN 2 THEN 'Skill: yes it is' WHEN 3 THEN concat('BashOutput: b', line_no) ELSE 'Bash' END AS intent FROM lines""")
 def tool_intent(spark, sf):
-    n = F.col("line_no") % 4
-    name = F.when(n == 0, "Read").when(n == 1, "TodoWrite").when(n == 2, "Other").otherwise("Bash")
-    given = F.when(n == 0, F.concat(F.lit('{"a":"x","file_path":"f'), "line_no", F.lit('"}'))).when(n == 1, '{"todos":[{"a":1},{"b":2}]}').when(n == 2, '{"k":[1],"b":" ","a":" yes \\n it  is"}').otherwise("{}")
+    n = F.col("line_no") % 5
+    name = F.when(n == 0, "Read").when(n == 1, "TodoWrite").when(n == 2, "Skill").when(n == 3, "BashOutput").otherwise("Bash")
+    given = F.when(n == 0, F.concat(F.lit('{"a":"x","file_path":"f'), "line_no", F.lit('"}'))).when(n == 1, '{"todos":[{"a":1},{"b":2}]}').when(n == 2, '{"k":[1],"b":" ","a":" yes \\n it  is"}')
+    given = given.when(n == 3, F.concat(F.lit('{"a":"zz","bash_id":"b'), "line_no", F.lit('"}'))).otherwise("{}")
     return lines(spark, sf).select("session_path", "line_no", tools.tool_intent(name, given).alias("intent"))
 
 
-def _notifications(own: DataFrame) -> DataFrame:
-    said = F.concat(F.lit("<task-notification>\n<task-id>t"), "line_no", F.lit("</task-id>\n<status> done </status><summary>"), "text", F.lit("</summary></task-notification>"))
-    found = own.select("session_path", "line_no", T.task_notification(said).alias("m"))
-    return found.select("session_path", "line_no", F.col("m.task_id").alias("task_id"), F.col("m.status").alias("status"), F.col("m.summary").alias("summary"))
-
-
-@register(f"WITH {LINES_SQL} SELECT session_path, line_no, concat('t', line_no) AS task_id, 'done' AS status, text AS summary FROM blocks WHERE NOT contains(text, '<') AND trim(text) = text")
+@register(f"""WITH {LINES_SQL} SELECT session_path, line_no, concat('t', line_no) AS task_id, 'done' AS status, regexp_replace(trim(regexp_replace(text, '\\s+$', '')), '^\\s+', '') AS summary,
+  concat('n', line_no) AS note, concat('subagent_tokens: ', line_no, ' | duration_ms: 7') AS usage FROM (SELECT * REPLACE (string_split(text, '</summary>')[1] AS text) FROM blocks)""")
 def task_notification(spark, sf):
-    return _notifications(blocks(spark, sf).filter(~F.col("text").contains("<") & (F.trim("text") == F.col("text"))))
-
-
-@register(None)
-def task_notification_all(spark, sf):
-    """Every block as a notification; one that holds the closing tag ends there."""
-    return _notifications(blocks(spark, sf))
+    """Every block as the summary of a notification; one that holds the closing tag ends there."""
+    said = F.concat(
+        F.lit("<task-notification>\n<task-id>t"), "line_no", F.lit("</task-id>\n<status> done </status><summary>"), "text", F.lit("</summary><note>n"), "line_no",
+        F.lit("</note><usage><subagent_tokens>"), "line_no", F.lit("</subagent_tokens><tool_uses>x</tool_uses><duration_ms>7</duration_ms></usage></task-notification>"),
+    )
+    found = blocks(spark, sf).select("session_path", "line_no", T.task_notification(said).alias("m"))
+    return found.select("session_path", "line_no", *[F.col(f"m.{k}").alias(k) for k in ("task_id", "status", "summary", "note", "usage")])
 
 
 TURNS_SQL = """k AS (SELECT *, sum(CASE WHEN source = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY session_path ORDER BY line_no) AS seg FROM lines WHERE source IN ('user', 'assistant') AND line_no % 5 <> 3),
@@ -417,21 +420,12 @@ def turn_units(spark, sf):
     return found.withColumn("units", F.array_join(F.col("units").cast("array<string>"), ","))
 
 
-@register(f"""WITH {LINES_SQL}, r AS (SELECT *, line_no % 3 = 0 AS t FROM lines),
-g AS (SELECT *, sum(CASE WHEN t THEN 1 ELSE 0 END) OVER (PARTITION BY session_path ORDER BY line_no) AS g FROM r),
-i AS (SELECT *, dense_rank() OVER (PARTITION BY session_path ORDER BY g, t DESC) - 1 AS item FROM g)
-SELECT session_path, uuid, line_no, item, CASE WHEN item >= 2 THEN item + 50 ELSE 2 END AS shown FROM i WHERE line_no % 4 = 1""")
-def jump_to_row(spark, sf):
-    own = lines(spark, sf)
-    return sequence.jump(own, F.col("line_no") % 3 == 0, own.filter("line_no % 4 = 1"), shown=2)
-
-
 @register(f"""WITH {LINES_SQL}, r AS (SELECT *, line_no % 3 = 0 AS t FROM lines),
 g AS (SELECT *, sum(CASE WHEN t THEN 1 ELSE 0 END) OVER (PARTITION BY session_path ORDER BY line_no) AS g FROM r),
 i AS (SELECT *, dense_rank() OVER (PARTITION BY session_path ORDER BY g, t DESC) - 1 AS item FROM g)
 SELECT session_path, uuid, line_no, item, CASE WHEN item >= 2 THEN item + 50 ELSE 2 END AS shown FROM i""")
-def jump_to_every_row(spark, sf):
-    """All rows as targets; jump_to_row takes one row of four."""
+def jump_to_row(spark, sf):
+    """All rows as targets."""
     own = lines(spark, sf)
     return sequence.jump(own, F.col("line_no") % 3 == 0, own, shown=2)
 
@@ -466,18 +460,9 @@ def _highlights(short: DataFrame) -> DataFrame:
     return parts.select("session_path", "line_no", F.array_join(said(F.col("p")), "").alias("joined"), F.size(hits).cast("long").alias("n_marked"), F.array_join(said(hits), "|").alias("marked"))
 
 
-@register(f"""WITH {LINES_SQL}, s AS (SELECT session_path, line_no, substr(text, 1, 240) AS t FROM blocks),
-w AS (SELECT *, regexp_extract_all(t, '[\\p{{L}}\\p{{N}}]+') AS w FROM s)
-SELECT session_path, line_no, t AS joined, CAST(len(list_filter(w, lambda x: levenshtein(lower(x), 'the') <= 1)) AS BIGINT) AS n_marked,
-  array_to_string(list_filter(w, lambda x: levenshtein(lower(x), 'the') <= 1), '|') AS marked FROM w""")
-def fuzzy_highlights(spark, sf):
-    return _highlights(blocks(spark, sf).select("session_path", "line_no", F.substring("text", 1, 240).alias("t")))
-
-
 @register(f"""WITH {LINES_SQL}, w AS (SELECT *, list_filter(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}]+'), lambda x: levenshtein(lower(x), 'the') <= 1) AS w FROM blocks)
 SELECT session_path, line_no, text AS joined, CAST(len(w) AS BIGINT) AS n_marked, array_to_string(w, '|') AS marked FROM w""")
-def fuzzy_highlights_whole(spark, sf):
-    """Over whole texts; fuzzy_highlights sees the first 240 characters."""
+def fuzzy_highlights(spark, sf):
     return _highlights(blocks(spark, sf).select("session_path", "line_no", F.col("text").alias("t")))
 
 
@@ -488,3 +473,212 @@ def session_cards(spark, sf):
     own = lines(spark, sf).groupBy("session_path").agg(F.count_if(F.col("source") == "user").alias("n"), F.sum(F.length("text")).alias("size"), F.min_by("model", "line_no").alias("model"))
     model = F.when(F.col("model") != "m0", F.col("model")).otherwise("")
     return own.select("session_path", T.card_line(F.col("n"), F.col("n") % 3, F.col("size"), F.lit(""), model).alias("card"))
+
+
+# over the session files ----------------------------------------------------------------------
+
+
+def _lines(spark: SparkSession, sf: str) -> DataFrame:
+    return jsonl.read_lines(spark, session_files(spark, sf))
+
+
+ISO = "strftime(make_timestamp({0} * 1000), '%Y-%m-%dT%H:%M:%S.%gZ')"
+CONV_SQL = "CAST(regexp_extract(session_path, '(\\d+)', 1) AS BIGINT)"
+TITLES = f"CASE WHEN {CONV_SQL} % 3 = 0 THEN 2 ELSE 0 END"
+
+
+@register(f"WITH {LINES_SQL} SELECT session_path, 'conv' AS project, true AS sized, true AS dated FROM lines GROUP BY session_path")
+def list_sessions(spark, sf):
+    """The listing; sizes and times are those of files just written."""
+    found = as_rows(jsonl.list_sessions(spark, session_files(spark, sf)))
+    return found.select("session_path", "project", (F.col("size") > 0).alias("sized"), (F.col("mtime") > 0).alias("dated"))
+
+
+@register(f"""WITH {LINES_SQL}, n AS (SELECT session_path, count(*) + {TITLES} AS n FROM lines GROUP BY session_path)
+SELECT session_path, n + 7 AS physical, n + 6 AS for_stats, n + 5 AS not_blank, n + 7 AS preview FROM n""")
+def line_scans(spark, sf):
+    """Lines of each session: physical, counted by statistics, not blank, within the preview."""
+    own = _lines(spark, sf)
+    count = lambda df, name: df.groupBy("session_path").agg(F.count("*").alias(name))
+    found = count(own, "physical").join(count(jsonl.stat_lines(own), "for_stats"), "session_path").join(count(own.filter(jsonl.not_blank(F.col("line"))), "not_blank"), "session_path")
+    return as_rows(found.join(count(jsonl.preview(own), "preview"), "session_path"))
+
+
+@register(f"""WITH {LINES_SQL}, seen AS (SELECT session_path, model, min(line_no) AS pos FROM lines WHERE source = 'assistant' GROUP BY ALL),
+m AS (SELECT session_path, string_agg(model, ',' ORDER BY pos) AS models FROM seen GROUP BY session_path),
+s AS (SELECT session_path, count(*) + 6 + {TITLES} AS line_count, count(*) FILTER (source = 'user') + 2 AS user_count, count(*) FILTER (source = 'assistant') AS assistant_count,
+  {ISO.format("min(ts_ms)")} AS first_ts, {ISO.format("max(ts_ms)")} AS last_ts, concat('{HOME}/', min(project)) AS cwd, CASE WHEN {CONV_SQL} % 3 = 0 THEN concat('Talk ', {CONV_SQL}) ELSE '' END AS custom_title FROM lines GROUP BY session_path)
+SELECT s.*, coalesce(models, '') AS models FROM s LEFT JOIN m USING (session_path)""")
+def session_scan(spark, sf):
+    """Typed statistics; the broken line and the one with a null folder count as lines only."""
+    return as_rows(stats.scan(_lines(spark, sf))).withColumn("models", F.array_join("models", ","))
+
+
+@register(f"""WITH {LINES_SQL}, seen AS (SELECT session_path, model, min(line_no) AS pos FROM lines WHERE source = 'assistant' GROUP BY ALL),
+m AS (SELECT session_path, string_agg(model, ',' ORDER BY pos) AS models FROM seen GROUP BY session_path)
+SELECT l.session_path, count(*) + 5 + {TITLES.replace("session_path", "l.session_path")} AS line_count, count(*) FILTER (source = 'user') + 3 AS user_count, count(*) FILTER (source = 'assistant') AS assistant_count,
+  concat('{HOME}/', min(project)) AS cwd, 'main' AS git_branch, 'plan' AS permission_mode, {ISO.format("min(ts_ms)")} AS first_ts, {ISO.format("max(ts_ms)")} AS last_ts,
+  CASE WHEN max(line_no) = 0 THEN '1.0' ELSE '1.0,1.1' END AS versions, coalesce(min(models), '') AS models FROM lines l LEFT JOIN m USING (session_path) GROUP BY l.session_path""")
+def session_info(spark, sf):
+    found = as_rows(stats.info(_lines(spark, sf)))
+    return found.withColumn("models", F.array_join("models", ",")).withColumn("versions", F.array_join("versions", ","))
+
+
+FIRST_SQL = f"""f AS (SELECT session_path, arg_min(text, line_no) FILTER (source = 'user') AS t, min(ts_ms) FILTER (source = 'user') AS ts, arg_min(model, line_no) FILTER (source = 'assistant') AS model FROM lines GROUP BY session_path),
+titled AS (SELECT session_path, {CLEAN_SQL.format("coalesce(t, '')")} AS c, coalesce({ISO.format("ts")}, '') AS date, coalesce(model, '') AS model FROM f),
+derived AS (SELECT session_path, CASE WHEN c = '' THEN 'Untitled' WHEN length(c) > 80 THEN concat(substr(c, 1, 80), '…') ELSE c END AS title, date, model FROM titled)"""
+
+
+@register(f"WITH {LINES_SQL}, {FIRST_SQL} SELECT * FROM derived")
+def preview_titles(spark, sf):
+    return as_rows(stats.preview_meta(_lines(spark, sf)))
+
+
+@register(f"WITH {LINES_SQL}, {FIRST_SQL} SELECT * FROM derived")
+def entry_titles(spark, sf):
+    return as_rows(stats.entry_meta(_lines(spark, sf)))
+
+
+@register(f"""WITH {LINES_SQL}, {FIRST_SQL} SELECT session_path, CASE WHEN {CONV_SQL} % 5 = 1 THEN 'Mine' WHEN {CONV_SQL} % 3 = 0 THEN concat('Talk ', {CONV_SQL}) ELSE title END AS title FROM derived""")
+def shown_titles(spark, sf):
+    own = _lines(spark, sf)
+    renamed = own.filter(F.regexp_extract("session_path", r"(\d+)\.jsonl$", 1).cast("long") % 5 == 1).select("session_path", F.lit("Mine").alias("title")).distinct()
+    return as_rows(stats.shown_titles(own, renamed))
+
+
+@register(f"WITH {LINES_SQL} SELECT session_path, concat('~/', min(project)) AS label, concat('~/', min(project)) AS display FROM lines GROUP BY session_path")
+def project_labels(spark, sf):
+    found = jsonl.project_labels(_lines(spark, sf), HOME).select("session_path", F.col("project").alias("label"), F.col("project_display").alias("display"))
+    return as_rows(found)
+
+
+@register(f"""WITH {LINES_SQL}, k AS (SELECT *, sum(CASE WHEN source = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY session_path ORDER BY line_no) AS seg FROM lines WHERE source = 'assistant' OR source = 'user' AND trim(regexp_replace(text, '\\s+', ' ', 'g')) <> ''),
+l AS (SELECT *, lag(source) OVER (PARTITION BY session_path ORDER BY line_no) AS prev,
+  last_value(CASE WHEN source = 'assistant' THEN request_id END IGNORE NULLS) OVER (PARTITION BY session_path, seg ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM k),
+t AS (SELECT *, sum(CASE WHEN source = 'user' OR coalesce(prev, 'user') = 'user' OR (before IS NOT NULL AND before <> request_id) THEN 1 ELSE 0 END) OVER (PARTITION BY session_path ORDER BY line_no) AS turn_id FROM l)
+SELECT session_path, CAST(turn_id AS BIGINT) AS turn_id, arg_min(source, line_no) AS role, count(*) AS n_rows, min(line_no) AS first_line, max(line_no) AS last_line, arg_min(ts_ms, line_no) AS ts_ms,
+  coalesce(arg_min(model, line_no) FILTER (source = 'assistant'), '') AS model, false AS interrupted FROM t GROUP BY session_path, turn_id""")
+def session_turns(spark, sf):
+    """Turns from the files: echoes, notices and results form none."""
+    return as_rows(sequence.build_turns(jsonl.view_entries(_lines(spark, sf)))).fillna({"model": ""})
+
+
+@register(f"""WITH {LINES_SQL} SELECT session_path, line_no, source AS type, CAST(CASE source WHEN 'user' THEN 1 ELSE 3 END AS INTEGER) AS n_blocks, source = 'assistant' OR trim(regexp_replace(text, '\\s+', ' ', 'g')) <> '' AS has_user_text, true AS has_text
+FROM lines WHERE source IN ('user', 'assistant')
+UNION ALL SELECT session_path, max(line_no) + 6, 'user', 1, false, false FROM lines GROUP BY session_path""")
+def renderable_rows(spark, sf):
+    """Rows with something to show."""
+    seen = jsonl.view_entries(_lines(spark, sf)).filter("has_blocks")
+    return as_rows(seen.select("session_path", "line_no", "type", "n_blocks", "has_user_text", "has_text"))
+
+
+@register(f"""WITH {LINES_SQL}, n AS (SELECT session_path, count(*) AS n FROM lines GROUP BY session_path)
+SELECT session_path, line_no, uuid AS row_key, source AS type FROM lines
+UNION ALL SELECT session_path, n + k, CASE k WHEN 0 THEN concat('idx:', n) WHEN 2 THEN concat('idx:', n + 2) WHEN 3 THEN 'echo' WHEN 4 THEN 'notice' WHEN 5 THEN 'result' ELSE concat('idx:', n + k) END,
+  CASE k WHEN 0 THEN '' WHEN 2 THEN 'permission-mode' WHEN 6 THEN 'custom-title' WHEN 7 THEN 'custom-title' ELSE 'user' END
+FROM n, (VALUES (0), (2), (3), (4), (5), (6), (7)) t(k) WHERE k < 6 OR {CONV_SQL} % 3 = 0""")
+def draft_rows(spark, sf):
+    """Keys and types of the rows of a draft of each session."""
+    return as_rows(edit.build_draft(_lines(spark, sf))).select("session_path", "line_no", "row_key", "type")
+
+
+@register(f"""WITH {LINES_SQL} SELECT session_path, line_no, block_no, source, CASE WHEN line_no % 3 = 0 THEN concat('new "', line_no, '"') ELSE text END AS text FROM blocks
+UNION ALL SELECT session_path, line_no, 0, source, concat('new "', line_no, '"') FROM lines WHERE source IN ('user', 'assistant') AND line_no % 3 = 0 AND NOT EXISTS (SELECT 1 FROM blocks b WHERE b.uuid = lines.uuid)""")
+def edited_texts(spark, sf):
+    """The texts of sessions of which every third line's first text was edited, read back from the edited lines."""
+    own = _lines(spark, sf)
+    rows = edit.build_draft(own)
+    edits = rows.filter("line_no % 3 = 0").select("session_path", "line_no", F.lit(0).alias("text_no"), F.concat(F.lit('new "'), "line_no", F.lit('"')).alias("text"))
+    edits = edits.join(as_told(own), ["session_path", "line_no"], "left_semi")
+    new = edit.edit_texts(rows, edits).withColumn("project", F.lit("conv"))
+    return as_rows(jsonl.search_blocks(new)).select("session_path", "line_no", "block_no", "source", "text")
+
+
+def as_told(own: DataFrame) -> DataFrame:
+    """Lines that are turns of the conversation: they have a time."""
+    return jsonl.entries(own).filter("timestamp is not null and type in ('user', 'assistant')").select("session_path", "line_no")
+
+
+@register(f"""WITH {LINES_SQL}, n AS (SELECT session_path, count(*) AS n, count(*) FILTER (source = 'user' AND line_no % 2 = 0) AS gone FROM lines GROUP BY session_path),
+a AS (SELECT session_path, count(*) FILTER (source = 'assistant' AND line_no % 2 = 0) AS a FROM lines GROUP BY session_path)
+SELECT session_path, n - gone + 5 + {TITLES} AS n_lines, a AS without_text FROM n JOIN a USING (session_path)""")
+def saved_sessions(spark, sf):
+    """Sessions saved without the texts of every other line: users' lines go, assistants' lose a block."""
+    own = _lines(spark, sf)
+    rows, told = edit.build_draft(own), as_told(own).filter("line_no % 2 = 0")
+    text_at = jsonl.entries(own).select("session_path", "line_no", F.when(F.col("content_kind") == "STRING", 0).otherwise(1).cast("long").alias("content_no"))
+    gone = text_at.join(told, ["session_path", "line_no"], "left_semi")
+    kept = edit.serialize(rows, edit.set_deleted(gone.limit(0), gone))
+    short = F.col("line").contains('"role":"assistant"') & ~F.col("line").contains('"type":"text"')
+    return as_rows(kept.groupBy("session_path").agg(F.count("*").alias("n_lines"), F.count_if(short).alias("without_text")))
+
+
+@register(f"""WITH {LINES_SQL}, {TOOLS_SQL}, d AS (SELECT session_path, line_no, content_no, tool_id, kind FROM tools WHERE (line_no % 3 = 0 AND content_no = 0) OR (line_no % 6 = 0)),
+c AS (SELECT session_path, line_no, content_no FROM d UNION SELECT t.session_path, t.line_no, t.content_no FROM tools t JOIN d ON t.session_path = d.session_path AND t.tool_id = d.tool_id AND t.tool_id <> '' AND t.kind <> d.kind),
+u AS (SELECT * FROM tools WHERE line_no % 4 = 0), r AS (SELECT session_path, line_no, content_no FROM u UNION SELECT t.session_path, t.line_no, t.content_no FROM tools t JOIN u ON t.session_path = u.session_path AND t.tool_id = u.tool_id AND t.tool_id <> '' AND t.kind <> u.kind)
+SELECT * FROM c EXCEPT SELECT * FROM r""")
+def undeleted_blocks(spark, sf):
+    """What stays deleted when some rows are restored, tool calls with their results."""
+    tools_ = _tools(spark, sf)
+    chosen = tools_.filter("(line_no % 3 = 0 and content_no = 0) or line_no % 6 = 0")
+    gone = edit.delete_units(chosen.limit(0), chosen, tools_)
+    return edit.undelete(gone, edit.unit_blocks(tools_.filter("line_no % 4 = 0"), tools_), tools_)
+
+
+@register(f"""WITH {LINES_SQL}, {TOOLS_SQL} SELECT session_path, CAST(line_no // 3 AS BIGINT) AS unit, bool_and(line_no % 2 = 0 OR line_no // 3 = 1) AS all_deleted FROM tools GROUP BY ALL""")
+def deleted_units(spark, sf):
+    tools_ = _tools(spark, sf)
+    units = tools_.select("session_path", F.expr("line_no div 3").alias("unit"), "line_no")
+    return edit.all_deleted(units, tools_, tools_.filter("line_no % 2 = 0 or line_no div 3 = 1"))
+
+
+@register(f"""WITH {LINES_SQL}, n AS (SELECT session_path, count(*) + 6 + {TITLES} AS n FROM lines GROUP BY session_path)
+SELECT session_path, n + 2 AS n_lines, 'It''s "new"' AS title FROM n""")
+def renamed_sessions(spark, sf):
+    own = _lines(spark, sf)
+    names = own.select("session_path").distinct().select("session_path", F.lit('It\'s "new"').alias("title"), F.lit("x").alias("session_id"))
+    new = edit.rename_lines(own, names).withColumn("project", F.lit("conv"))
+    return as_rows(new.groupBy("session_path").agg(F.count("*").alias("n_lines")).join(stats.custom_titles(new), "session_path").withColumnRenamed("custom_title", "title"))
+
+
+@register(f"""WITH {LINES_SQL}, s AS (SELECT count(DISTINCT session_path) AS n FROM lines), c AS (SELECT count(DISTINCT session_path) AS n FROM lines WHERE project = 'p0')
+SELECT s.n - c.n AS unchanged, c.n AS new FROM s, c""")
+def index_status(spark, sf):
+    """A sweep's classification of the files on disk against an index of most projects."""
+    found = index.classify(jsonl.list_sessions(spark, session_files(spark, sf)), session_index(spark, sf, True).files())
+    return found.agg(F.count_if(F.col("status") == "unchanged").alias("unchanged"), F.count_if(F.col("status") == "new").alias("new"))
+
+
+@register(f"""WITH {scores_sql(QUERY)}, ranked AS (SELECT *, row_number() OVER ({TOP}) AS rank FROM hits QUALIFY rank <= 100),
+s AS (SELECT project, session_path, min(rank) AS rank, count(*) AS n FROM ranked GROUP BY ALL)
+SELECT project, min(rank) AS rank, CAST(sum(n) AS BIGINT) AS n_hits, string_agg(session_path, ',' ORDER BY rank) AS sessions FROM s GROUP BY project""")
+def project_hits(spark, sf):
+    """A page of hits by project and session, best first."""
+    best = as_rows(search.top(session_index(spark, sf), QUERY, limit=100))
+    from pyspark.sql import Window
+
+    ranked = best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), *search.DOC)).cast("long"))  # a page
+    return browse.project_hits(ranked)
+
+
+@register(f"""WITH {LINES_SQL}, w AS (SELECT *, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low FROM blocks),
+h AS (SELECT *, least(nullif(instr(low, 'the'), 0), nullif(instr(low, 'of'), 0)) - 1 AS hit FROM w), c AS (SELECT *, greatest(hit - 60, 0) AS a, least(hit + 180, length(text)) AS b FROM h WHERE hit IS NOT NULL),
+s AS (SELECT *, concat(CASE WHEN a > 0 THEN '…' ELSE '' END, substr(text, a + 1, b - a), CASE WHEN b < length(text) THEN '…' ELSE '' END) AS snippet FROM c),
+l AS (SELECT *, translate(snippet, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS sl FROM s)
+SELECT session_path, line_no, snippet, CAST((instr(low, 'the') > 0)::INT + (instr(low, 'of') > 0)::INT AS DOUBLE) AS score, CAST((length(sl) - length(replace(sl, 'the', ''))) // 3 + (length(sl) - length(replace(sl, 'of', ''))) // 2 AS BIGINT) AS n_ranges FROM l""")
+def cold_hits(spark, sf):
+    """Hits of files not indexed yet, with snippets and the number of ranges."""
+    found = search.cold_hits(blocks(spark, sf), "the OF")
+    return found.select("session_path", "line_no", "snippet", "score", F.size("match_ranges").cast("long").alias("n_ranges"))
+
+
+@register(f"""WITH {LINES_SQL}, s AS (SELECT session_path, min(project) AS project, count(*) FILTER (source = 'user') AS n, sum(length(text)) AS size, min(ts_ms) AS a, max(ts_ms) AS b, arg_min(model, line_no) AS model FROM lines GROUP BY session_path),
+z AS (SELECT *, CASE WHEN size < 1024 THEN concat(size, ' B') WHEN size < 1048576 THEN printf('%.1f KB', floor(size * 10 / 1024 + 0.5) / 10) ELSE printf('%.1f MB', floor(size * 10 / 1048576 + 0.5) / 10) END AS human,
+  strftime(make_timestamp(a * 1000), '%b %-d') AS d1, strftime(make_timestamp(b * 1000), '%b %-d') AS d2, strftime(make_timestamp(a * 1000), '%b %-d, %Y') AS day FROM s)
+SELECT session_path, project, project <> 'p4' AS enriched, CASE WHEN project = 'p4' THEN concat(human, ' · ', day)
+  ELSE concat(n, CASE WHEN n = 1 THEN ' turn · ' ELSE ' turns · ' END, human, ' · ', CASE WHEN d1 = d2 THEN d1 ELSE concat(d1, ' – ', d2) END, ' · ', model) END AS card FROM z WHERE project <> 'p6'""")
+def browse_cards(spark, sf):
+    own = lines(spark, sf).groupBy("session_path", "project").agg(F.count_if(F.col("source") == "user").alias("user_count"), F.sum(F.length("text")).alias("size"), F.min("ts_ms").alias("first_ms"), F.max("ts_ms").alias("last_ms"), F.min_by("model", "line_no").alias("m"))
+    stubs = own.select("session_path", "project", "size", F.expr("first_ms div 1000").alias("mtime"))
+    known = own.filter("project <> 'p4'").select("session_path", "user_count", F.lit(0).alias("subagents"), "first_ms", "last_ms", F.concat("m", F.lit(" [x]")).alias("model"), (F.col("project") == "p6").alias("cleaned"))
+    return browse.browse_cards(stubs, known)

@@ -6,115 +6,247 @@ physical number; malformed lines are kept as lines and give no entries.
 
 from __future__ import annotations
 
-from pathlib import Path
+import os
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from palaver.functions import text as T
+from palaver.sources.store import Store
 
 # Entry types without conversation, and prefixes of echoes of commands.
-META_TYPES = ["file-history-snapshot", "queue-operation", "summary", "custom-title", "agent-name", "ai-title", "permission-mode", "last-prompt", "attachment", "progress", "system"]
-ECHOES = ["<command-name>", "<command-message>", "<command-args>", "<local-command-stdout>", "<local-command-stderr>", "<local-command-caveat>", "<bash-input>", "<bash-stdout>"]
+META_TYPES = [
+    "mode",
+    "permission-mode",
+    "ai-title",
+    "file-history-snapshot",
+    "last-prompt",
+    "queue-operation",
+    "attachment",
+    "bridge-session",
+    "skill-listing",
+    "deferred-tools-delta",
+    "system",
+]
+ECHOES = [
+    "<command-name>",
+    "<local-command-stdout>",
+    "<command-message>",
+    "<command-args>",
+    "<local-command-caveat>",
+    "<system-reminder>",
+    "<teammate-message",
+    "<task-notification>",
+]
 INTERRUPTED = "[Request interrupted by user]"
 NOTICE = "<task-notification>"
 SPECIAL = ["subagents", "tool-results"]
+#: Where sessions lie below a configuration folder, and the folder below a home.
+PROJECTS, CONFIG = "projects", ".claude"
+PREVIEW = 50
+LISTING = "session_path string, project string, mtime long, size long"
+LINES = "session_path string, project string, line_no long, line string"
+
+
+def corpus_root(spark: SparkSession, override: str | None = None, home: str | None = None) -> str | None:
+    """The folder of projects: below ``override`` (or CLAUDE_CONFIG_DIR) if it is there, else below the home; None without either."""
+    override = os.environ.get("CLAUDE_CONFIG_DIR") if override is None else override
+    if override and Store(spark, f"{override}/{PROJECTS}").exists():
+        return f"{override}/{PROJECTS}"
+    own = f"{home or os.path.expanduser('~')}/{CONFIG}/{PROJECTS}"
+    return own if Store(spark, own).exists() else None
+
+
+def _files(spark: SparkSession, root: str, paths: list[str] | None) -> DataFrame | None:
+    """Binary files of the sessions; None if there are none to read."""
+    reader = spark.read.format("binaryFile")
+    if paths is not None:
+        return reader.load(paths) if paths else None
+    return reader.option("pathGlobFilter", "*.jsonl").load(f"{root}/*/") if Store(spark, root).matches("*") else None
+
+
+def _session(files: DataFrame) -> DataFrame:
+    parts = F.split("path", "/")
+    own = files.withColumn("project", F.element_at(parts, -2)).withColumn("name", F.element_at(parts, -1))
+    return own.filter(F.col("name").endswith(".jsonl") & ~F.col("name").startswith("agent-") & ~F.col("project").isin(SPECIAL))
 
 
 def list_sessions(spark: SparkSession, root: str) -> DataFrame:
     """(session_path, project, mtime, size) of the session files, without reading them."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.jsonl").load(f"{root}/*/")
-    parts = F.split("path", "/")
-    found = files.select(
-        F.col("path").alias("session_path"), F.element_at(parts, -2).alias("project"), F.element_at(parts, -1).alias("name"),
-        F.unix_timestamp("modificationTime").alias("mtime"), F.col("length").alias("size"),
-    )
-    return found.filter(~F.col("name").startswith("agent-") & ~F.col("project").isin(SPECIAL)).drop("name")
+    files = _files(spark, root, None)
+    if files is None:
+        return spark.createDataFrame([], LISTING)
+    return _session(files).select(F.col("path").alias("session_path"), "project", F.unix_timestamp("modificationTime").alias("mtime"), F.col("length").alias("size"))
 
 
 def count_subagents(spark: SparkSession, root: str, stubs: DataFrame) -> DataFrame:
     """``stubs`` with the number of agent files beside each."""
-    if not any(Path(root.removeprefix("file://")).glob("*/subagents")):
+    if not Store(spark, root).matches("*/subagents"):
         return stubs.withColumn("subagents", F.lit(0).cast("long"))
     agents = spark.read.format("binaryFile").option("pathGlobFilter", "agent-*.jsonl").load(f"{root}/*/subagents/")
     counts = agents.select(F.element_at(F.split("path", "/"), -3).alias("project")).groupBy("project").agg(F.count("*").alias("subagents"))
     return stubs.join(counts, "project", "left").withColumn("subagents", F.coalesce("subagents", F.lit(0)))
 
 
-def read_lines(spark: SparkSession, root: str) -> DataFrame:
-    """(session_path, project, line_no, line) of all physical lines; files that are not UTF-8 are skipped."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.jsonl").load(f"{root}/*/")
-    parts = F.split("path", "/")
-    own = files.filter(~F.element_at(parts, -1).startswith("agent-") & ~F.element_at(parts, -2).isin(SPECIAL))
-    text = own.select(F.col("path").alias("session_path"), F.element_at(parts, -2).alias("project"), F.col("content").cast("string").alias("text"))
+def read_session(spark: SparkSession, path: str) -> str:
+    """The whole text of one session; an error if it is not UTF-8."""
+    row = spark.read.format("binaryFile").load(path).select("content").first()
+    return bytes(row["content"]).decode()
+
+
+def read_lines(spark: SparkSession, root: str, paths: list[str] | None = None) -> DataFrame:
+    """(session_path, project, line_no, line) of all physical lines, of ``paths`` only if given; files that are not UTF-8 are skipped."""
+    files = _files(spark, root, paths)
+    if files is None:
+        return spark.createDataFrame([], LINES)
+    text = _session(files).select(F.col("path").alias("session_path"), "project", F.col("content").cast("string").alias("text"))
     lines = text.filter(F.is_valid_utf8("text")).select("session_path", "project", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
     return lines.withColumn("line_no", F.col("line_no").cast("long"))
 
 
+def not_blank(line: Column) -> Column:
+    """Whether a line counts for extraction and for the editor's header."""
+    return T.squeeze(line) != ""
+
+
+def stat_lines(lines: DataFrame) -> DataFrame:
+    """The lines that statistics count: those not empty, blanks counted, a carriage return at the end taken off."""
+    return lines.withColumn("line", F.regexp_replace("line", "\r$", "")).filter("line <> ''")
+
+
+def preview(lines: DataFrame, most: int = PREVIEW) -> DataFrame:
+    """The first physical lines of each session, blank ones too."""
+    return lines.filter(F.col("line_no") < most)
+
+
 def _get(path: str, kind: str = "string") -> Column:
     return F.try_variant_get("v", path, kind)
 
 
+def _text(path: str) -> Column:
+    """A field's value if it is a string."""
+    return F.when(F.schema_of_variant(F.try_variant_get("v", path, "variant")) == "STRING", _get(path))
+
+
+def variant(line: Column) -> Column:
+    """A line's JSON value; null if it does not parse.  Of keys that an object repeats at its top the last value counts."""
+    pairs = F.map_entries(F.from_json(line, "map<string, variant>"))
+    last = F.filter(pairs, lambda e, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda x: x["key"] == e["key"]))
+    repeated = F.size(F.array_distinct(F.json_object_keys(line))) < F.size(F.json_object_keys(line))
+    return F.coalesce(F.try_parse_json(line), F.when(repeated, F.to_variant_object(F.map_from_entries(last))))
+
+
+def parse(lines: DataFrame) -> DataFrame:
+    """Lines that are JSON objects, with ``v``.  Of objects that repeat a key at the top the last value counts."""
+    known = lines.filter(not_blank(F.col("line")))
+    return known.withColumn("v", variant(F.col("line"))).filter("v is not null").filter(F.schema_of_variant("v").startswith("OBJECT"))
+
+
 def entries(lines: DataFrame) -> DataFrame:
     """Lines that are JSON objects, with their scalar fields and ``v``."""
-    parsed = lines.filter(T.squeeze(F.col("line")) != "").withColumn("v", F.try_parse_json("line")).filter("v is not null")
-    kind = F.coalesce(_get("$.type"), F.lit(""))
+    parsed = parse(lines)
+    kind = F.coalesce(_text("$.type"), F.lit(""))
     return parsed.select(
-        "session_path", "project", "line_no", "line", "v", kind.alias("type"), F.coalesce(_get("$.uuid"), F.lit("")).alias("uuid"),
-        _get("$.requestId").alias("request_id"), _get("$.timestamp").alias("timestamp"), T.ts_millis(_get("$.timestamp")).alias("ts_ms"),
-        _get("$.cwd").alias("cwd"), _get("$.gitBranch").alias("git_branch"), _get("$.version").alias("version"),
-        _get("$.permissionMode").alias("permission_mode"), _get("$.customTitle").alias("custom_title"),
-        F.when(kind == "assistant", _get("$.message.model")).alias("model"),
-        F.coalesce(F.schema_of_variant(F.try_variant_get("v", "$.message.content", "variant")), F.lit("")).alias("content_kind"),
+        "session_path", "project", "line_no", "line", "v", kind.alias("type"), F.coalesce(_text("$.uuid"), F.lit("")).alias("uuid"),
+        _text("$.parentUuid").alias("parent_uuid"), _text("$.requestId").alias("request_id"), _text("$.timestamp").alias("timestamp"),
+        T.ts_millis(_text("$.timestamp")).alias("ts_ms"), F.coalesce(_get("$.isSidechain", "boolean"), F.lit(False)).alias("is_sidechain"),
+        F.to_json(_get("$.toolUseResult", "variant")).alias("tool_use_result"),
+        _text("$.cwd").alias("cwd"), _text("$.gitBranch").alias("git_branch"), _text("$.version").alias("version"), _text("$.sessionId").alias("session_id"),
+        F.when(kind == "permission-mode", _text("$.permissionMode")).alias("permission_mode"), F.when(kind == "custom-title", _text("$.customTitle")).alias("custom_title"),
+        _text("$.message.model").alias("any_model"), F.when(kind == "assistant", _text("$.message.model")).alias("model"),
+        F.coalesce(F.schema_of_variant(_get("$.message.content", "variant")), F.lit("")).alias("content_kind"),
+        F.when(F.schema_of_variant(_get("$.message.content", "variant")) == "STRING", _get("$.message.content")).alias("said"),
     )
 
 
+def typed_lines(lines: DataFrame) -> DataFrame:
+    """What statistics see of each counted line: strings, '' where absent; ``known`` is false for lines that do not
+    parse or hold a field of another type, of which nothing but the line itself counts."""
+    own = stat_lines(lines).withColumn("v", variant(F.col("line")))
+    fields = {"type": "$.type", "timestamp": "$.timestamp", "cwd": "$.cwd", "custom_title": "$.customTitle", "model": "$.message.model"}
+    fits = F.schema_of_variant("v").startswith("OBJECT")
+    kind = lambda path: F.schema_of_variant(F.try_variant_get("v", path, "variant"))
+    for path in fields.values():
+        fits &= F.coalesce(kind(path) == "STRING", F.lit(True))
+    fits &= F.coalesce(kind("$.message").startswith("OBJECT"), F.lit(True))
+    known = F.coalesce(fits, F.lit(False))
+    return own.select("session_path", "project", "line_no", known.alias("known"), *[F.when(known, F.coalesce(_get(path), F.lit(""))).otherwise("").alias(name) for name, path in fields.items()])
+
+
 def echo(text: Column) -> Column:
     return text.rlike("^(?:" + "|".join(ECHOES) + ")")
 
 
 def content_blocks(found: DataFrame) -> DataFrame:
     """The blocks of array contents, one to one: content_no, kind and fields."""
-    spark = found.sparkSession
-    found.filter("content_kind like 'ARRAY%'").createOrReplaceTempView("_palaver_entries")
-    raw = spark.sql(
-        "select e.session_path, e.project, e.line_no, e.type, e.uuid, e.ts_ms, cast(b.pos as long) content_no, b.value b "
-        "from _palaver_entries e, lateral variant_explode(try_variant_get(e.v, '$.message.content', 'variant')) b"
-    )
+    arrays = found.filter(F.col("content_kind").startswith("ARRAY"))
+    parts = F.from_json(F.to_json(_get("$.message.content", "variant")), "array<variant>")
+    raw = arrays.select("session_path", "project", "line_no", "type", "uuid", "ts_ms", F.posexplode(parts).alias("content_no", "b")).withColumn("content_no", F.col("content_no").cast("long"))
     get = lambda path: F.try_variant_get("b", path, "string")
     kind = F.coalesce(get("$.type"), F.lit(""))
     known = kind.isin("text", "thinking", "tool_use", "tool_result")
     shape = F.coalesce(F.schema_of_variant(F.try_variant_get("b", "$.content", "variant")), F.lit(""))
     parts = F.from_json(F.to_json(F.try_variant_get("b", "$.content", "variant")), "array<struct<type: string, text: string>>")
-    joined = F.array_join(F.transform(F.filter(parts, lambda p: p["type"] == "text"), lambda p: F.coalesce(p["text"], F.lit(""))), "\n")
+    joined = F.array_join(F.transform(F.filter(parts, lambda p: (p["type"] == "text") & p["text"].isNotNull()), lambda p: p["text"]), "\n")
+    some = lambda path: F.coalesce(get(path), F.lit(""))
     return raw.select(
         "session_path", "project", "line_no", "type", "uuid", "ts_ms", "content_no", F.when(known, kind).otherwise("unknown").alias("kind"), kind.alias("raw_type"),
-        F.when(kind == "text", get("$.text")).when(kind == "thinking", get("$.thinking")).when(kind == "tool_result", F.when(shape == "STRING", get("$.content")).otherwise(F.coalesce(joined, F.lit("")))).alias("text"),
-        F.when(kind == "tool_use", F.coalesce(get("$.name"), F.lit("unknown"))).alias("tool_name"),
-        F.when(kind == "tool_use", get("$.id")).when(kind == "tool_result", get("$.tool_use_id")).alias("tool_id"),
+        F.when(kind == "text", some("$.text")).when(kind == "thinking", some("$.thinking")).when(kind == "tool_result", F.when(shape == "STRING", get("$.content")).otherwise(F.coalesce(joined, F.lit("")))).alias("text"),
+        F.when(kind == "tool_use", F.coalesce(F.nullif(get("$.name"), F.lit("")), F.lit("unknown"))).alias("tool_name"),
+        F.when(kind == "tool_use", some("$.id")).when(kind == "tool_result", some("$.tool_use_id")).alias("tool_id"),
+        F.when(kind == "tool_use", F.to_json(F.try_variant_get("b", "$.input", "variant"))).alias("tool_input"),
         F.coalesce(F.try_variant_get("b", "$.is_error", "boolean"), F.lit(False)).alias("is_error"),
     )
 
 
+def _heads(found: DataFrame) -> Column:
+    """Whether a user's content begins with an echo: the string itself, or the first element of an array if it is a text."""
+    first = F.when(F.try_variant_get("v", "$.message.content[0].type", "string") == "text", F.try_variant_get("v", "$.message.content[0].text", "string"))
+    lead = F.when(F.col("content_kind") == "STRING", F.col("said")).when(F.col("content_kind").startswith("ARRAY"), first)
+    return (F.col("type") == "user") & F.coalesce(echo(lead), F.lit(False))
+
+
+def view_entries(lines: DataFrame) -> DataFrame:
+    """The entries a reader sees: no meta types and no echoes; task notifications stay, marked ``is_notice`` and without
+    blocks; ``is_interruption``; ``has_user_text`` and ``has_blocks``, whether there is anything to show."""
+    found = entries(lines).filter(~F.col("type").isin(META_TYPES))
+    notice = F.coalesce((F.col("type") == "user") & F.col("said").startswith(NOTICE), F.lit(False))
+    found = found.filter(notice | ~_heads(found)).withColumn("is_notice", notice)
+    user, array = F.col("type") == "user", F.col("content_kind").startswith("ARRAY")
+    parts = F.from_json(F.to_json(_get("$.message.content", "variant")), "array<variant>")
+    kinds = F.transform(parts, lambda p: F.coalesce(F.try_variant_get(p, "$.type", "string"), F.lit("")))
+    talk = F.when(F.col("content_kind") == "STRING", T.squeeze("said") != "").when(array, F.exists(kinds, lambda k: k != "tool_result")).otherwise(False)
+    size = F.when(~notice & user & (F.col("content_kind") == "STRING"), 1).when(F.col("type").isin("user", "assistant") & array, F.size(parts)).otherwise(0)
+    texts = F.when(user & (F.col("content_kind") == "STRING"), True).when(array, F.exists(kinds, lambda k: k == "text")).otherwise(False)
+    return (
+        found.withColumn("is_interruption", F.coalesce(user & ~notice & F.col("said").contains(INTERRUPTED), F.lit(False)))
+        .withColumn("has_user_text", F.coalesce(talk, F.lit(False))).withColumn("n_blocks", size)
+        .withColumn("has_blocks", F.col("n_blocks") > 0).withColumn("has_text", F.coalesce(texts & (F.col("n_blocks") > 0), F.lit(False)))
+    )
+
+
 def search_blocks(lines: DataFrame) -> DataFrame:
     """The searchable text blocks: a user's string, and the text parts of user and assistant arrays."""
-    found = entries(lines).filter(~F.col("type").isin(META_TYPES) & F.col("type").isin("user", "assistant"))
-    said = F.try_variant_get("v", "$.message.content", "string")
-    strings = found.filter((F.col("type") == "user") & (F.col("content_kind") == "STRING")).withColumn("text", said)
-    strings = strings.filter(~F.trim("text").startswith(NOTICE) & ~echo(F.col("text")))
-    text = F.when(F.col("text").contains(INTERRUPTED), F.lit(INTERRUPTED)).otherwise(F.col("text"))
+    found = entries(lines).filter(F.col("type").isin("user", "assistant"))
+    found = found.filter(~_heads(found))
+    strings = found.filter((F.col("type") == "user") & (F.col("content_kind") == "STRING"))
+    text = F.when(F.col("said").contains(INTERRUPTED), F.lit(INTERRUPTED)).otherwise(F.col("said"))
     one = strings.select("session_path", "project", "line_no", F.lit(0).cast("long").alias("block_no"), "ts_ms", "uuid", F.col("type").alias("source"), text.alias("text"))
-    blocks = content_blocks(found)
-    heads = blocks.filter((F.col("content_no") == 0) & (F.col("kind") == "text") & (F.col("type") == "user") & echo(F.col("text"))).select("session_path", "line_no")
-    texts = blocks.filter("kind = 'text'").join(heads, ["session_path", "line_no"], "left_anti")
-    from pyspark.sql import Window
-
+    texts = content_blocks(found).filter("kind = 'text'")
     number = F.row_number().over(Window.partitionBy("session_path", "line_no").orderBy("content_no")) - 1
     many = texts.withColumn("block_no", number.cast("long")).select("session_path", "project", "line_no", "block_no", "ts_ms", "uuid", F.col("type").alias("source"), "text")
-    return one.unionByName(many).filter(T.squeeze(F.coalesce("text", F.lit(""))) != "")
+    return one.unionByName(many).filter(not_blank(F.coalesce("text", F.lit(""))))
 
 
 def first_cwd(lines: DataFrame) -> DataFrame:
-    """(session_path, cwd): the first non-empty ``"cwd":"…"`` in the raw text."""
+    """(session_path, cwd): the first non-empty ``"cwd":"…"`` in the raw text; '' if there is none."""
     raw = F.regexp_extract("line", '"cwd":"([^"]*)"', 1)
-    return lines.groupBy("session_path").agg(F.min_by(F.when(raw != "", raw), F.when(raw != "", F.col("line_no"))).alias("cwd"))
+    found = lines.groupBy("session_path").agg(F.min_by(F.when(raw != "", raw), F.when(raw != "", F.col("line_no"))).alias("cwd"))
+    return found.withColumn("cwd", F.coalesce("cwd", F.lit("")))
+
+
+def project_labels(lines: DataFrame, home: str) -> DataFrame:
+    """(session_path, project, project_display): labels by working folder; without one the raw folder's name in the
+    index, and its readable end on display."""
+    cwd = first_cwd(lines).join(lines.select("session_path", "project").distinct(), "session_path")
+    return cwd.select("session_path", T.project_label(F.col("cwd"), F.col("project"), home).alias("project"), T.project_label(F.col("cwd"), T.decode_project(F.col("project")), home).alias("project_display"))

@@ -7,6 +7,8 @@ each tick compares the whole listing with what the index knows.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -14,16 +16,21 @@ from pyspark.sql.streaming import StreamingQuery
 from palaver.operators import index
 
 
-def keep_fresh(spark: SparkSession, corpus: str, root: str, seconds: int = 30) -> StreamingQuery:
+def keep_fresh(spark: SparkSession, corpus: str, root: str, seconds: int = 30, home: str = "/") -> StreamingQuery:
     """A running query that refreshes the index every ``seconds``."""
     ticks = spark.readStream.format("rate").option("rowsPerSecond", 1).load()
 
     def sweep(batch: DataFrame, number: int) -> None:
-        index.refresh(batch.sparkSession, corpus, root)
+        index.refresh(batch.sparkSession, corpus, root, home=home)
 
     return ticks.writeStream.foreachBatch(sweep).trigger(processingTime=f"{seconds} seconds").start()
 
 
+def merge_stream(stream: DataFrame, merged: Callable[[DataFrame], None], current: Callable[[], DataFrame], key: str, order: str, seconds: int = 1) -> StreamingQuery:
+    """A running query that merges each batch of ``stream`` into a keyed table: ``current`` gives it, ``merged`` takes it."""
+    return stream.writeStream.foreachBatch(lambda batch, _: merged(upsert(current(), batch, key, order))).trigger(processingTime=f"{seconds} seconds").start()
+
+
 def upsert(old: DataFrame, new: DataFrame, key: str, order: str) -> DataFrame:
     """``old`` with the latest row of each key of ``new`` in its place."""
     last = new.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(order)))).filter("_n = 1").drop("_n")

@@ -36,36 +36,16 @@ def test_oracle(spark, db, name):
     assert mine == theirs
 
 
-def test_ranges_of_typo_hits(spark):
-    from palaver.operators import search
-
-    rows = [("s", 0, 0, "p", 1, "u", "user", "a panda 12 pandas"), ("s", 1, 0, "p", 1, "u", "user", "a pamda")]
-    docs = spark.createDataFrame(rows, "session_path string, line_no long, block_no long, project string, ts_ms long, uuid string, source string, text string")
-    found = {r["line_no"]: [tuple(x) for x in r["match_ranges"]] for r in search.search(docs, "panda").collect()}
-    assert found == {0: [(2, 7), (11, 16)], 1: [(2, 7)]}
-
-
-def test_highlights_beyond_a_prefix(spark, tmp_path):
-    text = "x " * 200 + "the teh thee end"
-    spark.createDataFrame([(1, 0, "user", text)], "conv_id long, turn long, role string, text string").coalesce(1).write.parquet(f"file://{tmp_path}/conversations.parquet")
-    row = QUERIES["fuzzy_highlights_whole"](spark, f"file://{tmp_path}").first()
-    assert (row["joined"], row["marked"]) == (text, "the|thee")
-
-
 def test_whole_tables(spark, tmp_path):
-    texts = ["plain", "a <b> c", "  \n blanks \u00a0\n", "x </summary> y", "the <summary>z", "of the"]
+    """Texts that hold tags, blanks and long runs: every row is taken."""
+    long = "x " * 200 + "the teh thee end"
+    texts = ["plain", "a <b> c", "  \n blanks \n", "x </summary> y", "the <summary>z", "of the", long]
     data = [(c, t, "user", text) for c in range(10) for t, text in enumerate(texts)]
     spark.createDataFrame(data, "conv_id long, turn long, role string, text string").coalesce(1).write.parquet(f"file://{tmp_path}/conversations.parquet")
     sf = f"file://{tmp_path}"
-    assert QUERIES["jump_to_every_row"](spark, sf).count() == len(data)
-    found = QUERIES["task_notification_all"](spark, sf).filter("session_path = 'conv/3.jsonl'").collect()
-    assert {r["line_no"]: r["summary"] for r in found} == dict(enumerate(["plain", "a <b> c", "blanks", "x", "the <summary>z", "of the"]))
-
-
-def test_two_tiers_without_a_cap(spark):
-    from palaver.operators import search
-
-    docs = spark.range(40).selectExpr("concat('s', id) session_path", "0L line_no", "0L block_no", "'the end' text")
-    indexed = docs.filter("session_path < 's3'").select("session_path")
-    tiers = [search.two_tier(docs, indexed, "the", n).groupBy("tier").count().collect() for n in (5, None)]
-    assert [{r["tier"]: r["count"] for r in t} for t in tiers] == [{0: 5}, {0: 23, 1: 17}]
+    assert QUERIES["jump_to_row"](spark, sf).count() == len(data)
+    found = QUERIES["task_notification"](spark, sf).filter("session_path = 'conv/3.jsonl'").collect()
+    assert {r["line_no"]: r["summary"] for r in found} == dict(enumerate(["plain", "a <b> c", "blanks", "x", "the <summary>z", "of the", long]))
+    row = QUERIES["fuzzy_highlights"](spark, sf).filter("session_path = 'conv/3.jsonl' and line_no = 6").first()
+    assert (row["joined"], row["marked"]) == (long, "the|thee")
+    assert QUERIES["warm_cold_union"](spark, sf).groupBy("tier").count().count() == 2
