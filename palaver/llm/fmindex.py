@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from .common import cut, guarded, hot_left_join
 
 WINDOW = 10
-SHARD_WORDS = 1 << 20
+SHARD_WORDS = 1 << 19
 BLOCK_BYTES = 2 << 20
 SAMPLE = 8
 #: Bytes to lower case; what is no word byte becomes a space.

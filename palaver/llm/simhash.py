@@ -58,6 +58,8 @@ NEAR = 32
 FAR = 16
 GROUPS = 6
 TILE = 1500
+#: Links held at a time, about.
+HELD = 1 << 18
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
 
@@ -145,7 +147,8 @@ def forest(fps: np.ndarray, table: np.ndarray, unit: np.ndarray, side: np.ndarra
     two = side != side[np.searchsorted(unit, unit)]
     mixed = np.zeros(n, bool)
     mixed[:] = np.isin(unit, unit[two]) if two.any() else False
-    firsts, seconds = [], []
+    low = np.arange(n)
+    firsts, seconds, held = [], [], 0
     rows = np.arange(n)
     for gap in range(1, int(np.bincount(unit - unit[0]).max()) if n else 1):
         rows = rows[rows + gap < end[rows]]
@@ -160,19 +163,27 @@ def forest(fps: np.ndarray, table: np.ndarray, unit: np.ndarray, side: np.ndarra
         true = np.bitwise_count(fps[i] ^ fps[j]) <= radius
         firsts.append(i[true])
         seconds.append(j[true])
-    i, j = (np.concatenate([*x, np.zeros(0, np.int64)]).astype(np.int64) for x in (firsts, seconds))
-    low = np.arange(n)
-    while len(i):
+        held += len(firsts[-1])
+        if held > HELD:  # crowds are full of links: those so far are folded into the components
+            low = _joined(low, np.concatenate(firsts), np.concatenate(seconds))
+            firsts, seconds, held = [], [], 0
+    if held:
+        low = _joined(low, np.concatenate(firsts), np.concatenate(seconds))
+    moved = np.flatnonzero(low != np.arange(n))
+    return moved, low[moved]
+
+
+def _joined(low: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The first row of each row's component, with the links (i, j) added to the components of ``low``."""
+    while True:
         least = np.minimum(low[i], low[j])
         now = low.copy()
         for at in (i, j, low[i], low[j]):
             np.minimum.at(now, at, least)
         now = now[now]
         if (now == low).all():
-            break
+            return low
         low = now
-    moved = np.flatnonzero(low != np.arange(n))
-    return moved, low[moved]
 
 
 def links(nodes: DataFrame, radius: int = RADIUS, tile: int = TILE, groups: int = GROUPS) -> DataFrame:
@@ -200,8 +211,8 @@ def links(nodes: DataFrame, radius: int = RADIUS, tile: int = TILE, groups: int
             at, ends = np.asarray(batch.column(0).offsets), np.cumsum(sizes[order])
             own, fp, p0, p1 = (batch.column(k).values.to_numpy(zero_copy_only=False) for k in range(4))
             us, vs, first = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
-            while first < len(order):  # about 4 tiles of rows at a time
-                last = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + 4 * TILE)))
+            while first < len(order):  # about a tile of rows at a time
+                last = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + TILE)))
                 part = order[first:last]
                 rows = np.concatenate([np.arange(at[r], at[r + 1]) for r in part])
                 unit = np.repeat(np.arange(len(part)), sizes[part])
