@@ -3,10 +3,13 @@ stay even when one key holds a large share of all rows."""
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -71,6 +74,30 @@ def hot_left_join(left: DataFrame, right: DataFrame, key: str, count: str) -> Da
     return there.unionByName(rest)
 
 
+def values(column: pa.Array, rows: int = 64) -> Iterator[bytes | None]:
+    """The texts of an Arrow column as bytes, ``rows`` of them copied at a time."""
+    for at in range(0, len(column), rows):
+        yield from column.slice(at, rows).cast(pa.large_binary()).to_pylist()
+
+
+def lean(apply: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``apply``, after which the worker gives freed memory back to the system.
+
+    Workers serve the tasks of one stage after the other, and what an allocator keeps
+    of each stage's peak counts against the executor in all later ones.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from apply(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+        if trim:
+            trim(0)
+
+    return run
+
+
 def guarded(docs: DataFrame, needed: set[str], apply: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """``apply`` to ``docs`` with all columns but ``needed`` under names that clash with none of its own."""
     safe = [(c, c if c in needed else f"_own_{k}") for k, c in enumerate(docs.columns)]

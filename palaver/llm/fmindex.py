@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, guarded, hot_left_join
+from .common import cut, guarded, hot_left_join, lean, values
 
 WINDOW = 10
 SHARD_WORDS = 1 << 19
@@ -267,7 +267,7 @@ def _search(docs: DataFrame, carry: list[str], phrases: Phrases) -> DataFrame:
     kinds = dict(docs.dtypes)
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in carry) + ", " + FOUND
     own = [F.col(f"`{c}`") for c in carry]
-    return docs.select(*own, F.col("text").alias("_text")).mapInArrow(apply, schema)
+    return docs.select(*own, F.col("text").alias("_text")).mapInArrow(lean(apply), schema)
 
 
 def find(docs: DataFrame, benchmark: DataFrame, carry: list[str] | None = None, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -351,14 +351,14 @@ def _cut_out(docs: DataFrame, benchmark: DataFrame, least_words: int, block_byte
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             at = b.schema.get_field_index("text")
-            texts = b.column(at).cast(pa.large_binary()).to_pylist()
+            texts = values(b.column(at))
             spans = b.column(b.num_columns - 1).to_pylist()
             new = pa.array([strip_spans(t, [(s["start"], s["stop"]) for s in w]) if w else None if t is None else t.decode() for t, w in zip(texts, spans, strict=True)], pa.string())
             yield pa.RecordBatch.from_arrays([new if c == at else b.column(c) for c in range(len(names))], names=names)
 
     hit = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["stop"] - s["start"])
     stays = (F.size("spans") == 0) | (F.col("n_words") - hit >= least_words)
-    out = found.filter(stays).select(*names, "spans").mapInArrow(apply, docs.schema)
+    out = found.filter(stays).select(*names, "spans").mapInArrow(lean(apply), docs.schema)
     if "n_chars" in names:
         kind = dict(docs.dtypes)["n_chars"]
         out = out.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(kind))

@@ -28,7 +28,8 @@ from __future__ import annotations
 
 import base64
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +38,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
+from .common import lean, values
+
 MAX_TOKENS = 1024
 MAX_SEGMENTS = 64
 MAX_LOSS = 1024
@@ -93,6 +96,12 @@ class Encoder:
         return np.array(found.ids, np.uint32), np.array([a for a, _ in found.offsets], np.int64)
 
 
+@lru_cache(maxsize=1)
+def encoder(tokenizer: str, ranks: str | None = None) -> Encoder:
+    """One for all tasks of a worker."""
+    return Encoder(tokenizer, ranks)
+
+
 def bearing(starts: np.ndarray, spans: list[tuple[int, int]]) -> np.ndarray:
     """Which ids begin within spans (start, length)."""
     edge = np.zeros(int(max([starts.max(initial=0), *(a + n for a, n in spans)])) + 2, np.int64)
@@ -198,7 +207,7 @@ def pack(docs: DataFrame, tokenizer: str, ranks: str | None = None, tokens: int
     kind = docs.schema["doc_id"].dataType
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = Encoder(tokenizer, ranks)
+        encode = encoder(tokenizer, ranks)
         sequence = TaskContext.get().partitionId() << 40
         names: list = []
         ids: list[np.ndarray] = []
@@ -226,13 +235,14 @@ def pack(docs: DataFrame, tokenizer: str, ranks: str | None = None, tokens: int
 
         size = 0
         for batch in batches:
-            texts, said = batch.column(1).to_pylist(), batch.column(2).to_pylist() if spans else None
-            for k, text in enumerate(texts):
+            said = batch.column(2).to_pylist() if spans else None
+            for k, raw in enumerate(values(batch.column(1))):
+                text = (raw or b"").decode()
                 if spans:
-                    own, starts = encode.starts(text or "")
+                    own, starts = encode.starts(text)
                     mask = bearing(starts, [(s["start"], s["length"]) for s in said[k] or ()])
                 else:
-                    own = encode.ids(text or "")
+                    own = encode.ids(text)
                     mask = np.ones(len(own), bool)
                 names.append(batch.column(0).slice(k, 1))
                 ids.append(np.append(own, np.uint32(CLOSING)).astype("<u4"))
@@ -247,4 +257,4 @@ def pack(docs: DataFrame, tokenizer: str, ranks: str | None = None, tokens: int
     columns = [F.col("doc_id"), F.col("text")]
     if spans:
         columns.append(F.transform(spans, lambda s: F.struct(s["start"].cast("int").alias("start"), s["length"].cast("int").alias("length"))).alias("spans"))
-    return docs.select(*columns).mapInArrow(apply, StructType([StructField("doc_id", kind), *(StructField(c, LongType()) for c in PIECES)]))
+    return docs.select(*columns).mapInArrow(lean(apply), StructType([StructField("doc_id", kind), *(StructField(c, LongType()) for c in PIECES)]))

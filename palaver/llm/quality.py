@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import guarded
+from .common import guarded, lean, values
 
 SYMBOLS = b"#*$%&|<>"
 SHOUTS = b"!?~^"
@@ -217,8 +217,8 @@ def calibrate_counts(low: np.ndarray, high: np.ndarray, good: np.ndarray, bad: n
     return float((cuts[best[0]] + cuts[best[-1]]) / 2)
 
 
-def _texts(batch: pa.RecordBatch, name: str = "text") -> list[bytes | None]:
-    return batch.column(batch.schema.get_field_index(name)).cast(pa.large_binary()).to_pylist()
+def _texts(batch: pa.RecordBatch, name: str = "text") -> Iterator[bytes | None]:
+    return values(batch.column(batch.schema.get_field_index(name)))
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_fit: int = MAX_FIT) -> Forest | None:
@@ -236,7 +236,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_fit: int = MAX_FIT) -> Forest |
 
     rows = (
         docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-        .mapInArrow(measure, f"doc_id {dict(docs.dtypes)['doc_id']}, counts array<long>, ratios array<double>, quality long")
+        .mapInArrow(lean(measure), f"doc_id {dict(docs.dtypes)['doc_id']}, counts array<long>, ratios array<double>, quality long")
         .groupBy("doc_id").agg(F.min(F.struct("counts", "ratios", "quality")).alias("r"))
         .orderBy("doc_id").limit(max_fit).collect()
     )
@@ -261,7 +261,7 @@ def _threshold(docs: DataFrame, labelled: DataFrame, forest: Forest) -> float:
 
     kind = dict(docs.dtypes)["doc_id"]
     scored = (
-        docs.filter(F.col("doc_id").isNotNull()).select("doc_id", "text").mapInArrow(measure, f"doc_id {kind}, counts array<long>, score double, failed boolean")
+        docs.filter(F.col("doc_id").isNotNull()).select("doc_id", "text").mapInArrow(lean(measure), f"doc_id {kind}, counts array<long>, score double, failed boolean")
         .groupBy("doc_id").agg(F.min(F.struct("counts", "score", "failed")).alias("r"))
         .join(labelled, "doc_id").filter(~F.col("r.failed")).select("r.score", (F.col("quality") > 0).alias("good"))
     )
@@ -295,7 +295,7 @@ def judge(docs: DataFrame, labels: DataFrame, carry: tuple[str, ...] = ("doc_id"
 
     kinds = dict(docs.dtypes)
     schema = ", ".join([f"`{c}` {kinds[c]}" for c in carry] + [f"{c} long" for c in COUNTS] + ["score double", "base_failed boolean", "kept boolean"])
-    return docs.select(*own, "text").mapInArrow(apply, schema)
+    return docs.select(*own, "text").mapInArrow(lean(apply), schema)
 
 
 def keep(docs: DataFrame, labels: DataFrame) -> DataFrame:

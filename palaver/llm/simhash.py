@@ -48,7 +48,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import cut, guarded, hot_left_join
+from .common import cut, guarded, hot_left_join, lean, values
 from .graph import components
 
 SHINGLE = 3
@@ -87,11 +87,11 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = np.array([fingerprint(t) for t in b.column(1).cast(pa.large_binary()).to_pylist()], np.uint64)
+            fps = np.array([fingerprint(t) for t in values(b.column(1))], np.uint64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
 
     kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", "text").mapInArrow(apply, f"doc_id {kind}, fp long")
+    return docs.select("doc_id", "text").mapInArrow(lean(apply), f"doc_id {kind}, fp long")
 
 
 def references() -> tuple[int, list[int], list[int]]:
@@ -223,7 +223,7 @@ def links(nodes: DataFrame, radius: int = RADIUS, tile: int = TILE, groups: int
                 first = last
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(us)), pa.array(np.concatenate(vs))], names=["u", "v"])
 
-    return units.mapInArrow(apply, "u long, v long").distinct()
+    return units.mapInArrow(lean(apply), "u long, v long").distinct()
 
 
 def _classes(docs: DataFrame, radius: int) -> tuple[DataFrame, DataFrame]:
@@ -250,10 +250,10 @@ def _with_fingerprint(docs: DataFrame) -> DataFrame:
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = np.array([fingerprint(t) for t in b.column(at).cast(pa.large_binary()).to_pylist()], np.uint64)
+            fps = np.array([fingerprint(t) for t in values(b.column(at))], np.uint64)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(fps.view(np.int64))], names=[*names, "_simhash"])
 
-    return docs.mapInArrow(apply, StructType([*docs.schema.fields, StructField("_simhash", LongType())]))
+    return docs.mapInArrow(lean(apply), StructType([*docs.schema.fields, StructField("_simhash", LongType())]))
 
 
 def keep_first(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
