@@ -184,13 +184,23 @@ def _member(source: pa.NativeFile, held: bytes, at: int) -> tuple[dict | None, i
             return None, 0
 
 
+def _listed(spark: SparkSession, folder: str) -> DataFrame:
+    """(name, size) of the archives in ``folder``, by Spark's own listing; contents are not read."""
+    fs, root = pyarrow.fs.FileSystem.from_uri(folder)
+    if fs.get_file_info(root).type == pyarrow.fs.FileType.NotFound:
+        return spark.createDataFrame([], "name string, size long")
+    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(folder)
+    return found.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("size"))
+
+
 def read(spark: SparkSession, folder: str, files: list[tuple[str, int]] | None = None, split_bytes: int = SPLIT_BYTES) -> DataFrame:
     """The records of the archives below ``folder``: RECORD columns; html is null for revisits."""
-    if files is None:
-        fs, root = pyarrow.fs.FileSystem.from_uri(folder)
-        found = fs.get_file_info(pyarrow.fs.FileSelector(root, allow_not_found=True))
-        files = sorted((f.base_name, f.size) for f in found if f.base_name.endswith(".warc.gz"))
-    ranges = [(name, size, at, min(size, at + split_bytes)) for name, size in files for at in range(0, size, split_bytes)]
+    listed = _listed(spark, folder) if files is None else spark.createDataFrame(files, "name string, size long")
+    listed = listed.filter("size > 0")
+    count = listed.agg(F.sum(F.ceil(F.col("size") / split_bytes))).first()[0] or 0
+    # the ranges are made by the tasks: the driver holds no more than the list of files
+    ranges = listed.withColumn("start", F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1, F.lit(split_bytes).cast("long"))))
+    tasks = ranges.withColumn("stop", F.least("size", F.col("start") + split_bytes)).repartition(max(1, min(int(count), 10_000)))
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = pyarrow.fs.FileSystem.from_uri(folder)
@@ -221,8 +231,6 @@ def read(spark: SparkSession, folder: str, files: list[tuple[str, int]] | None =
                 if rows:
                     yield batch(rows)
 
-    schema = "name string, size long, start long, stop long"
-    tasks = spark.createDataFrame(ranges, schema).repartition(max(1, min(len(ranges), 10_000)))
     return tasks.mapInArrow(apply, RECORD)
 
 
