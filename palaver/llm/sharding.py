@@ -34,6 +34,8 @@ from pyspark.sql import functions as F
 from .common import HOT_SHARE, cut, hot_left_join
 
 BLOCK = 2_000
+#: Blocks whose sizes are summed in one task.
+FAN = 4_096
 BUCKETS = 2_048
 #: Texts that the driver places after the rounds, at most.
 FEW = 10_000
@@ -152,8 +154,14 @@ def ranked(rows: DataFrame, pool: str, total: int) -> DataFrame:
     blocks = max(1, -(-total // BLOCK))
     placed = rows.withColumn("block", F.pmod(F.xxhash64("row"), F.lit(blocks)))
     sizes = placed.groupBy(pool, "block").agg(F.count("*").alias("size"))
-    before = Window.partitionBy(pool).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.withColumn("before", F.coalesce(F.sum("size").over(before), F.lit(0))).drop("size")
+    # prefix sums in two levels: within FAN blocks, and over the sums of these
+    sizes = cut(sizes.withColumn("fan", F.floor(F.col("block") / FAN)))
+    over = Window.partitionBy(pool).orderBy("fan").rowsBetween(Window.unboundedPreceding, -1)
+    fans = sizes.groupBy(pool, "fan").agg(F.sum("size").alias("held"))
+    fans = fans.withColumn("start", F.coalesce(F.sum("held").over(over), F.lit(0))).drop("held")
+    before = Window.partitionBy(pool, "fan").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.withColumn("within", F.coalesce(F.sum("size").over(before), F.lit(0))).join(fans, [pool, "fan"])
+    sizes = sizes.select(pool, "block", (F.col("start") + F.col("within")).alias("before"))
     within = F.row_number().over(Window.partitionBy(pool, "block").orderBy("row")) - 1
     numbered = placed.withColumn("within", within)
     # a few rows for every BLOCK: sent to all tasks only while that is provably little
