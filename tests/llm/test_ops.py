@@ -10,11 +10,12 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from palaver.llm import chat, fmindex, html, packing, pii, quality, queries, sharding, simhash, urlfilter, warc
+from palaver.llm import chat, common, fmindex, html, packing, pii, quality, queries, sharding, simhash, urlfilter, warc
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -117,6 +118,22 @@ def test_sharding_fills_crowded_shards(spark, sizes, splits):
     assert sum(len(s) > 1 for s in of.values()) == splits
 
 
+def test_ranks_over_many_blocks(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "BLOCK", 5)
+    monkeypatch.setattr(sharding, "FAN", 4)  # some ten groups of blocks
+    rows = spark.range(230).selectExpr("struct(id) as row", "cast(id % 7 = 0 as int) as pool")
+    found = sharding.ranked(rows, "pool", 230).collect()
+    for pool, n in ((0, 197), (1, 33)):
+        assert sorted(r["rank"] for r in found if r["pool"] == pool) == list(range(n))
+
+
+def test_values_are_whole(spark):
+    column = pa.array(["a", None, "", "é" * 1000] * 50)
+    assert list(common.values(column.slice(1), 7)) == [None if t is None else t.encode() for t in column.slice(1).to_pylist()]
+    doubled = common.lean(lambda batches: (b for b in batches for _ in range(2)))
+    assert len(list(doubled(iter([1, 2])))) == 4
+
+
 # 2 ------------------------------------------------------------------------------------------
 
 
