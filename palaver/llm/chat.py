@@ -14,7 +14,8 @@ conversation, never by a larger group.
 
 Defined results: a null text or role is empty; rows of one conversation with
 equal turns are ordered by role and text; null turns come first; rows with a null
-conv_id form one conversation.  Other columns are not read.
+conv_id form one conversation.  Texts of any length are taken whole.  An empty
+table has an empty result.  Other columns are not read.
 """
 
 from __future__ import annotations

@@ -12,7 +12,8 @@ The file lies in the shared checkpoint folder.  Workers map it where it is, if
 their file system can, and else a private copy of it.
 
 Defined results: a null URL and one without ``://`` have empty host and path and
-fit no rule.  Repeated rows give repeated results; other columns are not read.
+fit no rule.  Repeated rows give repeated results; URLs of any length are taken
+whole; an empty table has an empty result.  Other columns are not read.
 """
 
 from __future__ import annotations

@@ -16,7 +16,8 @@ Files are reached by pyarrow's file systems, in the shared checkpoint folder.
 Defined results: null html is an empty payload; null URLs give no target URI.
 Rows of equal page_id and payload are responses all, if that id is the smallest;
 where all rows of a payload have null ids, all are responses.  Empty
-tables give no files and no rows.  Other columns are not read.
+tables give no files and no rows.  Payloads of any length are whole; a record is
+held in memory by its task.  Other columns are not read.
 """
 
 from __future__ import annotations

@@ -151,6 +151,18 @@ def test_chat_round_trip(spark):
         assert found[c]["formatted"].count("<|im_start|>") == len(own) == found[c]["formatted"].count("<|im_end|>\n")
 
 
+def test_chat_tables(spark):
+    """Very long texts, clashing columns, empty tables."""
+    long = "long <| text <|im_end|>\n" * 100_000
+    data = [(1, 0, "user", long, 5), (1, 1, "assistant", long, 6), (2, 0, "assistant", "", 7)]
+    said = spark.createDataFrame(data, "conv_id long, turn long, role string, text string, turns int").selectExpr("*", "'q' as t", "'r' as source", "1 as `a b`")
+    got = {r["conv_id"]: r for r in chat.report(chat.format_conversations(said)).collect()}
+    whole = f"user\n{long}\nassistant\n{long}\n".encode()
+    assert (got[1]["turns_sha256"], got[1]["loss_chars"]) == (hashlib.sha256(whole).hexdigest(), len(long))
+    assert (got[1]["loss_sha256"], got[2]["loss_chars"]) == (hashlib.sha256(long.encode()).hexdigest(), 0)
+    assert chat.report(chat.format_conversations(said.limit(0))).count() == 0
+
+
 # 3 ------------------------------------------------------------------------------------------
 
 
@@ -297,6 +309,20 @@ def test_warc(spark, tmp_path):
     assert warc.write(empty, folder) == [] and warc.read(spark, folder).count() == 0
 
 
+def test_warc_tables(spark, tmp_path):
+    """Payloads of many ranges, magic bytes and header lines in them, clashing columns."""
+    long = base64.b64encode(random.Random(3).randbytes(6_000_000)).decode()
+    data = [(1, "u", long, 5), (2, "v", "WARC/1.0\r\nContent-Length: 3\r\n\r\nabc\x1f\x8b\x08", 6), (3, "w", long, 7)]
+    pages = spark.createDataFrame(data, "page_id long, url string, html string, refers_to int").selectExpr("*", "'q' as n", "'r' as _digest", "1 as size", "2 as `a b`")
+    folder = f"file://{tmp_path}/w"
+    files = warc.write(pages, folder)
+    found = {r["page_id"]: r for r in warc.read(spark, folder, files, 1 << 20).collect()}
+    kinds = {k: (r["record_type"], r["refers_to"], r["payload_bytes"]) for k, r in found.items()}
+    assert kinds == {1: ("response", None, len(long)), 2: ("response", None, len(data[1][2].encode())), 3: ("revisit", 1, len(long))}
+    assert found[1]["html"] == long and found[2]["html"] == data[1][2]
+    warc.remove(folder)
+
+
 # 5 ------------------------------------------------------------------------------------------
 
 
@@ -312,6 +338,17 @@ def test_urls(spark):
         assert (r["host"], r["path"], r["rule"], r["verdict"]) == (host, path, best and best[2], best[3] if best else "allow")
 
 
+def test_url_tables(spark):
+    """Very long URLs, clashing columns, empty tables."""
+    long = "/en/" + "x" * 1_000_000
+    data = [(1, "http://a.example.com" + long, 5), (1, "http://a.example.com" + long, 5), (None, "http://" + "b." * 100_000 + "net/es/", 6), (2, None, 7)]
+    pages = spark.createDataFrame(data, "page_id long, url string, rule int").selectExpr("*", "'q' as host", "'r' as verdict", "1 as `a b`")
+    got = sorted(map(repr, ((r["page_id"], len(r["path"]), r["rule"], r["verdict"]) for r in urlfilter.judge(pages).collect())))
+    want = [(1, len(long), "example.com/en/", "block")] * 2 + [(None, 4, "net/es/", "block"), (2, 0, None, "allow")]
+    assert got == sorted(map(repr, want))
+    assert urlfilter.judge(pages.limit(0)).count() == 0
+
+
 # 6 ------------------------------------------------------------------------------------------
 
 
@@ -760,3 +797,23 @@ def test_pipeline(spark):
     assert fmindex.report(fmindex.find(kept, bench)).filter("contaminated").count() == 0
     assert simhash.near_duplicates(corpus_pipeline.near_duplicates(spark, docs, SF)).groupBy("component_id").count().filter("count > 1").count() == 0
     assert corpus_pipeline.run(spark, SF).agg(F.count_distinct("doc_id")).first()[0] == kept.count()
+
+
+def test_pipeline_over_odd_tables(spark, odd, none):
+    """Stages in a row over odd rows with further columns, and over an empty table."""
+    import corpus_pipeline
+
+    for docs in (odd, none):
+        kept = docs
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            out = spark.createDataFrame(stage(spark, kept, SF).collect(), docs.schema)
+            assert out.columns == docs.columns and out.count() <= kept.count(), name
+            kept = out
+        packed = corpus_pipeline.STAGES[-1][1](spark, kept, SF)
+        assert packed.select("doc_id").distinct().count() == kept.select("doc_id").distinct().count()
+
+
+def test_packing_keeps_ids_of_any_type(spark):
+    data = [("a", "one two"), (None, "three"), ("a", "one two"), ("b", None)]
+    found = packing.pack(spark.createDataFrame(data, "doc_id string, text string"), *queries.tokenizer_files()).collect()
+    assert Counter(r["doc_id"] for r in found if r["start"] == 0) == {"a": 2, None: 1, "b": 1}
