@@ -47,4 +47,36 @@ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hi
   sha256(coalesce(names, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
 FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)"""
 
-ORACLES: dict[str, str] = {"op2_chat": CHAT, "op4_warc": WARC, "op5_urlfilter": URLS, "op8_decontamination": HITS}
+def _leaf(n_chars: str) -> str:
+    fields = ("CAST(doc_id AS VARCHAR)", "source", "lang", f"CAST({n_chars} AS VARCHAR)", "text")
+    return "sha256(concat(" + ", ".join(f"coalesce(concat(strlen({f}), ':', {f}), '-')" for f in fields) + "))"
+
+
+# CRC-32 of the decimal id, bit by bit
+_CRC = """xor(list_reduce(list_concat([CAST(4294967295 AS BIGINT)], list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda d: CAST(ord(d) AS BIGINT))),
+    lambda c, b: list_reduce(list_concat([xor(c, b)], list_transform(range(8), lambda k: CAST(k AS BIGINT))),
+      lambda r, k: CASE WHEN r & 1 = 1 THEN xor(r >> 1, CAST(3988292384 AS BIGINT)) ELSE r >> 1 END)), CAST(4294967295 AS BIGINT))"""
+_ABOVE = """SELECT g, level + 1, "at" // 2, h FROM (
+    SELECT g, level, "at", count(*) OVER w AS n, sha256(concat(h, coalesce(lead(h) OVER (w ORDER BY "at"), ''))) AS h FROM {0} WINDOW w AS (PARTITION BY g, level))
+  WHERE n > 1 AND "at" % 2 = 0"""
+_STEP = """SELECT doc_id, f.g, f.level + 1, f."at" // 2, sha256(CASE WHEN f."at" % 2 = 1 THEN concat(s.h, f.h) ELSE concat(f.h, coalesce(s.h, '')) END),
+    concat(siblings, coalesce(s.h, '')), leaf
+  FROM {0} f JOIN {1} d ON d.g = f.g AND f.level < d.depth LEFT JOIN {2} s ON s.g = f.g AND s.level = f.level AND s."at" = xor(f."at", 1)"""
+
+MERKLE = rf"""WITH RECURSIVE leaves AS (
+  SELECT doc_id, coalesce(concat('=', lang), '') AS g, {_leaf("n_chars")} AS leaf,
+    {_leaf("CASE WHEN crc % 7 = 0 THEN n_chars + 1 ELSE n_chars END")} AS struck
+  FROM (SELECT *, {_CRC} AS crc FROM documents)),
+placed AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS "at" FROM leaves),
+nodes(g, level, "at", h) AS (SELECT g, 0, "at", leaf FROM placed UNION ALL {_ABOVE.format("nodes")}),
+depths AS (SELECT g, max(level) AS depth, arg_max(h, level) AS subroot FROM nodes GROUP BY g),
+tops(g, level, "at", h) AS (SELECT '', 0, row_number() OVER (ORDER BY g) - 1, subroot FROM depths UNION ALL {_ABOVE.format("tops")}),
+top AS (SELECT g, max(level) AS depth, arg_max(h, level) AS root FROM tops GROUP BY g),
+low(doc_id, g, level, "at", h, siblings, leaf) AS (SELECT doc_id, g, 0, "at", struck, '', leaf FROM placed UNION ALL {_STEP.format("low", "depths", "nodes")}),
+up(doc_id, g, level, "at", h, siblings, leaf) AS (
+  SELECT doc_id, '', 0, t."at", low.h, siblings, leaf FROM low JOIN depths USING (g) JOIN tops t ON t.level = 0 AND t.h = subroot WHERE low.level = depth
+  UNION ALL {_STEP.format("up", "top", "tops")})
+SELECT doc_id, p.leaf, subroot, root, sha256(siblings) AS proof_sha256, up.h AS folded_root, up.h = root AS verified
+FROM up JOIN top ON level = top.depth JOIN placed p USING (doc_id) JOIN depths ON depths.g = p.g"""
+
+ORACLES: dict[str, str] = {"op2_chat": CHAT, "op4_warc": WARC, "op5_urlfilter": URLS, "op8_decontamination": HITS, "op11_merkle": MERKLE}

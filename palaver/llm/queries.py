@@ -8,10 +8,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, common, fmindex, html, packing, pii, quality, sharding, simhash, urlfilter, warc
+from . import align, chat, common, fmindex, html, merkle, packing, pii, ppm, quality, sharding, simhash, urlfilter, warc
 
 TOKENIZER = "byte_bpe_50k.json"
 RANKS = "byte_bpe_50k.tiktoken"
+PIECES = "piece_bpe_32k.model"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -76,9 +77,31 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """About every seventh row is held against its proof with one character more in ``n_chars``."""
+    docs = table(spark, sf_dir, "documents")
+    struck = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    more = F.when(struck, F.try_add(F.col("n_chars"), F.lit(1))).otherwise(F.col("n_chars"))
+    return merkle.report(merkle.audit(docs, {"n_chars": more}))
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return align.align(table(spark, sf_dir, "documents"), *tokenizer_files(), public_tokenizers.path(PIECES))
+
+
+def op13_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
+    model = ppm.learn(docs.filter(~held_out))
+    return ppm.predict(docs.select("doc_id", "text", held_out.alias("held_out")), model).drop("text")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_sharding, op2_chat, op3_pii, op4_warc, op5_urlfilter, op6_packing, op7_html, op8_decontamination, op9_quality, op10_simhash,
+        op11_merkle, op12_alignment, op13_language,
     )
 }
