@@ -31,14 +31,23 @@ def tool_intent(name: Column, given: Column) -> Column:
     """``name: value`` from the JSON text of a tool's input; the name alone if nothing says more.
 
     The tool's own field comes first: a list gives its number of items, numbers
-    and flags their text.  Else the first non-blank string field counts.
+    and flags their text; an object or a blank string says nothing.  Else the first
+    field that holds a non-blank string counts, whatever the string looks like.
     """
     field = F.try_element_at(F.create_map(*[F.lit(x) for pair in INTENT.items() for x in pair]), name)
-    fields = F.from_json(given, "map<string, string>")
+    fields = F.from_json(given, "map<string, variant>")
     own = F.try_element_at(fields, field)
-    items = F.json_array_length(own)
-    first = F.try_element_at(F.filter(F.transform(F.json_object_keys(given), lambda k: F.try_element_at(fields, k)), lambda v: ~v.rlike(r"^\s*[\[{]") & (squeeze(v) != "")), F.lit(1))
-    said = F.when(items.isNotNull(), F.concat(items.cast("string"), F.when(items == 1, " item").otherwise(" items"))).otherwise(F.coalesce(F.when(squeeze(own) != "", own), first))
+    kind = F.schema_of_variant(own)
+    text = lambda v: F.try_variant_get(v, "$", "string")
+    strings = F.filter(F.transform(F.json_object_keys(given), lambda k: F.try_element_at(fields, k)), lambda v: F.schema_of_variant(v) == "STRING")
+    first = F.try_element_at(F.filter(F.transform(strings, text), lambda v: squeeze(v) != ""), F.lit(1))
+    items = F.when(kind.startswith("ARRAY"), F.size(F.try_variant_get(own, "$", "array<variant>")))
+    number = F.regexp_replace(text(own), r"(\.\d*?)0+$", "$1")
+    brief = (
+        F.when(kind == "STRING", F.when(squeeze(text(own)) != "", text(own))).when(items.isNotNull(), F.concat(items.cast("string"), F.when(items == 1, " item").otherwise(" items")))
+        .when(kind == "BOOLEAN", text(own)).when(kind.rlike("^(BIGINT|DOUBLE|DECIMAL)"), F.regexp_replace(number, r"\.$", ""))
+    )
+    said = F.coalesce(brief, first)
     flat = squeeze(F.regexp_replace(said, rf"{BLANK}+", " "))
     short = F.when(F.length(flat) > MOST, F.concat(F.substring(flat, 1, MOST - 1), F.lit("…"))).otherwise(flat)
     return F.when(F.coalesce(short, F.lit("")) == "", name).otherwise(F.concat_ws(": ", name, short))

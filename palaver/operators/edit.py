@@ -181,6 +181,13 @@ def discard(original: DataFrame) -> tuple[DataFrame, DataFrame]:
     return rows, rows.sparkSession.createDataFrame([], "session_path string, line_no long, content_no long")
 
 
+def session_uuid(path: Column, seed: str) -> Column:
+    """A version 4 identifier for each session, the same for all its lines."""
+    drawn = F.sha2(F.concat_ws("|", path, F.lit(seed)), 256)
+    variant = F.element_at(F.array(*map(F.lit, "89ab")), (F.ascii(F.substring(drawn, 17, 1)) % 4) + 1)
+    return F.concat_ws("-", F.substring(drawn, 1, 8), F.substring(drawn, 9, 4), F.concat(F.lit("4"), F.substring(drawn, 14, 3)), F.concat(variant, F.substring(drawn, 18, 3)), F.substring(drawn, 21, 12))
+
+
 def fork(lines: DataFrame, upto: int, new_id: str | None = None) -> DataFrame:
     """Lines 0 to ``upto`` with the first sessionId value of each replaced, by a new one for each session if none is given.
 
@@ -191,7 +198,7 @@ def fork(lines: DataFrame, upto: int, new_id: str | None = None) -> DataFrame:
     own = own.withColumn("_last", F.when(F.col("_tail") == "", F.col("_last") - 1).otherwise(F.col("_last")))
     short = F.when(F.col("_last") < upto, F.raise_error(F.lit("line index out of range")).cast("long")).otherwise(F.col("line_no"))
     kept = own.withColumn("line_no", short).filter(F.col("line_no") <= upto)
-    given = F.lit(new_id) if new_id else F.concat_ws("-", *[F.substring(F.md5(F.concat_ws("|", F.col("session_path"), F.lit(uuid.uuid4().hex))), a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))])
+    given = F.lit(new_id) if new_id else session_uuid(F.col("session_path"), uuid.uuid4().hex)
     at = F.locate('"sessionId":"', F.col("line"))
     head = at + len('"sessionId":"') - 1
     rest = F.substring(F.col("line"), head + 1, F.length("line"))

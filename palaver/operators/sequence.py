@@ -20,7 +20,9 @@ def _placed(rows: DataFrame) -> DataFrame:
     kept = kept.withColumn("_seg", F.sum(user.cast("int")).over(w))
     inner = Window.partitionBy(PATH, "_seg").orderBy(LINE)
     before = F.last(F.when(~user, F.nullif("request_id", F.lit(""))), ignorenulls=True).over(inner.rowsBetween(Window.unboundedPreceding, -1))
-    opens = user | (F.coalesce(F.lag("source").over(w), F.lit("user")) == "user") | (F.coalesce(F.col("request_id"), F.lit("")) != "") & before.isNotNull() & (before != F.col("request_id"))
+    # a row that names a request opens a turn unless the open one has that request; one that was opened without any has none
+    request = F.coalesce(F.col("request_id"), F.lit(""))
+    opens = user | (F.coalesce(F.lag("source").over(w), F.lit("user")) == "user") | (request != "") & (F.coalesce(before, F.lit("")) != request)
     return kept.withColumn("_opens", opens).withColumn("turn_id", F.sum(F.col("_opens").cast("int")).over(w))
 
 

@@ -18,7 +18,7 @@ HOME = "/home/it"
 LINES_SQL = """lines AS (
   SELECT concat('conv/', conv_id, '.jsonl') AS session_path, concat('p', conv_id % 7) AS project,
          1704067200000 + conv_id * 3600000 + turn * 60000 AS ts_ms, turn AS line_no, CAST(0 AS BIGINT) AS block_no,
-         concat(conv_id, ':', turn) AS uuid, role AS source, concat('r', turn // 2) AS request_id,
+         concat(conv_id, ':', turn) AS uuid, role AS source, CASE WHEN (conv_id + turn) % 5 < 2 THEN '' ELSE concat('r', turn // 2) END AS request_id,
          concat('m', (conv_id + turn) % 3) AS model, text
   FROM conversations),
 blocks AS (SELECT * FROM lines WHERE source IN ('user', 'assistant') AND trim(regexp_replace(text, '\\s+', ' ', 'g')) <> '')"""
@@ -29,7 +29,7 @@ TAIL = [
     '{"type":"permission-mode","permissionMode":"plan"}',
     '{"type":"user","uuid":"echo","message":{"content":"<system-reminder>the thoused erblest"}}',
     '{"type":"user","uuid":"notice","message":{"content":"<task-notification><status>done</status></task-notification>"}}',
-    '{"type":"user","uuid":"result","cwd":null,"message":{"content":[{"type":"tool_result","tool_use_id":"t1","content":"the ok"}]}}',
+    '{"type":"user","uuid":"result","cwd":null,"message":{"content":[{"type":"tool_result","tool_use_id":"t1","content":["z",{"type":"text","text":5},{"type":"text","text":"the ok"},null,{"type":"image"},{"type":"text","text":"done"}]}]}}',
 ]
 
 
@@ -38,7 +38,7 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/conversations.parquet").select(
         F.concat(F.lit("conv/"), c, F.lit(".jsonl")).alias("session_path"), F.concat(F.lit("p"), c % 7).alias("project"),
         (F.lit(1704067200000) + c * 3600000 + t * 60000).alias("ts_ms"), t.alias("line_no"), F.lit(0).cast("long").alias("block_no"),
-        F.concat(c, F.lit(":"), t).alias("uuid"), F.col("role").alias("source"), F.concat(F.lit("r"), F.expr("turn div 2")).alias("request_id"),
+        F.concat(c, F.lit(":"), t).alias("uuid"), F.col("role").alias("source"), F.when((c + t) % 5 < 2, "").otherwise(F.concat(F.lit("r"), F.expr("turn div 2"))).alias("request_id"),
         F.concat(F.lit("m"), (c + t) % 3).alias("model"), "text",
     )
 

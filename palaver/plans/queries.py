@@ -274,8 +274,8 @@ def cleanup_candidates(spark, sf):
 
 @register(f"""WITH {LINES_SQL}, k AS (SELECT *, sum(CASE WHEN source = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY session_path ORDER BY line_no) AS seg FROM lines WHERE source IN ('user', 'assistant')),
 l AS (SELECT *, lag(source) OVER (PARTITION BY session_path ORDER BY line_no) AS prev,
-  last_value(CASE WHEN source = 'assistant' THEN request_id END IGNORE NULLS) OVER (PARTITION BY session_path, seg ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM k),
-t AS (SELECT *, sum(CASE WHEN source = 'user' OR coalesce(prev, 'user') = 'user' OR (before IS NOT NULL AND before <> request_id) THEN 1 ELSE 0 END) OVER (PARTITION BY session_path ORDER BY line_no) AS turn_id FROM l)
+  last_value(CASE WHEN source = 'assistant' THEN nullif(request_id, '') END IGNORE NULLS) OVER (PARTITION BY session_path, seg ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM k),
+t AS (SELECT *, sum(CASE WHEN source = 'user' OR coalesce(prev, 'user') = 'user' OR (request_id <> '' AND coalesce(before, '') <> request_id) THEN 1 ELSE 0 END) OVER (PARTITION BY session_path ORDER BY line_no) AS turn_id FROM l)
 SELECT session_path, CAST(turn_id AS BIGINT) AS turn_id, arg_min(source, line_no) AS role, count(*) AS n_rows, min(line_no) AS first_line, max(line_no) AS last_line, arg_min(ts_ms, line_no) AS ts_ms, arg_min(model, line_no) AS model FROM t GROUP BY session_path, turn_id""")
 def turns(spark, sf):
     return sequence.turns(lines(spark, sf))
@@ -355,13 +355,13 @@ def _entries(spark: SparkSession, sf: str) -> DataFrame:
     call = F.to_json(F.struct(F.concat(F.lit("f"), "line_no").alias("file_path")))
     content = F.concat(
         F.lit('[{"type":"thinking","thinking":"hm"},{"type":"text","text":'), F.regexp_replace(F.to_json(F.struct("text")), r'^\{"text":|\}$', ""),
-        F.lit('},{"type":"tool_use","id":"t1","name":"Read","input":'), call, F.lit('},{"type":"tool_result","tool_use_id":"t1","content":[{"type":"text","text":"a"},{"type":"text","text":"b"}]},{"type":"image"},7]'),
+        F.lit('},{"type":"tool_use","id":"t1","name":"Read","input":'), call, F.lit('},{"type":"tool_result","tool_use_id":"t1","content":["z",{"type":"text","text":"a"},{"type":"text","text":5},null,{"type":"text","text":"b"}]},{"type":"image"},7,{"type":"text","text":7}]'),
     )
     line = F.concat(F.lit('{"type":"'), "source", F.lit('","uuid":"'), "uuid", F.lit('","timestamp":"2026-07-02T10:00:00.000Z","message":{"content":'), content, F.lit("}}"))
     return jsonl.entries(lines(spark, sf).select("session_path", "project", "line_no", line.alias("line")))
 
 
-@register(f"""WITH {LINES_SQL}, k(content_no, kind, raw_type, tool_name, tool_id) AS (VALUES (0, 'thinking', 'thinking', '', ''), (1, 'text', 'text', '', ''), (2, 'tool_use', 'tool_use', 'Read', 't1'), (3, 'tool_result', 'tool_result', '', 't1'), (4, 'unknown', 'image', '', ''), (5, 'unknown', '', '', ''))
+@register(f"""WITH {LINES_SQL}, k(content_no, kind, raw_type, tool_name, tool_id) AS (VALUES (0, 'thinking', 'thinking', '', ''), (1, 'text', 'text', '', ''), (2, 'tool_use', 'tool_use', 'Read', 't1'), (3, 'tool_result', 'tool_result', '', 't1'), (4, 'unknown', 'image', '', ''), (5, 'unknown', '', '', ''), (6, 'text', 'text', '', ''))
 SELECT session_path, line_no, CAST(content_no AS BIGINT) AS content_no, kind, raw_type, tool_name, tool_id, uuid, CASE content_no WHEN 0 THEN 'hm' WHEN 1 THEN text WHEN 3 THEN concat('a', chr(10), 'b') ELSE '' END AS text, CAST(1782986400000 AS BIGINT) AS ts_ms FROM lines, k""")
 def view_blocks(spark, sf):
     found = jsonl.content_blocks(_entries(spark, sf))
@@ -377,12 +377,15 @@ def toolgroup_summary(spark, sf):
     return found.select("session_path", "n_lines", tools.group_summary(kinds, F.col("n_lines")).alias("summary"))
 
 
-@register(f"""WITH {LINES_SQL} SELECT session_path, line_no, CASE line_no % 5 WHEN 0 THEN concat('Read: f', line_no) WHEN 1 THEN 'TodoWrite: 2 items' WHEN 2 THEN 'Skill: yes it is' WHEN 3 THEN concat('BashOutput: b', line_no) ELSE 'Bash' END AS intent FROM lines""")
+@register(f"""WITH {LINES_SQL} SELECT session_path, line_no, CASE line_no % 9 WHEN 0 THEN concat('Read: f', line_no) WHEN 1 THEN 'TodoWrite: 2 items' WHEN 2 THEN 'Skill: yes it is' WHEN 3 THEN concat('BashOutput: b', line_no)
+  WHEN 4 THEN 'Bash' WHEN 5 THEN 'Skill: [1,2]' WHEN 6 THEN concat('Bash: n', line_no) WHEN 7 THEN concat('BashOutput: ', line_no) ELSE 'Read: [draft] fix it' END AS intent FROM lines""")
 def tool_intent(spark, sf):
-    n = F.col("line_no") % 5
-    name = F.when(n == 0, "Read").when(n == 1, "TodoWrite").when(n == 2, "Skill").when(n == 3, "BashOutput").otherwise("Bash")
-    given = F.when(n == 0, F.concat(F.lit('{"a":"x","file_path":"f'), "line_no", F.lit('"}'))).when(n == 1, '{"todos":[{"a":1},{"b":2}]}').when(n == 2, '{"k":[1],"b":" ","a":" yes \\n it  is"}')
-    given = given.when(n == 3, F.concat(F.lit('{"a":"zz","bash_id":"b'), "line_no", F.lit('"}'))).otherwise("{}")
+    """Inputs of all types: lists, numbers, flags and objects in the tool's own field and in others."""
+    n = F.col("line_no") % 9
+    name = F.when(n.isin(0, 8), "Read").when(n == 1, "TodoWrite").when(n.isin(2, 5), "Skill").when(n.isin(3, 7), "BashOutput").otherwise("Bash")
+    given = F.when(n == 0, F.concat(F.lit('{"a":"x","file_path":"f'), "line_no", F.lit('"}'))).when(n == 1, '{"todos":[{"a":1},{"b":2}]}').when(n == 2, '{"k":[1],"b":" ","n":5,"f":true,"a":" yes \\n it  is"}')
+    given = given.when(n == 3, F.concat(F.lit('{"a":"zz","bash_id":"b'), "line_no", F.lit('"}'))).when(n == 4, '{"command":{"a":1}}').when(n == 5, '{"s":"[1,2]"}')
+    given = given.when(n == 6, F.concat(F.lit('{"command":{"a":1},"t":"n'), "line_no", F.lit('"}'))).when(n == 7, F.concat(F.lit('{"a":"x","bash_id":'), "line_no", F.lit("}"))).otherwise('{"file_path":" ","s":"[draft] fix it"}')
     return lines(spark, sf).select("session_path", "line_no", tools.tool_intent(name, given).alias("intent"))
 
 
@@ -400,8 +403,8 @@ def task_notification(spark, sf):
 
 TURNS_SQL = """k AS (SELECT *, sum(CASE WHEN source = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY session_path ORDER BY line_no) AS seg FROM lines WHERE source IN ('user', 'assistant') AND line_no % 5 <> 3),
 l AS (SELECT *, lag(source) OVER (PARTITION BY session_path ORDER BY line_no) AS prev,
-  last_value(CASE WHEN source = 'assistant' THEN request_id END IGNORE NULLS) OVER (PARTITION BY session_path, seg ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM k),
-t AS (SELECT *, sum(CASE WHEN source = 'user' OR coalesce(prev, 'user') = 'user' OR (before IS NOT NULL AND before <> request_id) THEN 1 ELSE 0 END) OVER (PARTITION BY session_path ORDER BY line_no) AS turn_id FROM l)"""
+  last_value(CASE WHEN source = 'assistant' THEN nullif(request_id, '') END IGNORE NULLS) OVER (PARTITION BY session_path, seg ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM k),
+t AS (SELECT *, sum(CASE WHEN source = 'user' OR coalesce(prev, 'user') = 'user' OR (request_id <> '' AND coalesce(before, '') <> request_id) THEN 1 ELSE 0 END) OVER (PARTITION BY session_path ORDER BY line_no) AS turn_id FROM l)"""
 
 
 @register(f"""WITH {LINES_SQL}, {TURNS_SQL}, m AS (SELECT session_path, line_no FROM lines WHERE line_no % 5 = 3),
@@ -411,6 +414,31 @@ def interrupted_turns(spark, sf):
     return sequence.interrupted_turns(lines(spark, sf), F.col("line_no") % 5 == 3)
 
 
+STOPPED_SQL = TURNS_SQL.replace("line_no % 5 <> 3", "NOT (source = 'user' AND (line_no % 5 = 3 OR trim(regexp_replace(text, '\\s+', ' ', 'g')) = ''))")
+
+
+@register(f"""WITH {LINES_SQL}, {STOPPED_SQL}, m AS (SELECT session_path, line_no FROM lines WHERE line_no % 5 = 3 AND source = 'user'),
+f AS (SELECT m.session_path, m.line_no, arg_max(t.turn_id, t.line_no) AS turn_id, arg_max(t.source, t.line_no) AS source FROM m JOIN t ON t.session_path = m.session_path AND t.line_no < m.line_no GROUP BY ALL),
+hit AS (SELECT DISTINCT session_path, CASE WHEN source = 'assistant' AND turn_id > 1 THEN turn_id - 1 ELSE turn_id END AS turn_id FROM f)
+SELECT t.session_path, CAST(t.turn_id AS BIGINT) AS turn_id, arg_min(source, line_no) AS role, count(*) AS n_rows, bool_or(hit.turn_id IS NOT NULL) AS interrupted FROM t LEFT JOIN hit USING (session_path, turn_id) GROUP BY t.session_path, t.turn_id""")
+def interrupted_files(spark, sf):
+    """Turns of lines of which some users' texts are interruptions and some requests are empty."""
+    own = lines(spark, sf).filter(F.col("source").isin("user", "assistant"))
+    user = F.col("source") == "user"
+    said = F.when(F.col("line_no") % 5 == 3, F.concat(F.lit("oh "), F.lit(jsonl.INTERRUPTED))).otherwise(F.col("text"))
+    message = F.when(user, F.to_json(F.struct(said.alias("content")))).otherwise(F.to_json(F.struct(F.array(F.struct(F.lit("text").alias("type"), F.col("text"))).alias("content"))))
+    line = F.concat(F.lit('{"type":"'), "source", F.lit('","requestId":"'), "request_id", F.lit('","message":'), message, F.lit("}"))
+    found = sequence.build_turns(jsonl.view_entries(own.select("session_path", "project", "line_no", line.alias("line"))))
+    return found.select("session_path", "turn_id", "role", "n_rows", "interrupted")
+
+
+@register(f"""WITH {LINES_SQL} SELECT session_path, max(line_no) + 6 AS line_no, concat('the ok', chr(10), 'done') AS text FROM lines GROUP BY session_path""")
+def result_texts(spark, sf):
+    """Of results whose lists hold strings, numbers, nulls and images too."""
+    found = jsonl.content_blocks(jsonl.view_entries(_lines(spark, sf)))
+    return as_rows(found.filter("kind = 'tool_result'").select("session_path", "line_no", "text"))
+
+
 @register(f"""WITH {LINES_SQL}, r AS (SELECT *, line_no % 3 = 0 AS t FROM lines),
 g AS (SELECT *, sum(CASE WHEN t THEN 1 ELSE 0 END) OVER w AS g, CAST(sum(CASE WHEN source = 'user' THEN 1 ELSE 0 END) OVER w AS BIGINT) AS span FROM r WINDOW w AS (PARTITION BY session_path ORDER BY line_no)),
 i AS (SELECT *, min(line_no) OVER (PARTITION BY session_path, g, t) AS item FROM g)
@@ -430,7 +458,7 @@ def jump_to_row(spark, sf):
     return sequence.jump(own, F.col("line_no") % 3 == 0, own, shown=2)
 
 
-@register(f"""WITH {LINES_SQL}, k(content_no, kind, text_no) AS (VALUES (0, 'thinking', -1), (1, 'text', 0), (2, 'tool_use', -1), (3, 'tool_result', -1), (4, 'unknown', -1), (5, 'unknown', -1))
+@register(f"""WITH {LINES_SQL}, k(content_no, kind, text_no) AS (VALUES (0, 'thinking', -1), (1, 'text', 0), (2, 'tool_use', -1), (3, 'tool_result', -1), (4, 'unknown', -1), (5, 'unknown', -1), (6, 'text', 1))
 SELECT session_path, line_no, CAST(content_no AS BIGINT) AS content_no, kind, CAST(text_no AS BIGINT) AS text_no FROM lines, k""")
 def text_ordinals(spark, sf):
     return sequence.text_ordinals(jsonl.content_blocks(_entries(spark, sf))).select("session_path", "line_no", "content_no", "kind", "text_no")
@@ -554,8 +582,8 @@ def project_labels(spark, sf):
 
 @register(f"""WITH {LINES_SQL}, k AS (SELECT *, sum(CASE WHEN source = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY session_path ORDER BY line_no) AS seg FROM lines WHERE source = 'assistant' OR source = 'user' AND trim(regexp_replace(text, '\\s+', ' ', 'g')) <> ''),
 l AS (SELECT *, lag(source) OVER (PARTITION BY session_path ORDER BY line_no) AS prev,
-  last_value(CASE WHEN source = 'assistant' THEN request_id END IGNORE NULLS) OVER (PARTITION BY session_path, seg ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM k),
-t AS (SELECT *, sum(CASE WHEN source = 'user' OR coalesce(prev, 'user') = 'user' OR (before IS NOT NULL AND before <> request_id) THEN 1 ELSE 0 END) OVER (PARTITION BY session_path ORDER BY line_no) AS turn_id FROM l)
+  last_value(CASE WHEN source = 'assistant' THEN nullif(request_id, '') END IGNORE NULLS) OVER (PARTITION BY session_path, seg ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM k),
+t AS (SELECT *, sum(CASE WHEN source = 'user' OR coalesce(prev, 'user') = 'user' OR (request_id <> '' AND coalesce(before, '') <> request_id) THEN 1 ELSE 0 END) OVER (PARTITION BY session_path ORDER BY line_no) AS turn_id FROM l)
 SELECT session_path, CAST(turn_id AS BIGINT) AS turn_id, arg_min(source, line_no) AS role, count(*) AS n_rows, min(line_no) AS first_line, max(line_no) AS last_line, arg_min(ts_ms, line_no) AS ts_ms,
   coalesce(arg_min(model, line_no) FILTER (source = 'assistant'), '') AS model, false AS interrupted FROM t GROUP BY session_path, turn_id""")
 def session_turns(spark, sf):

@@ -182,12 +182,14 @@ def content_blocks(found: DataFrame) -> DataFrame:
     arrays = found.filter(F.col("content_kind").startswith("ARRAY"))
     parts = F.from_json(F.to_json(_get("$.message.content", "variant")), "array<variant>")
     raw = arrays.select("session_path", "project", "line_no", "type", "uuid", "ts_ms", F.posexplode(parts).alias("content_no", "b")).withColumn("content_no", F.col("content_no").cast("long"))
-    get = lambda path: F.try_variant_get("b", path, "string")
+    get = lambda path, of="b": F.when(F.schema_of_variant(F.try_variant_get(of, path, "variant")) == "STRING", F.try_variant_get(of, path, "string"))
     kind = F.coalesce(get("$.type"), F.lit(""))
     known = kind.isin("text", "thinking", "tool_use", "tool_result")
     shape = F.coalesce(F.schema_of_variant(F.try_variant_get("b", "$.content", "variant")), F.lit(""))
-    parts = F.from_json(F.to_json(F.try_variant_get("b", "$.content", "variant")), "array<struct<type: string, text: string>>")
-    joined = F.array_join(F.transform(F.filter(parts, lambda p: (p["type"] == "text") & p["text"].isNotNull()), lambda p: p["text"]), "\n")
+    # of a result's parts those that are texts count, whatever else the list holds
+    parts = F.when(shape.startswith("ARRAY"), F.try_variant_get("b", "$.content", "array<variant>"))
+    texts = F.transform(F.filter(parts, lambda p: get("$.type", p) == "text"), lambda p: get("$.text", p))
+    joined = F.array_join(F.filter(texts, lambda t: t.isNotNull()), "\n")
     some = lambda path: F.coalesce(get(path), F.lit(""))
     return raw.select(
         "session_path", "project", "line_no", "type", "uuid", "ts_ms", "content_no", F.when(known, kind).otherwise("unknown").alias("kind"), kind.alias("raw_type"),

@@ -22,5 +22,8 @@ def test_backup_keeps_one_version_below_the_root(spark, tmp_path):
 def test_pages(spark):
     assert "<i>" not in export.page("a<i>", [("user", "<i>x")]) and export.file_name("~/My App", "A: b!") == "my_app_a_b.html" and export.file_name("", "") == "project_session.html"
     rows = spark.createDataFrame([("~/My App", "A: <b>!", [("user", "<i>x"), ("assistant", "y & z")]), ("", None, [])], "project string, title string, turns array<struct<role: string, text: string>>")
+    bad = spark.createDataFrame([("", "t", [('"><i>', "x")])], "project string, title string, turns array<struct<role: string, text: string>>")
+    held = export.export_pages(bad).first()["html"]
+    assert "<i>" not in held and 'class="turn &quot;&gt;&lt;i&gt;">' in held and held == export.page("t", [('"><i>', "x")])
     pages = {r["file_name"]: r["html"] for r in export.export_pages(rows).collect()}
     assert set(pages) == {"my_app_a_b.html", "project_session.html"} and "&lt;i&gt;x" in pages["my_app_a_b.html"] and "<title>A: &lt;b&gt;!" in pages["my_app_a_b.html"]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import random
+import uuid
 
 import pytest
 from pyspark.sql import functions as F
@@ -259,7 +260,8 @@ def test_forks(spark):
     lines = made(spark, {"s": ['{"sessionId":"old","uuid":"u"}', " ", '{"x":{"sessionId":"old"},"sessionId":"old"}', ""]})
     got = {r["line_no"]: r["line"] for r in edit.fork(lines, 2, "a$1").collect()}
     assert got == {0: '{"sessionId":"a$1","uuid":"u"}', 1: " ", 2: '{"x":{"sessionId":"a$1"},"sessionId":"old"}'}
-    assert len(json.loads(edit.fork(lines, 0).first()["line"])["sessionId"]) == 36
+    drawn = uuid.UUID(json.loads(edit.fork(lines, 0).first()["line"])["sessionId"])
+    assert drawn.version == 4 and drawn.variant == uuid.RFC_4122
     with pytest.raises(Exception, match="out of range"):
         edit.fork(lines, 3, "x").collect()
 
@@ -275,10 +277,22 @@ def test_turns_of_files(spark):
     assert got == [(1, "user", 0, 0, True), (2, "assistant", 1, 3, False), (3, "user", 6, 6, False)]
 
 
+def test_texts_of_mixed_blocks(spark):
+    """Values of other types than a text's are none."""
+    results = [([{"type": "text", "text": "q"}, "z"], "q"), ([{"type": "text", "text": 5}, {"type": "text", "text": "q"}], "q"), ("said", "said"), ([None, 7, {"type": 7, "text": "x"}], ""), ({"text": "x"}, ""), (5, "")]
+    rows = [line("user", [{"type": "tool_result", "tool_use_id": "t", "content": c}]) for c, _ in results] + [line("user", [{"type": "text", "text": 7}, {"type": "text", "text": "w"}])]
+    own = made(spark, {"s": rows})
+    got = {(r["line_no"], r["content_no"]): r["text"] for r in jsonl.content_blocks(jsonl.entries(own)).collect()}
+    assert got == {(k, 0): want for k, (_, want) in enumerate(results)} | {(6, 0): "", (6, 1): "w"}
+    assert [(r["block_no"], r["text"]) for r in jsonl.search_blocks(own).collect()] == [(1, "w")]
+
+
 def test_intents_and_briefs(spark):
     from palaver.functions import tools
 
     rows = [("BashOutput", '{"a":"zz","bash_id":"b7"}', "BashOutput: b7"), ("Skill", '{"skill":"s","x":"y"}', "Skill: s"), ("TodoWrite", '{"todos":[1]}', "TodoWrite: 1 item"), ("Read", '{"file_path":7}', "Read: 7"), ("X", "{}", "X")]
+    rows += [("Skill", '{"n":5,"s":"x"}', "Skill: x"), ("Skill", '{"flag":true,"s":"y"}', "Skill: y"), ("Bash", '{"command":{"a":1}}', "Bash"), ("Skill", '{"s":"[1,2]"}', "Skill: [1,2]"), ("Skill", '{"s":"[draft] fix it"}', "Skill: [draft] fix it")]
+    rows += [("Bash", '{"command":true,"s":"z"}', "Bash: true"), ("Bash", '{"command":1.50}', "Bash: 1.5"), ("Bash", '{"command":2.0}', "Bash: 2"), ("Bash", '{"command":null,"s":"z"}', "Bash: z"), ("Bash", '{"command":" ","s":"z"}', "Bash: z"), ("TodoWrite", '{"todos":[]}', "TodoWrite: 0 items"), ("Bash", "no json", "Bash"), ("Read", '{"file_path":"100"}', "Read: 100")]
     df = spark.createDataFrame(rows, "n string, i string, want string")
     assert df.filter(tools.tool_intent(F.col("n"), F.col("i")) != F.col("want")).count() == 0
     brief = spark.createDataFrame([("", False), ("x", True), ("y" * 1000, False), ("y" * 1250, False)], "t string, e boolean").select(T.tool_result_brief(F.col("t"), F.col("e")).alias("b"))
@@ -317,17 +331,16 @@ def test_turns_match_a_fold(spark):
     rng = random.Random(3)
     rows, want = [], {}
     for s in range(60):
-        turn, open_request, opened = 0, None, False
+        turn, open_request, opened = 0, "", False
         for n in range(rng.randint(1, 12)):
             source, request = rng.choice(["user", "assistant", "assistant", "system"]), rng.choice(["", "r1", "r2"])
             rows.append((f"s{s}", n, source, request, "x", n))
             if source == "user":
                 turn, opened = turn + 1, False
             elif source == "assistant":
-                if not opened or request and open_request and request != open_request:
-                    turn += 1
-                    open_request = None if not opened else open_request
-                opened, open_request = True, request or open_request
+                # a turn keeps the request that it was opened with
+                if not opened or request and request != open_request:
+                    turn, opened, open_request = turn + 1, True, request
             if source != "system":
                 want[(f"s{s}", turn)] = want.get((f"s{s}", turn), 0) + 1
     df = spark.createDataFrame(rows, "session_path string, line_no long, source string, request_id string, text string, ts_ms long")
