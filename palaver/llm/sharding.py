@@ -7,19 +7,26 @@ same number of rows, one more at most.
 2. A text of a quota's rows or more takes whole shards, as many as it fills; what
    it has beyond them waits.  Other hot texts (over 1/HOT_SHARE of the linked rows,
    so few) are placed whole, the largest first, where they fit most tightly.
-3. Rounds: every other text names as its goal the shard that holds most of its
-   rows, of those that have room for all of it.  A goal admits whole texts, in order
-   of a hashed bucket, up to its room, so no round overfills a shard.  Texts left out
-   aim anew at the room left.  The last FEW texts are placed on the driver, the
-   largest first, where they fit most tightly.
-4. What waits goes to one shard if it fits; a text is split only where no shard has
-   room for all of it, over the shards with most room.
+3. Rounds: the rows of every other text are labelled with the shards they stand in.
+   Each round joins them with their neighbours' labels: all take the label that most
+   of them have, of those whose shard has room for the whole text, ties by hash; where
+   there is none, a hashed shard that has.  A shard admits whole texts in order of a
+   hash up to its room, so no round overfills it; those left out keep the new labels
+   and vote again.  Shards with less than 1/SCANT of their quota left are chosen last,
+   so the others are not kept waiting for the last gaps.
+4. The rounds end when no text left fits any shard; these are fewer than the shards,
+   as all that is left has room in all shards together.  A text is split only so.
 5. Rows without links fill the shards to their exact quotas.  Ranks are taken in
    blocks of about BLOCK rows and shifted by the sizes of the blocks before, so no
    task sees a whole shard.
 
+Admission goes by buckets that halve every RATIO: a shard finds how far down the order
+its room reaches from some thousand counts, to a few per cent of the demand whether
+that is ten texts or a billion.  So a round fills a shard that too many want nearly
+whole, and the number of rounds grows with the logarithm of the rows.
+
 Texts are read once; the rounds see a narrow table of the linked texts.  What the
-driver holds are counts by shard and bucket, the hot texts and the last FEW.
+driver holds are counts by shard and bucket and the hot texts.
 
 Defined results: a null text counts as empty, with size 1 and checksum 0, and is
 linked to other empty texts.  Repeated rows and rows with null ids are placed
@@ -31,14 +38,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import HOT_SHARE, cut, hot_left_join
+from .common import HOT_SHARE, cut, hot_left_join, scratch, stored
 
 BLOCK = 2_000
 #: Blocks whose sizes are summed in one task.
 FAN = 4_096
-BUCKETS = 2_048
-#: Texts that the driver places after the rounds, at most.
-FEW = 10_000
+#: Buckets of admission for each halving of the demand, and halvings.
+RATIO, HALVINGS = 32, 40
+#: A shard with less than 1/SCANT of its quota left is chosen last.
+SCANT = 64
+#: Rounds in a row that may place nothing: each draws another order, so more are as good as impossible.
+IDLE = 50
 CUTS = "array<struct<upto: bigint, shard: int>>"
 
 
@@ -99,14 +109,14 @@ class Rooms:
         self.waiting = []
 
     def admit(self, wanted: dict[int, dict[int, int]]) -> list[int]:
-        """For rows wanted by goal and bucket, the bucket from which each goal admits none."""
+        """For rows wanted by goal and bucket, the bucket down to which each goal admits texts, from the last on."""
         limits = []
         for t in range(len(self.room)):
-            limit = BUCKETS
-            for bucket, n in sorted(wanted.get(t, {}).items()):
+            limit = RATIO * HALVINGS + 1
+            for bucket, n in sorted(wanted.get(t, {}).items(), reverse=True):
                 if n > self.room[t]:
-                    limit = bucket
                     break
+                limit = bucket
                 self.room[t] -= n
             limits.append(limit)
         return limits
@@ -122,31 +132,42 @@ def propagate(texts: DataFrame, quotas: list[int]) -> DataFrame:
     for x in full:
         rooms.fill(*x)
     rooms.place(hot[len(full) :])
-    left, done, turn = texts.filter(~is_hot), [], 0
-    while True:
-        # the shard with most votes, of those with room for the whole text
-        votes = [F.when(F.col("n") <= F.lit(rooms.room[t]), F.struct(F.col("votes")[t].alias("v"), F.lit(-t).alias("t"))) for t in shards]
-        bucket = F.pmod(F.xxhash64("key", F.lit(turn)), F.lit(BUCKETS)).cast("int")
-        aimed = cut(left.select("key", "n", "votes", (-F.array_max(F.array(*votes))["t"]).alias("goal"), bucket.alias("bucket")))
+    folder, turn, idle = scratch(texts.sparkSession, "settled"), 0, 0
+    # (key, n, shard, c): c of a text's n rows are labelled with the shard
+    stands = texts.filter(~is_hot).select("key", "n", F.posexplode("votes").alias("shard", "c")).filter("c > 0")
+    labels = stored(stands, "labels")
+    while not labels.isEmpty():
+        room, ample = (F.array(*[F.lit(x) for x in xs]) for xs in (rooms.room, [r * SCANT >= q for r, q in zip(rooms.room, quotas, strict=True)]))
+        draw = lambda t: F.xxhash64("key", t, F.lit(turn))  # noqa: E731, B023
+        choice = lambda t: F.struct(F.get(ample, t).alias("ample"), draw(t).alias("drawn"), t.cast("int").alias("t"))  # noqa: E731, B023
+        fits = lambda t: F.get(room, t) >= F.col("n")  # noqa: E731, B023
+        here = F.struct(F.get(ample, F.col("shard")).alias("ample"), "c", draw(F.col("shard")).alias("drawn"), F.col("shard").alias("t"))
+        most = labels.filter(fits(F.col("shard"))).groupBy("key").agg(F.max(here)["t"].alias("goal"), F.max(here)["ample"].alias("near"))
+        any_ = F.array_max(F.transform(F.filter(F.array(*[F.lit(t) for t in shards]), fits), choice))
+        # neighbours' shard, unless that is nearly full and another is not
+        goal = F.when(F.col("near") | F.col("goal").isNotNull() & ~F.coalesce(any_["ample"], F.lit(False)), F.col("goal")).otherwise(F.coalesce(any_["t"], F.col("goal")))
+        taken = labels.join(most, "key", "left").withColumn("goal", goal).groupBy("key", "n", "goal").agg(F.sum("c").alias("c"))
+        drawn = (F.pmod(F.xxhash64("key", F.lit(turn), F.lit("order")), F.lit(1 << HALVINGS)) + 1) / F.lit(1 << HALVINGS)
+        aimed = stored(taken.withColumn("bucket", F.floor(-F.log2(drawn) * RATIO).cast("int")), "labels")
         wanted: dict[int, dict[int, int]] = {}
-        many: dict[tuple, int] = {}
-        for r in aimed.groupBy("goal", "bucket").agg(F.sum("n").alias("n"), F.count("*").alias("texts")).collect():  # shards x BUCKETS numbers
-            many[r["goal"], r["bucket"]] = r["texts"]
-            if r["goal"] is not None:
-                wanted.setdefault(r["goal"], {})[r["bucket"]] = r["n"]
-        limits = rooms.admit(wanted)
-        admitted = F.coalesce(F.col("bucket") < F.element_at(F.array(*[F.lit(x) for x in limits]), F.col("goal") + 1), F.lit(False))
-        done.append(aimed.filter(admitted).select("key", "n", F.array(F.struct(F.col("n").alias("upto"), F.col("goal").alias("shard"))).cast(CUTS).alias("cuts")))
-        left, turn = aimed.filter(~admitted).select("key", "n", "votes"), turn + 1
-        if sum(n for (t, b), n in many.items() if t is None or b >= limits[t]) <= FEW:
+        for r in aimed.filter("goal is not null").groupBy("goal", "bucket").agg(F.sum("n").alias("n")).collect():  # shards x buckets numbers
+            wanted.setdefault(r["goal"], {})[r["bucket"]] = r["n"]
+        if not wanted:
             break
-    rooms.place([(bytes(r["key"]), r["n"], r["votes"]) for r in left.collect()])
+        limits = rooms.admit(wanted)
+        admitted = F.coalesce(F.col("bucket") >= F.get(F.array(*[F.lit(x) for x in limits]), F.col("goal")), F.lit(False))
+        settled = aimed.filter(admitted).select("key", "n", F.array(F.struct(F.col("n").alias("upto"), F.col("goal").alias("shard"))).cast(CUTS).alias("cuts"))
+        settled.write.mode("append").parquet(folder)
+        idle = 0 if any(limit <= RATIO * HALVINGS for limit in limits) else idle + 1
+        if idle > IDLE:
+            raise RuntimeError(f"no text found a place in {IDLE} rounds")
+        labels, turn = aimed.filter(~admitted).select("key", "n", F.coalesce("goal", F.lit(0)).alias("shard"), "c"), turn + 1
+    # fewer than there are shards: each is larger than any room left
+    rooms.place([(bytes(r["key"]), r["n"], [0] * len(quotas)) for r in labels.select("key", "n").collect()])
     rooms.close()
     rows = [(bytearray(key), cuts[-1][0], cuts) for key, cuts in rooms.placed]
     out = texts.sparkSession.createDataFrame(rows, f"key binary, n long, cuts {CUTS}")
-    for d in done:
-        out = out.unionByName(d)
-    return cut(out)
+    return cut(out.unionByName(texts.sparkSession.read.schema(out.schema).parquet(folder)) if turn else out)
 
 
 def ranked(rows: DataFrame, pool: str, total: int) -> DataFrame:

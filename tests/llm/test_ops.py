@@ -118,6 +118,29 @@ def test_sharding_fills_crowded_shards(spark, sizes, splits):
     assert sum(len(s) > 1 for s in of.values()) == splits
 
 
+@pytest.mark.parametrize("pairs, triples, hot", [(100_000, 0, 0), (0, 60_000, 60_000)])
+def test_sharding_ends_on_many_small_texts(spark, monkeypatch, pairs, triples, hot):
+    """All rows linked, so every shard must be filled to the last row; only what fits no shard is split."""
+    rounds, admit = [], sharding.Rooms.admit
+    monkeypatch.setattr(sharding.Rooms, "admit", lambda self, wanted: rounds.append(0) or admit(self, wanted))
+    own = [spark.range(2 * pairs).selectExpr("concat('p', id div 2) as text"), spark.range(3 * triples).selectExpr("concat('t', id div 3) as text"), spark.range(hot).selectExpr("'hot' as text")]
+    docs = own[0].unionByName(own[1]).unionByName(own[2]).withColumn("doc_id", F.monotonically_increasing_id())
+    found = sharding.shard(docs).cache()
+    total = 2 * pairs + 3 * triples + hot
+    by = found.groupBy("shard").agg(F.count("*").alias("n"), F.max("slot").alias("last"), F.count_distinct("slot").alias("slots")).collect()
+    assert all(r["n"] == r["last"] + 1 == r["slots"] for r in by) and sum(r["n"] for r in by) == total and max(r["n"] for r in by) - min(r["n"] for r in by) <= 1
+    split = found.groupBy("key").agg(F.count_distinct("shard").alias("c")).filter("c > 1").count()
+    assert split <= 8 and 2 <= len(rounds) <= 20
+    found.unpersist()
+
+
+def test_admission_fills_rooms_in_order():
+    """Down to where the room ends, whatever the demand; never beyond."""
+    rooms = sharding.Rooms([100, 100, 100, 2])
+    limits = rooms.admit({0: {5: 60, 9: 30, 0: 50}, 1: {7: 40}, 3: {3: 3, 900: 2, 1: 10**9}})
+    assert rooms.room == [10, 60, 100, 0] and limits == [5, 7, sharding.RATIO * sharding.HALVINGS + 1, 900]
+
+
 def test_ranks_over_many_blocks(spark, monkeypatch):
     monkeypatch.setattr(sharding, "BLOCK", 5)
     monkeypatch.setattr(sharding, "FAN", 4)  # some ten groups of blocks
