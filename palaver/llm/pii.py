@@ -35,6 +35,7 @@ texts and entities of any length are taken whole.
 
 from __future__ import annotations
 
+import hashlib
 import secrets
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -309,6 +310,15 @@ def _called(word: Column, core: Column) -> Column:
     return F.when((word == F.upper(word)) & (F.length(word) > 1), F.upper(own)).otherwise(F.initcap(own))
 
 
+def _initials(key: str) -> tuple[str, str]:
+    """Capitals, and the others of their script that stand for them: one to one, none for itself."""
+    given = drawn = ""
+    for letters in ("АБВГДЕЖЗИКЛМНОПРСТУФХЦЧШЭЮЯ", "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ", LETTERS.upper()):
+        ring = "".join(sorted(letters, key=lambda c: hashlib.sha256(f"{key}|initial|{c}".encode()).digest()))
+        given, drawn = given + ring, drawn + ring[1:] + ring[0]
+    return given, drawn
+
+
 def _format(raw: Column, kind: Column, cores: Column, key: str) -> Column:
     """The surrogates in the form of the occurrence."""
     core = F.element_at(cores, 1)
@@ -326,11 +336,7 @@ def _format(raw: Column, kind: Column, cores: Column, key: str) -> Column:
     shout = (raw == F.upper(raw)) & (raw != F.lower(raw))
     rest = _rest(raw)
 
-    def initial(c: Column) -> Column:
-        """Another letter of the script, the same for the same one."""
-        letters = F.when(c.rlike(r"\p{IsCyrillic}"), "АБВГДЕЖЗИКЛМНОПРСТУФХЦЧШЭЮЯ").when(c.rlike(r"\p{IsGreek}"), "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ").otherwise(LETTERS.upper())
-        turn = F.pmod(F.xxhash64(F.lit(key), c), F.length(letters) - 1) + 1
-        return F.substring(letters, (F.pmod(F.instr(letters, c) - 1 + turn, F.length(letters)) + 1).cast("int"), F.lit(1))
+    initial = lambda c: F.translate(c, *_initials(key))
 
     def between(gap: Column) -> Column:
         chars = F.split(gap, "")
