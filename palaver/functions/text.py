@@ -97,12 +97,36 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def snippet(text: Column, words: list[str], most: int = 240, before: int = 60) -> Column:
-    """Up to ``most`` characters from a little before the first literal match; else the beginning."""
-    low = fold(text)
-    found = [F.when(F.instr(low, F.lit(w)) > 0, F.instr(low, F.lit(w))) for w in words]
-    first = F.coalesce(F.least(*found, F.lit(None).cast("int")) if found else F.lit(None).cast("int"), F.lit(1))
-    return F.when(F.length(text) <= most, text).otherwise(F.substring(text, F.greatest(first - before, F.lit(1)), F.lit(most)))
+def best_fragment(text: Column, weights: dict[str, int], most: int = 240) -> Column:
+    """The fragment whose words weigh most, of those that ``text`` falls into at words, up to ``most`` characters each.
+
+    Words of ``weights`` count as often as they stand there; of equal fragments the first counts.  The first begins
+    with the text, others with a word; each ends with one.  Without any such word: the beginning.
+    """
+    word = r"[\p{L}\p{N}]+"
+    state = "struct<at: int, start: int, stop: int, score: long, best_start: int, best_stop: int, best: long>"
+    known = F.create_map(*[F.lit(x) for pair in weights.items() for x in pair]) if weights else F.expr("cast(map() as map<string, bigint>)")
+
+    def best(own: Column) -> Column:
+        def step(s: Column, x: Column) -> Column:
+            begin = s["at"] + F.length(x["gap"])
+            end = begin + F.length(x["word"])
+            fresh = end - s["start"] > most
+            better = s["score"] > s["best"]
+            score = F.when(fresh, 0).otherwise(s["score"]) + F.coalesce(F.try_element_at(known, F.lower(x["word"])), F.lit(0))
+            kept = lambda a, b: F.when(fresh & better, s[a]).otherwise(s[b])
+            return F.struct(
+                end.alias("at"), F.when(fresh, begin).otherwise(s["start"]).alias("start"), end.alias("stop"), score.alias("score"),
+                kept("start", "best_start").alias("best_start"), kept("stop", "best_stop").alias("best_stop"), kept("score", "best").alias("best"),
+            ).cast(state)
+
+        first = F.struct(*[F.lit(0).alias(c) for c in ("at", "start", "stop")], F.lit(0).alias("score"), F.lit(0).alias("best_start"), F.lit(0).alias("best_stop"), F.lit(0).alias("best")).cast(state)
+        pairs = F.zip_with(own["found"], F.slice(own["gaps"], 1, F.size(own["found"])), lambda w, g: F.struct(w.alias("word"), g.alias("gap")))
+        last = F.aggregate(pairs, first, step)
+        cut = lambda x: F.when(x["score"] > x["best"], F.substring(text, x["start"] + 1, x["stop"] - x["start"])).when(x["best"] > 0, F.substring(text, x["best_start"] + 1, x["best_stop"] - x["best_start"])).otherwise(F.substring(text, 1, most))
+        return F.transform(F.array(last), cut)[0]
+
+    return _once(best, found=F.regexp_extract_all(text, F.lit(word), F.lit(0)), gaps=F.split(text, word, -1))
 
 
 def _ranges(low: Column, words: list[str]) -> Column:

@@ -73,13 +73,34 @@ def bm25_search(spark, sf):
     return _ranked(spark, sf, QUERY, limit=20)
 
 
-@register(f"""WITH {scores_sql(QUERY)}, found AS (SELECT *, list_min(list_filter([{", ".join(f"instr(lower(text), '{w}')" for w in search.query_tokens(QUERY))}], lambda p: p > 0)) AS first FROM hits)
-SELECT session_path, project, ts_ms, line_no, block_no, uuid, source, CASE WHEN length(text) <= 240 THEN text ELSE substr(text, greatest(coalesce(first, 1) - 60, 1), 240) END AS snippet, score FROM found {TOP} LIMIT 100""")
+DOC_SQL = "session_path, line_no, block_no"
+#: Up to ``shown``: the best 100 hits with the fragment whose words weigh most.
+SHOWN_SQL = f"""WITH RECURSIVE {scores_sql(QUERY)}, best AS (SELECT * FROM hits {TOP} LIMIT 100),
+weights AS (SELECT term, CAST(round(1000000 * ln(1 + (n_docs - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE))) AS BIGINT) AS weight FROM dfs, stats WHERE term IN ({", ".join(f"'{w}'" for w in search.query_tokens(QUERY))})),
+split AS (SELECT {DOC_SQL}, regexp_extract_all(text, '[\\p{{L}}\\p{{N}}]+') AS w, regexp_split_to_array(text, '[\\p{{L}}\\p{{N}}]+') AS g FROM best),
+tok AS (SELECT {DOC_SQL}, k, coalesce(weight, 0) AS weight, length(array_to_string(list_slice(g, 1, k), '')) + length(array_to_string(list_slice(w, 1, k - 1), '')) AS a, length(array_to_string(list_slice(g, 1, k), '')) + length(array_to_string(list_slice(w, 1, k), '')) AS z
+  FROM (SELECT *, unnest(range(1, len(w) + 1)) AS k FROM split) LEFT JOIN weights ON term = lower(w[k])),
+frag({DOC_SQL}, first, start) AS (SELECT {DOC_SQL}, k, CASE WHEN z > 240 THEN a ELSE 0 END FROM tok WHERE k = 1
+  UNION ALL SELECT {DOC_SQL}, min(k), arg_min(a, k) FROM frag JOIN tok USING ({DOC_SQL}) WHERE k > first AND z - start > 240 GROUP BY {DOC_SQL}, first),
+ends AS (SELECT *, lead(first) OVER (PARTITION BY {DOC_SQL} ORDER BY first) AS next FROM frag),
+scored_frag AS (SELECT {DOC_SQL}, start, max(z) AS stop, sum(weight) AS weight FROM ends JOIN tok USING ({DOC_SQL}) WHERE k >= first AND (next IS NULL OR k < next) GROUP BY ALL),
+chosen AS (SELECT * FROM scored_frag WHERE weight > 0 QUALIFY row_number() OVER (PARTITION BY {DOC_SQL} ORDER BY weight DESC, start) = 1),
+shown AS (SELECT b.*, CASE WHEN start IS NULL THEN substr(text, 1, 240) ELSE substr(text, start + 1, stop - start) END AS snippet FROM best b LEFT JOIN chosen USING ({DOC_SQL}))"""
+
+
+@register(f"{SHOWN_SQL} SELECT session_path, project, ts_ms, line_no, block_no, uuid, source, snippet, score FROM shown {TOP}")
 def search_hits(spark, sf):
     return as_rows(search.search(session_index(spark, sf), QUERY, limit=100).drop("match_ranges"))
 
 
-@register(None)
+@register(f"""{SHOWN_SQL}, asked_words AS (SELECT DISTINCT word FROM asked),
+literal AS (SELECT {DOC_SQL}, CAST(list_sum(list_transform(list_slice(parts, 1, k), lambda p: length(p))) AS BIGINT) + (k - 1) * length(word) AS a, length(word) AS n
+  FROM (SELECT {DOC_SQL}, word, parts, unnest(range(1, len(parts))) AS k FROM (SELECT {DOC_SQL}, word, string_split(lower(snippet), word) AS parts FROM shown, asked_words))),
+words_of AS (SELECT {DOC_SQL}, regexp_extract_all(snippet, '[\\p{{L}}\\p{{N}}]+') AS w, regexp_split_to_array(snippet, '[\\p{{L}}\\p{{N}}]+') AS g FROM shown),
+near AS (SELECT DISTINCT {DOC_SQL}, length(array_to_string(list_slice(g, 1, k), '')) + length(array_to_string(list_slice(w, 1, k - 1), '')) AS a, length(w[k]) AS n
+  FROM (SELECT *, unnest(range(1, len(w) + 1)) AS k FROM words_of), asked_words WHERE length(word) >= 3 AND levenshtein(lower(w[k]), word) <= 1),
+ranges AS (SELECT * FROM literal UNION ALL SELECT * FROM near WHERE NOT EXISTS (SELECT 1 FROM literal l WHERE l.session_path = near.session_path AND l.line_no = near.line_no AND l.block_no = near.block_no))
+SELECT {DOC_SQL}, concat('[', coalesce(array_to_string(list(concat('{{"start":', a, ',"end":', a + n, '}}') ORDER BY a, n) FILTER (a IS NOT NULL), ','), ''), ']') AS ranges FROM shown LEFT JOIN ranges USING ({DOC_SQL}) GROUP BY {DOC_SQL}""")
 def search_ranges(spark, sf):
     return as_rows(search.search(session_index(spark, sf), QUERY, limit=100)).select("session_path", "line_no", "block_no", F.to_json("match_ranges").alias("ranges"))
 
@@ -129,13 +150,13 @@ def corpus_stats(spark, sf):
 
 @register(f"WITH {LINES_SQL} SELECT term, count(DISTINCT uuid) AS df FROM (SELECT uuid, unnest({WORDS_SQL}) AS term FROM blocks) GROUP BY term")
 def term_df(spark, sf):
-    return search.term_df(session_index(spark, sf).postings())
+    return search.term_df(session_index(spark, sf))
 
 
 @register(f"""WITH {LINES_SQL}, vocab AS (SELECT DISTINCT unnest({WORDS_SQL}) AS term FROM blocks), asked(tok, word) AS (VALUES (0, 'the'), (1, 'htose'), (2, 'éque'), (3, 'of'))
 SELECT tok, term, word = term AS exact FROM vocab, asked WHERE word = term OR (length(word) >= 3 AND abs(length(word) - length(term)) <= 1 AND {one_edit_sql("word", "term")})""")
 def fuzzy_vocab(spark, sf):
-    return search.matching_terms(session_index(spark, sf).vocabulary(), ["the", "htose", "éque", "of"]).select("tok", "term", "exact")
+    return search.neighbours(session_index(spark, sf), ["the", "htose", "éque", "of"]).select("tok", "term", "exact").distinct()
 
 
 def cold_sql(query: str, source: str) -> str:
@@ -162,10 +183,11 @@ def cold_sessions(spark, sf):
     return as_rows(search.unindexed(session_index(spark, sf, True), session_files(spark, sf), HOME)).select("session_path").distinct()
 
 
-@register(f"""WITH {scores_sql(QUERY)}, best AS (SELECT project, session_path, max(score) AS best, count(*) AS n_hits FROM hits GROUP BY ALL)
+@register(f"""WITH {scores_sql(QUERY)}, page AS (SELECT * FROM hits {TOP} LIMIT {search.DEFAULT_LIMIT}), best AS (SELECT project, session_path, max(score) AS best, count(*) AS n_hits FROM page GROUP BY ALL)
 SELECT *, CAST(row_number() OVER (PARTITION BY project ORDER BY best DESC, session_path) AS INTEGER) AS session_rank FROM best""")
 def grouped_hits(spark, sf):
-    return browse.grouped_hits(as_rows(search.matches(session_index(spark, sf), QUERY)))
+    """The sessions of a page of hits."""
+    return browse.grouped_hits(as_rows(search.top(session_index(spark, sf), QUERY)))
 
 
 CLEAN_SQL = r"""trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace({0}, '\s+', ' ', 'g'), '[\x00-\x1f\x7f]', '', 'g'), '^[\s#>*\-`''"‘’“”]+', ''), '[''"‘’“”]+$', ''))"""
