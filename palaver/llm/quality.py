@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import guarded, lean, values
+from .common import guarded, lean, stored, values
 
 SYMBOLS = b"#*$%&|<>"
 SHOUTS = b"!?~^"
@@ -112,8 +112,9 @@ def statistics(text: bytes | None) -> tuple[list[int], list[float]]:
     return [n, chars, symbols, dup, repeat], [*(asin(sqrt(min(1.0, x))) for x in shares), chars / max(1, n)]
 
 
-def base_failed(n_words: int, n_repeat: int) -> bool:
-    return n_words < MIN_WORDS or 100 * n_repeat > MAX_REPEAT_PERCENT * n_words
+def base_failed(n_words, n_repeat):  # noqa: ANN001, ANN201
+    """Of numbers, arrays or columns."""
+    return (n_words < MIN_WORDS) | (100 * n_repeat > MAX_REPEAT_PERCENT * n_words)
 
 
 def mean_path(n: np.ndarray | float) -> np.ndarray:
@@ -221,49 +222,53 @@ def _texts(batch: pa.RecordBatch, name: str = "text") -> Iterator[bytes | None]:
     return values(batch.column(batch.schema.get_field_index(name)))
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_fit: int = MAX_FIT) -> Forest | None:
-    """Forest from the labelled rows with the smallest hashed ids, threshold from all labelled rows."""
-    labelled = labels.filter(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy("doc_id").agg(F.min("quality").cast("long").alias("quality"))
-    chosen = labelled.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_fit)
+def measured(docs: DataFrame) -> DataFrame:
+    """(doc_id, counts, ratios) of every row of ``docs``, written to the shared folder: texts are read once."""
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = [statistics(t) for t in _texts(b)]
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array([c for c, _ in found], pa.list_(pa.int64())), pa.array([f for _, f in found], pa.list_(pa.float64())), b.column(2)],
-                names=["doc_id", "counts", "ratios", "quality"],
-            )
-
-    rows = (
-        docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-        .mapInArrow(lean(measure), f"doc_id {dict(docs.dtypes)['doc_id']}, counts array<long>, ratios array<double>, quality long")
-        .groupBy("doc_id").agg(F.min(F.struct("counts", "ratios", "quality")).alias("r"))
+            cells = [b.column(0), pa.array([c for c, _ in found], pa.list_(pa.int64())), pa.array([f for _, f in found], pa.list_(pa.float64()))]
+            yield pa.RecordBatch.from_arrays(cells, names=["doc_id", "counts", "ratios"])
+
+    kind = dict(docs.dtypes)["doc_id"]
+    return stored(docs.select("doc_id", "text").mapInArrow(lean(measure), f"doc_id {kind}, counts array<long>, ratios array<double>"), "quality")
+
+
+def fit(docs: DataFrame, labels: DataFrame, max_fit: int = MAX_FIT) -> Forest | None:
+    return fit_measured(measured(docs), labels, max_fit)
+
+
+def fit_measured(rows: DataFrame, labels: DataFrame, max_fit: int = MAX_FIT) -> Forest | None:
+    """Forest from the labelled of the ``measured`` rows with the smallest hashed ids, threshold from all labelled ones."""
+    labelled = labels.filter(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy("doc_id").agg(F.min("quality").cast("long").alias("quality"))
+    chosen = labelled.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_fit)
+    sample = (
+        rows.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min(F.struct("counts", "ratios", "quality")).alias("r"))
         .orderBy("doc_id").limit(max_fit).collect()
     )
-    rows = [r["r"] for r in rows if not base_failed(r["r"]["counts"][0], r["r"]["counts"][4])]
-    if not rows:
+    known = [r["r"] for r in sample if not base_failed(r["r"]["counts"][0], r["r"]["counts"][4])]
+    if not known:
         return None
-    forest = grow(np.array([r["ratios"] for r in rows]), np.array([r["quality"] > 0 for r in rows]))
-    forest.threshold = _threshold(docs, labelled, forest)
+    forest = grow(np.array([r["ratios"] for r in known]), np.array([r["quality"] > 0 for r in known]))
+    forest.threshold = _threshold(rows, labelled, forest)
     return forest
 
 
-def _threshold(docs: DataFrame, labelled: DataFrame, forest: Forest) -> float:
+def _threshold(rows: DataFrame, labelled: DataFrame, forest: Forest) -> float:
     """From the counts of good and bad rows by bins of the score, BINS at most."""
 
-    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                found = [statistics(t) for t in _texts(b)]
-                counts, score = [c for c, _ in found], forest.scores(np.array([f for _, f in found]))
-                failed = [bool(base_failed(c[0], c[4])) for c in counts]
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(counts, pa.list_(pa.int64())), pa.array(score), pa.array(failed)], names=["doc_id", "counts", "score", "failed"])
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(forest.scores(_matrix(b)))], names=[*b.schema.names, "score"])
 
-    kind = dict(docs.dtypes)["doc_id"]
+    kind = dict(rows.dtypes)["doc_id"]
+    known = rows.join(labelled, "doc_id").select("doc_id", "counts", "ratios", "quality")
     scored = (
-        docs.filter(F.col("doc_id").isNotNull()).select("doc_id", "text").mapInArrow(lean(measure), f"doc_id {kind}, counts array<long>, score double, failed boolean")
-        .groupBy("doc_id").agg(F.min(F.struct("counts", "score", "failed")).alias("r"))
-        .join(labelled, "doc_id").filter(~F.col("r.failed")).select("r.score", (F.col("quality") > 0).alias("good"))
+        known.mapInArrow(lean(score), f"doc_id {kind}, counts array<long>, ratios array<double>, quality long, score double")
+        .groupBy("doc_id", "quality").agg(F.min(F.struct("counts", "score")).alias("r"))
+        .filter(~base_failed(F.col("r.counts")[0], F.col("r.counts")[4])).select("r.score", (F.col("quality") > 0).alias("good"))
     )
     bins = (
         scored.groupBy(F.floor(F.col("score") * BINS).alias("bin"))
@@ -273,29 +278,49 @@ def _threshold(docs: DataFrame, labelled: DataFrame, forest: Forest) -> float:
     return calibrate_counts(*[np.array([r[c] for r in bins]) for c in ("low", "high", "good", "bad")])
 
 
+def _matrix(batch: pa.RecordBatch, name: str = "ratios", wide: int = len(FEATURES)) -> np.ndarray:
+    """A column of lists of equal length as an array, a row a list."""
+    own = batch.column(batch.schema.get_field_index(name))
+    return own.flatten().to_numpy(zero_copy_only=False).reshape(len(own), wide)
+
+
+def _verdict(forest: Forest | None, counts: np.ndarray, ratios: np.ndarray) -> list[pa.Array]:
+    """The counts, score, base_failed and kept."""
+    score = forest.scores(ratios) if forest else np.zeros(len(counts))
+    failed = base_failed(counts[:, 0], counts[:, 4])
+    kept = ~failed & ((score <= forest.threshold) if forest else True)
+    return [*(pa.array(counts[:, k]) for k in range(len(COUNTS))), pa.array(score), pa.array(failed), pa.array(kept)]
+
+
+VERDICT = ", ".join([f"{c} long" for c in COUNTS] + ["score double", "base_failed boolean", "kept boolean"])
+
+
 def judge(docs: DataFrame, labels: DataFrame, carry: tuple[str, ...] = ("doc_id",), max_fit: int = MAX_FIT) -> DataFrame:
-    """``carry`` columns, the counts, ``score``, ``base_failed`` and ``kept`` of every row."""
-    forest = fit(docs, labels, max_fit)
-    own = [c for c in carry if c != "text"]
+    """``carry`` columns, the counts, ``score``, ``base_failed`` and ``kept`` of every row.
+
+    Texts are measured once; where more than doc_id is carried, once more: that is cheaper than to write all texts
+    beside their measures.
+    """
+    rows = measured(docs)
+    forest = fit_measured(rows, labels, max_fit)
+    again = set(carry) != {"doc_id"}
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not b.num_rows:
                 continue
-            found = [statistics(t) for t in _texts(b)]
-            counts = np.array([c for c, _ in found], np.int64)
-            ratios = np.array([f for _, f in found])
-            score = forest.scores(ratios) if forest else np.zeros(len(found))
-            failed = (counts[:, 0] < MIN_WORDS) | (100 * counts[:, 4] > MAX_REPEAT_PERCENT * counts[:, 0])
-            kept = ~failed & ((score <= forest.threshold) if forest else True)
-            yield pa.RecordBatch.from_arrays(
-                [b.column(b.schema.get_field_index(c)) for c in carry] + [pa.array(counts[:, k]) for k in range(5)] + [pa.array(score), pa.array(failed), pa.array(kept)],
-                names=[*carry, *COUNTS, "score", "base_failed", "kept"],
-            )
+            if again:
+                found = [statistics(t) for t in _texts(b)]
+                counts, ratios = np.array([c for c, _ in found], np.int64), np.array([f for _, f in found])
+            else:
+                counts, ratios = _matrix(b, "counts", len(COUNTS)), _matrix(b)
+            own = [b.column(b.schema.get_field_index(c)) for c in carry]
+            yield pa.RecordBatch.from_arrays([*own, *_verdict(forest, counts, ratios)], names=[*carry, *COUNTS, "score", "base_failed", "kept"])
 
     kinds = dict(docs.dtypes)
-    schema = ", ".join([f"`{c}` {kinds[c]}" for c in carry] + [f"{c} long" for c in COUNTS] + ["score double", "base_failed boolean", "kept boolean"])
-    return docs.select(*own, "text").mapInArrow(lean(apply), schema)
+    schema = ", ".join([f"`{c}` {kinds[c]}" for c in carry] + [VERDICT])
+    source = docs.select(*[c for c in carry if c != "text"], "text") if again else rows
+    return source.mapInArrow(lean(apply), schema)
 
 
 def keep(docs: DataFrame, labels: DataFrame) -> DataFrame:
