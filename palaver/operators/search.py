@@ -73,36 +73,48 @@ def term_df(index: Index) -> DataFrame:
     return index.vocabulary().select("term", "df")
 
 
-def neighbours(index: Index, words: list[str]) -> DataFrame:
-    """(tok, term, segment, exact, fuzzy, df, salts) of the terms that the words reach: equal, or one edit or swap away if long enough.
-
-    Terms and words that far apart share the word itself or what is left without a letter, so the dictionary is
-    joined on a dozen keys a word and only their parts are opened.
-    """
+def _met(index: Index, words: list[str]) -> DataFrame:
+    """(tok, word, term, segment, key, df, salts, fuzzy): the dictionary's rows under the keys of the words that are near them."""
     asked = [(k, w, S.key_of(v)) for k, w in enumerate(words) for v in (S.variants_of(w) if len(w) >= FUZZY_LEAST else [w])]
     spark = index.spark
     keyed = F.broadcast(spark.createDataFrame(asked, "tok int, word string, key long"))
     rows = index.dictionary({key for _, _, key in asked}).join(keyed, "key")
     long = F.length("word") >= FUZZY_LEAST
     near = rows.filter((F.col("word") == F.col("term")) | long & T.one_edit(F.col("word"), F.col("term")))
+    return near.select("tok", "word", "term", "segment", "key", "df", "salts", long.alias("fuzzy"))
+
+
+def neighbours(index: Index, words: list[str]) -> DataFrame:
+    """(tok, term, segment, exact, fuzzy, df, salts) of the terms that the words reach: equal, or one edit or swap away if long enough.
+
+    Terms and words that far apart share the word itself or what is left without a letter, so the dictionary is
+    joined on a dozen keys a word and only their parts are opened.
+    """
     # a term may be met under several keys, under each with all its counts
-    summed = near.groupBy("tok", "word", "term", "segment", "key").agg(F.sum("df").alias("df"), F.max("salts").alias("salts"))
-    once = summed.groupBy("tok", "word", "term", "segment").agg(F.max("df").alias("df"), F.max("salts").alias("salts")).filter("df > 0")
-    return once.select("tok", "term", "segment", (F.col("word") == F.col("term")).alias("exact"), long.alias("fuzzy"), "df", "salts")
+    summed = _met(index, words).groupBy("tok", "word", "term", "segment", "key", "fuzzy").agg(F.sum("df").alias("df"), F.max("salts").alias("salts"))
+    once = summed.groupBy("tok", "word", "term", "segment", "fuzzy").agg(F.max("df").alias("df"), F.max("salts").alias("salts")).filter("df > 0")
+    return once.select("tok", "term", "segment", (F.col("word") == F.col("term")).alias("exact"), "fuzzy", "df", "salts")
 
 
 @dataclass
 class Terms:
-    """The stored terms that a query reaches, fetched by one job: few, as all are within one edit of a word."""
+    """The stored terms that a query reaches, fetched by one job without a shuffle: few, as all are within one edit of a word."""
 
     index: Index
     words: list[str]
-    rows: list
+    rows: list[dict]
 
     @classmethod
     def of(cls, index: Index, query: str) -> Terms:
+        """``neighbours`` of the query's words, summed here."""
         words = query_tokens(query)
-        return cls(index, words, neighbours(index, words).collect() if words and not index.empty else [])
+        summed: dict[tuple, list[int]] = {}
+        for r in _met(index, words).collect() if words and not index.empty else []:
+            held = summed.setdefault((r["tok"], r["term"], r["segment"], r["fuzzy"], r["key"]), [0, 0])
+            held[0], held[1] = held[0] + r["df"], max(held[1], r["salts"])
+        once = {key[:4]: held for key, held in summed.items() if held[0] > 0}
+        rows = [{"tok": k, "term": t, "segment": s, "exact": words[k] == t, "fuzzy": f, "df": n, "salts": salts} for (k, t, s, f), (n, salts) in once.items()]
+        return cls(index, words, rows)
 
     def df(self) -> dict[str, int]:
         by_segment = {(r["term"], r["segment"]): r["df"] for r in self.rows}
