@@ -44,6 +44,8 @@ SPECIAL = ["subagents", "tool-results"]
 #: Where sessions lie below a configuration folder, and the folder below a home.
 PROJECTS, CONFIG = "projects", ".claude"
 PREVIEW = 50
+#: Files of more bytes are read in ranges; of those at most NAMED are named to the reader one by one.
+RANGE_BYTES, NAMED = 256 << 20, 10_000
 LISTING = "session_path string, project string, mtime long, size long"
 LINES = "session_path string, project string, line_no long, line string"
 
@@ -95,10 +97,51 @@ def read_session(spark: SparkSession, path: str) -> str:
 
 
 def read_lines(spark: SparkSession, root: str, paths: list[str] | None = None) -> DataFrame:
-    """(session_path, project, line_no, line) of all physical lines, of ``paths`` only if given; files that are not UTF-8 are skipped."""
+    """(session_path, project, line_no, line) of all physical lines, of ``paths`` only if given; files that are not UTF-8 are skipped.
+
+    Files of more than RANGE_BYTES are read in byte ranges, by as many tasks; smaller ones are a row each.
+    """
     files = _files(spark, root, paths)
     if files is None:
         return spark.createDataFrame([], LINES)
+    large = [r["path"] for r in _session(files.filter(F.col("length") > RANGE_BYTES)).select("path").limit(NAMED + 1).collect()]
+    small = _whole(files.filter(F.col("length") <= RANGE_BYTES))
+    if not large:
+        return small
+    return small.unionByName(_ranged(spark, root, large if len(large) <= NAMED else None))
+
+
+def _ranged(spark: SparkSession, root: str, paths: list[str] | None) -> DataFrame:
+    """The lines of large files by ranges, ``paths`` or all below the root.
+
+    A range numbers the lines that begin in it; what the ranges before hold comes from a first pass that counts.
+    Spark's reader leaves out a mark of byte order and what follows the last line break; the bytes tell where.
+    """
+    reader = spark.read.format("text").option("lineSep", "\n")
+    text = reader.load(paths) if paths is not None else reader.option("pathGlobFilter", "*.jsonl").load(f"{root}/*/")
+    text = text.filter(F.col("_metadata.file_size") > RANGE_BYTES)
+    path = F.regexp_replace(F.url_decode(F.replace("_metadata.file_path", F.lit("+"), F.lit("%2B"))), "^file:///", "file:/")
+    found = _session(text.select(path.alias("path"), F.col("_metadata.file_block_start").alias("start"), F.col("_metadata.file_size").alias("size"), F.col("value").alias("line")))
+    size = (F.octet_length("line") + 1).cast("long")
+    counts = found.groupBy("path", "project", "start", "size").agg(F.count("*").alias("n"), F.sum(size).alias("bytes"), F.every(F.is_valid_utf8("line")).alias("valid"))
+    whole = Window.partitionBy("path")
+    before = whole.orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = counts.select(
+        "path", "project", "start", "size", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"), F.sum("n").over(whole).alias("lines"),
+        F.sum("bytes").over(whole).alias("bytes"), F.every("valid").over(whole).alias("valid"), (F.row_number().over(whole.orderBy("start")) == 1).alias("first"),
+    ).filter("valid")
+    # with the break after each line the bytes are those of the file, one more if it does not end with one, three fewer if it begins with a mark
+    marked = F.col("size") - F.col("bytes") >= 2
+    at = F.row_number().over(Window.partitionBy("path", "start").orderBy("id")) - 1
+    numbered = found.select("path", "start", "line", F.monotonically_increasing_id().alias("id")).withColumn("at", at).join(ranges, ["path", "start"])
+    line = F.when(marked & (F.col("before") + F.col("at") == 0), F.concat(F.lit("\ufeff"), "line")).otherwise(F.col("line"))
+    lines = numbered.select(F.col("path").alias("session_path"), "project", (F.col("before") + F.col("at")).cast("long").alias("line_no"), line.alias("line"))
+    ended = ranges.filter(F.col("first") & ((F.col("size") == F.col("bytes")) | (F.col("size") == F.col("bytes") + 3)))
+    return lines.unionByName(ended.select(F.col("path").alias("session_path"), "project", F.col("lines").cast("long").alias("line_no"), F.lit("").alias("line")))
+
+
+def _whole(files: DataFrame) -> DataFrame:
+    """The lines of files, each read as one row."""
     text = _session(files).select(F.col("path").alias("session_path"), "project", F.col("content").cast("string").alias("text"))
     lines = text.filter(F.is_valid_utf8("text")).select("session_path", "project", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
     return lines.withColumn("line_no", F.col("line_no").cast("long"))
