@@ -108,6 +108,19 @@ def session_files(spark: SparkSession, sf_dir: str) -> str:
     return _known[key]
 
 
+def lone_files(spark: SparkSession, sf_dir: str) -> str:
+    """The same in another folder, every fourth session without turns, and half of these with a title."""
+    key = (spark.sparkContext.applicationId, f"{sf_dir} lone")
+    if key not in _known:
+        root = shared_folder(spark, "lone")
+        conv = F.regexp_extract("name", r"(\d+)", 1).cast("long")
+        mode, title = '{"type":"permission-mode","permissionMode":"plan"}\n', '{"type":"custom-title","customTitle":"kept"}\n'
+        text = F.when(conv % 8 == 0, mode + title).when(conv % 4 == 0, mode).otherwise(F.col("text"))
+        write_files(session_texts(spark, sf_dir).select("name", text.alias("text")), f"{root}/projects/conv")
+        _known[key] = f"{root}/projects"
+    return _known[key]
+
+
 def session_index(spark: SparkSession, sf_dir: str, some: bool = False) -> index.Index:
     """The index of these files, built once a session of Spark; with ``some``, of those of most projects only."""
     key = (spark.sparkContext.applicationId, f"{sf_dir} index {some}")

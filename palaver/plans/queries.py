@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from palaver.functions import text as T
 from palaver.functions import tools
 from palaver.operators import browse, edit, index, search, sequence, stats
-from palaver.plans.corpus import HOME, LINES_SQL, as_rows, blocks, lines, session_files, session_index
+from palaver.plans.corpus import HOME, LINES_SQL, as_rows, blocks, lines, lone_files, session_files, session_index
 from palaver.sources import jsonl
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -284,14 +284,13 @@ def browse_groups(spark, sf):
     return browse.browse_groups(browse.browse_page(_stubs(spark, sf), 60)).fillna({"latest": -1})
 
 
-@register(f"""WITH {LINES_SQL}, {STUBS_SQL}, c AS (SELECT session_path, count(*) FILTER (source = 'user' AND line_no > 1) AS u, count(*) FILTER (source = 'assistant' AND line_no > 1) AS a, CASE WHEN min(project) = 'p5' THEN 'T' ELSE '' END AS title FROM lines GROUP BY session_path)
-SELECT session_path FROM c JOIN stubs USING (session_path) WHERE u = 0 AND a = 0 AND title = '' AND mtime IS NOT NULL AND greatest({NOW} - mtime, 0) >= 900""")
+@register(f"""WITH {LINES_SQL}, c AS (SELECT DISTINCT session_path, CAST(regexp_extract(session_path, '(\\d+)', 1) AS BIGINT) AS conv FROM lines) SELECT session_path FROM c WHERE conv % 4 = 0 AND conv % 8 <> 0""")
 def cleanup_candidates(spark, sf):
-    """By the counts of the later lines of each session, as if the first two were not there."""
-    own = lines(spark, sf)
-    later = own.groupBy("session_path").agg(*[F.count_if((F.col("source") == who) & (F.col("line_no") > 1)).alias(f"{who}_count") for who in ("user", "assistant")], F.min("project").alias("p"))
-    known = later.withColumn("title", F.when(F.col("p") == "p5", "T").otherwise("")).drop("p")
-    return stats.cleanup_candidates(known.join(_stubs(spark, sf), "session_path"), NOW).select("session_path")
+    """Of session files of which every fourth has no turns, and half of these a title."""
+    root = lone_files(spark, sf)
+    known = stats.scan(jsonl.read_lines(spark, root)).withColumnRenamed("custom_title", "title").join(jsonl.list_sessions(spark, root).select("session_path", "mtime"), "session_path")
+    rested = known.agg(F.coalesce(F.max("mtime"), F.lit(0))).first()[0] + stats.RECENT_S
+    return as_rows(stats.cleanup_candidates(known, rested).select("session_path"))
 
 
 @register(f"""WITH {LINES_SQL}, k AS (SELECT *, sum(CASE WHEN source = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY session_path ORDER BY line_no) AS seg FROM lines WHERE source IN ('user', 'assistant')),
@@ -347,11 +346,11 @@ def apply_deletions(spark, sf):
     return edit.apply_deletions(tools, edit.cascade(chosen, tools))
 
 
-@register(f"""WITH {LINES_SQL} SELECT session_path, line_no, concat('{{"sessionId":"new-id","n":', line_no, ',"sessionId":"old"}}') AS line FROM lines WHERE line_no <= 2 AND session_path IN (SELECT session_path FROM lines WHERE line_no = 2)""")
+@register(f"""WITH {LINES_SQL} SELECT session_path, line_no, concat('{{"sessionId":"new-id","n":', line_no, ',"sessionId":"old"}}') AS line FROM lines WHERE line_no = 0""")
 def fork_prefix(spark, sf):
+    """All sessions, forked after their first line."""
     raw = F.concat(F.lit('{"sessionId":"'), "session_path", F.lit('","n":'), "line_no", F.lit(',"sessionId":"old"}'))
-    own = lines(spark, sf).select("session_path", "line_no", raw.alias("line"))
-    return edit.fork(own.join(own.filter("line_no = 2").select("session_path"), "session_path", "left_semi"), 2, "new-id")
+    return edit.fork(lines(spark, sf).select("session_path", "line_no", raw.alias("line")), 0, "new-id")
 
 
 @register(f"WITH {LINES_SQL} SELECT (SELECT count(DISTINCT session_path) FROM lines) AS sessions, (SELECT count(*) FROM blocks) AS n_blocks")
