@@ -267,6 +267,9 @@ def task_notification(text: Column) -> Column:
 
 
 def tool_result_brief(text: Column, error: Column) -> Column:
+    """``OK`` or ``Error`` and the size; thousands with one decimal, by the exact value of the quotient in double precision."""
     n = F.length(text)
-    size = F.when(n >= 1000, F.concat(F.format_string("%.1f", n / 1000), F.lit("k chars"))).otherwise(F.concat(n.cast("string"), F.when(n == 1, " char").otherwise(" chars")))
+    # format_number takes exact halves (.25, .75) to the even digit; here they go up
+    thousands = F.replace(F.format_number((n + F.when(n % 1000 == 250, 1).otherwise(0)) / 1000, 1), F.lit(","), F.lit(""))
+    size = F.when(n >= 1000, F.concat(thousands, F.lit("k chars"))).otherwise(F.concat(n.cast("string"), F.when(n == 1, " char").otherwise(" chars")))
     return F.concat_ws(" · ", F.when(error, "Error").otherwise("OK"), size)

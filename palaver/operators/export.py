@@ -62,15 +62,15 @@ def list_backups(spark: SparkSession, corpus: str, backups: str, path: str) -> D
     return own.orderBy(F.desc("timestamp"))
 
 
-def export_pages(sessions: DataFrame) -> DataFrame:
-    """(file_name, html) of sessions (project, title, turns: array of role and text), a page each."""
+def export_pages(sessions: DataFrame, *more: str) -> DataFrame:
+    """(file_name, html) of sessions (project, title, turns: array of role and text), a page each; with the columns ``more``."""
     safe = lambda c: F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
     clean = lambda c, other: F.lower(F.regexp_replace(F.regexp_replace(F.when(F.coalesce(c, F.lit("")) == "", other).otherwise(c), "[^A-Za-z0-9]+", "_"), "^_|_$", ""))
     quoted = lambda c: F.replace(F.replace(safe(c), F.lit('"'), F.lit("&quot;")), F.lit("'"), F.lit("&#x27;"))
     one = lambda t: F.concat(F.lit('<div class="turn '), quoted(t["role"]), F.lit('"><b>'), quoted(t["role"]), F.lit("</b><pre>"), safe(t["text"]), F.lit("</pre></div>"))
     body = F.array_join(F.transform("turns", one), "")
     page_ = F.concat(F.lit("<!DOCTYPE html><html><head><meta charset='utf-8'><title>"), safe(F.col("title")), F.lit(f"</title><style>{STYLE}</style></head><body>"), body, F.lit("</body></html>"))
-    return sessions.select(F.concat(clean(F.col("project"), "project"), F.lit("_"), clean(F.col("title"), "session"), F.lit(".html")).alias("file_name"), page_.alias("html"))
+    return sessions.select(*more, F.concat(clean(F.col("project"), "project"), F.lit("_"), clean(F.col("title"), "session"), F.lit(".html")).alias("file_name"), page_.alias("html"))
 
 
 def stream(hits: DataFrame) -> Iterator[Row]:

@@ -63,6 +63,8 @@ def session_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     both = [
         F.col("uuid"), F.col("request_id").alias("requestId"), F.date_format(F.timestamp_millis("ts_ms"), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias("timestamp"),
         F.concat(F.lit(HOME + "/"), "project").alias("cwd"), F.lit("main").alias("gitBranch"), F.col("conv").alias("sessionId"), F.concat(F.lit("1."), F.col("line_no") % 2).alias("version"),
+        F.when(F.col("line_no") > 0, F.concat("conv", F.lit(":"), F.col("line_no") - 1)).alias("parentUuid"), (F.col("line_no") % 4 == 1).alias("isSidechain"),
+        F.when(F.col("line_no") % 3 == 0, F.struct(F.lit(True).alias("ok"), F.col("line_no").alias("n"))).alias("toolUseResult"),
     ]
     part = lambda kind, name, value: F.struct(F.lit(kind).alias("type"), value.alias(name))
     user = F.to_json(F.struct(F.lit("user").alias("type"), *both, F.struct(F.lit("user").alias("role"), F.col("text").alias("content")).alias("message")))
@@ -81,15 +83,19 @@ def session_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def write_files(texts: DataFrame, folder: str) -> int:
-    """Write texts (name, text) as files of a folder; how many."""
+    """Write texts or bytes (name, text) as files below a folder; how many."""
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = pyarrow.fs.FileSystem.from_uri(folder)
-        fs.create_dir(root, recursive=True)
+        made = set()
         for b in batches:
             for name, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                own = f"{root}/{name}".rpartition("/")[0]
+                if own not in made:
+                    fs.create_dir(own, recursive=True)
+                    made.add(own)
                 with fs.open_output_stream(f"{root}/{name}") as out:
-                    out.write(text.encode())
+                    out.write(text.encode() if isinstance(text, str) else text)
             yield pa.RecordBatch.from_arrays([pa.array([b.num_rows])], names=["n"])
 
     return texts.mapInArrow(apply, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
@@ -121,6 +127,43 @@ def lone_files(spark: SparkSession, sf_dir: str) -> str:
     return _known[key]
 
 
+def project_files(spark: SparkSession, sf_dir: str) -> str:
+    """The same in a folder for each project, every third session not UTF-8, and beside every second an agent's file."""
+    key = (spark.sparkContext.applicationId, f"{sf_dir} projects")
+    if key not in _known:
+        root = shared_folder(spark, "projects")
+        conv = F.regexp_extract("name", r"(\d+)", 1).cast("long")
+        own, raw = F.concat(F.lit("p"), conv % 7), F.encode("text", "UTF-8")
+        texts = session_texts(spark, sf_dir)
+        odd = F.when(conv % 3 == 0, F.concat(raw, F.lit(b"\xff"))).otherwise(raw)
+        write_files(texts.select(F.concat(own, F.lit("/"), "name").alias("name"), odd.alias("text")), f"{root}/projects")
+        agents = texts.filter(conv % 2 == 0)
+        write_files(agents.select(F.concat(own, F.lit("/subagents/agent-"), "name").alias("name"), raw.alias("text")), f"{root}/projects")
+        _known[key] = f"{root}/projects"
+    return _known[key]
+
+
+def edited_index(spark: SparkSession, sf_dir: str) -> index.Index:
+    """An index of the session files after every fourth of these was written over by one without turns: one file is
+    indexed by itself, the others are found by a sweep."""
+    key = (spark.sparkContext.applicationId, f"{sf_dir} edited")
+    if key not in _known:
+        root = shared_folder(spark, "edited")
+        corpus, own = f"{root}/projects", f"{root}/index"
+        texts = session_texts(spark, sf_dir)
+        write_files(texts, f"{corpus}/conv")
+        index.refresh(spark, corpus, own, None, HOME)
+        conv = F.regexp_extract("name", r"(\d+)", 1).cast("long")
+        mode = '{"type":"permission-mode","permissionMode":"plan"}\n'
+        write_files(texts.filter(conv % 4 == 0).select("name", F.lit(mode).alias("text")), f"{corpus}/conv")
+        one = index.jsonl.list_sessions(spark, corpus).filter(F.col("size") == len(mode)).agg(F.min("session_path")).first()[0]
+        if one:
+            index.index_file(spark, corpus, own, one, HOME)
+        index.refresh(spark, corpus, own, None, HOME)
+        _known[key] = own
+    return index.open_index(spark, _known[key])
+
+
 def session_index(spark: SparkSession, sf_dir: str, some: bool = False) -> index.Index:
     """The index of these files, built once a session of Spark; with ``some``, of those of most projects only."""
     key = (spark.sparkContext.applicationId, f"{sf_dir} index {some}")

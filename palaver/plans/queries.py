@@ -4,14 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from palaver.functions import text as T
 from palaver.functions import tools
-from palaver.operators import browse, edit, index, search, sequence, stats
-from palaver.plans.corpus import HOME, LINES_SQL, as_rows, blocks, lines, lone_files, session_files, session_index
+from palaver.operators import browse, edit, export, index, search, sequence, stats
+from palaver.plans.corpus import HOME, LINES_SQL, as_rows, blocks, edited_index, lines, lone_files, project_files, session_files, session_index, shared_folder
 from palaver.sources import jsonl
+from palaver.streaming import refresh, source
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -704,8 +705,6 @@ SELECT project, min(rank) AS rank, CAST(sum(n) AS BIGINT) AS n_hits, string_agg(
 def project_hits(spark, sf):
     """A page of hits by project and session, best first."""
     best = as_rows(search.top(session_index(spark, sf), QUERY, limit=100))
-    from pyspark.sql import Window
-
     ranked = best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), *search.DOC)).cast("long"))  # a page
     return browse.project_hits(ranked)
 
@@ -731,3 +730,107 @@ def browse_cards(spark, sf):
     stubs = own.select("session_path", "project", "size", F.expr("first_ms div 1000").alias("mtime"))
     known = own.filter("project <> 'p4'").select("session_path", "user_count", F.lit(0).alias("subagents"), "first_ms", "last_ms", F.concat("m", F.lit(" [x]")).alias("model"), (F.col("project") == "p6").alias("cleaned"))
     return browse.browse_cards(stubs, known)
+
+
+@register(f"""WITH {LINES_SQL} SELECT session_path, line_no, uuid, CASE WHEN line_no > 0 THEN concat(conv, ':', line_no - 1) END AS parent_uuid, line_no % 4 = 1 AS is_sidechain,
+  CASE WHEN line_no % 3 = 0 THEN concat('{{"n":', line_no, ',"ok":true}}') END AS tool_use_result, CASE WHEN source = 'assistant' THEN model END AS model, ts_ms FROM (SELECT *, {CONV_SQL} AS conv FROM lines) WHERE source IN ('user', 'assistant')""")
+def scalar_fields(spark, sf):
+    """The fields of users' and assistants' lines; absent ones are null, a missing mark of a side chain is false."""
+    own = jsonl.entries(_lines(spark, sf)).filter("timestamp is not null and type in ('user', 'assistant')")
+    return as_rows(own.select("session_path", "line_no", "uuid", "parent_uuid", "is_sidechain", "tool_use_result", "model", "ts_ms"))
+
+
+@register(f"""WITH {LINES_SQL} SELECT session_path, line_no, CASE WHEN line_no % 5 = 3 THEN '{jsonl.INTERRUPTED}' ELSE text END AS text FROM lines WHERE source = 'user' AND (line_no % 5 = 3 OR trim(regexp_replace(text, '\\s+', ' ', 'g')) <> '')""")
+def interruption_texts(spark, sf):
+    """What search sees of users' texts of which some hold the mark of an interruption among other words."""
+    said = F.when(F.col("line_no") % 5 == 3, F.concat(F.lit("oh "), F.lit(jsonl.INTERRUPTED), F.col("text"))).otherwise(F.col("text"))
+    line = F.to_json(F.struct(F.lit("user").alias("type"), F.struct(said.alias("content")).alias("message")))
+    own = lines(spark, sf).filter("source = 'user'").select("session_path", "project", "line_no", line.alias("line"))
+    return jsonl.search_blocks(own).select("session_path", "line_no", "text")
+
+
+@register(f"""WITH {LINES_SQL}, n AS (SELECT session_path, line_no, length(text) AS n FROM blocks)
+SELECT session_path, line_no, concat(CASE WHEN line_no % 2 = 0 THEN 'Error' ELSE 'OK' END, ' · ', CASE WHEN n = 1 THEN '1 char' WHEN n < 1000 THEN concat(n, ' chars')
+  ELSE concat(printf('%.1f', CASE WHEN n % 1000 = 250 THEN n + 1 ELSE n END / 1000.0::DOUBLE), 'k chars') END) AS brief FROM n""")
+def result_briefs(spark, sf):
+    return blocks(spark, sf).select("session_path", "line_no", T.tool_result_brief(F.col("text"), F.col("line_no") % 2 == 0).alias("brief"))
+
+
+SAFE_SQL = "replace(replace(replace({0}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
+
+
+@register(f"""WITH {LINES_SQL}, s AS (SELECT session_path, min(project) AS project, coalesce(arg_min(text, line_no) FILTER (source = 'user'), '') AS title,
+  string_agg('<div class="turn ' || source || '"><b>' || source || '</b><pre>' || {SAFE_SQL.format("text")} || '</pre></div>', '' ORDER BY line_no) AS body FROM lines GROUP BY session_path)
+SELECT session_path, concat('my_', project, '_', lower(regexp_replace(regexp_replace(CASE WHEN title = '' THEN 'session' ELSE title END, '[^A-Za-z0-9]+', '_', 'g'), '^_|_$', '', 'g')), '.html') AS file_name,
+  concat('<!DOCTYPE html><html><head><meta charset=''utf-8''><title>', {SAFE_SQL.format("title")}, '</title><style>{export.STYLE}</style></head><body>', body, '</body></html>') AS html FROM s""")
+def export_pages(spark, sf):
+    """A static page of each session, named by project and title."""
+    turn = F.struct("line_no", F.col("source").alias("role"), "text")
+    title = F.min_by(F.when(F.col("source") == "user", F.col("text")), F.when(F.col("source") == "user", F.col("line_no")))
+    own = lines(spark, sf).groupBy("session_path").agg(F.concat(F.lit("~/My "), F.min("project")).alias("project"), F.coalesce(title, F.lit("")).alias("title"), F.array_sort(F.collect_list(turn)).alias("turns"))
+    return export.export_pages(own, "session_path")
+
+
+@register(f"SELECT * FROM ({ORACLES['display_items']}) QUALIFY row_number() OVER (PARTITION BY session_path ORDER BY first_line) <= 4")
+def editor_window(spark, sf):
+    """The first items of each session, as an editor that shows four opens with."""
+    return sequence.window_of_items(QUERIES["display_items"](spark, sf), 4)
+
+
+@register(f"WITH {LINES_SQL} SELECT session_path, line_no, block_no, CAST(0 AS DOUBLE) AS score FROM blocks WHERE length(text) < 0")
+def search_empty_query(spark, sf):
+    """Blanks and punctuation ask for nothing and find nothing."""
+    return _ranked(spark, sf, " ?! \n … ")
+
+
+@register(f"""WITH {LINES_SQL}, c AS (SELECT DISTINCT session_path, project, {CONV_SQL} AS conv FROM lines) SELECT session_path, project, count(*) FILTER (conv % 2 = 0) OVER (PARTITION BY project) AS subagents FROM c""")
+def subagent_counts(spark, sf):
+    """Agent files beside the sessions of each project."""
+    root = project_files(spark, sf)
+    return as_rows(jsonl.count_subagents(spark, root, jsonl.list_sessions(spark, root))).select("session_path", "project", "subagents")
+
+
+@register(f"WITH {LINES_SQL} SELECT session_path, min(project) AS project, count(*) + 7 AS n_lines FROM lines WHERE {CONV_SQL} % 3 <> 0 GROUP BY session_path")
+def valid_sessions(spark, sf):
+    """Lines of the sessions that are UTF-8; the others are skipped whole."""
+    own = jsonl.read_lines(spark, project_files(spark, sf))
+    return as_rows(own.groupBy("session_path", "project").agg(F.count("*").alias("n_lines")))
+
+
+@register(f"""WITH {LINES_SQL}, s AS (SELECT session_path, CASE WHEN {CONV_SQL} % 9 = 0 THEN NULL ELSE {CONV_SQL} // 2 END AS mtime, count(*) + 6 + {TITLES} AS line_count, count(*) FILTER (source = 'assistant') AS assistant_count FROM lines GROUP BY session_path)
+SELECT *, row_number() OVER (ORDER BY mtime DESC NULLS LAST, session_path) AS place FROM s ORDER BY place LIMIT 200""")
+def enriched_newest(spark, sf):
+    """The first page of what a scan adds to the listing: newest first, ages unknown last."""
+    conv = F.regexp_extract("session_path", r"(\d+)\.jsonl$", 1).cast("long")
+    listing = jsonl.list_sessions(spark, session_files(spark, sf)).withColumn("mtime", F.when(conv % 9 != 0, F.floor(conv / 2)))
+    page = stats.enrichment(_lines(spark, sf), listing, NOW).limit(200)
+    placed = page.withColumn("place", F.row_number().over(Window.orderBy(F.desc_nulls_last("mtime"), "session_path")).cast("long"))  # a page
+    return as_rows(placed).select("session_path", "mtime", "line_count", "assistant_count", "place")
+
+
+@register(f"WITH {scores_sql(QUERY).replace('blocks AS (SELECT * FROM lines WHERE', f'blocks AS (SELECT * FROM lines WHERE {CONV_SQL} % 4 <> 0 AND')} SELECT {SHORT_ROW} FROM hits")
+def refreshed_hits(spark, sf):
+    """All hits after an index took in that every fourth session was written over."""
+    return as_rows(search.matches(edited_index(spark, sf), QUERY)).select("session_path", "line_no", "block_no", "score")
+
+
+@register(f"WITH {LINES_SQL} SELECT session_path, count(*) + 6 + {TITLES} AS n_lines, count(*) + 6 + {TITLES} AS n_places, true AS from_start FROM lines GROUP BY session_path")
+def streamed_lines(spark, sf):
+    """Lines that the streaming source brings of files that are there when it starts."""
+    work = shared_folder(spark, "streamed")
+    rows = source.appended(spark, session_files(spark, sf), f"{work}/snapshots")
+    query = rows.writeStream.format("parquet").option("path", f"{work}/rows").option("checkpointLocation", f"{work}/checkpoint").trigger(availableNow=True).start()
+    query.awaitTermination()
+    found = spark.read.schema(source.SCHEMA).parquet(f"{work}/rows").groupBy("session_path")
+    return as_rows(found.agg(F.count("*").alias("n_lines"), F.count_distinct("at").alias("n_places"), (F.min("at") == 0).alias("from_start")))
+
+
+@register("SELECT conv_id, max(turn) AS turn, arg_max(role, turn) AS role, arg_max(text, turn) AS text FROM conversations GROUP BY conv_id")
+def merged_stream(spark, sf):
+    """The last turn of each conversation, from a stream of turns merged into a keyed table."""
+    path = f"{sf}/conversations.parque[t]"  # a pattern, so that a single file is taken too
+    given = spark.read.parquet(f"{sf}/conversations.parquet").select("conv_id", "turn", "role", "text").schema
+    root = shared_folder(spark, "merged")
+    table = refresh.KeyedTable(spark, f"{root}/table", ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in given), "conv_id", "turn")
+    refresh.merge_stream(spark.readStream.schema(given).parquet(path), table, f"{root}/checkpoint", once=True).awaitTermination()
+    return table.rows()
