@@ -188,16 +188,16 @@ def session_uuid(path: Column, seed: str) -> Column:
     return F.concat_ws("-", F.substring(drawn, 1, 8), F.substring(drawn, 9, 4), F.concat(F.lit("4"), F.substring(drawn, 14, 3)), F.concat(variant, F.substring(drawn, 18, 3)), F.substring(drawn, 21, 12))
 
 
-def fork(lines: DataFrame, upto: int, new_id: str | None = None) -> DataFrame:
+def fork(lines: DataFrame, upto: int, new_id: str | None = None, strict: bool = True) -> DataFrame:
     """Lines 0 to ``upto`` with the first sessionId value of each replaced, by a new one for each session if none is given.
 
-    A session of no such line fails the query.
+    A session of no such line fails the query; unless ``strict`` it is forked after its last line.
     """
     last = Window.partitionBy("session_path").orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     own = lines.withColumn("_last", F.max("line_no").over(last)).withColumn("_tail", F.last("line").over(last))
     own = own.withColumn("_last", F.when(F.col("_tail") == "", F.col("_last") - 1).otherwise(F.col("_last")))
     short = F.when(F.col("_last") < upto, F.raise_error(F.lit("line index out of range")).cast("long")).otherwise(F.col("line_no"))
-    kept = own.withColumn("line_no", short).filter(F.col("line_no") <= upto)
+    kept = own.withColumn("line_no", short).filter(F.col("line_no") <= upto) if strict else own.filter(F.col("line_no") <= F.least(F.lit(upto), "_last"))
     given = F.lit(new_id) if new_id else session_uuid(F.col("session_path"), uuid.uuid4().hex)
     at = F.locate('"sessionId":"', F.col("line"))
     head = at + len('"sessionId":"') - 1

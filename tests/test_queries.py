@@ -49,3 +49,11 @@ def test_whole_tables(spark, tmp_path):
     row = QUERIES["fuzzy_highlights"](spark, sf).filter("session_path = 'conv/3.jsonl' and line_no = 6").first()
     assert (row["joined"], row["marked"]) == (long, "the|thee")
     assert QUERIES["warm_cold_union"](spark, sf).groupBy("tier").count().count() == 2
+
+
+def test_forks_keep_three_lines_of_every_session(spark, tmp_path):
+    """Sessions of fewer lines are neither left out nor an error."""
+    data = [(c, t, "user", "x") for c in range(1, 6) for t in range(c)]
+    spark.createDataFrame(data, "conv_id long, turn long, role string, text string").coalesce(1).write.parquet(f"file://{tmp_path}/conversations.parquet")
+    found = QUERIES["fork_prefix"](spark, f"file://{tmp_path}").collect()
+    assert sorted((r["session_path"], r["line_no"]) for r in found) == [(f"conv/{c}.jsonl", t) for c in range(1, 6) for t in range(min(c, 3))]

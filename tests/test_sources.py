@@ -253,6 +253,7 @@ def test_forks(spark):
     assert drawn.version == 4 and drawn.variant == uuid.RFC_4122
     with pytest.raises(Exception, match="out of range"):
         edit.fork(lines, 3, "x").collect()
+    assert {r["line_no"] for r in edit.fork(lines, 3, "x", strict=False).collect()} == {0, 1, 2}  # the break at the end makes no line
 
 
 def test_turns_of_files(spark):
