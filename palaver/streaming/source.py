@@ -2,9 +2,9 @@
 
 Spark's file source follows new paths only, while sessions grow in place.  Here an
 offset names a snapshot of the listing: how far each file was read, always up to a line
-break.  A batch is the byte ranges between two snapshots, each a task or, where it is
-long, several; a file that became shorter or was replaced is read anew from its start,
-under the next ``version``.  Snapshots lie beside the query's checkpoint, so a query
+break.  A batch is the byte ranges between two snapshots: a long one is several tasks,
+short ones share a task.  A file that became shorter or was replaced is read anew from
+its start, under the next ``version``.  Snapshots lie beside the query's checkpoint, so a query
 that starts again goes on where it was and repeats nothing.
 
 Columns: session_path, version, at (the byte where the line begins), line.
@@ -15,7 +15,9 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 
+import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
@@ -24,13 +26,20 @@ SCHEMA = "session_path string, version int, at long, line string"
 NAME = "palaver_sessions"
 #: Bytes that one task reads, about.
 RANGE_BYTES = 64 << 20
-#: Bytes read at once in search of a line break.
+#: Bytes read at once in search of a line break; opening a file counts as many.
 STEP = 1 << 16
+#: New or grown files that the driver looks into at a time.
+LOOKS = 16
+#: Bytes of lines in one Arrow batch, about.
+BATCH_BYTES = 4 << 20
+ARROW = pa.schema([("session_path", pa.string()), ("version", pa.int32()), ("at", pa.int64()), ("line", pa.string())])
 
 
-class Range(InputPartition):
-    def __init__(self, path: str, version: int, start: int, stop: int) -> None:
-        self.path, self.version, self.start, self.stop = path, version, start, stop
+class Ranges(InputPartition):
+    """What one task reads: (path, version, start, stop) of each range."""
+
+    def __init__(self, parts: list[tuple[str, int, int, int]]) -> None:
+        self.parts = parts
 
 
 class SessionStream(DataSourceStreamReader):
@@ -55,22 +64,28 @@ class SessionStream(DataSourceStreamReader):
         names = [i.base_name for i in fs.get_file_info(pafs.FileSelector(root)) if i.base_name.endswith(".json")]
         return max((int(n[:12]) for n in names), default=0)
 
-    def _whole_lines(self, fs: pafs.FileSystem, path: str, start: int, size: int) -> int:
+    def _whole_lines(self, f: pafs.NativeFile, start: int, size: int) -> int:
         """Up to where the file consists of whole lines; it is read backwards to the last break."""
-        with fs.open_input_file(path) as f:
-            stop = size
-            while stop > start:
-                a = max(start, stop - STEP)
-                found = f.read_at(stop - a, a).rfind(b"\n")
-                if found >= 0:
-                    return a + found + 1
-                stop = a
+        stop = size
+        while stop > start:
+            a = max(start, stop - STEP)
+            found = f.read_at(stop - a, a).rfind(b"\n")
+            if found >= 0:
+                return a + found + 1
+            stop = a
         return start
 
-    def _head(self, fs: pafs.FileSystem, path: str, size: int) -> str:
-        """The first bytes, by which a file that was replaced by a longer one is told from one that grew."""
-        with fs.open_input_file(path) as f:
-            return f.read_at(min(size, 64), 0).hex()
+    def _look(self, fs: pafs.FileSystem, i: pafs.FileInfo, was: list | None) -> list:
+        """The entry of a new or changed file, which is opened once.
+
+        By its first bytes a file that was replaced by a longer one is told from one that grew.
+        """
+        version, start, head = (was[0], was[1], was[4]) if was else (0, 0, "")
+        with fs.open_input_file(i.path) as f:
+            now = f.read_at(min(i.size, 64), 0).hex()
+            if was and (i.size < start or not now.startswith(head)):
+                version, start = version + 1, 0
+            return [version, self._whole_lines(f, start, i.size), i.size, i.mtime_ns, now]
 
     def initialOffset(self) -> dict:
         return {"snapshot": 0}
@@ -79,7 +94,7 @@ class SessionStream(DataSourceStreamReader):
         last = self._last()
         known = self._snapshot(last)
         fs, root = self._open(self.root)
-        now = {}
+        now, fresh = {}, []
         for project in fs.get_file_info(pafs.FileSelector(root)):
             if project.type != pafs.FileType.Directory or project.base_name in ("subagents", "tool-results"):
                 continue
@@ -89,11 +104,10 @@ class SessionStream(DataSourceStreamReader):
                 was = known.get(i.path)
                 if was and was[2:4] == [i.size, i.mtime_ns]:
                     now[i.path] = was
-                    continue
-                version, start, head = was[0] if was else 0, was[1] if was else 0, was[4] if was else ""
-                if was and (i.size < start or not self._head(fs, i.path, i.size).startswith(head)):
-                    version, start = version + 1, 0
-                now[i.path] = [version, self._whole_lines(fs, i.path, start, i.size), i.size, i.mtime_ns, self._head(fs, i.path, i.size)]
+                else:
+                    fresh.append(i)
+        with ThreadPoolExecutor(LOOKS) as pool:
+            now.update(zip([i.path for i in fresh], pool.map(lambda i: self._look(fs, i, known.get(i.path)), fresh), strict=True))
         # deleted files stay known, so one that comes back is a new version
         merged = known | now
         for path in known.keys() - now.keys():
@@ -108,42 +122,65 @@ class SessionStream(DataSourceStreamReader):
         own.move(f"{name}.tmp", name)
         return {"snapshot": last + 1}
 
-    def partitions(self, start: dict, end: dict) -> list[Range]:
+    def partitions(self, start: dict, end: dict) -> list[Ranges]:
+        """Tasks of ``range_bytes`` at most, where opening a file counts as STEP: very many small files are few tasks."""
         before, after = self._snapshot(start["snapshot"]), self._snapshot(end["snapshot"])
-        out = []
+        out, parts, held = [], [], 0
         for path, (version, upto, *_) in sorted(after.items()):
             was = before.get(path, [0, 0])
             a = was[1] if was[0] == version else 0
             while a < upto:
                 z = min(upto, a + self.range_bytes)
-                out.append(Range(path, version, a, z))
+                if parts and held + z - a + STEP > self.range_bytes:
+                    out.append(Ranges(parts))
+                    parts, held = [], 0
+                parts.append((path, version, a, z))
+                held += z - a + STEP
                 a = z
-        return out
+        return [*out, Ranges(parts)] if parts else out
 
-    def read(self, partition: Range) -> Iterator[tuple]:
-        """The lines that begin in the range, from the first on that follows a break; the last may end beyond it."""
+    def read(self, partition: Ranges) -> Iterator[pa.RecordBatch]:
+        """The lines of the ranges, in Arrow batches; one batch may hold lines of many files."""
         fs, root = self._open(self.root)
         # named as Spark names files
         shown = re.sub("^file:/+", "/", self.root)
-        shown = ("file:" if shown.startswith("/") else "") + shown + partition.path[len(root) :]
-        with fs.open_input_file(partition.path) as f:
-            at = partition.start
+        shown = ("file:" if shown.startswith("/") else "") + shown
+        rows, held = [], 0
+        for path, version, start, stop in partition.parts:
+            name = shown + path[len(root) :]
+            for at, line in self._lines(fs, path, start, stop):
+                rows.append((name, version, at, line))
+                held += len(line) + 64
+                if held >= BATCH_BYTES:
+                    yield self._batch(rows)
+                    rows, held = [], 0
+        if rows:
+            yield self._batch(rows)
+
+    @staticmethod
+    def _batch(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), ARROW, strict=True)], schema=ARROW)
+
+    def _lines(self, fs: pafs.FileSystem, path: str, start: int, stop: int) -> Iterator[tuple[int, str]]:
+        """The lines that begin in the range, from the first on that follows a break; the last may end beyond it."""
+        with fs.open_input_file(path) as f:
+            at = start
             if at:
                 # a range that begins within a line leaves it to the one before
                 f.seek(at - 1)
                 at += self._skip(f)
             f.seek(at)
             rest, pos = b"", at
-            while pos - len(rest) < partition.stop:
+            while pos - len(rest) < stop:
                 data = f.read(STEP)
                 if not data:
                     return
                 *lines, tail = (rest + data).split(b"\n")
                 begin = pos - len(rest)
                 for line in lines:
-                    if begin >= partition.stop:
+                    if begin >= stop:
                         return
-                    yield shown, partition.version, begin, line.decode("utf-8", "replace")
+                    yield begin, line.decode("utf-8", "replace")
                     begin += len(line) + 1
                 rest, pos = tail, pos + len(data)
 

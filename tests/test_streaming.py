@@ -60,6 +60,31 @@ def test_long_appends_are_read_in_ranges(spark, tmp_path):
     assert got == want
 
 
+def test_small_files_share_tasks(spark, tmp_path, monkeypatch):
+    """Many small files are few tasks, each new one is opened once by the driver, and every line comes once, in batches."""
+    own = tmp_path / "projects" / "p"
+    own.mkdir(parents=True)
+    for k in range(300):
+        (own / f"{k:03d}.jsonl").write_text("".join(f"{k} {n}\n" for n in range(k % 4)) + "rest" * (k % 2))
+    (own / "long.jsonl").write_text("".join(f"long {n} {'x' * 400}\n" for n in range(4000)))
+    stream = source.SessionStream({"path": f"file:{tmp_path}/projects", "snapshots": f"file://{tmp_path}/looked", "rangebytes": str(1 << 20)})
+    looked, real = [], stream._look
+    monkeypatch.setattr(stream, "_look", lambda fs, i, was: looked.append(i.path) or real(fs, i, was))
+    parts = stream.partitions(stream.initialOffset(), stream.latestOffset())
+    assert len(looked) == len(set(looked)) == 301
+    assert len(parts) < 300 // 10
+    ranges = [r for p in parts for r in p.parts]
+    assert len(ranges) == len(set(ranges)) and {r[0] for r in ranges} == {f"{own}/{k:03d}.jsonl" for k in range(300) if k % 4} | {f"{own}/long.jsonl"}
+    assert stream.latestOffset() == {"snapshot": 1} and len(looked) == 301
+    monkeypatch.setattr(source, "BATCH_BYTES", 1000)
+    at_once = [b.num_rows for p in parts for b in stream.read(p)]
+    assert len(at_once) > 20 and sum(at_once) == 75 * (1 + 2 + 3) + 4000
+    got = run(spark, tmp_path, 1 << 20)
+    assert len(got) == len(set(got)) == sum(at_once)
+    assert [r[3] for r in got if r[0] == "007.jsonl"] == ["7 0", "7 1", "7 2"]
+    assert len(list((tmp_path / "out").glob("*.parquet"))) < 300 // 10
+
+
 def said(text):
     return json.dumps({"type": "user", "message": {"content": text}}) + "\n"
 
