@@ -12,8 +12,10 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+from palaver.catalog import QUERIES
 from palaver.functions import text as T
 from palaver.operators import index, search, segments
+from palaver.plans import corpus as plans
 from palaver.sources.lease import Lease, Lost
 from palaver.sources.store import Store
 
@@ -255,3 +257,24 @@ def test_the_fragment_that_tells_most_is_shown(spark):
     rows = spark.createDataFrame(list(enumerate(texts)), "k int, t string").select("k", T.best_fragment(F.col("t"), weights).alias("f"))
     got = {r["k"]: r["f"] for r in rows.collect()}
     assert "gadget" in got[0] and got == {k: brute(t) for k, t in enumerate(texts)}
+
+
+def test_a_refresh_takes_a_condition(spark, tmp_path, monkeypatch):
+    """Sessions outside of the condition are neither read nor taken for deleted; the query names none on the driver."""
+    root, own = str(tmp_path / "some"), tmp_path / "corpus" / "p"
+    own.mkdir(parents=True)
+    for k in range(6):
+        (own / f"{k}.jsonl").write_text(json.dumps({"type": "user", "message": {"content": f"word{k}"}}) + "\n")
+    number = F.regexp_extract("session_path", r"(\d+)\.jsonl$", 1).cast("int")
+    assert index.refresh(spark, str(own.parent), root, number < 4) == {"new": 4}
+    (own / "1.jsonl").unlink()
+    assert index.refresh(spark, str(own.parent), root, number >= 3) == {"new": 2, "unchanged": 1}
+    assert index.refresh(spark, str(own.parent), root, number < 3) == {"deleted": 1, "unchanged": 2}
+    assert index.open_index(spark, root).files().count() == 5
+    asked, real = [], index.refresh
+    monkeypatch.setattr(index, "refresh", lambda spark, corpus, root, paths=None, *more: asked.append(paths) or real(spark, corpus, root, paths, *more))
+    monkeypatch.setattr(plans, "_known", {})
+    sf = f"file://{tmp_path}"
+    spark.createDataFrame([(c, 0, "user", "x") for c in range(10)], "conv_id long, turn long, role string, text string").coalesce(1).write.parquet(f"{sf}/conversations.parquet")
+    assert tuple(QUERIES["index_status"](spark, sf).first()) == (8, 2)
+    assert len(asked) == 1 and not isinstance(asked[0], list)
