@@ -12,6 +12,7 @@ Columns: session_path, version, at (the byte where the line begins), line.
 
 from __future__ import annotations
 
+import io
 import json
 import re
 from collections.abc import Iterator
@@ -28,8 +29,8 @@ NAME = "palaver_sessions"
 RANGE_BYTES = 64 << 20
 #: Bytes read at once in search of a line break; opening a file counts as many.
 STEP = 1 << 16
-#: New or grown files that the driver looks into at a time.
-LOOKS = 16
+#: New or grown files that the driver looks into at a time, and for how many it holds what came of that together.
+LOOKS, LOOKED = 16, 1024
 #: Bytes of lines in one Arrow batch, about.
 BATCH_BYTES = 4 << 20
 ARROW = pa.schema([("session_path", pa.string()), ("version", pa.int32()), ("at", pa.int64()), ("line", pa.string())])
@@ -50,13 +51,18 @@ class SessionStream(DataSourceStreamReader):
     def _open(self, uri: str) -> tuple[pafs.FileSystem, str]:
         return pafs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
 
-    def _snapshot(self, number: int) -> dict[str, list]:
-        """path: [version, read up to, size, mtime, first bytes]; none for number 0."""
+    def _snapshot(self, number: int) -> Iterator[tuple[str, list]]:
+        """path, [version, read up to, size, mtime, first bytes], a line each; none for number 0."""
         if not number:
-            return {}
+            return
         fs, root = self._open(self.state)
         with fs.open_input_stream(f"{root}/{number:012d}.json") as f:
-            return json.loads(f.read())
+            for line in io.TextIOWrapper(f, "utf-8"):
+                found = json.loads(line)
+                if isinstance(found, dict):  # as snapshots were written before
+                    yield from found.items()
+                else:
+                    yield found[0], found[1:]
 
     def _last(self) -> int:
         fs, root = self._open(self.state)
@@ -92,7 +98,7 @@ class SessionStream(DataSourceStreamReader):
 
     def latestOffset(self) -> dict:
         last = self._last()
-        known = self._snapshot(last)
+        known = dict(self._snapshot(last))
         fs, root = self._open(self.root)
         now, fresh = {}, []
         for project in fs.get_file_info(pafs.FileSelector(root)):
@@ -107,26 +113,30 @@ class SessionStream(DataSourceStreamReader):
                 else:
                     fresh.append(i)
         with ThreadPoolExecutor(LOOKS) as pool:
-            now.update(zip([i.path for i in fresh], pool.map(lambda i: self._look(fs, i, known.get(i.path)), fresh), strict=True))
+            for k in range(0, len(fresh), LOOKED):
+                some = fresh[k : k + LOOKED]
+                now.update(zip([i.path for i in some], pool.map(lambda i: self._look(fs, i, known.get(i.path)), some), strict=True))
+        del fresh
         # deleted files stay known, so one that comes back is a new version
         merged = known | now
         for path in known.keys() - now.keys():
             version, _, size, *_ = known[path]
             merged[path] = [version + (size >= 0), 0, -1, 0, ""]
-        if {p: x[:2] for p, x in merged.items() if x[1]} == {p: x[:2] for p, x in known.items() if x[1]} and merged.keys() == known.keys():
+        if merged.keys() == known.keys() and all(x[:2] == known[p][:2] for p, x in merged.items() if x[1] or known[p][1]):
             return {"snapshot": last}
         own, folder = self._open(self.state)
         name = f"{folder}/{last + 1:012d}.json"
         with own.open_output_stream(f"{name}.tmp") as out:
-            out.write(json.dumps(merged).encode())
+            for path, entry in merged.items():
+                out.write(json.dumps([path, *entry]).encode() + b"\n")
         own.move(f"{name}.tmp", name)
         return {"snapshot": last + 1}
 
     def partitions(self, start: dict, end: dict) -> list[Ranges]:
         """Tasks of ``range_bytes`` at most, where opening a file counts as STEP: very many small files are few tasks."""
-        before, after = self._snapshot(start["snapshot"]), self._snapshot(end["snapshot"])
+        before = {path: entry[:2] for path, entry in self._snapshot(start["snapshot"])}
         out, parts, held = [], [], 0
-        for path, (version, upto, *_) in sorted(after.items()):
+        for path, version, upto in sorted((path, entry[0], entry[1]) for path, entry in self._snapshot(end["snapshot"])):
             was = before.get(path, [0, 0])
             a = was[1] if was[0] == version else 0
             while a < upto:

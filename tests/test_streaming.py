@@ -76,6 +76,10 @@ def test_small_files_share_tasks(spark, tmp_path, monkeypatch):
     ranges = [r for p in parts for r in p.parts]
     assert len(ranges) == len(set(ranges)) and {r[0] for r in ranges} == {f"{own}/{k:03d}.jsonl" for k in range(300) if k % 4} | {f"{own}/long.jsonl"}
     assert stream.latestOffset() == {"snapshot": 1} and len(looked) == 301
+    # a snapshot as it was written before, in one line, is taken on
+    kept = tmp_path / "looked" / f"{1:012d}.json"
+    kept.write_text(json.dumps({path: entry for path, *entry in map(json.loads, kept.read_text().splitlines())}))
+    assert stream.latestOffset() == {"snapshot": 1} and len(looked) == 301
     monkeypatch.setattr(source, "BATCH_BYTES", 1000)
     at_once = [b.num_rows for p in parts for b in stream.read(p)]
     assert len(at_once) > 20 and sum(at_once) == 75 * (1 + 2 + 3) + 4000
